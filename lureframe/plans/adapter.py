@@ -199,3 +199,135 @@ def changes(spark: SparkSession) -> DataFrame:
 
 def cidr(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(CIDR), "cidr string, country string").filter("country IS NOT NULL")
+
+
+# --- evaluation relations, from orders and lineitem ---
+EXPECTED = (
+    ("dropper", 0, "T1105"), ("dropper", 1, "T1222.002"), ("dropper", 2, "T1059.004"), ("ssh_persistence", 0, "T1098.004"),
+    ("miner", 0, "T1105"), ("miner", 1, "T1222.002"), ("miner", 2, "T1496"),
+)
+SERVICES = ("service.ssh", "service.telnet", "service.http")
+OS_TEXT = ("Linux box 5.10 Debian 12", "Linux Ubuntu 22.04", "Linux red  hat 8", "no distribution")
+HOST_TEXT = ("svr04", "nas3", "127.0.1.1\tsvr04")
+ARCH_TEXT = ("x86_64", "GenuineIntel", "CPU architecture: 8", "aarch64-linux-gnu")
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    return o.select(
+        key.alias("run_id"), F.concat(F.lit("eval-"), F.col("o_custkey").cast("string")).alias("honeypot_id"),
+        F.when((F.col("o_orderstatus") == "P") & (key % 3 == 0), "failed").otherwise("completed").alias("status"),
+        F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + key).alias("started_at"),
+        F.concat(F.lit("h"), (key % 3).cast("string")).alias("honeypot_fingerprint"),
+        F.when(key % 5 == 0, "c1").otherwise("c0").alias("evaluation_config_fingerprint"), F.col("o_orderpriority").alias("arm"),
+    )
+
+
+def probe_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lureframe.sources.reference import PROBES
+
+    li = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("run_id"), ((F.col("l_partkey") + F.col("l_linenumber")) % 15).cast("int").alias("position"),
+        "l_suppkey", "l_returnflag",
+    )
+    rows = li.groupBy("run_id", "position").agg(F.min("l_suppkey").alias("s"), F.min("l_returnflag").alias("flag"))
+    p, s = F.col("position"), F.col("s")
+    agent = p < 12
+    names = pick([x[0] for x in PROBES] + list(SERVICES), p)
+    status = F.when(F.col("flag") == "R", "not_observed").when(F.col("flag") == "A", "observed").when(s % 3 == 0, "unknown").otherwise("observed")
+    value = (
+        F.when(p <= 1, pick(OS_TEXT, s % 4)).when(p <= 4, pick(HOST_TEXT, s % 3)).when(p == 5, "root").when(p == 6, "root:x:0:0")
+        .when(p == 7, "ok").when(p == 8, "GenuineIntel").when(p <= 11, pick(ARCH_TEXT, s % 4)).otherwise("OpenSSH 8.4")
+    )
+    return rows.select(
+        F.concat_ws("-", F.col("run_id").cast("string"), p.cast("string")).alias("result_id"), "run_id",
+        F.when(agent, "agent").otherwise("nmap").alias("module"), names.alias("probe_id"),
+        pick([x[3] for x in PROBES] + list(SERVICES), p).alias("establishes"),
+        F.when(status == "observed", value).alias("value"), status.alias("fact_status"),
+        F.when(status == "observed", value).alias("raw_output"), "position",
+    )
+
+
+def chain_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("run_id"), ((F.col("l_suppkey") + F.col("l_linenumber")) % 7).cast("int").alias("c"), "l_linestatus", "l_partkey",
+    )
+    rows = li.groupBy("run_id", "c").agg(F.min("l_linestatus").alias("ls"), F.min("l_partkey").alias("pk"))
+    status = F.when(F.col("pk") % 10 == 0, "unknown").when(F.col("ls") == "F", "observed").otherwise("not_observed")
+    tech = pick([e[2] for e in EXPECTED], F.col("c"))
+    return rows.select(
+        F.concat_ws("-", F.col("run_id").cast("string"), F.lit("c"), F.col("c").cast("string")).alias("step_id"), "run_id",
+        pick([e[0] for e in EXPECTED], F.col("c")).alias("chain_id"), pick([e[1] for e in EXPECTED], F.col("c")).alias("step_index"),
+        tech.alias("expected_technique_id"), status.alias("fact_status"),
+        F.when(status == "observed", tech).alias("matched_rule_id"),
+        F.when(status == "observed", F.concat(F.lit("cmd "), F.col("pk").cast("string"))).alias("command"),
+    )
+
+
+def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), (F.col("l_suppkey") % 6).cast("int").alias("c"), "l_partkey")
+    rows = li.groupBy("run_id", "c").agg(F.min("l_partkey").alias("pk"))
+    from lureframe.sources.reference import CHARACTERISTICS
+
+    status = F.when(F.col("pk") % 7 == 0, "evaluator_failed").when(F.col("pk") % 3 == 0, "unavailable").otherwise("completed")
+    return rows.select(
+        "run_id", pick(CHARACTERISTICS, F.col("c")).alias("characteristic"),
+        F.when(status == "completed", (F.col("pk") % 101) / 100).alias("evaluator_rating"), status.alias("evaluator_status"),
+    )
+
+
+# --- rotation experiment: twelve two-day blocks per sensor, four arms ---
+ARMS = ("stock", "web-server", "nas-box", "iot-arm")
+
+
+def rotation(spark: SparkSession) -> DataFrame:
+    rows = []
+    for s in range(4):
+        for b in range(12):
+            arm = ARMS[(b + s) % 4]
+            rows.append((s * 100 + b, f"hp-{s}", "pre-persona" if arm == "stock" else arm, f"2024-01-{3 + 2 * b:02d} 00:00:00"))
+    out = spark.createDataFrame(rows, "deployment_id int, honeypot_id string, persona string, deployed_at string")
+    return out.withColumn("deployed_at", F.col("deployed_at").cast("timestamp"))
+
+
+# --- model output, from the event log ---
+def claims(ev: DataFrame, an: DataFrame) -> tuple[DataFrame, DataFrame]:
+    done = an.filter(F.col("analysis_id").endswith("-a1")).select("session_id")
+    cl = ev.join(done, "session_id", "left_semi").select(
+        F.col("event_id").alias("claim_id"), "session_id",
+        pick(["classification", "technique_mapping", "observed_behavior", "indicator"], F.col("k") % 4).alias("kind"),
+        F.when(F.col("k") % 4 == 1, "T1082").alias("technique_id"), F.concat(F.lit("claim "), F.col("k").cast("string")).alias("text"), "k",
+    )
+    cited = (
+        F.when(F.col("k") % 5 == 0, F.array(F.col("claim_id") + 1)).when(F.col("k") % 5 == 1, F.array(F.col("claim_id"), F.col("claim_id") + 7))
+        .otherwise(F.array("claim_id"))
+    )
+    ct = cl.select("claim_id", F.explode(cited).alias("event_id")).withColumn("artifact", F.concat(F.lit("event "), F.col("event_id").cast("string")))
+    return cl.drop("k"), ct
+
+
+PROPOSED = ("T1082", "T1105", "T9999", "T1110.001", "T1033")
+
+
+def proposals(ev: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = ev.filter("command_line IS NOT NULL").select("session_id", "event_id", "k", (F.col("k") % 2).cast("int").alias("chunk_no"))
+    pr = rows.select(
+        F.col("event_id").alias("proposal_id"), "session_id", "chunk_no", pick(PROPOSED, F.col("k") % 5).alias("technique_id"),
+        ((F.col("k") % 101) / 100).alias("confidence"), F.concat(F.lit("because "), (F.col("k") % 3).cast("string")).alias("explanation"),
+    )
+    cites = rows.select(F.col("event_id").alias("proposal_id"), F.when(F.col("k") % 7 != 0, F.col("event_id")).otherwise(F.col("event_id") + 1).alias("event_id"))
+    return pr, cites, rows.select("session_id", "chunk_no", "event_id")
+
+
+def verdict_bodies(ev: DataFrame) -> DataFrame:
+    """One model verdict as JSON text per (session, chunk), a few of them unusable."""
+    per = ev.groupBy("session_id", F.expr("k div 50").cast("int").alias("chunk_no")).agg(F.min("event_id").alias("e"), F.min("k").alias("k"))
+    k = F.col("k")
+    body = F.to_json(F.struct(
+        F.when(k % 9 == 0, "Something new").otherwise(pick(LABELS, k % 9)).alias("classification"), ((k % 120) / 100).alias("confidence"),
+        k.alias("risk_score"), risk_band(k).alias("risk"), F.concat(F.lit("summary "), (k % 4).cast("string")).alias("behavior_summary"),
+        F.when(k % 11 == 0, F.array().cast("array<struct<event_id:string,artifact:string>>")).otherwise(
+            F.array(F.struct(F.col("e").cast("string").alias("event_id"), F.lit("x").alias("artifact")))
+        ).alias("evidence"),
+    ))
+    return per.select("session_id", "chunk_no", body.alias("body"), "k")
