@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import ipaddress
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lureframe.functions.bind import bind
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = rf"\A{_OCTET}(?:\.{_OCTET}){{3}}\z"
 
@@ -48,11 +49,6 @@ def _within(value: Column, blocks: tuple[str, ...]) -> Column:
     return hit
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Bind a value once: the lambda's variable keeps `use` from repeating the whole expression."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def ipv6_hex(ip: str | Column) -> Column:
     """Any IPv6 spelling to its 32 hex digits; null for anything else. Comparable as text."""
     ip = F.col(ip) if isinstance(ip, str) else ip
@@ -64,10 +60,10 @@ def ipv6_hex(ip: str | Column) -> Column:
         # A dotted-quad tail is two more groups.
         two = lambda n: F.concat(F.substring(n, 1, 4), F.lit(":"), F.substring(n, 5, 4))
         tail = F.lpad(F.lower(F.hex(ipv4_long(F.substring_index(bare, ":", -1)))), 8, "0")
-        return F.when(F.contains(bare, F.lit(".")), F.concat(F.regexp_replace(bare, r"[^:]*\z", ""), _let(tail, two))).otherwise(bare)
+        return F.when(F.contains(bare, F.lit(".")), F.concat(F.regexp_replace(bare, r"[^:]*\z", ""), bind(tail, two))).otherwise(bare)
 
     def expand(plain):
-        return _let(F.split(plain, "::", -1), lambda halves: _let(
+        return bind(F.split(plain, "::", -1), lambda halves: bind(
             F.struct(
                 groups(F.element_at(halves, 1)).alias("l"),
                 F.when(F.size(halves) == 2, groups(F.element_at(halves, -1))).otherwise(F.array().cast("array<string>")).alias("r"),
@@ -81,10 +77,10 @@ def ipv6_hex(ip: str | Column) -> Column:
         complete = ((h["n"] == 1) & (have == 8)) | ((h["n"] == 2) & (have <= 7))
         zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - have, F.lit(0)))
         spelled = ~h["p"].rlike(r":::|\A:[^:]|[^:]:\z")
-        return _let(F.concat(h["l"], zeros, h["r"]), lambda full: F.when(complete & spelled & shaped(full), padded(full)))
+        return bind(F.concat(h["l"], zeros, h["r"]), lambda full: F.when(complete & spelled & shaped(full), padded(full)))
 
     bare = F.lower(F.regexp_replace(ip, "%.*", ""))
-    return F.when(F.contains(ip, F.lit(":")), _let(_let(bare, unfold_quad), expand))
+    return F.when(F.contains(ip, F.lit(":")), bind(bind(bare, unfold_quad), expand))
 
 
 def _within_hex(value: Column, blocks: tuple[str, ...]) -> Column:
@@ -101,10 +97,10 @@ def is_global(ip: str | Column) -> Column:
 
     def v6_global(h):
         mapped = F.conv(F.substring(h, 25, 8), 16, 10).cast("long")
-        return F.when(h.startswith("0" * 20 + "ffff"), _let(mapped, v4_global)).otherwise(
+        return F.when(h.startswith("0" * 20 + "ffff"), bind(mapped, v4_global)).otherwise(
             ~_within_hex(h, NOT_GLOBAL_V6) | _within_hex(h, GLOBAL_EXCEPTIONS_V6)
         )
 
-    return F.when(is_ipv4(ip), _let(ipv4_long(ip), v4_global)).when(
-        F.contains(ip, F.lit(":")), _let(ipv6_hex(ip), v6_global)
+    return F.when(is_ipv4(ip), bind(ipv4_long(ip), v4_global)).when(
+        F.contains(ip, F.lit(":")), bind(ipv6_hex(ip), v6_global)
     )

@@ -354,7 +354,7 @@ def probe_candidates(ev: DataFrame, probes: DataFrame, agent_passwords: list[str
     rows = rows.join(agent, "session_id", "left_anti").select("session_id", "source_ip", "command_line").distinct()
     parts = (
         rows.select("command_line").distinct()
-        .select("command_line", F.explode(text.command_segments("command_line")).alias("_s"))
+        .select("command_line", F.explode_outer(text.command_segments("command_line")).alias("_s"))
         .select("command_line", text.normalize_command("_s").alias("command"), F.trim("_s").alias("example"))
         .filter(F.col("command") != "").distinct()
     )

@@ -17,7 +17,7 @@ from lureframe.functions.ordered import exact_median, interval_join
 from lureframe.operators.campaigns import fingerprints
 from lureframe.operators.fleet import lit_ts
 from lureframe.operators.periods import PRE_PERSONA, STOCK, periods
-from lureframe.operators.rules import match_commands
+from lureframe.operators.rules import command_hits
 from lureframe.operators.sessions import COMMAND
 
 # --- fixed values -------------------------------------------------------------------------------
@@ -129,7 +129,7 @@ def technique_mix(assigned: DataFrame, ev: DataFrame, by: list[str]) -> DataFram
     mine = assigned.filter("fate = 'analysed'").select("session_id", *by)
     totals = mine.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     cmds = ev.filter((F.col("action") == COMMAND) & F.col("command_line").isNotNull()).select("session_id", "command_line").distinct()
-    hits = match_commands(cmds).select("command_line", F.explode("techniques").alias("technique_id"))
+    hits = command_hits(cmds)
     seen = cmds.join(hits, "command_line").select("session_id", "technique_id").distinct().join(mine, "session_id")
     return seen.groupBy(*by, "technique_id").agg(F.count(F.lit(1)).alias("_k")).join(totals, by).select(
         *by, "technique_id", (F.col("_k") / F.col("_n")).alias("share")
@@ -238,7 +238,9 @@ def permutation(block_values: DataFrame, keys: list[str], limit: int = EXHAUSTIV
             yield batch[[*keys, "total", "exhaustive", "smallest_p"]].assign(hits=hits)
 
     chunks = groups.mapInPandas(plan, plan_ddl)
-    spread = chunks.repartition(F.hash(*keys, "start"))
+    # An explicit count keeps AQE from folding these few, heavy rows into one task.
+    width = max(block_values.sparkSession.sparkContext.defaultParallelism * 2, 16)
+    spread = chunks.repartition(width, *keys, "start")
     scored = spread.mapInPandas(score, f"{head}, total bigint, exhaustive boolean, smallest_p double, hits bigint")
     p = F.when(F.col("exhaustive"), F.col("_h") / F.col("total")).otherwise((F.col("_h") + 1) / (F.col("total") + 1))
     return scored.groupBy(*keys, "total", "exhaustive", "smallest_p").agg(F.sum("hits").alias("_h")).select(

@@ -29,7 +29,7 @@ def text_indicators(rows: DataFrame, column: str) -> DataFrame:
         _found("ip", column, "(?U)" + text.IPV4_LITERAL),
         _found("hash", column, "(?U)" + text.SHA256_LITERAL),
     )
-    return rows.withColumn("_i", F.explode(found)).select("*", "_i.type", "_i.value").drop("_i")
+    return rows.withColumn("_i", F.explode_outer(found)).filter("_i IS NOT NULL").select("*", "_i.type", "_i.value").drop("_i")
 
 
 def extract(ev: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def extract(ev: DataFrame) -> DataFrame:
         whole, _found("url", "command", text.URL_LITERAL), _found("ip", "command", "(?U)" + text.IPV4_LITERAL),
         _found("hash", "command", "(?U)" + text.SHA256_LITERAL),
     )
-    from_commands = cmds.select("session_id", "event_id", F.explode(found).alias("_i"), F.col("command").alias("artifact"))
+    from_commands = cmds.select("session_id", "event_id", F.explode_outer(found).alias("_i"), F.col("command").alias("artifact"))
     full = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
     label = F.coalesce(F.when(full("file_name"), F.col("file_name")), F.when(full("file_url"), F.col("file_url")), F.lit("downloaded file"))
     item = lambda kind, c: F.when(full(c), F.struct(F.lit(kind).alias("type"), F.col(c).alias("value")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lureframe.functions.ordered import as_of, interval_join, modal, top_per_group
 from lureframe.operators import fleet
 from lureframe.operators.fleet import KEYWORD_MAX, lit_ts
-from lureframe.operators.rules import match_commands
+from lureframe.operators.rules import command_hits
 from lureframe.operators.sessions import COMMAND
 
 PRE_PERSONA = "pre-persona"
@@ -166,7 +166,7 @@ def sensor_techniques(ev: DataFrame, spans: DataFrame, rules: DataFrame, start:
         (F.col("action") == COMMAND) & F.col("command_line").isNotNull() & (F.length("command_line") <= KEYWORD_MAX)
         & F.col("ts").between(lit_ts(start), lit_ts(end))
     ).select("honeypot_id", "ts", "session_id", "command_line")
-    hits = match_commands(rows).select("command_line", F.explode("techniques").alias("technique_id"))
+    hits = command_hits(rows)
     key = ["honeypot_id", "technique_id"]
     totals = (
         rows.groupBy("honeypot_id", "command_line").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"))

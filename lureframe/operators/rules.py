@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lureframe.functions import text
+from lureframe.functions.bind import bind
 from lureframe.sources import reference
 
 # Case-insensitive, Unicode-aware, `$` before a final newline only.
@@ -25,12 +26,23 @@ def techniques_of(raw: Column, executed: Column, rules=None) -> Column:
 def match_commands(commands: DataFrame, command: str = "command_line") -> DataFrame:
     """Each distinct command with its `techniques` array.
 
-    The rulebook runs once per distinct text: the distinct is combined map-side and the segment
-    text is computed once per row, ahead of the rules that read it.
+    The rulebook runs once per distinct text: the distinct is combined map-side, and the executed
+    text is bound once for all the rules that read it.
     """
     distinct = commands.select(command).filter(F.col(command).isNotNull()).distinct()
-    executed = distinct.withColumn("_executed", text.executed_text(command))
-    return executed.select(command, techniques_of(F.col(command), F.col("_executed")).alias("techniques"))
+    hits = bind(text.executed_text(command), lambda executed: techniques_of(F.col(command), executed))
+    return distinct.select(command, hits.alias("techniques"))
+
+
+def command_hits(commands: DataFrame, command: str = "command_line") -> DataFrame:
+    """Each distinct command with one row per technique it hits."""
+    return _one_each(match_commands(commands, command))
+
+
+def _one_each(rows: DataFrame) -> DataFrame:
+    # explode_outer: a plain explode makes the optimizer test the array's size below, which would
+    # run the rules a second time.
+    return rows.withColumn("technique_id", F.explode_outer("techniques")).drop("techniques").filter(F.col("technique_id").isNotNull())
 
 
 def with_techniques(rows: DataFrame, command: str = "command_line") -> DataFrame:
@@ -45,11 +57,8 @@ def with_techniques(rows: DataFrame, command: str = "command_line") -> DataFrame
 
 def rule_hits(commands: DataFrame, command: str = "command_line") -> DataFrame:
     """One row per (command row, technique)."""
-    return (
-        with_techniques(commands.filter(F.col(command).isNotNull()), command)
-        .withColumn("technique_id", F.explode("techniques"))
-        .drop("techniques")
-    )
+    hits = command_hits(commands, command)
+    return commands.join(hits, command).select(*commands.columns, "technique_id")
 
 
 def unmatched(commands: DataFrame, command: str = "command_line") -> DataFrame:

@@ -515,9 +515,10 @@ def _blocks(spark, d):
     return _experiment(spark, d)[2]
 
 
-@query("block_metrics", sql("SELECT honeypot_id, block, view, metric, round(value, 6) AS value FROM met", ROT, STATS))
+@query("block_metrics", sql("SELECT honeypot_id, block, view, metric, round(value, 4) + 0.0 AS value FROM met", ROT, STATS))
 def _metrics(spark, d):
-    return X.block_metrics(_experiment(spark, d)[1])
+    # Four places: a median of two microsecond values ends on a tie at six.
+    return X.block_metrics(_experiment(spark, d)[1]).withColumn("value", F.round("value", 4) + F.lit(0.0))
 
 
 @query(
@@ -536,14 +537,15 @@ def _mixes(spark, d):
 
 @query(
     "arm_summary",
-    sql("""SELECT a.honeypot_id, a.view, a.metric, a.arm, round(mean, 6) AS mean, round(lo, 6) AS min, round(hi, 6) AS max, blocks, round(mean - s.m, 6) AS vs_stock FROM (
+    sql("""SELECT a.honeypot_id, a.view, a.metric, a.arm, round(mean, 4) + 0.0 AS mean, round(lo, 4) + 0.0 AS min, round(hi, 4) + 0.0 AS max, blocks, round(mean - s.m, 4) + 0.0 AS vs_stock FROM (
         SELECT honeypot_id, view, metric, arm, avg(value) AS mean, min(value) AS lo, max(value) AS hi, count(*) AS blocks FROM met JOIN (SELECT honeypot_id, block, arm FROM jud WHERE excluded IS NULL) USING (honeypot_id, block) GROUP BY ALL) a
       LEFT JOIN (SELECT honeypot_id, view, metric, avg(value) AS m FROM met JOIN (SELECT honeypot_id, block, arm FROM jud WHERE excluded IS NULL AND arm = 'stock') USING (honeypot_id, block) GROUP BY ALL) s
         ON s.honeypot_id = a.honeypot_id AND s.view = a.view AND s.metric = a.metric""", ROT, STATS),
 )
 def _arms(spark, d):
     _, assigned, judged = _experiment(spark, d)
-    return X.arm_summary(X.block_metrics(assigned), judged)
+    out = X.arm_summary(X.block_metrics(assigned), judged)
+    return out.select("honeypot_id", "view", "metric", "arm", "blocks", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("mean", "min", "max", "vs_stock")])
 
 
 @query("permutation")
