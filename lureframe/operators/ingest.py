@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lureframe.functions import net
+from lureframe.functions.bind import bind
 from lureframe.functions.ordered import number_runs
 from lureframe.schema import conform
 
@@ -24,10 +25,11 @@ NOISE = (
     "name", "value", "size",
 )
 NESTED = {
-    "$.http": ("request", "response"), "$.http.request": ("method",), "$.http.response": ("status_code",),
-    "$.network": ("protocol",), "$.user_agent": ("original",), "$.honeypot": ("id", "name"), "$.labels": ("seeded",),
-    "$.source": ("country",),
+    "http": ("request", "response"), "http.request": ("method",), "http.response": ("status_code",),
+    "network": ("protocol",), "user_agent": ("original",), "honeypot": ("id", "name"), "labels": ("seeded",),
+    "source": ("country",),
 }
+REASON_ACTIONS = ("cowrie.session.file_download.failed", "cowrie.telnet.error")
 RAW_DDL = (
     "eventid string, timestamp string, session string, src_ip string, src_port int, dst_ip string, dst_port int,"
     " protocol string, input string, username string, password string, url string, outfile string, destfile string,"
@@ -70,26 +72,29 @@ def split_target(target: Column) -> tuple[Column, Column]:
     return F.when(path == "", "/").otherwise(path), F.when(query != "", query)
 
 
-def _unknown_keys(body: Column, kind: Column) -> Column:
-    allowed = F.array(*[F.lit(k) for k in (*RENAMES, *STRUCTURED, *NOISE)])
-    top = F.array_except(F.coalesce(F.json_object_keys(body), F.array().cast("array<string>")), allowed)
-    # Noise on one event type only; on any other type the same field is a refusal.
-    telnet = F.when(kind == "cowrie.telnet.option", F.array(F.lit("command"), F.lit("option_byte"), F.lit("option_name")))
-    late = F.when(kind.startswith("cowrie.session.file_download"), F.array(F.lit("late")))
-    error_text = F.get_json_object(body, "$.error")
-    # A JSON object or array renders with its bracket; a plain string never parses as one.
-    plain = kind.isin("cowrie.session.file_download.failed", "cowrie.telnet.error") & F.schema_of_variant(
-        F.try_variant_get(F.try_parse_json(body), "$.error", "variant")
-    ).eqNullSafe("STRING")
-    reason = F.when(plain & error_text.isNotNull(), F.array(F.lit("error")))
-    none = F.array().cast("array<string>")
-    top = F.array_except(top, F.concat(F.coalesce(telnet, none), F.coalesce(late, none), F.coalesce(reason, none)))
-    nested = []
-    for path, keys in NESTED.items():
-        found = F.coalesce(F.json_object_keys(F.get_json_object(body, path)), none)
-        extra = F.array_except(found, F.array(*[F.lit(k) for k in keys]))
-        prefix = path[2:] + "."
-        nested.append(F.transform(extra, lambda k, p=prefix: F.concat(F.lit(p), k)))
+_NONE = "array<string>"
+
+
+def _beyond(found: Column, allowed: tuple[str, ...], prefix: str = "") -> Column:
+    extra = F.array_except(F.coalesce(found, F.array().cast(_NONE)), F.array(*[F.lit(k) for k in allowed]))
+    return F.transform(extra, lambda k: F.concat(F.lit(prefix), k)) if prefix else extra
+
+
+def _unknown_keys(fields: Column, body: Column) -> Column:
+    """Fields the schema does not know, nested ones by path. `fields` is the line as a map of texts."""
+    get = lambda *path: F.try_element_at(fields, F.lit(path[0])) if len(path) == 1 else F.get_json_object(get(path[0]), f"$.{path[1]}")
+    kind = get("eventid")
+    only_on = lambda cond, *names: F.coalesce(F.when(cond, F.array(*[F.lit(n) for n in names])), F.array().cast(_NONE))
+    # Noise on one event type only; on any other type the same field is a refusal. An error is a
+    # reason when it is a plain string, never when it is an object.
+    text_error = F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), "$.error", "variant")).eqNullSafe("STRING")
+    conditional = F.concat(
+        only_on(kind == "cowrie.telnet.option", "command", "option_byte", "option_name"),
+        only_on(kind.startswith("cowrie.session.file_download"), "late"),
+        F.when(kind.isin(*REASON_ACTIONS), only_on(text_error, "error")).otherwise(F.array().cast(_NONE)),
+    )
+    top = F.array_except(_beyond(F.map_keys(fields), (*RENAMES, *STRUCTURED, *NOISE)), conditional)
+    nested = [_beyond(F.json_object_keys(get(*p.split("."))), keys, p + ".") for p, keys in NESTED.items()]
     return F.concat(top, *nested)
 
 
@@ -104,35 +109,37 @@ def normalize(raw: DataFrame, cidr: DataFrame | None = None) -> tuple[DataFrame,
     for c in ("honeypot_id", "honeypot_name"):
         if c not in raw.columns:
             stamped = stamped.withColumn(c, F.lit(None).cast("string"))
-    body = F.coalesce(F.get_json_object("raw", "$.cowrie"), F.col("raw"))
-    kind = F.get_json_object(body, "$.eventid")
-    parsed = (
-        stamped.withColumn("_body", body)
-        .withColumn("_bad", F.json_object_keys("_body").isNull())
-        .withColumn("_unknown", F.when(~F.col("_bad"), _unknown_keys(F.col("_body"), kind)))
-        .withColumn("_j", F.from_json("_body", RAW_DDL))
-        .withColumn("_error", F.get_json_object("_body", "$.error"))
-    )
-    bad_ip = lambda c: F.col(f"_j.{c}").isNotNull() & ~(net.is_ipv4(F.col(f"_j.{c}")) | F.contains(F.col(f"_j.{c}"), F.lit(":")))
-    reason = (
-        F.when(F.col("_bad"), "malformed_json").when(F.size("_unknown") > 0, "unknown_field")
-        .when(bad_ip("src_ip") | bad_ip("dst_ip"), "invalid_address")
-    )
-    judged = parsed.withColumn("reason", reason)
-    rejected = judged.filter(F.col("reason").isNotNull()).select(
-        "raw", F.coalesce("_unknown", F.array().cast("array<string>")).alias("unknown_keys"), "reason", "honeypot_id"
+
+    def judge(body: Column) -> Column:
+        return bind(F.from_json(body, "map<string,string>"), lambda m: bind(_unknown_keys(m, body), lambda unknown: verdict(m, unknown)))
+
+    def verdict(m: Column, unknown: Column) -> Column:
+        bad = lambda c: F.try_element_at(m, F.lit(c)).isNotNull() & ~_address(F.try_element_at(m, F.lit(c)))
+        reason = (
+            F.when(m.isNull(), "malformed_json").when(F.size(unknown) > 0, "unknown_field")
+            .when(bad("src_ip") | bad("dst_ip"), "invalid_address")
+        )
+        return F.struct(reason.alias("reason"), F.coalesce(unknown, F.array().cast(_NONE)).alias("unknown"), F.try_element_at(m, F.lit("error")).alias("error"))
+
+    # The shipper may nest a sensor's line under its own name.
+    nested = F.contains("raw", F.lit('"cowrie"'))
+    body = F.when(nested, F.coalesce(F.get_json_object("raw", "$.cowrie"), F.col("raw"))).otherwise(F.col("raw"))
+    judged = stamped.withColumn("_body", body).withColumn("_v", bind(F.col("_body"), judge))
+    rejected = judged.filter(F.col("_v.reason").isNotNull()).select(
+        "raw", F.col("_v.unknown").alias("unknown_keys"), F.col("_v.reason").alias("reason"), "honeypot_id"
     )
+    good = judged.filter(F.col("_v.reason").isNull()).withColumn("_j", F.from_json("_body", RAW_DDL))
     j = lambda c: F.col(f"_j.{c}")
     action = j("eventid")
-    events = judged.filter(F.col("reason").isNull()).select(
+    events = good.select(
         F.sha2(F.concat_ws("\n", F.coalesce("honeypot_id", F.lit("")), "raw"), 256).alias("event_id"),
         F.try_to_timestamp(j("timestamp")).alias("ts"),
         F.coalesce("honeypot_id", j("honeypot.id")).alias("honeypot_id"),
         F.coalesce("honeypot_name", j("honeypot.name")).alias("honeypot_name"),
         F.coalesce(j("network.protocol"), j("protocol"), F.lit("ssh")).alias("protocol"),
-        *[j(r).alias(c) for r, c in RENAMES.items() if c not in ("protocol",)],
+        *[j(r).alias(c) for r, c in RENAMES.items() if c != "protocol"],
         event_category(action).alias("category"), event_outcome(action).alias("outcome"),
-        F.when(action.isin("cowrie.session.file_download.failed", "cowrie.telnet.error"), F.col("_error")).alias("reason"),
+        F.when(action.isin(*REASON_ACTIONS), F.col("_v.error")).alias("reason"),
         j("output").alias("output"), j("http.request.method").alias("http_method"),
         j("http.response.status_code").alias("http_status"), j("user_agent.original").alias("user_agent"),
         j("source.country").alias("source_country"), F.coalesce(j("labels.seeded"), F.lit(False)).alias("labels_seeded"),
@@ -142,6 +149,10 @@ def normalize(raw: DataFrame, cidr: DataFrame | None = None) -> tuple[DataFrame,
     return conform(events), rejected
 
 
+def _address(x: Column) -> Column:
+    return net.is_ipv4(x) | (F.contains(x, F.lit(":")) & net.ipv6_hex(x).isNotNull())
+
+
 def cidr_ranges(cidr: DataFrame) -> DataFrame:
     """(cidr, country) to inclusive number ranges, spread over the /16 blocks they cover."""
     base = net.ipv4_long(F.substring_index("cidr", "/", 1))

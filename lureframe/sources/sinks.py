@@ -11,18 +11,20 @@ from pyspark.sql import functions as F
 from lureframe.functions import text
 from lureframe.schema import conform
 
-CSV_COLUMNS = (
-    "ts", "source_ip", "source_port", "destination_ip", "destination_port", "honeypot_id", "protocol", "category", "action",
-    "username", "command_line", "session_id", "risk_level", "mitre_technique_id", "event_id",
-)
+# --- fixed values: exported header and the event column behind each ---
+CSV_COLUMNS = {
+    "timestamp": "ts", "honeypot_id": "honeypot_id", "session_id": "session_id", "source_ip": "source_ip", "event_action": "action",
+    "event_category": "category", "protocol": "protocol", "username": "username", "command": "command_line",
+    "risk_level": "risk_level", "risk_score": "risk_score", "technique_id": "mitre_technique_id",
+}
+# --- end of fixed values ---
 
 
 def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
-    """K1: Parquet by day and sensor. Rows are shuffled by (day, sensor, hour), so a busy sensor's
-    day is written by many tasks, and file size is bounded by rows rather than by key."""
-    rows = conform(events).withColumn("event_date", F.to_date("ts"))
-    spread = rows.repartition("event_date", "honeypot_id", F.hour("ts"), F.minute("ts"))
-    spread.write.mode(mode).option("maxRecordsPerFile", 5_000_000).partitionBy("event_date", "honeypot_id").parquet(path)
+    """K1: Parquet by day and sensor. The rebalance splits a busy sensor's day over many tasks and
+    merges the small ones, so no key decides the size of a task or a file."""
+    rows = conform(events).withColumn("event_date", F.to_date("ts")).hint("rebalance", "event_date", "honeypot_id")
+    rows.write.mode(mode).option("maxRecordsPerFile", 5_000_000).partitionBy("event_date", "honeypot_id").parquet(path)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -39,41 +41,34 @@ def dead_letter_counts(rejected: DataFrame) -> DataFrame:
     return rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def csv_rows(events: DataFrame, columns=CSV_COLUMNS) -> DataFrame:
-    """K3: the exported columns; text columns are guarded against formulas, numbers are not."""
+def csv_lines(events: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:
+    """K3: RFC 4180 lines. Text is guarded against formulas, numbers are not; a field with a quote,
+    comma or line break is quoted."""
     kinds = dict(events.dtypes)
 
-    def shown(c: str):
-        if kinds[c] == "string":
-            return text.csv_safe(c).alias(c)
+    def field(c: str):
         if kinds[c] == "timestamp":
-            return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias(c)
-        return F.col(c)
+            x = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+        else:
+            x = text.csv_safe(c) if kinds[c] == "string" else F.col(c).cast("string")
+        x = F.coalesce(x, F.lit(""))
+        return F.when(x.rlike(r'[",\r\n]'), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x)
 
-    return events.select(*[shown(c) for c in columns if c in kinds])
+    return events.select(F.concat_ws(",", *[field(c) for c in (columns or CSV_COLUMNS).values()]).alias("line"))
 
 
-def csv_lines(events: DataFrame, columns=CSV_COLUMNS) -> DataFrame:
-    """K3: RFC 4180 lines: a field with a quote, comma or line break is quoted, quotes doubled."""
-    rows = csv_rows(events, columns)
-    field = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    quoted = lambda x: F.when(x.rlike(r'[",\r\n]'), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x)
-    return rows.select(F.concat_ws(",", *[quoted(field(c)) for c in rows.columns]).alias("line"))
-
-
-def export_csv(events: DataFrame, path: str, columns=CSV_COLUMNS) -> None:
-    """K3: one CSV file per partition, CRLF line ends, a header in each."""
-    header = ",".join(c for c in columns if c in events.columns)
-    lines = csv_lines(events, columns)
+def export_csv(events: DataFrame, path: str, columns: dict[str, str] | None = None) -> None:
+    """K3: CSV part files with CRLF line ends and a header in each."""
+    header = ",".join(columns or CSV_COLUMNS)
 
     def with_header(batches):
         first = True
         for batch in batches:
-            rows = batch["line"].tolist()
-            yield pd.DataFrame({"value": ([header] if first else []) + rows})
+            yield pd.DataFrame({"value": ([header] if first else []) + batch["line"].tolist()})
             first = False
 
-    lines.mapInPandas(with_header, "value string").write.mode("overwrite").option("lineSep", "\r\n").text(path)
+    lines = csv_lines(events, columns).mapInPandas(with_header, "value string")
+    lines.write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
 def write_reports(reports: DataFrame, path: str, created: datetime) -> None:
