@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -154,6 +155,5 @@ def against_previous(windows: DataFrame) -> DataFrame:
 
 def late_rows(query: StreamingQuery) -> int:
     """Rows that arrived past the watermark; they are counted here and stay in the batch log."""
-    return sum(
-        int(op.get("numRowsDroppedByWatermark", 0)) for progress in query.recentProgress for op in (progress.get("stateOperators") or [])
-    )
+    batches = [json.loads(p.json) for p in query.recentProgress]
+    return sum(int(op["numRowsDroppedByWatermark"]) for b in batches for op in b["stateOperators"])
