@@ -11,6 +11,7 @@ from lureframe.functions import net, text
 from lureframe.functions.ordered import number_rows, top_per_group
 from lureframe.operators import search
 from lureframe.operators.sessions import BLOCK_ROWS, COMMAND, DOWNLOAD, latest_analyses, sessions
+from lureframe.session import write_once
 
 LIST_CAP = 20
 PATTERN_CAP = 12
@@ -79,10 +80,11 @@ def _newest_first(members: DataFrame, column: str, cap: int | None, out: str) ->
 def campaigns(ev: DataFrame, min_sessions: int = 2, deny=None, prints: DataFrame | None = None) -> DataFrame:
     """Sessions that ran the same script. Counts are exact; lists hold the newest twenty.
 
+    One row per session is written once and read by each aggregate below.
     Every list is cut by a window group limit before the shuffle, so a script that a third of all
     sessions ran costs no task more than a rare one.
     """
-    members = fingerprints(command_events(search.scoped(ev, deny))) if prints is None else prints
+    members = write_once(fingerprints(command_events(search.scoped(ev, deny)))) if prints is None else prints
     stats = (
         members.groupBy("fingerprint")
         .agg(
@@ -217,8 +219,8 @@ def similarity_top(scores: DataFrame, shown: int = SIMILAR_SHOWN) -> DataFrame:
 
 def profiles(ev: DataFrame, an: DataFrame, tm: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """One row per attacker address. Lists that could grow without bound are counts here, and
-    rows in `profile_commands`, `profile_downloads` and the indicator links."""
-    ss = sessions(ev)
+    rows in `profile_pattern`, `profile_downloads` and the indicator links."""
+    ss = write_once(sessions(ev))  # read by five aggregates
     base = ss.groupBy(F.col("attacker_ip").alias("ip")).agg(
         F.count(F.lit(1)).alias("sessions"),
         F.min("started_at").alias("first_seen"),

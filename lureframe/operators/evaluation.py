@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lureframe.functions import text
+from lureframe.functions.bind import bind
 from lureframe.functions.ordered import number_rows, top_per_group
 from lureframe.operators.rules import rule_hits
+from lureframe.session import write_once
 from lureframe.sources.reference import CHARACTERISTICS, PROBES
 
 # --- fixed values -------------------------------------------------------------------------------
@@ -83,24 +85,27 @@ def scores(pr: DataFrame, st: DataFrame | None = None) -> DataFrame:
 
 def fact_claims(pr: DataFrame, probes=PROBES) -> DataFrame:
     """V3: what an observation claims about its fact. One literal pattern per probe family."""
-    value = F.col("value")
-    extracted = None
+    value, probe_id = F.col("value"), F.col("probe_id")
+    ids_where = lambda i, x: [p[0] for p in probes if p[i] == x]
+    claim = None
     for pattern in dict.fromkeys(p[4] for p in probes if p[4]):
-        members = [p[0] for p in probes if p[4] == pattern]
         flagged = "(?iuUd)" + pattern
-        read = F.when(value.rlike(flagged), F.lower(text.squeeze(F.regexp_extract(value, flagged, 1))))
-        cond = F.col("probe_id").isin(*members)
-        extracted = F.when(cond, read) if extracted is None else extracted.when(cond, read)
-    claim = extracted.otherwise(value) if extracted is not None else value
-    rows = pr.withColumn("claim", claim)
-    alias = None
-    for p in probes:
-        if p[5]:
-            table = F.create_map(*[F.lit(v) for kv in p[5].items() for v in kv])
-            mapped = F.coalesce(F.try_element_at(table, F.col("claim")), F.col("claim"))
-            cond = F.col("probe_id") == p[0]
-            alias = F.when(cond, mapped) if alias is None else alias.when(cond, mapped)
-    return rows.withColumn("claim", alias.otherwise(F.col("claim"))) if alias is not None else rows
+        # An array of the first match, empty when there is none: an unread claim is null.
+        read = F.lower(text.squeeze(F.try_element_at(F.regexp_extract_all(value, F.lit(flagged), F.lit(1)), F.lit(1))))
+        cond = probe_id.isin(*ids_where(4, pattern))
+        claim = F.when(cond, read) if claim is None else claim.when(cond, read)
+    claim = value if claim is None else claim.otherwise(value)
+    tables = [p[5] for n, p in enumerate(probes) if p[5] and p[5] not in [x[5] for x in probes[:n]]]
+
+    def aliased(c: Column) -> Column:
+        out = None
+        for table in tables:
+            mapped = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in table.items() for v in kv]), c), c)
+            cond = probe_id.isin(*ids_where(5, table))
+            out = F.when(cond, mapped) if out is None else out.when(cond, mapped)
+        return c if out is None else out.otherwise(c)
+
+    return pr.withColumn("claim", bind(claim, aliased))
 
 
 def contradictions(claims: DataFrame) -> DataFrame:
@@ -278,8 +283,8 @@ def lifecycle(runs: DataFrame, findings: DataFrame, facts: DataFrame, pairs: Dat
     block of runs): a block holds as many runs as the look-back is long, so no candidate ever meets
     a decoy's whole history.
     """
-    pairs = consecutive(runs) if pairs is None else pairs
-    states = run_states(findings, facts)
+    pairs = write_once(consecutive(runs) if pairs is None else pairs)
+    states = write_once(run_states(findings, facts))  # read as head, as base and as history
     head = states.withColumnRenamed("run_id", "head_run_id").join(pairs.select("head_run_id"), "head_run_id", "left_semi").withColumnRenamed("state", "_after")
     base = pairs.select("base_run_id", "head_run_id").join(states.withColumnRenamed("run_id", "base_run_id"), "base_run_id").select("head_run_id", "key", F.col("state").alias("_before"))
     both = head.join(base, ["head_run_id", "key"], "full").join(pairs, "head_run_id")

@@ -94,8 +94,9 @@ def _unknown_keys(fields: Column, body: Column) -> Column:
         F.when(kind.isin(*REASON_ACTIONS), only_on(text_error, "error")).otherwise(F.array().cast(_NONE)),
     )
     top = F.array_except(_beyond(F.map_keys(fields), (*RENAMES, *STRUCTURED, *NOISE)), conditional)
-    nested = [_beyond(F.json_object_keys(get(*p.split("."))), keys, p + ".") for p, keys in NESTED.items()]
-    return F.concat(top, *nested)
+    empty = F.array().cast(_NONE)
+    inside = lambda p, keys: F.when(get(p.split(".")[0]).isNotNull(), _beyond(F.json_object_keys(get(*p.split("."))), keys, p + ".")).otherwise(empty)
+    return F.concat(top, *[inside(p, keys) for p, keys in NESTED.items()])
 
 
 def normalize(raw: DataFrame, cidr: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -124,7 +125,8 @@ def normalize(raw: DataFrame, cidr: DataFrame | None = None) -> tuple[DataFrame,
     # The shipper may nest a sensor's line under its own name.
     nested = F.contains("raw", F.lit('"cowrie"'))
     body = F.when(nested, F.coalesce(F.get_json_object("raw", "$.cowrie"), F.col("raw"))).otherwise(F.col("raw"))
-    judged = stamped.withColumn("_body", body).withColumn("_v", bind(F.col("_body"), judge))
+    # A generated column: a filter on it stays above, so each line is judged once.
+    judged = stamped.withColumn("_body", body).withColumn("_v", F.explode_outer(F.array(judge(F.col("_body")))))
     rejected = judged.filter(F.col("_v.reason").isNotNull()).select(
         "raw", F.col("_v.unknown").alias("unknown_keys"), F.col("_v.reason").alias("reason"), "honeypot_id"
     )

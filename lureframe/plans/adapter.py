@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lureframe.functions.ordered import HOUR_US, number_runs
+from lureframe.session import write_once
 
 SESSION_GAP_US = 6 * HOUR_US
 COMMANDS = (
@@ -67,8 +68,23 @@ def risk_band(score: Column) -> Column:
     )
 
 
-def events(spark: SparkSession, sf_dir: str, commands=COMMANDS) -> DataFrame:
-    """The event log (schema.EVENT_COLUMNS plus user_id, session_no and k)."""
+_stored: dict[tuple[str, str], DataFrame] = {}
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored event log of a table folder, derived on first use in a session.
+
+    A sensor log is a table that queries read, not a view they recompute. It is written in time
+    order, so a time filter skips row groups, and range partitions split any hot key.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        _stored[key] = write_once(derive_events(spark, sf_dir).repartitionByRange("ts", "event_id"))
+    return _stored[key]
+
+
+def derive_events(spark: SparkSession, sf_dir: str, commands=COMMANDS) -> DataFrame:
+    """The event log (a subset of schema.EVENT_COLUMNS plus user_id, session_no and k)."""
     raw = table(spark, sf_dir, "events").select(
         "event_id",
         F.col("ts").cast("timestamp").alias("ts"),

@@ -16,7 +16,7 @@ from lureframe.plans import adapter as A
 from lureframe.plans import oracle as O
 from lureframe.plans.oracle import array, q, sql, ts
 from lureframe.plans.registry import query
-from lureframe.session import cut_lineage
+from lureframe.session import write_once
 from lureframe.sources import reference
 from lureframe.sources.reference import CHARACTERISTICS, PROBES
 
@@ -498,8 +498,8 @@ def _experiment(spark, d):
         "honeypot_id", F.lit(X_START.isoformat(sep=" ")).cast("timestamp").alias("start"), F.lit(X_END.isoformat(sep=" ")).cast("timestamp").alias("end")
     )
     blocks = X.blocks_as_run(A.rotation(spark), spans)
-    # Session facts are read by every metric below: written once, in the cluster's checkpoint folder.
-    assigned = cut_lineage(X.assign_to_blocks(X.session_stats(ev, X_START, X_END), blocks))
+    # Session facts are read by every metric below.
+    assigned = write_once(X.assign_to_blocks(X.session_stats(ev, X_START, X_END), blocks))
     judged = X.block_exclusion(X.hour_coverage(ev, X.tallies(assigned, blocks)), list(A.ARMS))
     return ev, assigned, judged
 
