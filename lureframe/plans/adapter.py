@@ -7,6 +7,8 @@ Everything grows with its source table.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,19 +70,29 @@ def risk_band(score: Column) -> Column:
     )
 
 
-_stored: dict[tuple[str, str], DataFrame] = {}
+_stored: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored event log of a table folder, derived on first use in a session.
+def stored(*order: str):
+    """A derived relation as the table it stands for: written on first use in a session, in range
+    partitions of `order`, so that filters skip row groups and no key decides a file's size."""
+
+    def wrap(derive):
+        @functools.wraps(derive)
+        def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+            key = (spark.sparkContext.applicationId, sf_dir, derive.__name__)
+            if key not in _stored:
+                _stored[key] = write_once(derive(spark, sf_dir).repartitionByRange(*order))
+            return _stored[key]
+
+        return read
 
-    A sensor log is a table that queries read, not a view they recompute. It is written in time
-    order, so a time filter skips row groups, and range partitions split any hot key.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _stored:
-        _stored[key] = write_once(derive_events(spark, sf_dir).repartitionByRange("ts", "event_id"))
-    return _stored[key]
+    return wrap
+
+
+@stored("ts", "event_id")
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive_events(spark, sf_dir)
 
 
 def derive_events(spark: SparkSession, sf_dir: str, commands=COMMANDS) -> DataFrame:
@@ -239,6 +251,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@stored("run_id", "position")
 def probe_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lureframe.sources.reference import PROBES
 
@@ -264,6 +277,7 @@ def probe_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@stored("run_id", "step_id")
 def chain_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("run_id"), ((F.col("l_suppkey") + F.col("l_linenumber")) % 7).cast("int").alias("c"), "l_linestatus", "l_partkey",
@@ -280,6 +294,7 @@ def chain_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@stored("run_id", "characteristic")
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), (F.col("l_suppkey") % 6).cast("int").alias("c"), "l_partkey")
     rows = li.groupBy("run_id", "c").agg(F.min("l_partkey").alias("pk"))

@@ -500,7 +500,7 @@ def _experiment(spark, d):
     blocks = X.blocks_as_run(A.rotation(spark), spans)
     # Session facts are read by every metric below.
     assigned = write_once(X.assign_to_blocks(X.session_stats(ev, X_START, X_END), blocks))
-    judged = X.block_exclusion(X.hour_coverage(ev, X.tallies(assigned, blocks)), list(A.ARMS))
+    judged = write_once(X.block_exclusion(X.hour_coverage(ev, X.tallies(assigned, blocks)), list(A.ARMS)))
     return ev, assigned, judged
 
 
