@@ -120,14 +120,14 @@ def coverage_flag(commands: DataFrame, max_sessions: int | None = None, max_even
             "sessions_considered", F.lit(True).alias("complete"), F.lit(None).cast("string").alias("incomplete_reason")
         )
     cap = max_sessions if max_sessions is not None else 2000
-    total = per_session.agg(F.count(F.lit(1)).alias("total"))
+    total = per_session.agg(F.count(F.lit(1))).scalar()
     newest = per_session.orderBy(F.desc("first_ts"), F.desc("session_id")).limit(cap)  # at most the cap
     w = Window.partitionBy(F.lit(1)).orderBy(F.desc("first_ts"), F.desc("session_id")).rowsBetween(Window.unboundedPreceding, 0)
     limit = max_events if max_events is not None else 2**62
     judged = newest.withColumn("_used", F.sum("n").over(w)).withColumn("_over", (F.col("_used") > limit).cast("int"))
     counted = judged.agg(F.count_if(F.col("_over") == 0).alias("sessions_considered"), F.coalesce(F.max("_over"), F.lit(0)).alias("_cut"))
     reason = F.when(F.col("_cut") == 1, "command_event_limit").when(F.col("total") > cap, "session_limit")
-    return counted.join(F.broadcast(total)).select(
+    return counted.withColumn("total", total).select(
         "sessions_considered", reason.isNull().alias("complete"), reason.alias("incomplete_reason")
     )
 

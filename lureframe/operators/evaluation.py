@@ -409,11 +409,11 @@ def retention_plan(ev: DataFrame, session_refs: list[DataFrame], event_refs: lis
         states = states.join(both.groupBy("partition").agg(F.count(F.lit(1)).alias("referenced")), "partition", "left")
     else:
         states = states.withColumn("referenced", F.lit(0))
-    # One row per day from here on: the newest day is the write target.
-    write = states.agg(F.max("partition").alias("_w"))
+    # The newest day is the write target.
+    write = rows.agg(F.max("partition")).scalar()
     limit = F.lit(cutoff.isoformat(sep=" ")).cast("timestamp")
     n = F.coalesce("referenced", F.lit(0))
-    return states.join(F.broadcast(write)).select(
+    return states.withColumn("_w", write).select(
         "partition", "newest", n.alias("referenced"),
         F.when(F.col("partition") == F.col("_w"), "write_target").when(F.col("newest") >= limit, "newer_than_cutoff")
         .when(n > 0, "referenced").alias("keep_reason"),

@@ -18,7 +18,7 @@ WINDOWS = {
 }
 BUCKETS = {"15m": "1 minute", "1h": "5 minutes", "24h": "1 hour", "7d": "12 hours", "30d": "1 day"}
 HIGH = ("critical", "high")
-TOP = 10
+TOP, MAX_TOP = 10, 1000
 KEYWORD_MAX = 1024
 PROTOCOL_NAMES = {"ssh": "SSH", "telnet": "Telnet", "http": "HTTP"}
 # --- end of fixed values ------------------------------------------------------------------------
@@ -151,8 +151,15 @@ def assessed_risk(ev: DataFrame, an: DataFrame, ips: DataFrame | None = None) ->
     )
 
 
+def _check(k: int) -> None:
+    """A top-k is broadcast below, so k has a bound."""
+    if not 1 <= k <= MAX_TOP:
+        raise ValueError(f"k must be 1..{MAX_TOP}")
+
+
 def top_attackers(ev: DataFrame, an: DataFrame | None, as_of: datetime, range_: str = "24h", k: int = TOP) -> DataFrame:
     """The busiest addresses. Top-k first; only those rows get distinct counts and modes."""
+    _check(k)
     window = ev.filter(in_window(as_of, range_) & F.col("source_ip").isNotNull())
     top = F.broadcast(  # k rows
         window.groupBy("source_ip").agg(F.count(F.lit(1)).alias("events"), F.max("ts").alias("last_seen"))
@@ -171,6 +178,7 @@ def top_attackers(ev: DataFrame, an: DataFrame | None, as_of: datetime, range_:
 
 def top_commands(ev: DataFrame, as_of: datetime, range_: str = "24h", k: int = TOP) -> DataFrame:
     """The most frequent command lines over all events carrying one, with the modal technique."""
+    _check(k)
     window = ev.filter(
         in_window(as_of, range_) & F.col("command_line").isNotNull() & (F.length("command_line") <= KEYWORD_MAX)
     )
@@ -224,6 +232,5 @@ def indicator_counts(ind: DataFrame) -> DataFrame:
 
 def ingest_status(ev: DataFrame, rejected: DataFrame) -> DataFrame:
     """Rejected and seeded counts."""
-    return ev.agg(F.count_if("labels_seeded").alias("seeded"), F.count(F.lit(1)).alias("events")).join(
-        F.broadcast(rejected.agg(F.count(F.lit(1)).alias("rejected")))
-    )
+    counted = ev.agg(F.count_if("labels_seeded").alias("seeded"), F.count(F.lit(1)).alias("events"))
+    return counted.withColumn("rejected", rejected.agg(F.count(F.lit(1))).scalar())

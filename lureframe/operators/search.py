@@ -70,8 +70,7 @@ def search(ev: DataFrame, filters=None, start=None, end=None, q=None, page: int
     found = ev.filter(matches(filters, start, end, q))
     total = found.agg(F.count(F.lit(1)).alias("total"))
     rows = found.orderBy("ts", "event_id").offset((page - 1) * size).limit(size)
-    # One aggregate row beside at most 500 page rows.
-    return rows.join(F.broadcast(total))
+    return rows.withColumn("total", total.scalar())
 
 
 def count_matches(ev: DataFrame, **kw) -> DataFrame:
@@ -147,6 +146,8 @@ def session_page(
 
 def list_indicators(ind: DataFrame, type_=None, q=None, limit: int = 100, offset: int = 0) -> DataFrame:
     """one page of indicators; `q` is matched as literal text, ignoring case."""
+    if not 1 <= limit <= MAX_PAGE_SIZE:
+        raise ValueError(f"limit must be 1..{MAX_PAGE_SIZE}")
     if type_:
         ind = ind.filter(F.col("type") == type_)
     if q:

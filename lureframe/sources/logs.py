@@ -48,8 +48,8 @@ def stream_sensor_logs(spark: SparkSession, path: str, sensors: list[tuple[str,
 def seed_corpus(spark: SparkSession, path: str, as_of: datetime) -> DataFrame:
     """Fixture sessions as timed raw lines; the corpus ends five minutes before `as_of`."""
     rows = spark.read.schema(SEED_DDL).option("multiLine", "true").json(path)
-    span = rows.agg(F.max(F.array_max(F.transform("events", lambda e: e["offset"]))).alias("_last"))
-    events = rows.select("session", "src_ip", "src_port", F.posexplode("events").alias("_i", "e")).join(F.broadcast(span))  # one row
+    span = rows.agg(F.max(F.array_max(F.transform("events", lambda e: e["offset"])))).scalar()
+    events = rows.select("session", "src_ip", "src_port", F.posexplode("events").alias("_i", "e")).withColumn("_last", span)
     at = F.timestamp_micros(F.unix_micros(lit_ts(as_of)) - 300_000_000 - ((F.col("_last") - F.col("e.offset")) * 1_000_000).cast("long"))
     stamp = F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
     raw = F.to_json(F.struct(
