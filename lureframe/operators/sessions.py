@@ -262,26 +262,26 @@ def pack_chunks(
         F.first("_frame").alias("_frame"),
         F.array_sort(F.collect_list(F.struct("pos", "event_id", F.col("_cost").cast("long").alias("cost")))).alias("_items"),
     )
-    zero = F.struct(
-        F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("chunks")
-    )
+    # The fold keeps only where each further chunk starts; a chunk holds many commands, so that
+    # list is short and is copied only when it grows.
+    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("starts"))
 
     def step(acc, item):
         full = (acc["used"] > 0) & (acc["used"] + item["cost"] + F.col("_frame") > limit)
-        chunk = F.when(full, acc["chunk"] + 1).otherwise(acc["chunk"])
-        used = F.when(full, item["cost"]).otherwise(acc["used"] + item["cost"])
-        return F.struct(chunk.alias("chunk"), used.alias("used"), F.concat(acc["chunks"], F.array(chunk)).alias("chunks"))
+        return F.struct(
+            F.when(full, item["cost"]).otherwise(acc["used"] + item["cost"]).alias("used"),
+            F.when(full, F.concat(acc["starts"], F.array(item["pos"]))).otherwise(acc["starts"]).alias("starts"),
+        )
 
-    folded = groups.withColumn("_f", F.aggregate("_items", zero, step))
+    folded = groups.withColumn("_starts", F.aggregate("_items", zero, step, lambda acc: acc["starts"]))
     # Chunk numbers continue across the blocks of a session.
     before = Window.partitionBy("session_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum(F.col("_f.chunk") + 1).over(before), F.lit(0))
-    rows = folded.withColumn("_off", offset).select(
-        "session_id", "_off", F.explode(F.arrays_zip(F.col("_items").alias("item"), F.col("_f.chunks").alias("chunk"))).alias("_z")
-    )
+    offset = F.coalesce(F.sum(F.size("_starts") + 1).over(before), F.lit(0))
+    rows = folded.withColumn("_off", offset).select("session_id", "_off", "_starts", F.explode("_items").alias("_i"))
+    inside = F.size(F.filter("_starts", lambda at: at <= F.col("_i.pos")))
     return rows.select(
-        "session_id", (F.col("_off") + F.col("_z.chunk")).alias("chunk_no"), F.col("_z.item.event_id").alias("event_id"),
-        F.col("_z.item.pos").alias("pos"), F.col("_z.item.cost").alias("chars"),
+        "session_id", (F.col("_off") + inside).alias("chunk_no"), F.col("_i.event_id").alias("event_id"),
+        F.col("_i.pos").alias("pos"), F.col("_i.cost").alias("chars"),
     )
 
 
