@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lureframe.llm import exact_dedup, html_text, mixing, packing
+from lureframe.llm import exact_dedup, html_text, mixing, near_dedup, neighbours, packing, toxicity
 from lureframe.llm.sql import ORACLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_neighbours")
+def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query("op2_toxicity")
+def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op3_source_mix")
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -36,6 +47,13 @@ def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+@query("op5_near_dedup")
+def near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_dedup.near_groups(table(spark, sf_dir, "documents"), words=3, percent=85)
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return groups.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+
+
 @query("op8_exact_dedup")
 def exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
