@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lureframe.llm.store import save
+
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
@@ -56,6 +58,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     """
     key = F.xxhash64(F.col("doc_id"), F.lit(seed))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_key"), key.alias("_key"))
+    rows = save(rows, "sizes")  # texts are read and counted once
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     plan = targets(sources, weights, share, most).select(F.col("source").alias("_source"), "source_size", "target", "n")
     # Ranges of a source follow from its number of rows: about range_rows each.
