@@ -15,7 +15,7 @@ from lureframe.llm.store import save
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
-RANGE_ROWS = 100_000
+RANGE_ROWS = 2_000
 SEED = 20
 
 
@@ -61,9 +61,10 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     rows = save(rows, "sizes")  # texts are read and counted once
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     plan = targets(sources, weights, share, most).select(F.col("source").alias("_source"), "source_size", "target", "n")
-    # Ranges of a source follow from its number of rows: about range_rows each.
+    # A source has ranges of range_rows, or of the root of its rows if that is more: neither the rows of a range nor
+    # the ranges of a source then outgrow a task.
     rows = rows.join(plan, rows["source"].eqNullSafe(plan["_source"]))
-    ranges = F.ceil(F.col("n") / F.lit(range_rows))
+    ranges = F.ceil(F.col("n") / F.greatest(F.lit(float(range_rows)), F.sqrt("n")))
     unit = F.shiftrightunsigned("_key", 33).cast("double") / F.lit(float(2**31))
     rows = rows.withColumn("_range", F.floor(unit * ranges).cast("long"))
     totals = rows.groupBy(F.col("source").alias("_s"), F.col("_range").alias("_r")).agg(F.sum("size").alias("_words"))

@@ -22,7 +22,7 @@ from lureframe.llm.store import save, split_count
 
 WIDTH = 2048
 END = 1
-RANK_ROWS = 100_000
+RANK_ROWS = 2_000
 VOCABULARY = "byte_bpe_50k"
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 
