@@ -174,5 +174,6 @@ def pack(docs: DataFrame, width: int = WIDTH, vocabulary: str = VOCABULARY, rank
             yield pdf.drop(columns="_rank").assign(sequence_id=sequence, offset=offset).astype({"doc_id": "Int64"})
 
     most = max(histogram.values(), default=0)
-    out = ranked(cut, split_count(most, rank_rows))
+    # Parts of rank_rows, or of the root of a length's pieces if that is more.
+    out = ranked(cut, split_count(most, max(rank_rows, int(most**0.5))))
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "_rank").mapInPandas(place, schema)

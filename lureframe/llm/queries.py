@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lureframe.llm import exact_dedup, html_text, mixing, near_dedup, neighbours, packing, toxicity
+from lureframe.llm import exact_dedup, html_text, mixing, near_dedup, neighbours, packing, pii, toxicity
 from lureframe.llm.sql import ORACLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,14 @@ def near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
+@query("op7_personal_data")
+def personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.span_list(base).cast("binary"), 256).alias("base_sha256"), pii.span_list(F.col("spans")).alias("spans"))
+
+
 @query("op8_exact_dedup")
 def exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
