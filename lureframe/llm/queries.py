@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lureframe.llm import exact_dedup, html_text, mixing, near_dedup, neighbours, packing, pii, toxicity
+from lureframe.llm import exact_dedup, html_text, language_model, mixing, near_dedup, neighbours, packing, pii, toxicity
 from lureframe.llm.sql import ORACLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,11 @@ def near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
+@query("op6_language_model")
+def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_corpus(table(spark, sf_dir, "documents"))
+
+
 @query("op7_personal_data")
 def personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_spans(table(spark, sf_dir, "documents"))
