@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lureframe.llm import exact_dedup, mixing, packing
+from lureframe.llm import exact_dedup, mixing, near_dedup, packing, quality
 from lureframe.llm.store import save
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    return quality.drop_poor(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest id stays."""
     return exact_dedup.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five words, similarity of 0.8 or more."""
+    return near_dedup.drop_near_copies(docs, words=5, percent=80)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the source mix takes them."""
     return mixing.mixed_documents(docs)
@@ -23,7 +33,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs)
 
 
-STAGES = [("exact_dedup", drop_exact_copies), ("mixing", mix_sources), ("packing", pack_sequences)]
+STAGES = [("quality", keep_good), ("exact_dedup", drop_exact_copies), ("near_dedup", drop_near_copies), ("mixing", mix_sources), ("packing", pack_sequences)]
 
 #: Learned scores, sketches and token ids have no SQL form; tests/llm checks the stages by brute force.
 ORACLE_SQL = None

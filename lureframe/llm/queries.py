@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lureframe.llm import exact_dedup, html_text, language_model, mixing, near_dedup, neighbours, packing, pii, toxicity
+from lureframe.llm import exact_dedup, html_text, language_model, mixing, near_dedup, neighbours, packing, pii, quality, toxicity
 from lureframe.llm.sql import ORACLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +74,11 @@ def exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", F.col("rows").alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"))
 
 
+@query("op9_quality")
+def good(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op10_packing")
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(table(spark, sf_dir, "documents"))
