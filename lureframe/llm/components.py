@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lureframe.llm.store import discard, save
+from lureframe.llm.store import discard, observed, save
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,16 +30,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     partial aggregate and a join that AQE may split. Rounds end when the edges no longer change; each is written
     to the shared folder. Loops, repeated edges, either direction and an empty table are fine; null ends are left out.
     """
-    current = save(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").distinct(), "edges")
-    seen = None
+    mark = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+    current, seen = observed(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").distinct(), "edges", *mark)
     for _ in range(most_rounds):
-        after = save(_small_star(_large_star(current)), "edges")
-        mark = tuple(after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        after, now = observed(_small_star(_large_star(current)), "edges", *mark)
         discard(current)
-        current = after
-        if mark == seen:
+        current, same = after, now == seen
+        if same or not now["n"]:
             break
-        seen = mark
+        seen = now
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

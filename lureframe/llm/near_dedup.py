@@ -2,9 +2,9 @@
 
 Equal shingle sets are one class from the start, so copies never meet each other as pairs. Classes that share a
 band form a bucket. A bucket doesn't list its pairs: every member is compared with one centre, the member that
-shares the most with all others; links make components; a centre that has met all of its bucket leaves it, and
-buckets whose members are all in one component are done. What is still open when few pairs are left is compared
-pair by pair. A pair is tested by its signatures first and confirmed on the full shingle sets.
+shares the most with all others; links make components, and buckets whose members are all in one
+component are done; others get another centre. What is still open when centres no longer pay is compared pair by
+pair, each pair once. A pair is tested by its signatures first and confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -15,11 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lureframe.llm.components import components
-from lureframe.llm.store import discard, save
+from lureframe.llm.store import discard, observed, save
 from lureframe.llm.words import MIX, WordHashes, grams, hashed, lowered, scramble
 
 WORDS = 5
@@ -28,10 +28,11 @@ PERCENT = 80
 MISS = 1e-7
 #: Standard deviations that a pair's signature estimate may lie under the threshold.
 SLACK = 5.0
-#: Pairs per class that may be compared outright; beyond it buckets are narrowed by further centres first.
-PAIRS_EACH = 20
+#: Pairs per class that are compared outright; beyond it buckets are narrowed by centres first.
+PAIRS_EACH = 4
 CENTRES = 6
-SETS = "doc_id long, n long, k1 long, k2 long, bands array<long>, sig binary"
+SETS = "doc_id long, n long, k1 long, k2 long, bands array<long>"
+FULL = "id long, k1 long, sig array<tinyint>, s array<long>"
 
 
 def banding(percent: int) -> tuple[int, int]:
@@ -61,7 +62,7 @@ def minima(s: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 512) -> np.
 
 
 def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Per document: size and key of its shingle set, one key a band, the low bytes of its minima."""
+    """Per document: size and key of its shingle set, and one key for each band of its minima."""
     rows, bands = banding(percent)
     a, b = universal(rows * bands)
 
@@ -82,65 +83,67 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
             for j in range(rows):
                 keys = scramble(keys * MIX + matrix[:, :, j])
             keys = keys.view(np.int64)
-            low = [x.astype(np.uint8).tobytes() for x in sig]
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"].astype("Int64"), "n": sizes, "k1": np.array(k1, np.uint64).view(np.int64), "k2": np.array(k2, np.uint64).view(np.int64),
-                "bands": [keys[i] if i >= 0 else None for i in at], "sig": [low[i] if i >= 0 else None for i in at],
+                "bands": [keys[i] if i >= 0 else None for i in at],
             })
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInPandas(run, SETS)
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(id, k1, s): the shingle hashes of the wanted documents, computed anew from their whole texts."""
+def full_sets(docs: DataFrame, wanted: DataFrame, n: int, percent: int) -> DataFrame:
+    """(id, k1, sig, s): signature (the low bytes of the minima) and shingle hashes of the wanted documents, computed
+    anew from their whole texts."""
+    rows, bands = banding(percent)
+    a, b = universal(rows * bands)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         for pdf in batches:
-            sets = [shingles(t, known, n) for t in pdf["text"]]
-            key = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame({"id": pdf["id"], "k1": key, "s": [s.view(np.int64) for s in sets]})
+            out = []
+            for i, k1, text in zip(pdf["id"], pdf["k1"], pdf["text"], strict=True):
+                s = shingles(text, known, n)
+                if np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64) == k1:  # not another text of the same id
+                    out.append((i, k1, minima(s, a, b).astype(np.uint8).view(np.int8), s.view(np.int64)))
+            yield pd.DataFrame(out, columns=["id", "k1", "sig", "s"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
-    sets = texts.join(wanted.select("id").distinct(), "id", "left_semi").mapInPandas(run, "id long, k1 long, s array<long>")
-    return sets.join(wanted.select("id", "k1").distinct(), ["id", "k1"], "left_semi").dropDuplicates(["id", "k1"])
+    return texts.join(wanted.select("id", "k1").distinct(), "id").mapInPandas(run, FULL).dropDuplicates(["id", "k1"])
 
 
-def agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose signatures agree in enough places for the threshold, less SLACK deviations."""
+def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """(u, v) for the pairs that pass both tests: signatures agree in enough places for the threshold, less SLACK
+    deviations, and the full sets reach the threshold, in whole numbers."""
     rows, bands = banding(percent)
     n, t = rows * bands, percent / 100
     least = n * (t - SLACK * math.sqrt(t * (1 - t) / n))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                left = np.frombuffer(b"".join(pdf["sig_a"]), np.uint8).reshape(-1, n)
-                right = np.frombuffer(b"".join(pdf["sig_b"]), np.uint8).reshape(-1, n)
-                yield pdf.loc[(left == right).sum(axis=1) >= least, ["a", "ka", "b", "kb"]]
-
-    side = lambda x: reps.select(F.col("id").alias(x), F.col("k1").alias(f"k{x}"), F.col("sig").alias(f"sig_{x}"))
-    return pairs.join(side("a"), ["a", "ka"]).join(side("b"), ["b", "kb"]).mapInPandas(run, "a long, ka long, b long, kb long")
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v) for the pairs whose full sets reach the threshold, in whole numbers."""
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("k1").alias(f"k{x}"), F.col("s").alias(f"s{x}"))
+    side = lambda x: full.select(F.col("id").alias(x), F.col("k1").alias(f"k{x}"), F.col("sig").alias(f"sig{x}"), F.col("s").alias(f"s{x}"))
+    agree = F.size(F.filter(F.zip_with("siga", "sigb", lambda x, y: x == y), lambda same: same))
     both = F.size(F.array_intersect("sa", "sb"))
-    joined = pairs.join(side("a"), ["a", "ka"]).join(side("b"), ["b", "kb"])
-    return joined.where(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    # Dealt by (a, ka) once: that serves for telling pairs apart and for the first join.
+    once = pairs.select("a", "ka", "b", "kb").repartition("a", "ka").distinct()
+    joined = once.join(side("a"), ["a", "ka"]).join(side("b"), ["b", "kb"])
+    return joined.where((agree >= least) & (both * 100 >= (F.size("sa") + F.size("sb") - both) * percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def _near(x: str, y: str, percent: int):
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
-def _star(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of each member with its bucket's centre, and the centres as (key, id, k1)."""
-    centre = members.groupBy("key").agg(F.max(F.struct("mass", (-F.col("id")).alias("low"), F.col("k1").alias("kb"), F.col("n").alias("nb"))).alias("c"))
-    centre = centre.select("key", (-F.col("c.low")).alias("b"), "c.kb", "c.nb")
-    pairs = members.join(centre, "key").where(~((F.col("id") == F.col("b")) & (F.col("k1") == F.col("kb"))) & _near("n", "nb", percent))
-    return pairs.select(F.col("id").alias("a"), F.col("k1").alias("ka"), "b", "kb").distinct(), centre.select("key", F.col("b").alias("id"), F.col("kb").alias("k1"))
+def _star(members: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs of each member with its bucket's centre: the member that shares most with others, later any other."""
+    by = F.col("mass") if turn == 0 else F.xxhash64("id", F.lit(turn))
+    centre = members.groupBy("key").agg(F.max(F.struct(by.alias("by"), F.col("id").alias("b"), F.col("k1").alias("kb"), F.col("n").alias("nb"))).alias("c"))
+    centres = centre.select("key", "c.b", "c.kb", "c.nb")
+    own = (F.col("id") == F.col("b")) & (F.col("k1") == F.col("kb"))
+    return members.join(centres, "key").where(~own & _near("n", "nb", percent)).select(F.col("id").alias("a"), F.col("k1").alias("ka"), "b", "kb")
+
+
+def _all_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each bucket that are in different components; a pair comes from the first band that it shares."""
+    side = lambda x: members.select("key", F.col("pos").alias(f"p{x}"), F.col("id").alias(x), F.col("k1").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}"), F.col("low").alias(f"e{x}"))
+    met = F.exists(F.zip_with(F.slice("ea", 1, F.col("pa")), F.slice("eb", 1, F.col("pa")), lambda x, y: x == y), lambda same: same)
+    return side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _near("na", "nb", percent) & ~met).select("a", "ka", "b", "kb")
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -152,50 +155,47 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     """
     sets = save(signatures(docs, words, percent), "sets")
     usable = sets.where("n > 0 AND doc_id IS NOT NULL")
-    classes = save(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("id")), "classes")
-    own = (F.col("doc_id") == F.col("id")) & usable["k1"].eqNullSafe(classes["k1"]) & usable["k2"].eqNullSafe(classes["k2"])
-    reps = save(usable.join(classes, own).select("id", usable["k1"], "n", "bands", "sig").dropDuplicates(["id", "k1"]), "reps")
-    total = reps.count()
-
-    # Buckets with more than one class. Most keys are alone and end at the first aggregate.
-    keyed = reps.select(F.explode("bands").alias("key"), "id", "k1", "n")
+    first = F.min_by(F.struct("n", "bands"), "doc_id").alias("first")
+    classes, seen = observed(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), first).select("id", "k1", "k2", "first.*"), "classes", F.count(F.lit(1)).alias("n"))
+    total = seen["n"]
+    placed = save(sets.select("doc_id", "n", "k1", "k2").join(classes.select("k1", "k2", "id"), ["k1", "k2"], "left").select("doc_id", "n", "id"), "placed")
+    discard(sets)
+
+    # Buckets with more than one class. Most keys are alone and end at the first aggregate. A class shares mass
+    # members over its buckets (as many as there are bands).
+    keyed = classes.select(F.posexplode("bands").alias("pos", "key"), "id", "k1", "n", F.transform("bands", lambda x: F.pmod(x, F.lit(2**31)).cast("int")).alias("low"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = save(keyed.join(shared, "key"), "members")
-    mass = members.groupBy("id", "k1").agg(F.sum("m").alias("mass"))
-    members = save(members.join(mass, ["id", "k1"]).select("key", "id", "k1", "n", "mass"), "members")
-    full = save(full_sets(docs, members.select("id", "k1").distinct(), words), "full")
-
-    def links_of(pairs: DataFrame) -> DataFrame:
-        return confirmed(agreeing(pairs, reps, percent), full, percent)
+    mass = F.sum("m").over(Window.partitionBy("id", "k1"))
+    members, seen = observed(keyed.join(shared, "key").withColumn("mass", mass).withColumn("label", F.col("id")), "members", F.coalesce(F.sum(F.col("m") / 2), F.lit(0.0)).alias("work"))
+    work = seen["work"]
+    full = save(full_sets(docs, members, words, percent), "full")
 
     # A doc_id that comes with several texts joins their classes.
-    several = usable.join(classes, ["k1", "k2"]).groupBy("doc_id").agg(F.min("id").alias("u"), F.max("id").alias("v")).where("u <> v")
-    links = save(several.select("u", "v").unionByName(several.select(F.col("doc_id").alias("u"), "u").toDF("u", "v").where("u <> v")), "links")
-    open_members, labels = members, None
+    several = placed.where("id IS NOT NULL").groupBy("doc_id").agg(F.min("id").alias("u"), F.max("id").alias("v")).where("u <> v")
+    links = several.select("u", "v").unionByName(several.select(F.col("doc_id").alias("u"), F.col("u").alias("v")))
+    labels, earlier = None, float("inf")
     for turn in range(CENTRES + 1):
-        if turn:
-            labelled = open_members.join(labels, open_members["id"] == labels["node"], "left").withColumn("label", F.coalesce("component", "id"))
-            state = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
-            opened = save(labelled.join(state.select("key", "m"), "key").select("key", "id", "k1", "n", "mass", "label", "m"), "open")
-            work = opened.select(F.sum(F.col("m") / 2).alias("x")).first()["x"] or 0
-            if not work:
-                break
-            if work <= PAIRS_EACH * total or turn == CENTRES:
-                left = opened.select("key", F.col("id").alias("a"), F.col("k1").alias("ka"), F.col("n").alias("na"), F.col("label").alias("la"))
-                right = opened.select("key", F.col("id").alias("b"), F.col("k1").alias("kb"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-                pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _near("na", "nb", percent))
-                links = save(links.unionByName(links_of(pairs.select("a", "ka", "b", "kb").distinct())), "links")
-                labels = components(links)
-                break
-            open_members = opened.drop("label", "m")
-        pairs, centres = _star(open_members, percent)
-        before, links = links, save(links.unionByName(links_of(pairs)), "links")
-        discard(before)
-        open_members = save(open_members.join(centres, ["key", "id", "k1"], "left_anti"), "open")
+        # Few pairs are left, or centres no longer help: the members of these buckets are similar, but not linked.
+        last = work <= PAIRS_EACH * total or turn == CENTRES or 2 * work > earlier
+        earlier = work
+        if last:
+            pairs = _all_pairs(members, percent)
+        else:
+            pairs = _star(members, turn, percent)
+        # What is known so far goes on as edges to the components, so later rounds start from stars.
+        links = save(links.unionByName(confirmed(pairs, full, percent)), "links")
         labels = save(components(links), "labels")
-
-    keyed_docs = sets.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left")
-    out = keyed_docs.join(labels, keyed_docs["id"] == labels["node"], "left")
+        if last:
+            break
+        links = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        labelled = members.drop("label", "m").join(labels, members["id"] == labels["node"], "left").withColumn("label", F.coalesce("component", "id"))
+        state = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
+        members, seen = observed(labelled.join(state.select("key", "m"), "key").select("key", "pos", "id", "k1", "n", "low", "mass", "label", "m"), "open", F.coalesce(F.sum(F.col("m") / 2), F.lit(0.0)).alias("work"))
+        work = seen["work"]
+        if not work:
+            break
+
+    out = placed.join(labels, placed["id"] == labels["node"], "left")
     return out.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation
 
 from lureframe.session import shared_folder
 
@@ -21,6 +21,13 @@ def save(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, label: str, *measures: Column) -> tuple[DataFrame, dict]:
+    """save(df, label), and aggregates over its rows taken while they are written."""
+    seen = Observation()
+    saved = save(df.observe(seen, *measures), label)
+    return saved, seen.get
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files of saved relations that no later plan reads."""
     for df in frames:
@@ -39,6 +46,3 @@ def split_count(rows: int, rows_each: int, least: int = 1) -> int:
         parts *= 2
     return parts
 
-
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
