@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lureframe.llm.words import CACHE, WordHashes, grams, hashed
 
 BITS = 22
-SAMPLE = 12_000  # labelled rows the fit may see
+SAMPLE = 5_000  # labelled rows the fit may see
 EPOCHS = 8
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 6.0, 0.1
 THRESHOLD = 0.7
@@ -86,29 +86,32 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(labelled: DataFrame, epochs: int = EPOCHS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
     """(sorted feature numbers, their weights, intercept) from rows (doc_id, text, label).
 
-    At most `sample` rows, spread by a hash of the id, are featurised on the executors; the driver sees sets of
-    feature numbers only. Without rows of both labels there are no weights and the intercept is the base rate's.
+    The caller bounds the rows; they are featurised on the executors, and the driver sees sets of feature numbers. Without rows of both labels there are no weights and the intercept is the base rate's.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         for pdf in batches:
-            yield pd.DataFrame({"label": pdf["label"], "f": [features(t, known, bits).astype(np.int32) for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "f": [features(t, known, bits).astype(np.int32) for t in pdf["text"]]})
 
-    rows = labelled.where("label IS NOT NULL").orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(sample)
-    drawn = rows.select(F.col("label").cast("double").alias("label"), F.col("text").cast("binary").alias("text")).mapInPandas(run, "label double, f array<int>").toPandas()
+    rows = labelled.where("label IS NOT NULL").select("doc_id", F.col("label").cast("double").alias("label"), F.col("text").cast("binary").alias("text"))
+    drawn = rows.mapInPandas(run, "doc_id long, label double, f array<int>").toPandas()
+    # One order whatever the partitions were, so that reruns agree.
+    drawn = drawn.iloc[np.lexsort((drawn["f"].map(len), drawn["doc_id"]))]
     rate = float(np.clip(drawn["label"].mean() if len(drawn) else 0.0, 1e-3, 1 - 1e-3))
     if not len(drawn) or drawn["label"].nunique() < 2:
         return np.zeros(0, np.int64), np.zeros(0), float(np.log(rate / (1 - rate)))
-    return learn([np.asarray(f, np.int64) for f in drawn["f"]], drawn["label"].to_numpy(), epochs, bits)
+    return learn(list(drawn["f"]), drawn["label"].to_numpy(), epochs, bits)
 
 
 def learn(sets: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
     # Features of one text can't pass the L1 bound and only slow the fit down.
-    spread = np.bincount(np.concatenate(sets), minlength=2**bits)
+    spread = np.zeros(2**bits, np.int32)
+    for f in sets:
+        spread[f] += 1
     sets = [f[spread[f] > 1] for f in sets]
     model = Ftrl(2**bits)
     rng = np.random.default_rng(20)
@@ -149,8 +152,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
     held = lambda c: F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(3)) == 1
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("label"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # The sample is drawn from ids first, so only its texts are joined.
+    # The sample is drawn from ids first; at most `sample` of them are broadcast, and no text moves.
     drawn = marks.where(~held(F.col("doc_id"))).orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(sample)
-    weights = fit(texts.join(drawn, "doc_id"), sample)
+    weights = fit(texts.join(F.broadcast(drawn), "doc_id"))
     out = score(docs, weights)
     return out.select("doc_id", F.coalesce(held(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
