@@ -43,7 +43,7 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     s = s.withColumn("_capped", F.col("_cap") <= F.col("_rate") * F.col("_w"))
     served = F.sum(F.when(F.col("_capped"), F.col("_cap")).otherwise(0.0)).over(whole)
     served_w = F.sum(F.when(F.col("_capped"), F.col("_w")).otherwise(0.0)).over(whole)
-    rest = (F.col("_all") - served) / (F.col("_allw") - served_w)
+    rest = (F.col("_all") - served) / F.nullif(F.col("_allw") - served_w, F.lit(0.0))  # null where all are capped
     target = F.when(F.col("_capped"), F.col("_cap")).otherwise(F.col("_w") * rest)
     return s.select("source", "source_size", "n", target.alias("target"))
 
