@@ -147,9 +147,10 @@ def _votes() -> list[Column]:
 def reliabilities(histogram: list[tuple[int, tuple[int, ...], int]], turns: int = EM_TURNS) -> tuple[list[float], list[list[list[float]]], list[float]]:
     """(share of real spans by kind, P(vote | real?) by labeler, soft label of each histogram row).
 
-    Two-class latent model with independent labelers, started from the sum of the votes.
+    Two-class latent model with independent labelers, started from the sum of the votes. What fails its kind's
+    check is known not to be real and anchors that class.
     """
-    soft = [1 / (1 + math.exp(-2 * sum(v))) for _, v, _ in histogram]
+    soft = [0.0 if v[0] < 0 else 1 / (1 + math.exp(-2 * sum(v))) for _, v, _ in histogram]
     prior, table = [0.5] * len(KINDS), []
     for _ in range(turns):
         table = [[[1.0] * 3 for _ in range(2)] for _ in LABELERS]
@@ -164,7 +165,7 @@ def reliabilities(histogram: list[tuple[int, tuple[int, ...], int]], turns: int
         soft = []
         for kind, votes, _ in histogram:
             odds = math.log(prior[kind] / (1 - prior[kind])) + sum(math.log(table[j][1][v + 1] / table[j][0][v + 1]) for j, v in enumerate(votes))
-            soft.append(1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))))
+            soft.append(0.0 if votes[0] < 0 else 1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))))
     return prior, table, soft
 
 
@@ -195,8 +196,8 @@ def probability(w: list[float]) -> Column:
 def personal_spans(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """Per input row: row, doc_id, spans: array of (kind, start, end, base, p), by kind as listed, then start.
 
-    Base spans are always in. A candidate of another pattern or one that failed its check is added if the
-    classifier gives it at least `accept` and it touches no base span. Null text counts as empty; repeated rows
+    Base spans are always in. A candidate of a looser pattern is added if the classifier gives it at least `accept`
+    and it touches no base span; what failed its kind's check is never added. Null text counts as empty; repeated rows
     keep a row each; an empty table gives no rows. Positions are code points, the end is exclusive.
     """
     found = save(candidates(docs), "candidates")
@@ -208,7 +209,7 @@ def personal_spans(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     reach = F.max(F.when(F.col("strict"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     following = F.min(F.when(F.col("strict"), F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
     free = (F.coalesce(reach, F.lit(-1)) <= F.col("start")) & (F.col("end") <= F.coalesce(following, F.lit(2**62)))
-    kept = scored.withColumn("in", F.col("strict") | (free & (F.col("p") >= accept)))
+    kept = scored.withColumn("in", F.col("strict") | (free & (F.col("p") >= accept) & (F.col("check") >= 0)))
     span = F.struct("kind", "start", "end", F.col("strict").alias("base"), "p")
     return kept.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("in"), span))).alias("spans"))
 
