@@ -120,21 +120,23 @@ class Lines(HTMLParser):
 def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     reach = int(np.ceil(3 * sigma))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    return np.convolve(np.pad(ratio, reach), kernel / kernel.sum(), mode="valid")
+    return np.convolve(np.pad(ratio, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
 def main_text(html: str | None, sigma: float = SIGMA) -> str:
     """Text of the main blocks in page order, one line each; empty for null, empty or text-free pages.
 
     Lines are the unmarked blocks. Those whose smoothed ratio passes the threshold (two clusters: the mean splits
-    low from high) vote with their length for their containers; the deepest container that holds at least three
+    low from high) vote with their length for their containers, others with half of it; the deepest container that holds at least three
     quarters of the votes is the content region, and all of its lines are returned. A page with an <article> or
-    <main> that holds any voted line is read from there.
+    <main> with text is read from there.
     """
     if not html:
         return ""
     page = Lines()
     page.feed(html)
+    if page.rawdata.startswith(("<!", "<?")):  # a comment that never ends
+        page.rawdata = ""
     page.close()
     page.flush()
     if not page.lines:
@@ -142,8 +144,6 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     length = np.array([len(t) for t, _, _ in page.lines], float)
     ratio = smoothed(length / np.maximum(1, [n for _, n, _ in page.lines]), sigma)
     content = ratio >= min(ratio.mean(), np.median(ratio))
-    if not content.any():
-        content[:] = True
     paths: list[list[int]] = []
     votes: dict[int, float] = {}
     for i, (_, _, at) in enumerate(page.lines):
@@ -151,9 +151,8 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
         while path[-1]:
             path.append(page.parent[path[-1]])
         paths.append(path)
-        if content[i]:
-            for c in path:
-                votes[c] = votes.get(c, 0.0) + length[i]
+        for c in path:
+            votes[c] = votes.get(c, 0.0) + length[i] * (1.0 if content[i] else 0.5)
     total = votes[0]
     articles = [c for c in votes if page.kinds[c] in ("article", "main")]
     if articles:
