@@ -3,8 +3,8 @@
 Equal shingle sets are one class from the start, so copies never meet each other as pairs. Classes that share a
 band form a bucket. A bucket doesn't list its pairs: every member is compared with one centre, the member that
 shares the most with all others; links make components, and buckets whose members are all in one
-component are done; others get another centre. What is still open when centres no longer pay is compared pair by
-pair, each pair once. A pair is tested by its signatures first and confirmed on the full shingle sets.
+component are done; others get another centre. What is still open when centres no longer pay is joined on its
+rarest shingles, which loses no link and lists few pairs. A pair is tested by its signatures first and confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -28,9 +28,8 @@ PERCENT = 80
 MISS = 1e-7
 #: Standard deviations that a pair's signature estimate may lie under the threshold.
 SLACK = 5.0
-#: Pairs per class that are compared outright; beyond it buckets are narrowed by centres first.
-PAIRS_EACH = 4
-CENTRES = 6
+#: Rounds of centres at most, before what is open is joined on rare shingles.
+CENTRES = 3
 SETS = "doc_id long, n long, k1 long, k2 long, bands array<long>"
 FULL = "id long, k1 long, sig array<tinyint>, s array<long>"
 
@@ -139,11 +138,20 @@ def _star(members: DataFrame, turn: int, percent: int) -> DataFrame:
     return members.join(centres, "key").where(~own & _near("n", "nb", percent)).select(F.col("id").alias("a"), F.col("k1").alias("ka"), "b", "kb")
 
 
-def _all_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each bucket that are in different components; a pair comes from the first band that it shares."""
-    side = lambda x: members.select("key", F.col("pos").alias(f"p{x}"), F.col("id").alias(x), F.col("k1").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}"), F.col("low").alias(f"e{x}"))
-    met = F.exists(F.zip_with(F.slice("ea", 1, F.col("pa")), F.slice("eb", 1, F.col("pa")), lambda x, y: x == y), lambda same: same)
-    return side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _near("na", "nb", percent) & ~met).select("a", "ka", "b", "kb")
+def _prefix_pairs(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """All pairs of open members in different components that can reach the threshold: in one common order of the
+    shingles, rarest first, such sets share one of their first n - ceil(n percent / 100) + 1. What makes a copy
+    differ is rare, so a copy that is too far from its family meets none of it here."""
+    who = members.select("id", "k1", "label").distinct()
+    each = full.join(who, ["id", "k1"]).select("id", "k1", "label", F.size("s").alias("n"), F.explode("s").alias("sh"))
+    common = each.groupBy("sh").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own = Window.partitionBy("id", "k1")
+    ranked = each.join(common, "sh").withColumn("alone", F.col("n") - F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("df", "sh")))
+    first = ranked.where(F.expr(f"alone + rank <= n - (n * {percent} + 99) div 100 + 1")).select("sh", "id", "k1", "n", "label")
+    mixed = first.groupBy("sh").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    first = first.join(mixed.select("sh"), "sh")
+    side = lambda x: first.select("sh", F.col("id").alias(x), F.col("k1").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}"))
+    return side("a").join(side("b"), "sh").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _near("na", "nb", percent)).select("a", "ka", "b", "kb")
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -163,7 +171,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
     # Buckets with more than one class. Most keys are alone and end at the first aggregate. A class shares mass
     # members over its buckets (as many as there are bands).
-    keyed = classes.select(F.posexplode("bands").alias("pos", "key"), "id", "k1", "n", F.transform("bands", lambda x: F.pmod(x, F.lit(2**31)).cast("int")).alias("low"))
+    keyed = classes.select(F.explode("bands").alias("key"), "id", "k1", "n")
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     mass = F.sum("m").over(Window.partitionBy("id", "k1"))
     members, seen = observed(keyed.join(shared, "key").withColumn("mass", mass).withColumn("label", F.col("id")), "members", F.coalesce(F.sum(F.col("m") / 2), F.lit(0.0)).alias("work"))
@@ -176,10 +184,10 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     labels, earlier = None, float("inf")
     for turn in range(CENTRES + 1):
         # Few pairs are left, or centres no longer help: the members of these buckets are similar, but not linked.
-        last = work <= PAIRS_EACH * total or turn == CENTRES or 2 * work > earlier
+        last = turn > 0 and (work <= total or turn == CENTRES or 2 * work > earlier)
         earlier = work
         if last:
-            pairs = _all_pairs(members, percent)
+            pairs = _prefix_pairs(members, full, percent)
         else:
             pairs = _star(members, turn, percent)
         # What is known so far goes on as edges to the components, so later rounds start from stars.
@@ -190,7 +198,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         links = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
         labelled = members.drop("label", "m").join(labels, members["id"] == labels["node"], "left").withColumn("label", F.coalesce("component", "id"))
         state = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
-        members, seen = observed(labelled.join(state.select("key", "m"), "key").select("key", "pos", "id", "k1", "n", "low", "mass", "label", "m"), "open", F.coalesce(F.sum(F.col("m") / 2), F.lit(0.0)).alias("work"))
+        members, seen = observed(labelled.join(state.select("key", "m"), "key").select("key", "id", "k1", "n", "mass", "label", "m"), "open", F.coalesce(F.sum(F.col("m") / 2), F.lit(0.0)).alias("work"))
         work = seen["work"]
         if not work:
             break
