@@ -95,16 +95,16 @@ def fit(labelled: DataFrame, epochs: int = EPOCHS, bits: int = BITS) -> tuple[np
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "f": [features(t, known, bits).astype(np.int32) for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "f": [features(t, known, bits).astype(np.int32).tobytes() for t in pdf["text"]]})
 
     rows = labelled.where("label IS NOT NULL").select("doc_id", F.col("label").cast("double").alias("label"), F.col("text").cast("binary").alias("text"))
-    drawn = rows.mapInPandas(run, "doc_id long, label double, f array<int>").toPandas()
+    drawn = rows.mapInPandas(run, "doc_id long, label double, f binary").toPandas()
     # One order whatever the partitions were, so that reruns agree.
     drawn = drawn.iloc[np.lexsort((drawn["f"].map(len), drawn["doc_id"]))]
     rate = float(np.clip(drawn["label"].mean() if len(drawn) else 0.0, 1e-3, 1 - 1e-3))
     if not len(drawn) or drawn["label"].nunique() < 2:
         return np.zeros(0, np.int64), np.zeros(0), float(np.log(rate / (1 - rate)))
-    return learn(list(drawn["f"]), drawn["label"].to_numpy(), epochs, bits)
+    return learn([np.frombuffer(f, np.int32) for f in drawn["f"]], drawn["label"].to_numpy(), epochs, bits)
 
 
 def learn(sets: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
