@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lureframe.functions import net, text
-from lureframe.functions.ordered import number_rows, top_per_group
+from lureframe.functions.streamed import session_digests
+from lureframe.functions.ordered import HOUR_US, bucket, number_rows, top_per_group
 from lureframe.operators import search
 from lureframe.operators.sessions import BLOCK_ROWS, COMMAND, DOWNLOAD, latest_analyses, sessions
 from lureframe.session import write_once
@@ -17,7 +18,6 @@ LIST_CAP = 20
 PATTERN_CAP = 12
 SIMILAR_SHOWN = 5
 MIN_NOTABLE_SESSIONS, MAX_NOTABLES = 3, 50
-KEYWORD_MAX = 1024
 
 
 def command_events(ev: DataFrame) -> DataFrame:
@@ -30,9 +30,9 @@ def command_events(ev: DataFrame) -> DataFrame:
 def fingerprints(commands: DataFrame, rows_per_block: int = BLOCK_ROWS) -> DataFrame:
     """One digest per session over its normalised commands in time order.
 
-    A session up to `rows_per_block` commands is digested as one text. A longer one is digested in
-    position blocks and its block digests are digested again, so equal sequences still get equal
-    fingerprints and no group exceeds a block.
+    The digest is that of the commands joined by newlines, at every length. Up to `rows_per_block`
+    commands it is taken from one text; a longer session is sorted and fed to the digest row by row,
+    so no task ever holds it.
     """
     placed = number_rows(commands, ["session_id"], "ts", "event_id").withColumn("_k", F.expr(f"pos div {rows_per_block}"))
     blocks = (
@@ -52,14 +52,14 @@ def fingerprints(commands: DataFrame, rows_per_block: int = BLOCK_ROWS) -> DataF
     )
     whole = blocks.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("_blocks"),
-        F.array_sort(F.collect_list(F.struct("_k", "_digest"))).alias("_d"),
+        F.min("_digest").alias("_d"),
         F.min("_first").alias("_first"), F.max("_last").alias("last_ts"),
         F.sum("_n").alias("command_count"), F.max("_head").alias("commands"),
     )
-    digest = F.when(F.col("_blocks") == 1, F.col("_d")[0]["_digest"]).otherwise(
-        F.sha2(F.array_join("_d._digest", "\n"), 256)
-    )
-    return whole.select(
+    long = whole.filter("_blocks > 1").select("session_id")
+    fed = session_digests(placed.join(long, "session_id", "left_semi").select("session_id", "pos", text.normalize_command("command_line").alias("part")))
+    digest = F.when(F.col("_blocks") == 1, F.col("_d")).otherwise(F.col("_fed"))
+    return whole.join(fed.withColumnRenamed("digest", "_fed"), "session_id", "left").select(
         "session_id", F.substring(digest, 1, 12).alias("fingerprint"), "command_count", "commands",
         F.col("_first.ts").alias("first_ts"), "last_ts",
         F.col("_first.source_ip").alias("source_ip"), F.col("_first.honeypot_id").alias("honeypot_id"),
@@ -112,23 +112,30 @@ def coverage_flag(commands: DataFrame, max_sessions: int | None = None, max_even
     """How many sessions were considered, and why not all, when optional caps are asked for.
 
     Without caps everything is examined. With caps sessions are admitted newest first while their
-    whole command list fits.
+    whole command list fits. Commands are summed per hour of the sessions' starts; only the hour in
+    which the limit falls is looked at session by session.
     """
     per_session = commands.groupBy("session_id").agg(F.min("ts").alias("first_ts"), F.count(F.lit(1)).alias("n"))
     if max_sessions is None and max_events is None:
         return per_session.agg(F.count(F.lit(1)).alias("sessions_considered")).select(
             "sessions_considered", F.lit(True).alias("complete"), F.lit(None).cast("string").alias("incomplete_reason")
         )
-    cap = max_sessions if max_sessions is not None else 2000
-    total = per_session.agg(F.count(F.lit(1))).scalar()
-    newest = per_session.orderBy(F.desc("first_ts"), F.desc("session_id")).limit(cap)  # at most the cap
-    w = Window.partitionBy(F.lit(1)).orderBy(F.desc("first_ts"), F.desc("session_id")).rowsBetween(Window.unboundedPreceding, 0)
-    limit = max_events if max_events is not None else 2**62
-    judged = newest.withColumn("_used", F.sum("n").over(w)).withColumn("_over", (F.col("_used") > limit).cast("int"))
-    counted = judged.agg(F.count_if(F.col("_over") == 0).alias("sessions_considered"), F.coalesce(F.max("_over"), F.lit(0)).alias("_cut"))
-    reason = F.when(F.col("_cut") == 1, "command_event_limit").when(F.col("total") > cap, "session_limit")
-    return counted.withColumn("total", total).select(
-        "sessions_considered", reason.isNull().alias("complete"), reason.alias("incomplete_reason")
+    limit = F.lit(max_events if max_events is not None else 2**62).cast("long")
+    slots = per_session.withColumn("_h", bucket("first_ts", HOUR_US))
+    newer = Window.orderBy(F.desc("_h")).rowsBetween(Window.unboundedPreceding, -1)  # one row per hour
+    hours = slots.groupBy("_h").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_s"))
+    hours = hours.withColumn("_before", F.coalesce(F.sum("_n").over(newer), F.lit(0)))
+    whole = hours.filter(F.col("_before") + F.col("_n") <= limit).agg(F.coalesce(F.sum("_s"), F.lit(0)).alias("_s"))
+    cut = hours.filter((F.col("_before") <= limit) & (F.col("_before") + F.col("_n") > limit)).select("_h", "_before")
+    inside = Window.partitionBy("_h").orderBy(F.desc("first_ts"), F.desc("session_id")).rowsBetween(Window.unboundedPreceding, 0)
+    part = slots.join(cut, "_h").withColumn("_used", F.col("_before") + F.sum("n").over(inside))
+    fitting = part.agg(F.count_if(F.col("_used") <= limit).alias("_s"))
+    total = per_session.agg(F.count(F.lit(1)).alias("total"))
+    cap = F.col("total") if max_sessions is None else F.least("total", F.lit(max_sessions).cast("long"))
+    counted = total.withColumn("_fit", whole.scalar() + fitting.scalar()).withColumn("_cap", cap)
+    reason = F.when(F.col("_fit") < F.col("_cap"), "command_event_limit").when(F.col("total") > F.col("_cap"), "session_limit")
+    return counted.select(
+        F.least("_fit", "_cap").alias("sessions_considered"), reason.isNull().alias("complete"), reason.alias("incomplete_reason")
     )
 
 
@@ -161,19 +168,18 @@ def twins(prints: DataFrame, an: DataFrame) -> DataFrame:
     )
 
 
-def command_sets(ev: DataFrame) -> DataFrame:
-    """Distinct (address, normalised command) pairs of command lines up to the keyword length."""
-    rows = ev.filter(
-        F.col("source_ip").isNotNull() & F.col("command_line").isNotNull() & (F.length("command_line") <= KEYWORD_MAX)
-    )
+def command_sets(ev: DataFrame, max_length: int | None = None) -> DataFrame:
+    """Distinct (address, normalised command) pairs; command lines of any length, or up to `max_length`
+    (`unexamined_commands` counts the longer ones)."""
+    rows = ev.filter(F.col("source_ip").isNotNull() & F.col("command_line").isNotNull() & text.up_to("command_line", max_length))
     raw = rows.select("source_ip", "command_line").distinct()
     return raw.select("source_ip", text.normalize_command("command_line").alias("command")).distinct()
 
 
-def command_set_flags(ev: DataFrame, command_limit: int = 10_000, ip_limit: int = 20_000) -> DataFrame:
+def command_set_flags(ev: DataFrame, command_limit: int = 10_000, ip_limit: int = 20_000, max_length: int | None = None) -> DataFrame:
     """Whether the reference limits would withhold similarity, as one reported row."""
     raw = (
-        ev.filter(F.col("source_ip").isNotNull() & F.col("command_line").isNotNull() & (F.length("command_line") <= KEYWORD_MAX))
+        ev.filter(F.col("source_ip").isNotNull() & F.col("command_line").isNotNull() & text.up_to("command_line", max_length))
         .select("source_ip", "command_line").distinct()
     )
     per_ip = raw.groupBy("source_ip").agg(F.count(F.lit(1)).alias("n"))
@@ -341,14 +347,14 @@ def coverage(catalog: DataFrame, tm: DataFrame, an: DataFrame) -> DataFrame:
     )
 
 
-def probe_candidates(ev: DataFrame, probes: DataFrame, agent_passwords: list[str], include_seeded=False, include_private=False) -> DataFrame:
+def probe_candidates(ev: DataFrame, probes: DataFrame, agent_passwords: list[str], include_seeded=False, include_private=False, max_length: int | None = None) -> DataFrame:
     """Normalised command segments by distinct sessions, then addresses.
 
     The evaluation agent's own sessions, seeded rows and non-global addresses stay out. Segments
     are split once per distinct command line.
     """
     agent = ev.filter(F.col("password").isin(*agent_passwords)).select("session_id").distinct()
-    rows = ev.filter((F.col("action") == COMMAND) & F.col("command_line").isNotNull() & (F.length("command_line") <= KEYWORD_MAX))
+    rows = ev.filter((F.col("action") == COMMAND) & F.col("command_line").isNotNull() & text.up_to("command_line", max_length))
     if not include_seeded:
         rows = rows.filter(~F.coalesce("labels_seeded", F.lit(False)))
     if not include_private:
@@ -372,7 +378,7 @@ def probe_candidates(ev: DataFrame, probes: DataFrame, agent_passwords: list[str
     )
 
 
-def unexamined_commands(ev: DataFrame) -> DataFrame:
-    """Command events too long for the keyword field, counted rather than hidden."""
+def unexamined_commands(ev: DataFrame, max_length: int) -> DataFrame:
+    """Command events that a `max_length` leaves out, beside all of them."""
     cmds = ev.filter(F.col("action") == COMMAND)
-    return cmds.agg(F.count_if(F.length("command_line") > KEYWORD_MAX).alias("too_long"), F.count(F.lit(1)).alias("commands"))
+    return cmds.agg(F.count_if(F.length("command_line") > max_length).alias("too_long"), F.count(F.lit(1)).alias("commands"))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from lureframe.functions import text
 from lureframe.functions.bind import bind
-from lureframe.functions.ordered import number_rows, top_per_group
+from lureframe.functions.ordered import interval_join, number_rows, top_per_group
 from lureframe.operators.rules import rule_hits
+from lureframe.operators.sessions import COMMAND
 from lureframe.session import write_once
 from lureframe.sources.reference import CHARACTERISTICS, PROBES
 
@@ -26,6 +27,10 @@ STATUS_ORDER = {"regressed": 0, "new": 1, "persisting": 2, "undetermined": 3, "f
 # --- end of fixed values ------------------------------------------------------------------------
 
 
+# The shape of a run's marker; the tag may itself hold underscores.
+MARKER = r"(?=(__[A-Za-z0-9](?:[A-Za-z0-9_]*?[A-Za-z0-9])??_?[0-9a-f]{16}__))"
+
+
 def fact_from_scan(scans: DataFrame, expected: dict[str, int] | None = None) -> DataFrame:
     """V1: expected services from port-scan text. A scan that did not complete establishes nothing."""
     expected = EXPECTED_SERVICES if expected is None else expected
@@ -145,17 +150,21 @@ def verify_chains(commands: DataFrame, complete: DataFrame, steps: DataFrame, ex
 
 
 def sessions_by_marker(ev: DataFrame, markers: DataFrame, skew_seconds: int = 300) -> DataFrame:
-    """V6: each run's own session, found by the nonce its commands carry.
+    """V6: each run's own session, found by the marker its commands carry.
 
-    `markers`: run_id, nonce, honeypot_id, started_at, finished_at. The nonce is one word of the
-    command text, so the match is an equi-join on words, checked by the time window.
+    `markers`: run_id, nonce, honeypot_id, started_at, finished_at. A marker is two underscores, a tag, sixteen hex
+    digits and two underscores, anywhere in a command. Command lines are scanned for that shape, so events meet
+    runs on (sensor, marker, time bucket) and the candidates are the marked commands, not the log.
     """
-    words = ev.filter(F.col("command_line").isNotNull() & ~F.coalesce("labels_seeded", F.lit(False))).select(
-        "session_id", "honeypot_id", "ts", F.explode(F.array_distinct(F.regexp_extract_all("command_line", F.lit(r"[A-Za-z0-9]+"), F.lit(0)))).alias("nonce")
+    commands = ev.filter((F.col("action") == COMMAND) & F.contains("command_line", F.lit("__")) & ~F.coalesce("labels_seeded", F.lit(False)))
+    words = commands.select(
+        "session_id", "honeypot_id", "ts",
+        # Looking ahead finds markers that share their underscores.
+        F.explode(F.array_distinct(F.regexp_extract_all("command_line", F.lit(MARKER), F.lit(1)))).alias("nonce"),
     )
     gap = F.expr(f"INTERVAL {skew_seconds} SECOND")
-    on = ["honeypot_id", "nonce"]
-    found = words.join(markers, on).filter(F.col("ts").between(F.col("started_at") - gap, F.col("finished_at") + gap))
+    spans = markers.select("run_id", "nonce", "honeypot_id", (F.col("started_at") - gap).alias("start"), (F.col("finished_at") + gap + F.expr("INTERVAL 1 MICROSECOND")).alias("end"))
+    found = interval_join(words, spans, ["honeypot_id", "nonce"], "ts")
     return found.groupBy("run_id").agg(F.min_by("session_id", F.struct("ts", "session_id")).alias("session_id"))
 
 

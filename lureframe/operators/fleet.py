@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lureframe.functions import text
 from lureframe.functions.ordered import modal, top_per_group
 from lureframe.operators.sessions import latest_analyses
 from lureframe.sources.reference import RISK_LEVELS
@@ -19,7 +20,6 @@ WINDOWS = {
 BUCKETS = {"15m": "1 minute", "1h": "5 minutes", "24h": "1 hour", "7d": "12 hours", "30d": "1 day"}
 HIGH = ("critical", "high")
 TOP, MAX_TOP = 10, 1000
-KEYWORD_MAX = 1024
 PROTOCOL_NAMES = {"ssh": "SSH", "telnet": "Telnet", "http": "HTTP"}
 # --- end of fixed values ------------------------------------------------------------------------
 
@@ -176,11 +176,11 @@ def top_attackers(ev: DataFrame, an: DataFrame | None, as_of: datetime, range_:
     return out.select(F.col("source_ip").alias("ip"), "country", "events", "sessions", "last_seen", "risk")
 
 
-def top_commands(ev: DataFrame, as_of: datetime, range_: str = "24h", k: int = TOP) -> DataFrame:
+def top_commands(ev: DataFrame, as_of: datetime, range_: str = "24h", k: int = TOP, max_length: int | None = None) -> DataFrame:
     """The most frequent command lines over all events carrying one, with the modal technique."""
     _check(k)
     window = ev.filter(
-        in_window(as_of, range_) & F.col("command_line").isNotNull() & (F.length("command_line") <= KEYWORD_MAX)
+        in_window(as_of, range_) & F.col("command_line").isNotNull() & text.up_to("command_line", max_length)
     )
     top = F.broadcast(  # k rows
         window.groupBy("command_line").agg(F.count(F.lit(1)).alias("n"))
@@ -202,10 +202,9 @@ def describe_type(counts: Column) -> Column:
 
 
 def protocol_counts(ev: DataFrame, keys: list[str]) -> DataFrame:
-    """Protocol counts per key, as a short array (a protocol vocabulary, at most ten)."""
+    """Protocol counts per key, all of them, as an array (protocols are a vocabulary)."""
     counted = ev.filter(F.col("protocol").isNotNull()).groupBy(*keys, "protocol").agg(F.count(F.lit(1)).alias("n"))
-    kept = top_per_group(counted, keys, [F.desc("n"), F.asc("protocol")], 10)
-    return kept.groupBy(*keys).agg(F.collect_list(F.struct("n", "protocol")).alias("protocol_counts"))
+    return counted.groupBy(*keys).agg(F.collect_list(F.struct("n", "protocol")).alias("protocol_counts"))
 
 
 def sensors(ev: DataFrame, as_of: datetime) -> DataFrame:

@@ -29,16 +29,18 @@ NESTED = {
     "network": ("protocol",), "user_agent": ("original",), "honeypot": ("id", "name"), "labels": ("seeded",),
     "source": ("country",),
 }
+PORTS = ("src_port", "dst_port")
+OBJECTS = ("http", "network", "user_agent", "honeypot", "labels", "source")
+TEXTS = tuple(c for c in (*RENAMES, "timestamp", "output") if c not in PORTS)
 REASON_ACTIONS = ("cowrie.session.file_download.failed", "cowrie.telnet.error")
 RAW_DDL = (
-    "eventid string, timestamp string, session string, src_ip string, src_port int, dst_ip string, dst_port int,"
+    "eventid string, timestamp string, session string, src_ip string, src_port string, dst_ip string, dst_port string,"
     " protocol string, input string, username string, password string, url string, outfile string, destfile string,"
     " shasum string, path string, query string, output string,"
-    " http struct<request:struct<method:string>,response:struct<status_code:int>>, network struct<protocol:string>,"
-    " user_agent struct<original:string>, honeypot struct<id:string,name:string>, labels struct<seeded:boolean>,"
+    " http struct<request:struct<method:string>,response:struct<status_code:string>>, network struct<protocol:string>,"
+    " user_agent struct<original:string>, honeypot struct<id:string,name:string>, labels struct<seeded:string>,"
     " source struct<country:string>"
 )
-MAX_FIELD, MAX_METHOD, MAX_AGENT = 2048, 16, 512
 WEB_GAP_US = 30 * 60 * 1_000_000
 # --- end of fixed values ------------------------------------------------------------------------
 
@@ -67,8 +69,8 @@ def split_target(target: Column) -> tuple[Column, Column]:
     """(path, query) of a request target; an empty path reads as `/`, the fragment is dropped."""
     bare = F.substring_index(target, "#", 1)
     rest = F.regexp_replace(bare, r"\A(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?]*", "")
-    path = F.left(F.substring_index(rest, "?", 1), F.lit(MAX_FIELD))
-    query = F.when(F.contains(rest, F.lit("?")), F.left(F.regexp_replace(rest, r"(?s)\A[^?]*\?", ""), F.lit(MAX_FIELD)))
+    path = F.substring_index(rest, "?", 1)
+    query = F.when(F.contains(rest, F.lit("?")), F.regexp_replace(rest, r"(?s)\A[^?]*\?", ""))
     return F.when(path == "", "/").otherwise(path), F.when(query != "", query)
 
 
@@ -99,12 +101,42 @@ def _unknown_keys(fields: Column, body: Column) -> Column:
     return F.concat(top, *[inside(p, keys) for p, keys in NESTED.items()])
 
 
+def _wrong_type(fields: Column, body: Column) -> Column:
+    """Whether a known field holds a value that its column cannot: text for a port, text for an object, an object for
+    text. Such a line is refused whole, so no accepted row loses a value."""
+    get = lambda c: F.try_element_at(fields, F.lit(c))
+    inner = lambda c, path: F.get_json_object(get(c), path)
+    no_int = lambda x: x.isNotNull() & x.try_cast("int").isNull()
+    wrong = no_int(get("src_port")) | no_int(get("dst_port")) | no_int(inner("http", "$.response.status_code"))
+    seeded = inner("labels", "$.seeded")
+    wrong = wrong | (seeded.isNotNull() & ~F.lower(seeded).isin("true", "false"))
+    for c in OBJECTS:
+        wrong = wrong | (get(c).isNotNull() & F.json_object_keys(get(c)).isNull())
+    # Text that looks like an object may be one: only then are the values looked at by kind.
+    looks = F.exists(F.map_entries(fields), lambda e: e["key"].isin(*TEXTS) & F.substring(e["value"], 1, 1).isin("{", "["))
+    kinds = F.map_entries(F.from_json(body, "map<string,variant>"))
+    nested = F.exists(kinds, lambda e: e["key"].isin(*TEXTS) & F.schema_of_variant(e["value"]).rlike("^(?:OBJECT|ARRAY)"))
+    return F.coalesce(wrong, F.lit(False)) | F.when(F.coalesce(looks, F.lit(False)), F.coalesce(nested, F.lit(False))).otherwise(F.lit(False))
+
+
 def normalize(raw: DataFrame, cidr: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(events, rejected) from lines of JSON.
+    """(events, rejected) from lines of JSON; see `judged_lines`."""
+    return split_judged(judged_lines(raw, cidr))
+
+
+def split_judged(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, rejected) of judged lines."""
+    rejected = lines.filter(F.col("_reason").isNotNull())
+    events = lines.filter(F.col("_reason").isNull()).drop("_raw", "_unknown", "_reason")
+    return conform(events), rejected.select(F.col("_raw").alias("raw"), F.col("_unknown").alias("unknown_keys"), F.col("_reason").alias("reason"), "honeypot_id")
+
+
+def judged_lines(raw: DataFrame, cidr: DataFrame | None = None) -> DataFrame:
+    """Every line once, with its event's columns and, if it is refused, the reason.
 
     `raw` holds `raw` and the reader's stamps `honeypot_id`, `honeypot_name`. A line that is no
-    JSON, carries an unknown field or an address that is none is rejected with its reason and its
-    original; a bad timestamp is not a reason.
+    JSON, carries an unknown field, an address that is none or a value of the wrong type is
+    rejected with its reason and its original; a bad timestamp is not a reason.
     """
     stamped = raw
     for c in ("honeypot_id", "honeypot_name"):
@@ -112,13 +144,13 @@ def normalize(raw: DataFrame, cidr: DataFrame | None = None) -> tuple[DataFrame,
             stamped = stamped.withColumn(c, F.lit(None).cast("string"))
 
     def judge(body: Column) -> Column:
-        return bind(F.from_json(body, "map<string,string>"), lambda m: bind(_unknown_keys(m, body), lambda unknown: verdict(m, unknown)))
+        return bind(F.from_json(body, "map<string,string>"), lambda m: bind(_unknown_keys(m, body), lambda unknown: verdict(m, unknown, body)))
 
-    def verdict(m: Column, unknown: Column) -> Column:
+    def verdict(m: Column, unknown: Column, body: Column) -> Column:
         bad = lambda c: F.try_element_at(m, F.lit(c)).isNotNull() & ~_address(F.try_element_at(m, F.lit(c)))
         reason = (
             F.when(m.isNull(), "malformed_json").when(F.size(unknown) > 0, "unknown_field")
-            .when(bad("src_ip") | bad("dst_ip"), "invalid_address")
+            .when(bad("src_ip") | bad("dst_ip"), "invalid_address").when(_wrong_type(m, body), "invalid_type")
         )
         return F.struct(reason.alias("reason"), F.coalesce(unknown, F.array().cast(_NONE)).alias("unknown"), F.try_element_at(m, F.lit("error")).alias("error"))
 
@@ -127,10 +159,7 @@ def normalize(raw: DataFrame, cidr: DataFrame | None = None) -> tuple[DataFrame,
     body = F.when(nested, F.coalesce(F.get_json_object("raw", "$.cowrie"), F.col("raw"))).otherwise(F.col("raw"))
     # A generated column: a filter on it stays above, so each line is judged once.
     judged = stamped.withColumn("_body", body).withColumn("_v", F.explode_outer(F.array(judge(F.col("_body")))))
-    rejected = judged.filter(F.col("_v.reason").isNotNull()).select(
-        "raw", F.col("_v.unknown").alias("unknown_keys"), F.col("_v.reason").alias("reason"), "honeypot_id"
-    )
-    good = judged.filter(F.col("_v.reason").isNull()).withColumn("_j", F.from_json("_body", RAW_DDL))
+    good = judged.withColumn("_j", F.from_json(F.when(F.col("_v.reason").isNull(), F.col("_body")), RAW_DDL))
     j = lambda c: F.col(f"_j.{c}")
     action = j("eventid")
     events = good.select(
@@ -139,16 +168,17 @@ def normalize(raw: DataFrame, cidr: DataFrame | None = None) -> tuple[DataFrame,
         F.coalesce("honeypot_id", j("honeypot.id")).alias("honeypot_id"),
         F.coalesce("honeypot_name", j("honeypot.name")).alias("honeypot_name"),
         F.coalesce(j("network.protocol"), j("protocol"), F.lit("ssh")).alias("protocol"),
-        *[j(r).alias(c) for r, c in RENAMES.items() if c != "protocol"],
+        *[(j(r).try_cast("int") if r in PORTS else j(r)).alias(c) for r, c in RENAMES.items() if c != "protocol"],
         event_category(action).alias("category"), event_outcome(action).alias("outcome"),
         F.when(action.isin(*REASON_ACTIONS), F.col("_v.error")).alias("reason"),
         j("output").alias("output"), j("http.request.method").alias("http_method"),
-        j("http.response.status_code").alias("http_status"), j("user_agent.original").alias("user_agent"),
-        j("source.country").alias("source_country"), F.coalesce(j("labels.seeded"), F.lit(False)).alias("labels_seeded"),
+        j("http.response.status_code").try_cast("int").alias("http_status"), j("user_agent.original").alias("user_agent"),
+        j("source.country").alias("source_country"), F.coalesce(j("labels.seeded").try_cast("boolean"), F.lit(False)).alias("labels_seeded"),
+        F.col("raw").alias("_raw"), F.col("_v.unknown").alias("_unknown"), F.col("_v.reason").alias("_reason"),
     )
     if cidr is not None:
         events = geoip_country(events, cidr)
-    return conform(events), rejected
+    return events
 
 
 def _address(x: Column) -> Column:
@@ -169,15 +199,43 @@ def geoip_country(ev: DataFrame, cidr: DataFrame, ip: str = "source_ip", country
     Addresses are located once each, on an equi-join by /16 block with a range check, and joined
     back: the range table may be as large as it likes, and nothing is compared with all of it.
     """
-    spread = cidr_ranges(cidr)
-    located = (
-        ev.filter(F.col(country).isNull() & F.col(ip).isNotNull()).select(ip).distinct()
-        .withColumn("_n", net.ipv4_long(ip)).withColumn("_b16", F.shiftright("_n", 16))
-        .join(spread, "_b16").filter(F.col("_n").between(F.col("lo"), F.col("hi")))
+    wanted = ev.filter(F.col(country).isNull() & F.col(ip).isNotNull()).select(ip).distinct()
+    located = _located_v4(wanted, cidr, ip).unionByName(_located_v6(wanted, cidr, ip))
+    return ev.join(located, ip, "left").withColumn(country, F.coalesce(country, "_country")).select(*ev.columns)
+
+
+def _located_v4(wanted: DataFrame, cidr: DataFrame, ip: str) -> DataFrame:
+    return (
+        wanted.filter(net.is_ipv4(ip)).withColumn("_n", net.ipv4_long(ip)).withColumn("_b16", F.shiftright("_n", 16))
+        .join(cidr_ranges(cidr), "_b16").filter(F.col("_n").between(F.col("lo"), F.col("hi")))
         # The narrowest range that holds the address.
         .groupBy(ip).agg(F.min_by("country", F.struct((F.col("hi") - F.col("lo")).alias("w"), "lo")).alias("_country"))
     )
-    return ev.join(located, ip, "left").withColumn(country, F.coalesce(country, "_country")).select(*ev.columns)
+
+
+def cidr_ranges_v6(cidr: DataFrame) -> DataFrame:
+    """IPv6 blocks as inclusive ranges of 32 hex digits, spread over the first four digits they cover."""
+    rows = cidr.filter(F.contains("cidr", F.lit(":"))).select("country", net.ipv6_hex(F.substring_index("cidr", "/", 1)).alias("base"), F.substring_index("cidr", "/", -1).cast("int").alias("bits"))
+    whole, rest = F.floor(F.col("bits") / 4).cast("int"), F.pmod(F.col("bits"), F.lit(4)).cast("int")
+    digit = F.conv(F.substring("base", whole + 1, F.lit(1)), 16, 10).cast("int")
+    step = F.pow(F.lit(2), F.lit(4) - rest).cast("int")
+    low = (F.floor(digit / step) * step).cast("int")
+    hexed = lambda n: F.lower(F.hex(n.cast("long")))
+    head = F.substring("base", F.lit(1), whole)
+    lo = F.when(rest == 0, F.rpad(head, 32, "0")).otherwise(F.rpad(F.concat(head, hexed(low)), 32, "0"))
+    hi = F.when(rest == 0, F.rpad(head, 32, "f")).otherwise(F.rpad(F.concat(head, hexed(low + step - 1)), 32, "f"))
+    ranges = rows.filter(F.col("base").isNotNull()).select("country", "bits", lo.alias("lo"), hi.alias("hi"))
+    first = lambda c: F.conv(F.substring(c, 1, 4), 16, 10).cast("int")
+    return ranges.withColumn("_b16", F.explode(F.sequence(first("lo"), first("hi"))))
+
+
+def _located_v6(wanted: DataFrame, cidr: DataFrame, ip: str) -> DataFrame:
+    placed = wanted.filter(F.contains(ip, F.lit(":"))).withColumn("_h", net.ipv6_hex(ip)).filter(F.col("_h").isNotNull())
+    placed = placed.withColumn("_b16", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
+    return (
+        placed.join(cidr_ranges_v6(cidr), "_b16").filter(F.col("_h").between(F.col("lo"), F.col("hi")))
+        .groupBy(ip).agg(F.min_by("country", F.struct((-F.col("bits")).alias("w"), "lo")).alias("_country"))
+    )
 
 
 def web_sessions(requests: DataFrame, gap_us: int = WEB_GAP_US) -> DataFrame:

@@ -7,9 +7,10 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lureframe.functions import text
 from lureframe.functions.ordered import as_of, interval_join, modal, top_per_group
 from lureframe.operators import fleet
-from lureframe.operators.fleet import KEYWORD_MAX, lit_ts
+from lureframe.operators.fleet import lit_ts
 from lureframe.operators.rules import command_hits
 from lureframe.operators.sessions import COMMAND
 
@@ -156,14 +157,14 @@ def traffic_by_period(ev: DataFrame, spans: DataFrame, exact: bool = True) -> Da
     return out
 
 
-def sensor_techniques(ev: DataFrame, spans: DataFrame, rules: DataFrame, start: datetime, end: datetime) -> DataFrame:
+def sensor_techniques(ev: DataFrame, spans: DataFrame, rules: DataFrame, start: datetime, end: datetime, max_length: int | None = None) -> DataFrame:
     """Techniques of each sensor's commands, counted over events and per period.
 
     Commands are first counted per (sensor, command, period); the rulebook then runs once per
     distinct command text and its hits join the counts, never the events.
     """
     rows = ev.filter(
-        (F.col("action") == COMMAND) & F.col("command_line").isNotNull() & (F.length("command_line") <= KEYWORD_MAX)
+        (F.col("action") == COMMAND) & F.col("command_line").isNotNull() & text.up_to("command_line", max_length)
         & F.col("ts").between(lit_ts(start), lit_ts(end))
     ).select("honeypot_id", "ts", "session_id", "command_line")
     hits = command_hits(rows)

@@ -64,7 +64,8 @@ def matches(filters: dict | None = None, start=None, end=None, q: str | None = N
 
 def search(ev: DataFrame, filters=None, start=None, end=None, q=None, page: int = 1, size: int = 100) -> DataFrame:
     """one page, oldest first (top-k, no full sort), with the exact total on every row."""
-    page, size = max(page, 1), min(max(size, 1), MAX_PAGE_SIZE)
+    if page < 1 or not 1 <= size <= MAX_PAGE_SIZE:
+        raise ValueError(f"page must be at least 1 and size 1..{MAX_PAGE_SIZE}")
     if page * size > MAX_DEPTH:
         raise ValueError(f"page * size must not exceed {MAX_DEPTH}")
     found = ev.filter(matches(filters, start, end, q))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lureframe.functions import text
 from lureframe.functions.ordered import modal, number_rows, number_runs, top_per_group
+from lureframe.functions.streamed import chunk_numbers
 from lureframe.schema import ensure
 
 COMMAND = "cowrie.command.input"
@@ -221,8 +222,7 @@ def compact_summary(ev: DataFrame) -> DataFrame:
     )
 
 
-# Commands of one session handled together by an ordered fold. A longer session continues in
-# further blocks, so no group is ever larger than this.
+# Commands of one session that one row may hold; the fold of a longer session reads it row by row.
 BLOCK_ROWS = 4096
 
 
@@ -232,8 +232,8 @@ def pack_chunks(
     """Greedy in-order packing of a session's commands into chunks under a token budget.
 
     A chunk costs its fixed header and footer plus one rendered entry per command; a command that
-    alone exceeds the budget is cut in the middle first. `heads` is `compact_summary`. A block of
-    a very long session always starts a new chunk, so no fold ever sees more than a block.
+    alone exceeds the budget is cut in the middle first. `heads` is `compact_summary`. A session
+    of more than `rows_per_block` commands is sorted and folded row by row under the same rule.
     """
     limit = budget * text.CHARS_PER_TOKEN
     size = lambda *parts: sum((F.length(p) for p in parts), F.lit(0))
@@ -255,12 +255,15 @@ def pack_chunks(
     whole = entry(F.col("command"))
     cost = F.when(F.col("_frame") + whole > limit, entry(text.truncate_middle("command", limit // 2))).otherwise(whole)
     placed = (
-        number_rows(compacted, ["session_id"], "ts", "event_id").withColumn("block", F.expr(f"pos div {rows_per_block}"))
+        number_rows(compacted, ["session_id"], "ts", "event_id")
         .join(frame, "session_id").withColumn("_cost", cost)
     )
-    groups = placed.groupBy("session_id", "block").agg(
-        F.first("_frame").alias("_frame"),
-        F.array_sort(F.collect_list(F.struct("pos", "event_id", F.col("_cost").cast("long").alias("cost")))).alias("_items"),
+    placed = placed.select("session_id", "event_id", "pos", F.col("_frame").cast("long").alias("frame"), F.col("_cost").cast("long").alias("cost"))
+    size_of = placed.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n"))
+    short = placed.join(size_of.filter(F.col("_n") <= rows_per_block).select("session_id"), "session_id", "left_semi")
+    long = placed.join(size_of.filter(F.col("_n") > rows_per_block).select("session_id"), "session_id", "left_semi")
+    groups = short.groupBy("session_id").agg(
+        F.first("frame").alias("_frame"), F.array_sort(F.collect_list(F.struct("pos", "event_id", "cost"))).alias("_items"),
     )
     # The fold keeps only where each further chunk starts; a chunk holds many commands, so that
     # list is short and is copied only when it grows.
@@ -274,15 +277,13 @@ def pack_chunks(
         )
 
     folded = groups.withColumn("_starts", F.aggregate("_items", zero, step, lambda acc: acc["starts"]))
-    # Chunk numbers continue across the blocks of a session.
-    before = Window.partitionBy("session_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum(F.size("_starts") + 1).over(before), F.lit(0))
-    rows = folded.withColumn("_off", offset).select("session_id", "_off", "_starts", F.explode("_items").alias("_i"))
+    rows = folded.select("session_id", "_starts", F.explode("_items").alias("_i"))
     inside = F.size(F.filter("_starts", lambda at: at <= F.col("_i.pos")))
-    return rows.select(
-        "session_id", (F.col("_off") + inside).alias("chunk_no"), F.col("_i.event_id").alias("event_id"),
-        F.col("_i.pos").alias("pos"), F.col("_i.cost").alias("chars"),
+    packed = rows.select(
+        "session_id", inside.cast("long").alias("chunk_no"), F.col("_i.event_id").alias("event_id"), F.col("_i.pos").alias("pos"), F.col("_i.cost").alias("chars"),
     )
+    read = long.join(chunk_numbers(long, limit), ["session_id", "pos"])
+    return packed.unionByName(read.select("session_id", "chunk_no", "event_id", "pos", F.col("cost").alias("chars")))
 
 
 def session_replay(ev: DataFrame, frames: DataFrame, slack_seconds: float = 5.0, sensors: DataFrame | None = None) -> DataFrame:

@@ -350,16 +350,20 @@ def _chains(spark, d):
 
 @query(
     "sessions_by_marker",
-    sql("""SELECT m.event_id AS run_id, arg_min(e.session_id, (e.ts, e.session_id)) AS session_id FROM ev m
-      JOIN ev e ON e.honeypot_id = m.honeypot_id AND NOT e.labels_seeded AND e.command_line LIKE '%wget%' AND e.command_line LIKE '%bins%' AND e.ts BETWEEN m.ts - INTERVAL 1 HOUR AND m.ts + INTERVAL 1 HOUR
-      WHERE m.action = 'cowrie.login.success' GROUP BY 1"""),
+    sql("""SELECT run_id, arg_min(e.session_id, (e.ts, e.session_id)) AS session_id FROM
+        (SELECT event_id AS run_id, honeypot_id, ts, '__probe' || left(md5(CAST(event_id % 500 AS VARCHAR)), 16) || '__' AS nonce FROM ev WHERE action = 'cowrie.login.success') m
+      JOIN (SELECT session_id, honeypot_id, ts, command_line || '; echo a__probe' || left(md5(CAST(event_id % 700 AS VARCHAR)), 16) || '__b' AS command_line
+        FROM ev WHERE action = 'cowrie.command.input' AND NOT labels_seeded) e
+      ON e.honeypot_id = m.honeypot_id AND contains(e.command_line, m.nonce) AND e.ts BETWEEN m.ts - INTERVAL 24 HOUR AND m.ts + INTERVAL 24 HOUR GROUP BY 1"""),
 )
 def _marker(spark, d):
     ev = A.events(spark, d)
+    marker = lambda n: F.concat(F.lit("__probe"), F.left(F.md5((F.col("event_id") % n).cast("string").cast("binary")), F.lit(16)), F.lit("__"))
     markers = ev.filter("action = 'cowrie.login.success'").select(
-        F.col("event_id").alias("run_id"), F.lit("bins").alias("nonce"), "honeypot_id", F.col("ts").alias("started_at"), F.col("ts").alias("finished_at")
+        F.col("event_id").alias("run_id"), marker(500).alias("nonce"), "honeypot_id", F.col("ts").alias("started_at"), F.col("ts").alias("finished_at")
     )
-    return V.sessions_by_marker(ev, markers, skew_seconds=3600)
+    said = ev.withColumn("command_line", F.concat("command_line", F.lit("; echo a"), marker(700), F.lit("b")))
+    return V.sessions_by_marker(said, markers, skew_seconds=24 * 3600)
 
 
 @query(

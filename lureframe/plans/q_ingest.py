@@ -26,7 +26,7 @@ def _raw(spark, d):
     line = F.to_json(F.struct(
         F.col("action").alias("eventid"), F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")).alias("timestamp"),
         F.col("session_id").alias("session"), F.when(k % 29 == 0, "not-an-ip").otherwise(F.col("source_ip")).alias("src_ip"),
-        F.col("source_port").alias("src_port"), F.when(F.col("protocol") == "telnet", "telnet").alias("protocol"),
+        F.when(k % 23 == 0, "ssh").otherwise(F.col("source_port").cast("string")).alias("src_port"), F.when(F.col("protocol") == "telnet", "telnet").alias("protocol"),
         F.col("command_line").alias("input"), "username", "password", F.col("sha256").alias("shasum"), F.col("file_url").alias("url"),
         F.lit("noise").alias("message"), F.when(k % 17 == 0, "?").alias("mystery"), F.when(k % 3 == 0, 1.5).alias("duration"),
         F.when(k % 13 == 0, True).alias("late"), F.struct(F.when(k % 31 == 0, "x").alias("odd")).alias("network"),
@@ -35,7 +35,7 @@ def _raw(spark, d):
 
 
 BAD = """CASE WHEN k % 19 = 0 THEN 'malformed_json' WHEN k % 17 = 0 OR (k % 13 = 0 AND action <> 'cowrie.session.file_download') OR k % 31 = 0 THEN 'unknown_field'
-  WHEN k % 29 = 0 THEN 'invalid_address' END"""
+  WHEN k % 29 = 0 THEN 'invalid_address' WHEN k % 23 = 0 THEN 'invalid_type' END"""
 
 
 @query(
@@ -68,7 +68,7 @@ def _ingest_status(spark, d):
 
 @query(
     "url_parts",
-    r"""SELECT page_id, left(CASE WHEN p = '' THEN '/' ELSE p END, 2048) AS path, CASE WHEN qq <> '' THEN left(qq, 2048) END AS query FROM (
+    r"""SELECT page_id, CASE WHEN p = '' THEN '/' ELSE p END AS path, CASE WHEN qq <> '' THEN qq END AS query FROM (
       SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(url, '^[^#?]*\?([^#]*)', 1) AS qq FROM pages)""",
 )
 def _url_parts(spark, d):

@@ -36,15 +36,25 @@ def read_sensor_logs(spark: SparkSession, path: str | list[str], sensors: list[t
     return _lines(spark.read.option("recursiveFileLookup", "true").text(path), sensors)
 
 
-def stream_sensor_logs(spark: SparkSession, path: str, sensors: list[tuple[str, str, str]], files_per_batch: int = 1000) -> DataFrame:
-    """Closed daily logs as a stream. The checkpoint remembers the files, each read once."""
+def stream_sensor_logs(spark: SparkSession, path: str, sensors: list[tuple[str, str, str]], files_per_batch: int = 1000, names: str = ROTATED) -> DataFrame:
+    """Closed daily logs as a stream. The checkpoint remembers the files, each read once.
+
+    A file that still grows would be read once, too early, so by default only logs renamed at the end of their day
+    are taken; `names` is the glob, and `waiting_logs` counts the files that it leaves for later."""
     reader = (
         spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).option("latestFirst", "false")
-        .option("recursiveFileLookup", "true").option("pathGlobFilter", ROTATED)
+        .option("recursiveFileLookup", "true").option("pathGlobFilter", names)
     )
     return _lines(reader.load(path), sensors)
 
 
+def waiting_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Files and bytes below path that `stream_sensor_logs` doesn't take yet."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    closed = F.regexp_extract("path", r"[^/]*$", 0).rlike(r"\.json\.[0-9]{4}-[0-9]{2}-[0-9]{2}$")
+    return files.filter(~closed).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
 def seed_corpus(spark: SparkSession, path: str, as_of: datetime) -> DataFrame:
     """Fixture sessions as timed raw lines; the corpus ends five minutes before `as_of`."""
     rows = spark.read.schema(SEED_DDL).option("multiLine", "true").json(path)

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 HEADER = struct.Struct("<iLiiLL")
 OP_OPEN, OP_WRITE = 1, 3
 OUTPUT, EXEC_INPUT = 2, 3
-MAX_BYTES = 5_000_000
 # --- end of fixed values ---
 FRAME_DDL = "sha256 string, opened double, t double, data string, truncated boolean"
 
@@ -35,19 +34,22 @@ def _frames(raw: bytes) -> tuple[float | None, list[tuple[float, str]]]:
     return opened, out
 
 
-def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _decode(batches: Iterator[pd.DataFrame], max_bytes: int | None) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for name, content, length in zip(batch["sha256"], batch["content"], batch["length"], strict=True):
             opened, frames = _frames(bytes(content))
             # A recording without frames keeps one row, so that it is known to exist.
-            rows += [(name, opened, t, d, length > MAX_BYTES) for t, d in frames or [(None, None)]]
+            rows += [(name, opened, t, d, max_bytes is not None and length > max_bytes) for t, d in frames or [(None, None)]]
         yield pd.DataFrame(rows, columns=["sha256", "opened", "t", "data", "truncated"])
 
 
-def read_recordings(spark: SparkSession, path: str) -> DataFrame:
-    """One row per frame of every recording below `path`; files are named by their SHA-256."""
+def read_recordings(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """One row per frame of every recording below `path`; files are named by their SHA-256.
+
+    A `max_bytes` reads only the head of longer files and marks them truncated; without one files are read whole.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     named = files.withColumn("sha256", F.regexp_extract("path", r"([^/]+)$", 1)).filter(F.col("sha256").rlike(r"\A[0-9a-f]{64}\z"))
-    head = named.select("sha256", F.substring("content", 1, MAX_BYTES).alias("content"), "length")
-    return head.mapInPandas(_decode, FRAME_DDL)
+    head = named.select("sha256", (F.col("content") if max_bytes is None else F.substring("content", 1, max_bytes)).alias("content"), "length")
+    return head.mapInPandas(lambda batches: _decode(batches, max_bytes), FRAME_DDL)

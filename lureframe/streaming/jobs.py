@@ -6,8 +6,9 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -17,6 +18,7 @@ from lureframe.operators import indicators, ingest
 from lureframe.operators.fleet import trend
 from lureframe.operators.rules import techniques_of
 from lureframe.operators.sessions import CLOSED, COMMAND
+from lureframe.session import discard, write_once
 from lureframe.sources import sinks
 
 
@@ -25,25 +27,43 @@ def _start(stream: DataFrame, checkpoint: str, each_batch, mode: str = "append",
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def ingest_stream(raw: DataFrame, events_path: str, dead_path: str, checkpoint: str, cidr: DataFrame | None = None, late: str = "1 hour", once: bool = True) -> StreamingQuery:
+def _stored(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """What earlier batches stored below path; None before the first."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(hadoop):
+        return None
+    rows = spark.read.parquet(path)
+    return rows.filter(F.col("batch_id") != batch_id) if "batch_id" in rows.columns else None
+
+
+def ingest_stream(raw: DataFrame, events_path: str, dead_path: str, checkpoint: str, cidr: DataFrame | None = None, once: bool = True) -> StreamingQuery:
     """Raw lines to the event log and the dead letters.
 
-    Redelivered lines are dropped by content within the watermark; each micro-batch overwrites its
-    own partition, so a batch replayed after a lost executor or driver leaves one copy.
+    No clock decides what is kept: a line of any age is stored, whenever it comes. A redelivered line is known by
+    its id (sensor and content) and left out if its batch or an earlier one holds it; a line's day is part of its
+    content, so only stored days that the batch touches are read. Lines are parsed once, into a staged relation.
+    Each micro-batch overwrites its own partition, so a batch replayed after a lost executor or driver leaves one
+    copy.
     """
-    stamped = raw.withColumn("_id", F.sha2(F.concat_ws("\n", F.coalesce("honeypot_id", F.lit("")), "raw"), 256)).withColumn(
-        "_ts", F.coalesce(F.try_to_timestamp(F.get_json_object("raw", "$.timestamp")), F.current_timestamp())
-    )
-    unique = stamped.withWatermark("_ts", late).dropDuplicatesWithinWatermark(["_id"]).drop("_id", "_ts")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        good, bad = ingest.normalize(batch, cidr)
-        sinks.write_events(good, f"{events_path}/batch_id={batch_id}", mode="overwrite")
-        bad.write.mode("overwrite").parquet(f"{dead_path}/batch_id={batch_id}")
-        batch.unpersist()
-
-    return _start(unique, checkpoint, write, once=once)
+        spark = batch.sparkSession
+        lines = ingest.judged_lines(batch, cidr).dropDuplicates(["event_id"]).withColumn("event_date", F.to_date("ts"))
+        staged = write_once(lines)
+        old_events, old_dead = _stored(spark, events_path, batch_id), _stored(spark, dead_path, batch_id)
+        good, bad = staged.filter(F.col("_reason").isNull()), staged.filter(F.col("_reason").isNotNull())
+        if old_events is not None:
+            days = [r["event_date"] for r in good.select("event_date").distinct().collect()]  # the days of one micro-batch
+            touched = F.col("event_date").isin([d for d in days if d is not None]) | (F.col("event_date").isNull() & F.lit(None in days))
+            good = good.join(old_events.filter(touched).select("event_id"), "event_id", "left_anti")
+        if old_dead is not None:
+            bad = bad.join(old_dead.select("event_id"), "event_id", "left_anti")
+        sinks.write_events(good.drop("_raw", "_unknown", "_reason", "event_date"), f"{events_path}/batch_id={batch_id}", mode="overwrite")
+        refused = bad.select("event_id", F.col("_raw").alias("raw"), F.col("_unknown").alias("unknown_keys"), F.col("_reason").alias("reason"), "honeypot_id")
+        refused.write.mode("overwrite").parquet(f"{dead_path}/batch_id={batch_id}")
+        discard(staged)
+
+    return _start(raw, checkpoint, write, once=once)
 
 
 def activity_counts(events: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
@@ -64,14 +84,15 @@ def inactivity_sessions(events: DataFrame, gap: str = "30 minutes", late: str =
     )
 
 
-STATE_DDL = "first timestamp, last timestamp, events bigint, commands bigint, logged_in boolean"
+STATE_DDL = "first timestamp, last timestamp, events bigint, commands bigint, logged_in boolean, closed boolean"
 OUT_DDL = "session_id string, started_at timestamp, last_at timestamp, events bigint, commands bigint, logged_in boolean, ended string"
 
 
 def session_states(events: DataFrame, idle_minutes: int = 60, late: str = "10 minutes") -> DataFrame:
-    """T4: a session's running facts, emitted when it closes or falls silent.
+    """T4: a session's facts, once: when it has closed and the watermark has passed its last event, or when it has
+    been silent for too long. Events that come after the close but in time are part of it.
 
-    The state is five numbers per session; a batch of a hot session arrives as an iterator of
+    The state is six values per session; a batch of a hot session arrives as an iterator of
     frames and is folded, never held.
     """
 
@@ -80,12 +101,11 @@ def session_states(events: DataFrame, idle_minutes: int = 60, late: str = "10 mi
             return pd.DataFrame([(key[0], *s, why)], columns=["session_id", "started_at", "last_at", "events", "commands", "logged_in", "ended"])
 
         if state.hasTimedOut:
-            s = state.get
+            *s, closed = state.get
             state.remove()
-            yield row(s, "timeout")
+            yield row(s, "closed" if closed else "timeout")
             return
-        first, last, n, cmds, logged = state.get if state.exists else (None, None, 0, 0, False)
-        closed = False
+        first, last, n, cmds, logged, closed = state.get if state.exists else (None, None, 0, 0, False, False)
         for f in frames:
             lo, hi = f["ts"].min().to_pydatetime(), f["ts"].max().to_pydatetime()
             first, last = lo if first is None else min(first, lo), hi if last is None else max(last, hi)
@@ -93,14 +113,8 @@ def session_states(events: DataFrame, idle_minutes: int = 60, late: str = "10 mi
             cmds += int((f["action"] == COMMAND).sum())
             logged = logged or bool((f["action"] == "cowrie.login.success").any())
             closed = closed or bool((f["action"] == CLOSED).any())
-        s = (first, last, n, cmds, logged)
-        if closed:
-            if state.exists:
-                state.remove()
-            yield row(s, "closed")
-            return
-        state.update(s)
-        due = int(pd.Timestamp(last).timestamp() * 1000) + idle_minutes * 60_000
+        state.update((first, last, n, cmds, logged, closed))
+        due = int(pd.Timestamp(last).timestamp() * 1000) + (1 if closed else idle_minutes * 60_000)
         state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
 
     slim = events.select("session_id", "ts", "action").withWatermark("ts", late)
@@ -108,21 +122,35 @@ def session_states(events: DataFrame, idle_minutes: int = 60, late: str = "10 mi
 
 
 def indicator_stream(events: DataFrame, links_path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """T5: indicator links per micro-batch. A link row is keyed by (type, value, session), so a
-    replay rewrites its own batch and re-reading a session adds nothing; CORRELATED follows from
-    the distinct sessions on read (`current_indicators`)."""
+    """T5: indicator links per micro-batch, and each session's earliest address and user name so far.
+
+    Which address and user name a session has depends on all of its events, so a batch stores its own earliest
+    ones with their order, and `current_indicators` takes the earliest over all batches. A replay rewrites its
+    own batch, and re-reading a session adds nothing.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        seen = batch.groupBy("session_id").agg(F.max("ts").alias("seen_at"))
-        links = indicators.session_links(indicators.extract(batch).join(seen, "session_id"))
-        links.write.mode("overwrite").parquet(f"{links_path}/batch_id={batch_id}")
+        named = F.col("username").isNotNull() & (F.col("username") != "")
+        heads = batch.groupBy("session_id").agg(
+            F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.min(F.struct("ts", "event_id", "source_ip")).alias("head"),
+            F.min(F.when(named, F.struct("ts", "event_id", "username"))).alias("user"),
+        )
+        seen = heads.select("session_id", F.col("last_seen").alias("seen_at"))
+        links = indicators.session_links(indicators.extract(batch).filter(~F.col("type").isin("ip", "username") | ~F.col("artifact").startswith("connection from ")).join(seen, "session_id"))
+        links.unionByName(heads, allowMissingColumns=True).write.mode("overwrite").parquet(f"{links_path}/batch_id={batch_id}")
 
     return _start(events, checkpoint, write, once=once)
 
 
 def current_indicators(links: DataFrame) -> DataFrame:
-    """T5: the indicator table over every batch's links."""
-    distinct = links.groupBy("type", "value", "session_id").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    """T5: the indicator table over every batch's links, equal to the batch answer."""
+    heads = links.filter(F.col("type").isNull()).groupBy("session_id").agg(
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min("head").alias("head"), F.min("user").alias("user"),
+    )
+    item = lambda kind, value: F.when(value.isNotNull() & (value != ""), F.struct(F.lit(kind).alias("type"), value.alias("value")))
+    own = heads.select("session_id", "first_seen", "last_seen", F.explode(F.array_compact(F.array(item("ip", F.col("head.source_ip")), item("username", F.col("user.username"))))).alias("_i"))
+    rows = links.filter(F.col("type").isNotNull()).select("type", "value", "session_id", "first_seen", "last_seen").unionByName(own.select("_i.type", "_i.value", "session_id", "first_seen", "last_seen"))
+    distinct = rows.groupBy("type", "value", "session_id").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
     return indicators.correlate(distinct)
 
 
@@ -153,7 +181,23 @@ def against_previous(windows: DataFrame) -> DataFrame:
     return joined.select("start", "end", "events", "previous", pct.alias("trend_pct"), direction.alias("direction"))
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that arrived past the watermark; they are counted here and stay in the batch log."""
-    batches = [json.loads(p.json) for p in query.recentProgress]
-    return sum(int(op["numRowsDroppedByWatermark"]) for b in batches for op in b["stateOperators"])
+class LateRows(StreamingQueryListener):
+    """Rows that arrived past a watermark, by query id, from every batch of the session's queries while it listens
+    (`spark.streams.addListener(LateRows())`). They are counted here and stay in the batch log."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.rows.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        progress = json.loads(event.progress.json)
+        late = sum(int(op["numRowsDroppedByWatermark"]) for op in progress["stateOperators"])
+        self.rows[progress["id"]] = self.rows.get(progress["id"], 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

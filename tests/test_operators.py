@@ -2,6 +2,8 @@
 
 from datetime import datetime, timedelta
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from lureframe.functions import text
@@ -107,7 +109,7 @@ def test_fingerprint_of_long_sessions_keeps_equality(spark):
         assert p["a"] == p["b"] and len({p["a"], p["c"], p["d"]}) == 3
     import hashlib
 
-    assert whole["a"] == hashlib.sha256("\n".join(long).encode()).hexdigest()[:12] and small["d"] == whole["d"]
+    assert whole["a"] == hashlib.sha256("\n".join(long).encode()).hexdigest()[:12] and small == whole
 
 
 def test_jaccard(spark):
@@ -123,6 +125,32 @@ def test_coverage_flag_reports_a_cap(spark):
     assert tuple(campaigns.coverage_flag(cmds).first()) == (3, True, None)
     assert tuple(campaigns.coverage_flag(cmds, max_events=10).first()) == (2, False, "command_event_limit")
     assert tuple(campaigns.coverage_flag(cmds, max_sessions=2).first()) == (2, False, "session_limit")
+    assert tuple(campaigns.coverage_flag(cmds, max_sessions=2, max_events=9).first()) == (1, False, "command_event_limit")
+    many = script(spark, [(f"m{i}", "i", "h", 100 * i, ["a"]) for i in range(3000)])
+    assert tuple(campaigns.coverage_flag(campaigns.command_events(many), max_events=10**9).first()) == (3000, True, None)
+
+
+def test_chunks_of_a_long_session_follow_the_same_rule(spark):
+    ev = script(spark, [("a", "1.0.0.1", "h", 0, [f"echo {'x' * (i % 90)} {i}" for i in range(300)]), ("b", "1.0.0.2", "h", 50, ["id", "ls"])])
+    rows, heads = sessions.compact(ev), sessions.compact_summary(ev)
+    got = [sorted((r.session_id, r.pos, r.chunk_no, r.chars) for r in sessions.pack_chunks(rows, heads, budget=400, rows_per_block=n).collect()) for n in (4096, 16)]
+    assert got[0] == got[1] and max(c for _, _, c, _ in got[0]) > 5
+
+
+def test_markers_are_found_inside_commands(spark):
+    at = datetime(2024, 3, 1)
+    good, other = "__lf_00112233445566ff__", "__lf_ffffffffffffffff__"
+    rows = [("s1", "h", at, sessions.COMMAND, f"echo zz{good}zz"), ("s0", "h", at, sessions.COMMAND, "echo 00112233445566ff"), ("s2", "h", at + timedelta(hours=9), sessions.COMMAND, f"echo {good}"), ("s3", "h", at - timedelta(minutes=1), "web.request", good), ("s4", "h", at, sessions.COMMAND, f"a{other}{good[2:]}")]
+    ev = spark.createDataFrame([(*r, False) for r in rows], "session_id string, honeypot_id string, ts timestamp, action string, command_line string, labels_seeded boolean")
+    runs = spark.createDataFrame([("r1", good, "h", at, at), ("r2", other, "h", at, at), ("r3", good, "elsewhere", at, at)], "run_id string, nonce string, honeypot_id string, started_at timestamp, finished_at timestamp")
+    assert {r.run_id: r.session_id for r in evaluation.sessions_by_marker(ev, runs).collect()} == {"r1": "s1", "r2": "s4"}
+
+
+def test_a_page_that_is_too_large_is_refused(spark):
+    ev = script(spark, [("s1", "i", "h", 0, ["a"])])
+    for bad in ({"size": 501}, {"size": 0}, {"page": 0}):
+        with pytest.raises(ValueError):
+            search.search(ev, **bad)
 
 
 def test_trend_has_no_jump_from_zero(spark):

@@ -2,6 +2,7 @@
 
 import json
 import struct
+import time
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -149,9 +150,24 @@ def test_session_state_and_late_rows(spark, tmp_path):
     got = {(r.session_id, r.events, r.commands, r.logged_in, r.ended) for r in spark.table("states").collect()}
     q.stop()
     assert ("a", 3, 1, True, "closed") in got and ("b", 1, 1, False, "timeout") in got
+    late = jobs.LateRows()
+    spark.streams.addListener(late)
     q = drain(jobs.activity_counts(src), "lateness")
-    assert jobs.late_rows(q) == 1
+    for _ in range(100):
+        if late.rows.get(q.id):
+            break
+        time.sleep(0.1)
+    assert late.rows[q.id] == 1
     q.stop()
+    spark.streams.removeListener(late)
+
+
+def test_an_event_after_the_close_is_part_of_its_session(spark, tmp_path):
+    frames = [slim(spark, [ev(1, 0, "a")]), slim(spark, [ev(2, 2, "a", sessions.CLOSED)]), slim(spark, [ev(3, 1, "a")]), slim(spark, [ev(4, 600, "z")]), slim(spark, [ev(5, 601, "z")])]
+    q = drain(jobs.session_states(event_stream(spark, tmp_path, frames)), "closing")
+    got = [(r.session_id, r.events, r.commands, r.ended) for r in spark.table("closing").collect()]
+    q.stop()
+    assert got == [("a", 3, 2, "closed")]
 
 
 def test_indicator_stream_is_idempotent(spark, tmp_path):
@@ -161,11 +177,11 @@ def test_indicator_stream_is_idempotent(spark, tmp_path):
     q = jobs.indicator_stream(src, links, str(tmp_path / "ck"))
     q.awaitTermination(180)
     assert q.exception() is None
-    got = {(r.type, r.value, r.source) for r in jobs.current_indicators(spark.read.parquet(links)).collect() if r.type in ("hash", "url")}
+    got = {(r.type, r.value, r.session_count, r.source) for r in jobs.current_indicators(spark.read.parquet(links)).collect()}
     from lureframe.operators import indicators as I
 
     batch = I.correlate(I.session_links(I.extract(base).withColumn("seen_at", F.lit(T0))))
-    assert got == {(r.type, r.value, r.source) for r in batch.collect() if r.type in ("hash", "url")}
+    assert got == {(r.type, r.value, r.session_count, r.source) for r in batch.collect()}
 
 
 def test_first_sightings(spark, tmp_path):
@@ -173,3 +189,42 @@ def test_first_sightings(spark, tmp_path):
     q = drain(jobs.first_sightings(src), "first", "complete")
     assert {r.technique_id: r.event_id for r in spark.table("first").collect()} == {"T1082": 2, "T1033": 1}
     q.stop()
+
+
+def test_ingest_stream_keeps_lines_of_any_age(spark, tmp_path):
+    line = lambda n, day: json.dumps({"eventid": "cowrie.command.input", "timestamp": f"{day}T00:00:{n:02d}Z", "session": "s", "src_ip": "9.9.9.9", "input": f"cmd {n}"})
+    folder = tmp_path / "logs" / "ssh-a"
+    folder.mkdir(parents=True)
+    days = {"2024-05-01": ["no json"], "2099-01-01": [], "2024-04-01": ["no json"], "2023-01-01": []}
+    stored, dead, ck = (str(tmp_path / x) for x in ("events", "dead", "ck"))
+    for k, (day, odd) in enumerate(days.items()):
+        lines = [line(n, day) for n in range(5)] + odd + ([line(0, "2024-05-01")] if k else [])  # the last is redelivered
+        (folder / f"cowrie.json.2024-01-{k + 1:02d}").write_text("\n".join(lines))
+        q = jobs.ingest_stream(logs.stream_sensor_logs(spark, str(tmp_path / "logs"), SENSORS), stored, dead, ck)
+        q.awaitTermination(180)
+        assert q.exception() is None
+    events = spark.read.parquet(stored)
+    raw = logs.read_sensor_logs(spark, str(tmp_path / "logs"), SENSORS)
+    good, bad = ingest.normalize(raw.distinct())
+    ids = sorted(r.event_id for r in events.collect())
+    assert len(ids) == 20 and ids == sorted(r.event_id for r in good.collect())
+    assert [r.raw for r in spark.read.parquet(dead).collect()] == [r.raw for r in bad.collect()] == ["no json"]
+
+
+def test_values_of_the_wrong_type_are_refused(spark):
+    base = {"eventid": "cowrie.command.input", "timestamp": "2024-05-01T00:00:00Z", "session": "s"}
+    odd = [{"src_port": "abc"}, {"src_port": 2**40}, {"http": "x"}, {"session": {"a": 1}}, {"input": [1]}, {"http": {"response": {"status_code": "no"}}}, {"labels": {"seeded": "maybe"}}]
+    fine = [{"src_port": "22"}, {"src_port": 22}, {"input": "{not an object"}, {"input": '{"a":1}'}, {"http": {"response": {"status_code": 404}}}, {"labels": {"seeded": True}}]
+    rows = [(json.dumps(base | x), "hp", "n") for x in odd + fine]
+    good, bad = ingest.normalize(spark.createDataFrame(rows, "raw string, honeypot_id string, honeypot_name string"))
+    assert sorted(r.raw for r in bad.filter("reason = 'invalid_type'").collect()) == sorted(json.dumps(base | x) for x in odd)
+    kept = good.collect()
+    assert sorted((r.source_port for r in kept if r.source_port)) == [22, 22] and {r.command_line for r in kept} == {None, "{not an object", '{"a":1}'}
+    assert [r.http_status for r in kept if r.http_status] == [404] and sum(r.labels_seeded for r in kept) == 1
+
+
+def test_countries_of_both_address_families(spark):
+    cidr = spark.createDataFrame([("9.0.0.0/8", "AA"), ("9.9.0.0/16", "BB"), ("2a00::/12", "CC"), ("2a01:e00::/26", "DD"), ("2a01:e34:1::/47", "EE")], "cidr string, country string")
+    want = {"9.1.1.1": "AA", "9.9.1.1": "BB", "2a0f:1::1": "CC", "2a01:e01::5": "DD", "2a01:e34:1:ffff::1": "EE", "2a01:e34:2::1": "DD", "2b00::1": None, "8.8.8.8": None}
+    ev = spark.createDataFrame([(a, None) for a in want], "source_ip string, source_country string")
+    assert {r.source_ip: r.source_country for r in ingest.geoip_country(ev, cidr).collect()} == want

@@ -26,7 +26,7 @@ HITS = {
     "ls ~/.ssh/authorized_keys": set(), "echo k > authorized_keys.bak": set(), "cat /etc/passwd_old": set(),
     # quotes, escapes, comments
     'echo "one ; wget http://x"': set(), "echo 'one | wget http://x'": set(), 'echo "a \\" ; wget http://x"': set(), 'echo "a \\\\" ; wget http://x': {"T1105"},
-    "echo 'it\\'; wget http://x'": {"T1105"}, "echo a \; wget http://x": set(), 'echo "never closed ; wget http://x': set(), "echo a # b ; id\nid": {"T1033"},
+    "echo 'it\\'; wget http://x'": {"T1105"}, r"echo a \; wget http://x": set(), 'echo "never closed ; wget http://x': set(), "echo a # b ; id\nid": {"T1033"},
     "\\": set(), "wget http://x \\": {"T1105"}, "": set(),
     # raw-text rule sees an echoed write
     "echo key >> /root/.ssh/authorized_keys": {"T1098.004"},
