@@ -17,11 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lureframe.llm.store import save, split_count
+from lureframe.llm.store import back_id, save, sent_id, split_count
 
 SLOTS = 4
 MAX_ROUNDS = 64
 SHARD_ROWS = 200_000
+LAST_ID = 2**63 - 1  # rows without an id come after all others
 STATE = "shard int, sha string, h long, keep_id long, rows long, filter binary"
 ENTRY = "shard int, sha string, h long, first_id long, rows long"
 
@@ -100,7 +101,7 @@ class Shard:
     def __init__(self, stored: pd.DataFrame):
         keys = stored[stored["sha"].notna()]
         self.sha, self.h = keys["sha"].tolist(), keys["h"].astype("int64").tolist()
-        self.keep = [None if pd.isna(x) else int(x) for x in keys["keep_id"]]
+        self.keep = keys["keep_id"].astype("int64").tolist()
         self.rows = keys["rows"].astype("int64").tolist()
         self.bucket: dict[int, list[int]] = {}
         for i, h in enumerate(self.h):
@@ -125,16 +126,14 @@ class Shard:
         maybe = self.filter.contains(h.view(np.uint64))
         fresh = []
         for sha, hh, first, n, hit in zip(batch["sha"], h.tolist(), batch["first_id"], batch["rows"], maybe, strict=True):
-            first = None if pd.isna(first) else int(first)
             at = self.find(sha, hh) if hit else None  # a miss is surely new; a hit may be a false one
             if at is None:
                 self.bucket.setdefault(hh, []).append(len(self.sha))
-                self.sha.append(sha), self.h.append(hh), self.keep.append(first), self.rows.append(int(n))
+                self.sha.append(sha), self.h.append(hh), self.keep.append(int(first)), self.rows.append(int(n))
                 fresh.append(hh)
             else:
                 self.rows[at] += int(n)
-                if first is not None and (self.keep[at] is None or first < self.keep[at]):
-                    self.keep[at] = first
+                self.keep[at] = min(self.keep[at], int(first))
         if fresh:
             load = len(self.bucket) / (len(self.filter.table) * SLOTS)
             if load > 0.9 or not self.filter.insert(np.array(fresh, np.int64).view(np.uint64)):
@@ -153,11 +152,10 @@ class Shard:
     def stored(self, shard: int) -> pd.DataFrame:
         alive = [i for i, n in enumerate(self.rows) if n > 0]
         pick = lambda xs: [xs[i] for i in alive]
-        keys = pd.DataFrame({"sha": pd.Series(pick(self.sha), dtype=object), "h": pd.array(pick(self.h), "Int64"), "keep_id": pd.array(pick(self.keep), "Int64"), "rows": pd.array(pick(self.rows), "Int64"), "filter": pd.Series([None] * len(alive), dtype=object)})
-        own = pd.DataFrame({"sha": [None], "h": pd.array([None], "Int64"), "keep_id": pd.array([None], "Int64"), "rows": pd.array([None], "Int64"), "filter": [self.filter.dump()]})
-        out = pd.concat([keys, own], ignore_index=True)
-        out.insert(0, "shard", shard)
-        return out
+        return pd.DataFrame({
+            "shard": shard, "sha": [*pick(self.sha), None], "h": [*pick(self.h), 0], "keep_id": [*pick(self.keep), LAST_ID],
+            "rows": [*pick(self.rows), 0], "filter": [*[None] * len(alive), self.filter.dump()],
+        })
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -172,11 +170,10 @@ def combine(digest_rows: DataFrame, shards: int) -> DataFrame:
     def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             grouped = pdf.groupby(["shard", "sha", "h"], sort=False)
-            ids = grouped["doc_id"].agg("min").astype("Int64")
-            yield pd.DataFrame({"first_id": ids, "rows": grouped.size().astype("int64")}).reset_index()[["shard", "sha", "h", "first_id", "rows"]]
+            yield pd.DataFrame({"first_id": grouped["doc_id"].agg("min"), "rows": grouped.size().astype("int64")}).reset_index()[["shard", "sha", "h", "first_id", "rows"]]
 
     h = F.xxhash64("sha")
-    keyed = digest_rows.select(F.pmod(F.shiftright(h, 20), F.lit(shards)).cast("int").alias("shard"), "sha", h.alias("h"), "doc_id")
+    keyed = digest_rows.select(F.pmod(F.shiftright(h, 20), F.lit(shards)).cast("int").alias("shard"), "sha", h.alias("h"), sent_id("doc_id", LAST_ID))
     return keyed.mapInPandas(within, ENTRY)
 
 
@@ -195,7 +192,7 @@ def update(state: DataFrame | None, entries: DataFrame, delete: bool = False) ->
 
 
 def keys(state: DataFrame) -> DataFrame:
-    return state.where(F.col("sha").isNotNull()).select("sha", "keep_id", "rows")
+    return back_id(state.where(F.col("sha").isNotNull()).select("sha", "keep_id", "rows"), "keep_id", LAST_ID)
 
 
 def exact_groups(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lureframe.llm.store import back_id, sent_id
+
 SIGMA = 1.5
 SCHEMA = "page_id long, url string, text string, n_chars long"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -174,6 +176,6 @@ def extract(pages: DataFrame, sigma: float = SIGMA) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             text = [main_text(h, sigma) for h in pdf["html"]]
-            yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": text, "n_chars": [len(t) for t in text]})
+            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text, "n_chars": [len(t) for t in text]})
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInPandas(run, SCHEMA)
+    return back_id(pages.select(sent_id("page_id"), F.col("url").cast("string").alias("url"), "html").mapInPandas(run, SCHEMA), "page_id")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lureframe.llm.store import save, split_count
+from lureframe.llm.store import back_id, save, sent_id, split_count
 
 WIDTH = 2048
 END = 1
@@ -89,10 +89,9 @@ def pieces(docs: DataFrame, width: int = WIDTH, vocabulary: str = VOCABULARY) ->
                 for start in range(0, total, width):
                     part = data[4 * start : 4 * (start + width)]
                     rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), total))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            yield out.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, PIECES)
+    return back_id(docs.select(sent_id("doc_id"), "text").mapInPandas(cut, PIECES), "doc_id")
 
 
 def shortest_pack_first(histogram: dict[int, int], width: int = WIDTH) -> list[tuple[int, tuple[int, ...]]]:
@@ -171,9 +170,9 @@ def pack(docs: DataFrame, width: int = WIDTH, vocabulary: str = VOCABULARY, rank
                 rank = pdf["_rank"].to_numpy()[at]
                 run = np.searchsorted(first, rank, side="right") - 1
                 sequence[at], offset[at] = base[run] + rank - first[run], within[run]
-            yield pdf.drop(columns="_rank").assign(sequence_id=sequence, offset=offset).astype({"doc_id": "Int64"})
+            yield pdf.drop(columns="_rank").assign(sequence_id=sequence, offset=offset)
 
     most = max(histogram.values(), default=0)
     # Parts of rank_rows, or of the root of a length's pieces if that is more.
     out = ranked(cut, split_count(most, max(rank_rows, int(most**0.5))))
-    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "_rank").mapInPandas(place, schema)
+    return back_id(out.select(sent_id("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "_rank").mapInPandas(place, schema), "doc_id")

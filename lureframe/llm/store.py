@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import functions as F
 
 from lureframe.session import shared_folder
 
@@ -39,6 +40,18 @@ def discard(*frames: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
+#: Stands for a null id inside tasks, where a null would turn a column of long into one of double.
+NO_ID = -(2**63)
+
+
+def sent_id(column: str, none: int = NO_ID) -> Column:
+    return F.coalesce(F.col(column).cast("long"), F.lit(none)).alias(column)
+
+
+def back_id(df: DataFrame, column: str, none: int = NO_ID) -> DataFrame:
+    return df.withColumn(column, F.nullif(F.col(column), F.lit(none)))
+
+
 def split_count(rows: int, rows_each: int, least: int = 1) -> int:
     """A power of two of parts so that each holds about rows_each rows; grows with the data."""
     parts = least

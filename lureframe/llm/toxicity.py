@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lureframe.llm.store import back_id, sent_id
 from lureframe.llm.words import CACHE, WordHashes, grams, hashed
 
 BITS = 22
@@ -138,9 +139,9 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray, float], bits:
                 two = pairs(hashed(words, known), bits)
                 f = np.array(sorted({*chain.from_iterable(map(own.__getitem__, set(words))), *two[some[two]].tolist()}), np.int64)
                 out.append(1 / (1 + np.exp(-np.clip(bias + w[np.searchsorted(at, f)].sum(), -35, 35))))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": np.array(out, float)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": np.array(out, float)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInPandas(run, "doc_id long, score double")
+    return back_id(docs.select(sent_id("doc_id"), F.col("text").cast("binary").alias("text")).mapInPandas(run, "doc_id long, score double"), "doc_id")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
