@@ -30,6 +30,8 @@ MISS = 1e-7
 SLACK = 5.0
 #: Rounds of centres at most, before what is open is joined on rare shingles.
 CENTRES = 3
+#: Bits of the signatures that open members are compared by.
+LONG = 2048
 SETS = "doc_id long, n long, k1 long, k2 long, bands array<long>"
 FULL = "id long, k1 long, sig array<tinyint>, s array<long>"
 
@@ -138,10 +140,23 @@ def _star(members: DataFrame, turn: int, percent: int) -> DataFrame:
     return members.join(centres, "key").where(~own & _near("n", "nb", percent)).select(F.col("id").alias("a"), F.col("k1").alias("ka"), "b", "kb")
 
 
+def long_signatures(sets: DataFrame) -> DataFrame:
+    """(id, k1, bits): one bit of each of LONG minima, packed into longs, from (id, k1, s)."""
+    a, b = universal(LONG)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = [(minima(np.asarray(s, np.int64).view(np.uint64), a, b, 128) * np.uint32(0x9E3779B1)) >> np.uint32(31) for s in pdf["s"]]
+            yield pd.DataFrame({"id": pdf["id"], "k1": pdf["k1"], "bits": [np.packbits(m.astype(np.uint8)).view(np.int64) for m in made]})
+
+    return sets.select("id", "k1", "s").mapInPandas(run, "id long, k1 long, bits array<long>")
+
+
 def _prefix_pairs(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """All pairs of open members in different components that can reach the threshold: in one common order of the
     shingles, rarest first, such sets share one of their first n - ceil(n percent / 100) + 1. What makes a copy
-    differ is rare, so a copy that is too far from its family meets none of it here."""
+    differ is rare, so a copy that is far from its family meets little of it here; what it meets must also agree in
+    a long signature, up to SLACK deviations, before a pair is listed."""
     who = members.select("id", "k1", "label").distinct()
     each = full.join(who, ["id", "k1"]).select("id", "k1", "label", F.size("s").alias("n"), F.explode("s").alias("sh"))
     common = each.groupBy("sh").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -149,9 +164,15 @@ def _prefix_pairs(members: DataFrame, full: DataFrame, percent: int) -> DataFram
     ranked = each.join(common, "sh").withColumn("alone", F.col("n") - F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("df", "sh")))
     first = ranked.where(F.expr(f"alone + rank <= n - (n * {percent} + 99) div 100 + 1")).select("sh", "id", "k1", "n", "label")
     mixed = first.groupBy("sh").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    first = first.join(mixed.select("sh"), "sh")
-    side = lambda x: first.select("sh", F.col("id").alias(x), F.col("k1").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}"))
-    return side("a").join(side("b"), "sh").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _near("na", "nb", percent)).select("a", "ka", "b", "kb")
+    first = save(first.join(mixed.select("sh"), "sh"), "first")
+    bits = long_signatures(full.join(first.select("id", "k1").distinct(), ["id", "k1"], "left_semi"))
+    first = first.join(bits, ["id", "k1"])
+    side = lambda x: first.select("sh", F.col("id").alias(x), F.col("k1").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}"), F.col("bits").alias(f"b{x}"))
+    same = (1 + percent / 100) / 2  # chance that a bit of a pair at the threshold is the same
+    most = LONG * (1 - same + SLACK * math.sqrt(same * (1 - same) / LONG))
+    differ = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    close = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _near("na", "nb", percent) & (differ <= most)
+    return side("a").join(side("b"), "sh").where(close).select("a", "ka", "b", "kb")
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
