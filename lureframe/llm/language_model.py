@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lureframe.llm.store import save, split_count
+from lureframe.llm.store import back_id, save, sent_id, split_count
 from lureframe.llm.words import MIX, lowered, scramble
 
 CHUNK_TOKENS = 2_000_000
@@ -71,11 +71,11 @@ def chunks(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """Documents as number sequences: part is 0 for held out, 1 for training, 2 for the deleted training part."""
 
     def close(rows: list, numbers: Numbers) -> pd.DataFrame:
-        ids, null, part, lengths, tokens = zip(*rows, strict=True)
+        ids, part, lengths, tokens = zip(*rows, strict=True)
         words = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in numbers), np.uint64, len(numbers))
         hashes = np.concatenate([np.array([xxhash.xxh3_64_intdigest(b" s"), xxhash.xxh3_64_intdigest(b" e")], np.uint64), words])
         sequence = np.concatenate(tokens)
-        data = pack(np.array(ids, np.int64), np.array(null, np.uint8), np.array(part, np.uint8), np.array(lengths, np.uint32), sequence, hashes)
+        data = pack(np.array(ids, np.int64), np.array(part, np.uint8), np.array(lengths, np.uint32), sequence, hashes)
         training = sum(p > 0 for p in part)
         deleted = sum(n for p, n in zip(part, lengths, strict=True) if p == 2)
         return pd.DataFrame({"chunk": [uuid.uuid4().hex], "n_pairs": [len(sequence)], "n_words": [len(hashes)], "training": [training], "deleted_tokens": [deleted], "data": [data]})
@@ -88,8 +88,7 @@ def chunks(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
                 sequence = np.empty(len(words) + 1, np.uint32)
                 sequence[:-1] = np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words))
                 sequence[-1] = END
-                null = pd.isna(doc_id)
-                rows.append((0 if null else int(doc_id), null, part, len(sequence), sequence))
+                rows.append((doc_id, part, len(sequence), sequence))
                 size += len(sequence)
                 if size >= chunk_tokens:
                     yield close(rows, numbers)
@@ -99,15 +98,14 @@ def chunks(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
 
     turn = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10))
     part = F.when(turn == 0, F.lit(0)).when(turn == 9, F.lit(2)).otherwise(F.lit(1)).cast("int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).withColumn("part", part)
-    return rows.select("doc_id", "part", "text").mapInPandas(run, CHUNK)
+    return docs.select(sent_id("doc_id"), part.alias("part"), F.col("text").cast("binary").alias("text")).mapInPandas(run, CHUNK)
 
 
 class Chunk:
     """A chunk's sequences with, for each token, its document and the number of the word before it."""
 
     def __init__(self, data: bytes):
-        self.ids, self.null, self.part, self.lengths, self.token, self.hashes = unpack(data)
+        self.ids, self.part, self.lengths, self.token, self.hashes = unpack(data)
         self.first = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
         self.before = np.concatenate([[np.uint32(START)], self.token[:-1]]).astype(np.uint32)
         self.before[self.first] = START
@@ -273,12 +271,10 @@ def score_corpus(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, shard_keys:
         p = w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * word / max(1, tokens) + w[:, 2] / (kinds + 1)
         base = np.log10((words + ADD) / (tokens + ADD * (kinds + 1)))[chunk.token]
         add = lambda x: np.add.reduceat(x, chunk.first)
-        ids = pd.array(chunk.ids, "Int64")
-        ids[chunk.null.astype(bool)] = pd.NA
         return pd.DataFrame({
-            "doc_id": ids, "held_out": chunk.part == 0, "n_tokens": chunk.lengths.astype(np.int64), "n_known": add((word > 0).astype(np.int64)),
-            "train_tokens": np.full(len(ids), tokens, np.int64), "base_score": add(base), "score": add(np.log10(p)),
+            "doc_id": chunk.ids, "held_out": chunk.part == 0, "n_tokens": chunk.lengths.astype(np.int64), "n_known": add((word > 0).astype(np.int64)),
+            "train_tokens": np.full(len(chunk.ids), tokens, np.int64), "base_score": add(base), "score": add(np.log10(p)),
         })
 
-    return by_chunk.applyInPandas(scores, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return back_id(by_chunk.applyInPandas(scores, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "doc_id")
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lureframe.llm.components import components
-from lureframe.llm.store import discard, observed, save
+from lureframe.llm.store import back_id, discard, observed, save, sent_id
 from lureframe.llm.words import MIX, WordHashes, grams, hashed, lowered, scramble
 
 WORDS = 5
@@ -85,11 +85,11 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 keys = scramble(keys * MIX + matrix[:, :, j])
             keys = keys.view(np.int64)
             yield pd.DataFrame({
-                "doc_id": pdf["doc_id"].astype("Int64"), "n": sizes, "k1": np.array(k1, np.uint64).view(np.int64), "k2": np.array(k2, np.uint64).view(np.int64),
+                "doc_id": pdf["doc_id"], "n": sizes, "k1": np.array(k1, np.uint64).view(np.int64), "k2": np.array(k2, np.uint64).view(np.int64),
                 "bands": [keys[i] if i >= 0 else None for i in at],
             })
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInPandas(run, SETS)
+    return back_id(docs.select(sent_id("doc_id"), F.col("text").cast("binary").alias("text")).mapInPandas(run, SETS), "doc_id")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, n: int, percent: int) -> DataFrame:
