@@ -237,8 +237,9 @@ def profiles(ev: DataFrame, an: DataFrame, tm: DataFrame, links: DataFrame | Non
     owner = ss.select("session_id", F.col("attacker_ip").alias("ip"))
     has_cmd = F.col("command_line").isNotNull() & (F.col("command_line") != "")
     counts = (
-        ev.filter(has_cmd | (F.col("action") == DOWNLOAD)).join(owner, "session_id").groupBy("ip")
-        .agg(F.count_if(has_cmd).alias("commands"), F.count_if(~has_cmd).alias("downloads"))
+        # Counted per session first: what is joined is sessions, not events.
+        ev.filter(has_cmd | (F.col("action") == DOWNLOAD)).groupBy("session_id").agg(F.count_if(has_cmd).alias("c"), F.count_if(~has_cmd).alias("d"))
+        .join(owner, "session_id").groupBy("ip").agg(F.sum("c").alias("commands"), F.sum("d").alias("downloads"))
     )
     verdict = an.join(owner, "session_id").groupBy("ip").agg(
         F.max("risk_score").alias("risk_score"),

@@ -293,7 +293,8 @@ def lifecycle(runs: DataFrame, findings: DataFrame, facts: DataFrame, pairs: Dat
     a decoy's whole history.
     """
     pairs = write_once(consecutive(runs) if pairs is None else pairs)
-    states = write_once(run_states(findings, facts))  # read as head, as base and as history
+    # Read as head, as base and as history. A key without a row counts as undetermined, so such rows aren't kept.
+    states = write_once(run_states(findings, facts).filter("state <> 'undetermined'"))
     head = states.withColumnRenamed("run_id", "head_run_id").join(pairs.select("head_run_id"), "head_run_id", "left_semi").withColumnRenamed("state", "_after")
     base = pairs.select("base_run_id", "head_run_id").join(states.withColumnRenamed("run_id", "base_run_id"), "base_run_id").select("head_run_id", "key", F.col("state").alias("_before"))
     both = head.join(base, ["head_run_id", "key"], "full").join(pairs, "head_run_id")

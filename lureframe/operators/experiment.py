@@ -203,7 +203,7 @@ def permutation(block_values: DataFrame, keys: list[str], limit: int = EXHAUSTIV
     groups = block_values.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", "arm", "value"))).alias("rows"))
     kinds = {f.name: f.dataType.simpleString() for f in block_values.schema.fields}
     head = ", ".join(f"{k} {kinds[k]}" for k in keys)
-    plan_ddl = f"{head}, labels array<int>, values array<double>, start bigint, stop bigint, total bigint, exhaustive boolean, smallest_p double"
+    plan_ddl = f"{head}, labels array<int>, values array<double>, start bigint, stop bigint, total bigint, exhaustive boolean, smallest_p double, sizes string"
 
     def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -218,29 +218,35 @@ def permutation(block_values: DataFrame, keys: list[str], limit: int = EXHAUSTIV
                 full = ways <= limit
                 total = ways if full else samples
                 for at in range(0, total, step):
-                    out.append([getattr(row, k) for k in keys] + [labels, [float(r["value"]) for r in rows], at, min(at + step, total), total, full, ties / ways])
-            yield pd.DataFrame(out, columns=[*keys, "labels", "values", "start", "stop", "total", "exhaustive", "smallest_p"])
+                    out.append([getattr(row, k) for k in keys] + [labels, [float(r["value"]) for r in rows], at, min(at + step, total), total, full, ties / ways, str(sizes)])
+            yield pd.DataFrame(out, columns=[*keys, "labels", "values", "start", "stop", "total", "exhaustive", "smallest_p", "sizes"])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            hits = []
+            hits, made, known = [], None, None
+            batch = batch.sort_values(["sizes", "exhaustive", "start"], kind="stable")
             for row in batch.itertuples(index=False):
                 labels, vals = np.asarray(row.labels), np.asarray(row.values, dtype=float)
                 arms = int(labels.max()) + 1
                 observed = float(_spread(vals, labels[None, :], arms)[0])
                 floor = observed - 1e-12 * max(1.0, abs(observed))
-                if row.exhaustive:
-                    tried = _unrank(row.start, row.stop, [int((labels == a).sum()) for a in range(arms)])
-                else:
+                if not row.exhaustive:
                     rng = np.random.default_rng([seed, row.start])
                     tried = rng.permuted(np.tile(labels, (row.stop - row.start, 1)), axis=1)
-                hits.append(int((_spread(vals, tried, arms) >= floor).sum()))
+                    hits.append(int((_spread(vals, tried, arms) >= floor).sum()))
+                    continue
+                # Tests with the same arm sizes share their relabellings: unranked once, then one product each.
+                if known != (row.sizes, row.start, row.stop):
+                    tried = _unrank(row.start, row.stop, [int((labels == a).sum()) for a in range(arms)])
+                    made, known = [(tried == a).astype(float) for a in range(arms)], (row.sizes, row.start, row.stop)
+                found = sum(n * (mine @ vals / n - vals.mean()) ** 2 for mine, n in ((m, m[0].sum()) for m in made))
+                hits.append(int((found >= floor).sum()))
             yield batch[[*keys, "total", "exhaustive", "smallest_p"]].assign(hits=hits)
 
     chunks = groups.mapInPandas(plan, plan_ddl)
     # An explicit count keeps AQE from folding these few, heavy rows into one task.
     width = max(block_values.sparkSession.sparkContext.defaultParallelism * 2, 16)
-    spread = chunks.repartition(width, *keys, "start")
+    spread = chunks.repartition(width, "sizes", "start")
     scored = spread.mapInPandas(score, f"{head}, total bigint, exhaustive boolean, smallest_p double, hits bigint")
     p = F.when(F.col("exhaustive"), F.col("_h") / F.col("total")).otherwise((F.col("_h") + 1) / (F.col("total") + 1))
     return scored.groupBy(*keys, "total", "exhaustive", "smallest_p").agg(F.sum("hits").alias("_h")).select(

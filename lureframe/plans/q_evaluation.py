@@ -291,6 +291,14 @@ rate AS (SELECT run_id, {array(CHARACTERISTICS)}[c + 1] AS characteristic, CASE
   FROM (SELECT l_orderkey AS run_id, l_suppkey % 6 AS c, min(l_partkey) AS pk FROM lineitem GROUP BY 1, 2))"""
 
 
+@query(
+    "severity_bands",
+    sql("""SELECT run_id, characteristic, CASE WHEN evaluator_rating < 0.34 THEN 'high' WHEN evaluator_rating < 0.67 THEN 'medium' WHEN evaluator_rating IS NOT NULL THEN 'low' END AS severity FROM rate""", RATE),
+)
+def _bands(spark, d):
+    return A.ratings(spark, d).select("run_id", "characteristic", V.severity_band(F.col("evaluator_rating")).alias("severity"))
+
+
 @query(
     "reassessments",
     sql("""SELECT p.head AS head_run_id, p.base AS base_run_id, k.characteristic, b.evaluator_rating AS base_rating, h.evaluator_rating AS head_rating,

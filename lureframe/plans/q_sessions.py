@@ -320,6 +320,15 @@ def _sources(spark, d):
     return periods.top_sources(A.events(spark, d), START, END)
 
 
+@query(
+    "protocol_split",
+    sql("""SELECT honeypot_id, string_agg(protocol || '=' || n, ',' ORDER BY protocol) AS protocols FROM (
+      SELECT honeypot_id, protocol, count(*) AS n FROM ev GROUP BY ALL) GROUP BY 1"""),
+)
+def _protocol_split(spark, d):
+    return periods.protocol_split(A.events(spark, d), START, END)
+
+
 @query(
     "traffic_periods",
     sql(f"""SELECT honeypot_id, {ts('p_start', '"start"')}, {ts('p_end', '"end"')}, persona, events, sessions, sources,
