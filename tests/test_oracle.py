@@ -5,11 +5,13 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from lureframe.plans import registry
 from tools.check import compare, duck
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the provided tables")
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+entry.queries()
+QUERIES, SQL = registry.QUERIES, registry.SQL
 
 
 @pytest.fixture(scope="module")
