@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from tools.check import compare, duck
 
 FOLDER = "/root/testdata/sf0.001"
 needs = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the provided tables")
@@ -27,6 +28,12 @@ def test_stages_keep_the_columns_and_narrow_the_rows(spark):
     assert sizes[0][1] >= sizes[1][1] >= sizes[2][1] >= sizes[3][1] == sizes[4][1] > 0
 
 
+@needs
+def test_exact_dedup_agrees_with_sql(spark):
+    name = "op8_exact_dedup"
+    assert compare(spark, duck(FOLDER), FOLDER, name, entry.queries()[name], entry.oracle_sql()[name]).startswith("ok")
+
+
 @needs
 def test_pipeline_and_queries_are_registered(spark):
     names = entry.queries()
