@@ -41,8 +41,9 @@ class Lines(HTMLParser):
 
     CDATA_CONTENT_ELEMENTS = ("script", "style")
 
-    def __init__(self):
+    def __init__(self, marks: bool = True):
         super().__init__(convert_charrefs=True)
+        self.marks = marks  # whether class and id tell furniture
         self.stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container number, furniture
         self.parent = [0]
         self.kinds = [""]
@@ -76,8 +77,8 @@ class Lines(HTMLParser):
         if not furniture and tag not in WHOLE:
             named = " ".join(v for k, v in attrs if v and k in ("class", "id"))
             plain = {k: v for k, v in attrs}
-            furniture = tag in HIDDEN or (plain.get("role") or "").lower() in ROLES or "hidden" in plain or bool(named and MARKED.search(named))
-        elif not furniture:
+            furniture = tag in HIDDEN or (plain.get("role") or "").lower() in ROLES or "hidden" in plain or bool(self.marks and named and MARKED.search(named))
+        elif not furniture and self.marks:
             furniture = tag == "article" and any(v and k in ("class", "id") and re.search(r"comment|repl(?:y|ies)|\bad\b|advert|promo|related", v, re.IGNORECASE) for k, v in attrs)
         if tag in BLOCK:
             self.parent.append(container)
@@ -135,13 +136,16 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     """
     if not html:
         return ""
-    page = Lines()
-    page.feed(html)
-    if page.rawdata.startswith(("<!", "<?")):  # a comment that never ends
-        page.rawdata = ""
-    page.close()
-    page.flush()
-    if not page.lines:
+    for marks in (True, False):  # a name on the outermost container may mark the whole page: then names don't count
+        page = Lines(marks)
+        page.feed(html)
+        if page.rawdata.startswith(("<!", "<?")):  # a comment that never ends
+            page.rawdata = ""
+        page.close()
+        page.flush()
+        if page.lines:
+            break
+    else:
         return ""
     length = np.array([len(t) for t, _, _ in page.lines], float)
     ratio = smoothed(length / np.maximum(1, [n for _, n, _ in page.lines]), sigma)

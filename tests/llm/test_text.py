@@ -81,7 +81,7 @@ def test_article_is_cut_out(around, wrap):
 
 @pytest.mark.parametrize(
     ("html", "text"),
-    [(None, ""), ("", ""), ("<p>", ""), ("plain words", "plain words"), ("<p>open <i>tags<p>and &lt;more", "open tags\nand <more"), ("<script>x", ""), ("<!-- c --><p>a</p><!-- open", "a"), ("<p>a<br>b</p>", "a b"), ("</div></p><p>x</p></body>", "x"), ("<head><title>t</title><body><p>late", "late")],
+    [(None, ""), ("", ""), ("<p>", ""), ("plain words", "plain words"), ("<p>open <i>tags<p>and &lt;more", "open tags\nand <more"), ("<script>x", ""), ("<!-- c --><p>a</p><!-- open", "a"), ("<p>a<br>b</p>", "a b"), ("</div></p><p>x</p></body>", "x"), ("<head><title>t</title><body><p>late", "late"), ("<div class='page with-sidebar'><p>all in one</p><nav>x</nav></div>", "all in one")],
 )
 def test_broken_pages(html, text):
     assert H.main_text(html) == text
