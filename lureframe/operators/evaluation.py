@@ -344,19 +344,25 @@ def deltas(pairs: DataFrame, sc: DataFrame) -> DataFrame:
     )
 
 
-def reassessments(pairs: DataFrame, ratings: DataFrame) -> DataFrame:
-    """The evaluator's rating on both sides with its own status. `ratings`: run_id,
-    characteristic, evaluator_rating, evaluator_status."""
+def reassessments(pairs: DataFrame, ratings: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """The evaluator's rating and verdict on both sides with its own status. `ratings`: run_id,
+    characteristic, evaluator_rating, evaluator_status; `verdicts`: run_id, characteristic, verdict. A
+    characteristic with only a verdict counts too."""
+    if verdicts is None:
+        ratings = ratings.withColumn("verdict", F.lit(None).cast("string"))
+    else:
+        ratings = ratings.join(verdicts.select("run_id", "characteristic", "verdict"), ["run_id", "characteristic"], "full")
     head = pairs.select("head_run_id").join(ratings.withColumnRenamed("run_id", "head_run_id"), "head_run_id").select(
-        "head_run_id", "characteristic", F.col("evaluator_rating").alias("head_rating"), F.col("evaluator_status").alias("head_status")
+        "head_run_id", "characteristic", F.col("evaluator_rating").alias("head_rating"), F.col("evaluator_status").alias("head_status"), F.col("verdict").alias("head_verdict")
     )
     base = pairs.select("head_run_id", "base_run_id").join(ratings.withColumnRenamed("run_id", "base_run_id"), "base_run_id").select(
-        "head_run_id", "characteristic", F.col("evaluator_rating").alias("base_rating"), F.col("evaluator_status").alias("base_status")
+        "head_run_id", "characteristic", F.col("evaluator_rating").alias("base_rating"), F.col("evaluator_status").alias("base_status"), F.col("verdict").alias("base_verdict")
     )
-    both = head.join(base, ["head_run_id", "characteristic"], "full").filter("head_rating IS NOT NULL OR base_rating IS NOT NULL")
+    both = head.join(base, ["head_run_id", "characteristic"], "full").filter("coalesce(head_rating, base_rating) IS NOT NULL OR coalesce(head_verdict, base_verdict) IS NOT NULL")
     return both.join(pairs.select("head_run_id", "base_run_id"), "head_run_id").select(
         "head_run_id", "base_run_id", "characteristic", "base_rating", "head_rating",
         F.coalesce("base_status", F.lit("not_scored")).alias("base_status"), F.coalesce("head_status", F.lit("not_scored")).alias("head_status"),
+        "base_verdict", "head_verdict",
     )
 
 

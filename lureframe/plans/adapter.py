@@ -307,6 +307,15 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluator's findings in words; some of a characteristic that it gave no rating."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), (F.col("l_suppkey") % 6).cast("int").alias("c"), "l_partkey")
+    rows = li.groupBy("run_id", "c").agg(F.min("l_partkey").alias("pk")).filter("pk % 5 = 0")
+    from lureframe.sources.reference import CHARACTERISTICS
+
+    return rows.select("run_id", pick(CHARACTERISTICS, F.col("c")).alias("characteristic"), F.concat(F.lit("seen "), F.col("pk").cast("string")).alias("verdict"))
+
+
 # --- rotation experiment: twelve two-day blocks per sensor, four arms ---
 ARMS = ("stock", "web-server", "nas-box", "iot-arm")
 

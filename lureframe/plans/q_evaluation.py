@@ -287,7 +287,7 @@ def _delta(spark, d):
 
 RATE = f"""
 rate AS (SELECT run_id, {array(CHARACTERISTICS)}[c + 1] AS characteristic, CASE WHEN pk % 7 <> 0 AND pk % 3 <> 0 THEN (pk % 101) / 100.0::DOUBLE END AS evaluator_rating,
-  CASE WHEN pk % 7 = 0 THEN 'evaluator_failed' WHEN pk % 3 = 0 THEN 'unavailable' ELSE 'completed' END AS evaluator_status
+  CASE WHEN pk % 7 = 0 THEN 'evaluator_failed' WHEN pk % 3 = 0 THEN 'unavailable' ELSE 'completed' END AS evaluator_status, CASE WHEN pk % 5 = 0 THEN 'seen ' || pk END AS verdict
   FROM (SELECT l_orderkey AS run_id, l_suppkey % 6 AS c, min(l_partkey) AS pk FROM lineitem GROUP BY 1, 2))"""
 
 
@@ -302,13 +302,13 @@ def _bands(spark, d):
 @query(
     "reassessments",
     sql("""SELECT p.head AS head_run_id, p.base AS base_run_id, k.characteristic, b.evaluator_rating AS base_rating, h.evaluator_rating AS head_rating,
-        coalesce(b.evaluator_status, 'not_scored') AS base_status, coalesce(h.evaluator_status, 'not_scored') AS head_status
+        coalesce(b.evaluator_status, 'not_scored') AS base_status, coalesce(h.evaluator_status, 'not_scored') AS head_status, b.verdict AS base_verdict, h.verdict AS head_verdict
       FROM pairs p JOIN (SELECT p2.head AS h2, s.characteristic FROM pairs p2 JOIN rate s ON s.run_id = p2.head UNION SELECT p2.head, s.characteristic FROM pairs p2 JOIN rate s ON s.run_id = p2.base) k ON k.h2 = p.head
       LEFT JOIN rate h ON h.run_id = p.head AND h.characteristic = k.characteristic LEFT JOIN rate b ON b.run_id = p.base AND b.characteristic = k.characteristic
-      WHERE h.evaluator_rating IS NOT NULL OR b.evaluator_rating IS NOT NULL""", PR, CON, RUNS, KEYS, RATE),
+      WHERE h.evaluator_rating IS NOT NULL OR b.evaluator_rating IS NOT NULL OR h.verdict IS NOT NULL OR b.verdict IS NOT NULL""", PR, CON, RUNS, KEYS, RATE),
 )
 def _reassess(spark, d):
-    return V.reassessments(V.consecutive(A.runs(spark, d)), A.ratings(spark, d))
+    return V.reassessments(V.consecutive(A.runs(spark, d)), A.ratings(spark, d), A.verdicts(spark, d))
 
 
 @query(
