@@ -112,12 +112,20 @@ def describe_os(sensors: DataFrame, dp: DataFrame, distros: DataFrame, runs: Dat
     )
 
 
+def _traffic(rows: DataFrame, keys: list[str], exact: bool = True) -> DataFrame:
+    """Events, distinct sessions and distinct sources per key. Events are first combined to (key, session, source),
+    map-side and to about one row per session; only those rows are counted apart."""
+    if not exact:
+        distinct = lambda c: F.approx_count_distinct(c, 0.01)
+        return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("events"), distinct("session_id").alias("sessions"), distinct("source_ip").alias("sources"))
+    met = rows.groupBy(*keys, "session_id", "source_ip").agg(F.count(F.lit(1)).alias("_n"))
+    return met.groupBy(*keys).agg(F.sum("_n").alias("events"), F.countDistinct("session_id").alias("sessions"), F.countDistinct("source_ip").alias("sources"))
+
+
 def traffic_by_day(ev: DataFrame, start: datetime, end: datetime) -> DataFrame:
     """P5: UTC days of the whole window per sensor, zero-filled."""
     rows = ev.filter(F.col("ts").between(lit_ts(start), lit_ts(end)))
-    counted = rows.groupBy("honeypot_id", F.date_trunc("day", "ts").alias("day")).agg(
-        F.count(F.lit(1)).alias("events"), F.countDistinct("session_id").alias("sessions"), F.countDistinct("source_ip").alias("sources")
-    )
+    counted = _traffic(rows.withColumn("day", F.date_trunc("day", "ts")), ["honeypot_id", "day"])
     days = F.sequence(F.date_trunc("day", lit_ts(start)), F.date_trunc("day", lit_ts(end)), F.expr("INTERVAL 1 DAY"))
     axis = ev.select("honeypot_id").distinct().select("honeypot_id", F.explode(days).alias("day"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
@@ -146,10 +154,7 @@ def traffic_by_period(ev: DataFrame, spans: DataFrame, exact: bool = True) -> Da
     """Events, distinct sessions and sources per period, and their rates per day."""
     rows = ev.select("honeypot_id", "ts", "session_id", "source_ip")
     key = ["honeypot_id", "start", "end"]
-    distinct = F.countDistinct if exact else (lambda c: F.approx_count_distinct(c, 0.01))
-    counted = interval_join(rows, spans.select(*key), ["honeypot_id"], "ts").groupBy(*key).agg(
-        F.count(F.lit(1)).alias("events"), distinct("session_id").alias("sessions"), distinct("source_ip").alias("sources")
-    )
+    counted = _traffic(interval_join(rows, spans.select(*key), ["honeypot_id"], "ts"), key, exact)
     days = F.greatest((F.unix_micros("end") - F.unix_micros("start")) / F.lit(86_400_000_000), F.lit(1 / 24))
     out = spans.join(counted, key, "left")
     for c in ("events", "sessions", "sources"):
