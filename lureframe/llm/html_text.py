@@ -27,10 +27,13 @@ HIDDEN = frozenset("script style noscript template head title svg math iframe ob
 BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 #: Elements that a new block of the same kind closes when their end tag was left out.
 IMPLIED = {"p": {"p"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Names of furniture: whole words of a class or id, and beginnings of words.
 MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo|banner|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|subscription|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|header|masthead|toolbar|share|social|related|recommend(?:ed|ations)?|comments?|disqus|replies|respond|login|signup|search|widget|pagination|pager|skip|copyright|legal|disclaimer)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:(?:ads?|adbox|nav|topnav|subnav|header|share|sharing|related|recommend(?:ed|ations)?|replies|respond|login|search|pager|skip|copyright|legal|notices?|gdpr|footnav)(?=$|[\s_\-\d])"
+    r"|(?:comment(?!ary)|sidebar|cookie|advert|sponsor|newsletter|footer|breadcrumb|navbar|navig|menu|banner|promo|subscri|popup|modal|consent|disclaim|paginat|social|disqus|widget|masthead|toolbar|signup))",
     re.IGNORECASE,
 )
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 #: Containers that are articles whatever their class says.
 WHOLE = frozenset(("html", "body", "article", "main"))
@@ -75,7 +78,7 @@ class Lines(HTMLParser):
             self.close_open(open_tag, within=tag)
         _, container, furniture = self.stack[-1]
         if not furniture and tag not in WHOLE:
-            named = " ".join(v for k, v in attrs if v and k in ("class", "id"))
+            named = CAMEL.sub("-", " ".join(v for k, v in attrs if v and k in ("class", "id")))
             plain = {k: v for k, v in attrs}
             furniture = tag in HIDDEN or (plain.get("role") or "").lower() in ROLES or "hidden" in plain or bool(self.marks and named and MARKED.search(named))
         elif not furniture and self.marks:

@@ -188,7 +188,9 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled
     texts = docs.select(F.col("doc_id").cast("long").alias("_llm_id"), *_inputs(docs))
     # Sample rows are bounded by the parameters, so their ids may be broadcast and no text is shuffled.
     drawn = texts.join(F.broadcast(wanted), "_llm_id")
-    rows = drawn.select("_llm_id", "label", "text", "n_chars", "lang", "source").mapInPandas(run, schema).toPandas()
+    # Repeated rows of an id count once (the smallest), so the fit sees as many rows as the parameters say at most.
+    once = drawn.groupBy("_llm_id", "label").agg(F.min(F.struct("text", "n_chars", "lang", "source")).alias("_llm_row"))
+    rows = once.select("_llm_id", "label", "_llm_row.*").mapInPandas(run, schema).toPandas()
     if not len(rows):
         return Model([], [], np.zeros(3), 1.0)
     # One order whatever the partitions were, so that reruns agree.

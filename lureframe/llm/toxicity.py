@@ -155,6 +155,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # The sample is drawn from ids first; at most `sample` of them are broadcast, and no text moves.
     drawn = marks.where(~held(F.col("doc_id"))).orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(sample)
-    weights = fit(texts.join(F.broadcast(drawn), "doc_id"))
+    # Repeated rows of an id count once (the smallest text), so the fit sees `sample` rows at most.
+    weights = fit(texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")))
     out = score(docs, weights)
     return out.select("doc_id", F.coalesce(held(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -65,8 +65,8 @@ def test_language_model(docs):
     assert sum(r["score"] for r in got if r["held_out"]) > sum(r["base_score"] for r in got if r["held_out"])
 
 
-def test_next_word_probabilities_sum_to_one(docs):
-    """Scores of one-word continuations over the whole vocabulary, and one unknown word, for a trained context."""
+def test_probabilities_of_short_texts_stay_below_one(docs):
+    """Over the whole vocabulary and one unknown word."""
     rng = random.Random(3)
     train = [(i, prose(rng, 30)) for i in range(60) if zlib.crc32(str(i).encode()) % 10]
     fresh = [i for i in range(10_000, 20_000) if zlib.crc32(str(i).encode()) % 10 == 0]
