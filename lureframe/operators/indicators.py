@@ -32,10 +32,10 @@ def text_indicators(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn("_i", F.explode_outer(found)).filter("_i IS NOT NULL").select("*", "_i.type", "_i.value").drop("_i")
 
 
-def extract(ev: DataFrame) -> DataFrame:
+def extract(ev: DataFrame, with_heads: bool = True) -> DataFrame:
     """Every indicator of every session with the event it was read from.
 
-    Commands come from the compacted sequence, so a repeated command is cited once.
+    `with_heads=False` leaves out a session's own address and user name, which need all of its events. Commands come from the compacted sequence, so a repeated command is cited once.
     """
     cmds = compact(ev)
     whole = F.array(F.struct(F.lit("command").alias("type"), F.col("command").alias("value")))
@@ -52,13 +52,16 @@ def extract(ev: DataFrame) -> DataFrame:
         F.explode(F.array_compact(F.array(item("hash", "sha256"), item("url", "file_url"), item("filename", "file_name")))).alias("_i"),
         F.concat(F.lit("download: "), label).alias("artifact"),
     )
+    read = from_commands.unionByName(from_downloads)
+    if not with_heads:
+        return read.select("session_id", "event_id", "_i.type", "_i.value", "artifact")
     heads = compact_summary(ev)
     from_heads = heads.select(
         "session_id", F.col("first_event_id").alias("event_id"),
         F.explode(F.array_compact(F.array(item("ip", "attacker_ip"), item("username", "username")))).alias("_i"),
         F.concat(F.lit("connection from "), "attacker_ip").alias("artifact"),
     )
-    rows = from_commands.unionByName(from_downloads).unionByName(from_heads)
+    rows = read.unionByName(from_heads)
     return rows.select("session_id", "event_id", "_i.type", "_i.value", "artifact")
 
 

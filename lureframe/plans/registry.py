@@ -43,4 +43,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from lureframe.plans import q_evaluation, q_ingest, q_sessions  # noqa: F401
+    from lureframe.plans import q_evaluation, q_ingest, q_sessions, q_streams  # noqa: F401

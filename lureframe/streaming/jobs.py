@@ -136,7 +136,7 @@ def indicator_stream(events: DataFrame, links_path: str, checkpoint: str, once:
             F.min(F.when(named, F.struct("ts", "event_id", "username"))).alias("user"),
         )
         seen = heads.select("session_id", F.col("last_seen").alias("seen_at"))
-        links = indicators.session_links(indicators.extract(batch).filter(~F.col("type").isin("ip", "username") | ~F.col("artifact").startswith("connection from ")).join(seen, "session_id"))
+        links = indicators.session_links(indicators.extract(batch, with_heads=False).join(seen, "session_id"))
         links.unionByName(heads, allowMissingColumns=True).write.mode("overwrite").parquet(f"{links_path}/batch_id={batch_id}")
 
     return _start(events, checkpoint, write, once=once)
