@@ -31,7 +31,7 @@ SLACK = 5.0
 #: Rounds of centres at most, before what is open is joined on rare shingles.
 CENTRES = 3
 #: Bits of the signatures that open members are compared by.
-LONG = 2048
+LONG = 4096
 SETS = "doc_id long, n long, k1 long, k2 long, bands array<long>"
 FULL = "id long, k1 long, sig array<tinyint>, s array<long>"
 
