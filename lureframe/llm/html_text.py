@@ -37,6 +37,8 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 #: Containers that are articles whatever their class says.
 WHOLE = frozenset(("html", "body", "article", "main"))
+#: Blocks of text, too small for a content region.
+LEAF = frozenset("p li td th tr dd dt pre blockquote h1 h2 h3 h4 h5 h6".split())
 
 
 class Lines(HTMLParser):
@@ -129,13 +131,28 @@ def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(ratio, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
+def two_means(values: np.ndarray) -> float:
+    """The value midway between the means of two clusters; the smallest one where all are equal."""
+    cut = values.mean()
+    for _ in range(20):
+        high = values >= cut
+        if high.all() or not high.any():
+            return float(values.min())
+        moved = (values[high].mean() + values[~high].mean()) / 2
+        if moved == cut:
+            break
+        cut = moved
+    return float(cut)
+
+
 def main_text(html: str | None, sigma: float = SIGMA) -> str:
     """Text of the main blocks in page order, one line each; empty for null, empty or text-free pages.
 
     Lines are the unmarked blocks. Those whose smoothed ratio passes the threshold (two clusters: the mean splits
-    low from high) vote with their length for their containers, others with half of it; the deepest container that holds at least three
-    quarters of the votes is the content region, and all of its lines are returned. A page with an <article> or
-    <main> with text is read from there.
+    low from high) vote with their length for their containers, others with half of it. The outermost <article> and
+    <main> elements with such lines are the content region if they hold most of the votes, else the deepest
+    container with at least three quarters of them is. All lines of the region are returned, and lines outside it
+    that belong to the higher of two clusters of ratios, and the page's title.
     """
     if not html:
         return ""
@@ -151,10 +168,12 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     else:
         return ""
     length = np.array([len(t) for t, _, _ in page.lines], float)
-    ratio = smoothed(length / np.maximum(1, [n for _, n, _ in page.lines]), sigma)
-    content = ratio >= min(ratio.mean(), np.median(ratio))
+    raw = length / np.maximum(1, [n for _, n, _ in page.lines])
+    ratio = smoothed(raw, sigma)
+    content = ratio >= min(ratio.mean(), np.median(ratio)) * (1 - 1e-9)  # equal lines are all content, whatever the last bits say
     paths: list[list[int]] = []
     votes: dict[int, float] = {}
+    voted: set[int] = set()  # containers with a line of the content cluster
     for i, (_, _, at) in enumerate(page.lines):
         path = [at]
         while path[-1]:
@@ -162,18 +181,22 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
         paths.append(path)
         for c in path:
             votes[c] = votes.get(c, 0.0) + length[i] * (1.0 if content[i] else 0.5)
-    total = votes[0]
-    articles = [c for c in votes if page.kinds[c] in ("article", "main")]
-    if articles:
-        # Nested or several articles: all of the kind that carries most votes, outermost ones.
-        chosen = set(articles)
+        if content[i]:
+            voted.update(path)
+    outermost = {c for path in paths for c in [next((c for c in reversed(path) if page.kinds[c] in ("article", "main")), 0)] if c} & voted
+    if sum(votes[c] for c in outermost) > 0.5 * votes[0]:
+        chosen = outermost
     else:
-        region = 0
-        best = [c for c, v in votes.items() if v >= 0.75 * total and page.kinds[c] not in ("p", "li", "td", "th", "tr", "dd", "dt", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6")]
-        depth = {c: len(next(p for p in paths if c in p)) - next(p for p in paths if c in p).index(c) for c in best}
-        region = max(best, key=lambda c: depth[c], default=0)
-        chosen = {region}
-    return "\n".join(line[0] for line, path in zip(page.lines, paths, strict=True) if not chosen.isdisjoint(path))
+        depth: dict[int, int] = {}
+        for path in paths:
+            depth.update((c, len(path) - n) for n, c in enumerate(path))
+        chosen = {max((c for c, v in votes.items() if v >= 0.75 * votes[0] and page.kinds[c] not in LEAF), key=depth.__getitem__, default=0)}
+    # Outside, a line needs a high ratio of its own too, or a short line would ride on the text beside it; the only
+    # first heading of a page is its title.
+    cut = two_means(ratio)
+    titles = [page.kinds[at] == "h1" for _, _, at in page.lines]
+    far = (raw >= cut) & (ratio >= cut / 2) | (np.array(titles) if sum(titles) == 1 else False)
+    return "\n".join(line[0] for line, path, also in zip(page.lines, paths, far, strict=True) if also or not chosen.isdisjoint(path))
 
 
 def extract(pages: DataFrame, sigma: float = SIGMA) -> DataFrame:

@@ -87,6 +87,23 @@ def test_broken_pages(html, text):
     assert H.main_text(html) == text
 
 
+LONG = [f"Paragraph {i} of the body, " + "with a good many words that belong to the text, " * 4 for i in range(6)]
+BODY = "".join(f"<p>{t}</p>" for t in LONG)
+PLAIN = "\n".join(t.strip() for t in LONG)
+
+
+@pytest.mark.parametrize("kind", ["article", "main"])
+def test_a_teaser_is_not_the_article(kind):
+    assert H.main_text(f"<body><div id='content'>{BODY}</div><{kind}><p>A short card.</p></{kind}></body>") == PLAIN
+
+
+def test_content_outside_the_region_stays():
+    lede = "This lede stands before the body and sums it up in a sentence that is as long as a paragraph of it, " * 2
+    for tag in ("article", "div"):
+        page = f"<body><div><h1>Title of it all</h1><p>{lede}</p></div><{tag}>{BODY}</{tag}><div><a href='/'>Home</a></div></body>"
+        assert H.main_text(page) == f"Title of it all\n{lede.strip()}\n{PLAIN}"
+
+
 def test_extract_keeps_every_row(spark):
     long = "<article>" + "<p>word word</p>" * 20_000 + "</article>"
     rows = [(1, None, None, "x"), (None, "u", "<p>hi</p>", "x"), (2, "u", long, "x"), (3, "u", "", "x"), (3, "u", "", "x")]
