@@ -3,7 +3,7 @@
 A line is a block of the page as the parser streams by. Its ratio is its text length against the tags met since
 the line before. Smoothed ratios over a threshold form content regions. A region is grown to the container that
 holds most of the content, so short paragraphs between long ones stay, and what a page marks as furniture
-(navigation, notices, adverts, forms, comments) never becomes text.
+by its elements and roles (navigation, forms, asides) never becomes text; class and id are a weight.
 """
 
 from __future__ import annotations
@@ -27,31 +27,48 @@ HIDDEN = frozenset("script style noscript template head title svg math iframe ob
 BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 #: Elements that a new block of the same kind closes when their end tag was left out.
 IMPLIED = {"p": {"p"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Names of furniture: whole words of a class or id, and beginnings of words.
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:(?:ads?|adbox|nav|topnav|subnav|header|share|sharing|related|recommend(?:ed|ations)?|replies|respond|login|search|pager|skip|copyright|legal|notices?|gdpr|footnav)(?=$|[\s_\-\d])"
-    r"|(?:comment(?!ary)|sidebar|cookie|advert|sponsor|newsletter|footer|breadcrumb|navbar|navig|menu|banner|promo|subscri|popup|modal|consent|disclaim|paginat|social|disqus|widget|masthead|toolbar|signup))",
-    re.IGNORECASE,
+#: Names of furniture. A token of a class, or a whole id, is one if each of its words is here or in BESIDE and one is here.
+FURNITURE = frozenset(
+    "ad ads adbox advert adverts advertisement advertisements advertising nav navbar navigation topnav subnav footnav header masthead footer share sharing social related recommended recommendation recommendations"
+    " comment comments reply replies respond disqus login signup search pager pagination skip copyright legal notice notices gdpr cookie cookies consent disclaimer sidebar sponsor sponsors sponsored"
+    " newsletter subscribe subscription breadcrumb breadcrumbs menu banner banners promo promos promotion promotions popup modal widget widgets toolbar".split()
 )
+BESIDE = frozenset(
+    "site page global top bottom left right primary secondary main sub mobile sticky box bar list item items link links wrap wrapper container inner outer area block section content row col column panel slot unit card"
+    " group buttons button icons icon form input policy message overlay dialog media network posts post articles article stories thread count to text info google body div author meta".split()
+)
+OPENS = frozenset("page post posts article articles story stories section content text card item body".split())
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 #: Containers that are articles whatever their class says.
 WHOLE = frozenset(("html", "body", "article", "main"))
 #: Blocks of text, too small for a content region.
 LEAF = frozenset("p li td th tr dd dt pre blockquote h1 h2 h3 h4 h5 h6".split())
+#: What the text of a container named as furniture counts in the vote.
+NAMED = 0.1
+
+
+def furniture_name(name: str, number: bool = True) -> bool:
+    """Whether a token names furniture: cookie-notice and sidebarLeft do, has-sidebar and social-effects don't."""
+    words = [w for w in re.split(r"[-_]+", CAMEL.sub("-", name).lower()) if w]
+    if "header" in words and (not OPENS.isdisjoint(words) or words[-1].isdigit()):
+        return False  # the head of an article, with its title
+    if number and words and words[-1].isdigit():
+        words.pop()
+    return any(w in FURNITURE for w in words) and all(w in FURNITURE or w in BESIDE for w in words)
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags since the last line, container, marked as furniture)."""
+    """Collects (text, tags since the last line, container), and the containers that a class or id names as furniture."""
 
     CDATA_CONTENT_ELEMENTS = ("script", "style")
 
-    def __init__(self, marks: bool = True):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.marks = marks  # whether class and id tell furniture
         self.stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container number, furniture
         self.parent = [0]
         self.kinds = [""]
+        self.named: set[int] = set()
         self.lines: list[tuple[str, int, int]] = []
         self.buffer: list[str] = []
         self.tags = 0
@@ -79,18 +96,32 @@ class Lines(HTMLParser):
         for open_tag in IMPLIED.get(tag, ()):
             self.close_open(open_tag, within=tag)
         _, container, furniture = self.stack[-1]
+        plain = {k: v for k, v in attrs}
         if not furniture and tag not in WHOLE:
-            named = CAMEL.sub("-", " ".join(v for k, v in attrs if v and k in ("class", "id")))
-            plain = {k: v for k, v in attrs}
-            furniture = tag in HIDDEN or (plain.get("role") or "").lower() in ROLES or "hidden" in plain or bool(self.marks and named and MARKED.search(named))
-        elif not furniture and self.marks:
-            furniture = tag == "article" and any(v and k in ("class", "id") and re.search(r"comment|repl(?:y|ies)|\bad\b|advert|promo|related", v, re.IGNORECASE) for k, v in attrs)
-        if tag in BLOCK:
+            furniture = tag in HIDDEN or (plain.get("role") or "").lower() in ROLES or "hidden" in plain
+        named = not furniture and self.names_furniture(tag, plain)
+        if named and tag not in BLOCK:
+            self.flush()  # an inline element of its own
+        if tag in BLOCK or named:
             self.parent.append(container)
             self.kinds.append(tag)
             container = len(self.parent) - 1
+            if named:
+                self.named.add(container)
         self.stack.append((tag, container, furniture))
 
+    def names_furniture(self, tag: str, attrs: dict) -> bool:
+        """Paragraphs and headings, and what stands inside them, are text whatever their names. Ids of sections inside
+        an article are slugs of their titles."""
+        if tag in ("html", "body", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6"):
+            return False
+        if tag not in BLOCK and self.kinds[self.stack[-1][1]] in LEAF:
+            return False
+        if any(furniture_name(token) for token in (attrs.get("class") or "").split()):
+            return True
+        inside = tag == "section" and any(name in ("article", "main") for name, _, _ in self.stack)
+        return bool(attrs.get("id")) and not inside and furniture_name(attrs["id"].strip(), number=tag != "section")
+
     def close_open(self, tag: str, within: str = "") -> None:
         """End the innermost open `tag` unless a container stands between."""
         for i in range(len(self.stack) - 1, 0, -1):
@@ -110,6 +141,8 @@ class Lines(HTMLParser):
             return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] == tag:
+                if self.stack[i][1] in self.named:
+                    self.flush()
                 del self.stack[i:]
                 return
             if self.stack[i][0] in ("article", "body", "main", "nav", "aside", "footer", "header", "form", "table") and tag not in ("html", "body", "article", "main", "nav", "aside", "footer", "header", "form", "table", "div", "section"):
@@ -145,6 +178,42 @@ def two_means(values: np.ndarray) -> float:
     return float(cut)
 
 
+def furniture_lines(page: Lines, length: np.ndarray, paths: list[list[int]]) -> np.ndarray:
+    """Which lines stand in a container that its name and its place both tell to be furniture.
+
+    A name doesn't count on a container with an article in it, unless an article outside it holds more text; nor on one
+    with most of the text, unless an article outside holds a quarter of all or the container is only a line or two.
+    """
+    first: dict[int, int] = {}
+    last: dict[int, int] = {}  # lines of a container follow each other
+    for i, path in enumerate(paths):
+        for c in path:
+            first.setdefault(c, i)
+            last[c] = i + 1
+    articles = {c for c in first if page.kinds[c] in ("article", "main") and c not in page.named}
+    holders: set[int] = set()  # containers with an article in them
+    free = np.zeros(len(length), bool)  # lines of an article in no named container
+    for i, path in enumerate(paths):
+        at = [n for n, c in enumerate(path) if c in articles]
+        if at:
+            holders.update(path[at[0] + 1 :])
+            free[i] = page.named.isdisjoint(path[at[-1] :])
+    total, upto, freed = length.sum(), np.append(0, length.cumsum()), np.append(0, (length * free).cumsum())
+    marked = np.zeros(len(length), bool)
+    for c in page.named & first.keys():
+        lines = slice(first[c], last[c])
+        inside = upto[last[c]] - upto[first[c]]
+        outside = freed[-1] - freed[last[c]] + freed[first[c]]
+        if c in holders and outside <= inside:
+            continue
+        if inside > 0.5 * total and (not outside or last[c] - first[c] >= 3 and outside < 0.25 * total):
+            continue
+        marked[lines] = True
+    if not articles and length[~marked].sum() < 0.1 * total or marked.all():
+        marked[:] = False
+    return marked
+
+
 def main_text(html: str | None, sigma: float = SIGMA) -> str:
     """Text of the main blocks in page order, one line each; empty for null, empty or text-free pages.
 
@@ -152,35 +221,39 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     low from high) vote with their length for their containers, others with half of it. The outermost <article> and
     <main> elements with such lines are the content region if they hold most of the votes, else the deepest
     container with at least three quarters of them is. All lines of the region are returned, and lines outside it
-    that belong to the higher of two clusters of ratios, and the page's title.
+    that belong to the higher of two clusters of ratios, and the page's title. Lines of a container that is named as
+    furniture count a tenth in ratio and votes, nothing beside an article, and stay only where that is still enough.
     """
     if not html:
         return ""
-    for marks in (True, False):  # a name on the outermost container may mark the whole page: then names don't count
-        page = Lines(marks)
-        page.feed(html)
-        if page.rawdata.startswith(("<!", "<?")):  # a comment that never ends
-            page.rawdata = ""
-        page.close()
-        page.flush()
-        if page.lines:
-            break
-    else:
+    page = Lines()
+    page.feed(html)
+    if page.rawdata.startswith(("<!", "<?")):  # a comment that never ends
+        page.rawdata = ""
+    page.close()
+    page.flush()
+    if not page.lines:
         return ""
     length = np.array([len(t) for t, _, _ in page.lines], float)
-    raw = length / np.maximum(1, [n for _, n, _ in page.lines])
-    ratio = smoothed(raw, sigma)
-    content = ratio >= min(ratio.mean(), np.median(ratio)) * (1 - 1e-9)  # equal lines are all content, whatever the last bits say
     paths: list[list[int]] = []
-    votes: dict[int, float] = {}
-    voted: set[int] = set()  # containers with a line of the content cluster
-    for i, (_, _, at) in enumerate(page.lines):
+    for _, _, at in page.lines:
         path = [at]
         while path[-1]:
             path.append(page.parent[path[-1]])
         paths.append(path)
+    marked = furniture_lines(page, length, paths)
+    # Beside an article, place and name agree, and a long notice must not outweigh a short article.
+    beside = any(page.kinds[c] in ("article", "main") for path, named in zip(paths, marked, strict=True) if not named for c in path)
+    weight = np.where(marked, 0.0 if beside else NAMED, 1.0)
+    raw = length / np.maximum(1, [n for _, n, _ in page.lines]) * weight
+    ratio = raw.copy()
+    ratio[~marked] = smoothed(raw[~marked], sigma)
+    content = ratio >= min(ratio[~marked].mean(), np.median(ratio[~marked])) * (1 - 1e-9)  # equal lines are all content, whatever the last bits say
+    votes: dict[int, float] = {}
+    voted: set[int] = set()  # containers with a line of the content cluster
+    for i, path in enumerate(paths):
         for c in path:
-            votes[c] = votes.get(c, 0.0) + length[i] * (1.0 if content[i] else 0.5)
+            votes[c] = votes.get(c, 0.0) + length[i] * (1.0 if content[i] else 0.5) * weight[i]
         if content[i]:
             voted.update(path)
     outermost = {c for path in paths for c in [next((c for c in reversed(path) if page.kinds[c] in ("article", "main")), 0)] if c} & voted
@@ -193,10 +266,11 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
         chosen = {max((c for c, v in votes.items() if v >= 0.75 * votes[0] and page.kinds[c] not in LEAF), key=depth.__getitem__, default=0)}
     # Outside, a line needs a high ratio of its own too, or a short line would ride on the text beside it; the only
     # first heading of a page is its title.
-    cut = two_means(ratio)
-    titles = [page.kinds[at] == "h1" for _, _, at in page.lines]
-    far = (raw >= cut) & (ratio >= cut / 2) | (np.array(titles) if sum(titles) == 1 else False)
-    return "\n".join(line[0] for line, path, also in zip(page.lines, paths, far, strict=True) if also or not chosen.isdisjoint(path))
+    cut = two_means(ratio[~marked])
+    titles = np.array([page.kinds[at] == "h1" for _, _, at in page.lines]) & ~marked
+    far = (raw >= cut) & (ratio >= cut / 2) | (titles if titles.sum() == 1 else False)
+    keep = far | ~marked & np.array([not chosen.isdisjoint(path) for path in paths])
+    return "\n".join(line[0] for line, kept in zip(page.lines, keep, strict=True) if kept)
 
 
 def extract(pages: DataFrame, sigma: float = SIGMA) -> DataFrame:

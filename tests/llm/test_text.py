@@ -104,6 +104,29 @@ def test_content_outside_the_region_stays():
         assert H.main_text(page) == f"Title of it all\n{lede.strip()}\n{PLAIN}"
 
 
+@pytest.mark.parametrize("name", "social-effects legal-history related-work search-algorithms modal-logic socialism consent-in-medicine menu-design promontory header-2 entry-header has-sidebar no-sidebar".split())
+def test_a_slug_is_no_furniture(name):
+    inner = f"{BODY}<section id='{name}'><h2 id='{name}'>A part</h2><p class='{name}'>Short.</p></section>"
+    for page in (f"<article>{inner}</article>", f"<div class='layout {name}'><article>{inner}</article></div><div>&copy; us</div>", f"<div class='{name}'>{inner}</div><div>&copy; us</div>"):
+        assert H.main_text(f"<body>{page}</body>") == f"{PLAIN}\nA part\nShort."
+
+
+def test_a_name_alone_deletes_no_text():
+    footer = "<div>&copy; us</div>"
+    for name in ("sidebar", "menu", "header"):
+        assert H.main_text(f"<body><div class='{name}'><article>{BODY}</article></div>{footer}</body>") == PLAIN
+        assert H.main_text(f"<body><div class='{name}'>{BODY}</div>{footer}</body>") == PLAIN
+        assert H.main_text(f"<body><article>{BODY}<h2 class='{name}' id='{name}'>A part</h2><section id='{name}'><p class='{name}'>Short.</p></section></article></body>") == f"{PLAIN}\nA part\nShort."
+
+
+@pytest.mark.parametrize("name", ["ad", "ads-2", "cookie-notice", "comments", "commentList", "sidebar-left", "site-footer", "related-posts"])
+@pytest.mark.parametrize("wrap", ["article", "div"])
+def test_named_furniture_stays_out(name, wrap):
+    other = f"<div class='{name}'><p>Some other words that stand beside it all.</p><article><p>A card.</p></article></div>"
+    assert H.main_text(f"<body>{other}<{wrap}>{BODY}</{wrap}></body>".replace("<article><p>A card.</p></article>", "" if wrap == "div" else "<article><p>A card.</p></article>")) == PLAIN
+    assert H.main_text(f"<body><article><p>Tiny.</p></article><div class='{name}'>{'An advert is longer than it. ' * 9}</div></body>") == "Tiny."
+
+
 def test_extract_keeps_every_row(spark):
     long = "<article>" + "<p>word word</p>" * 20_000 + "</article>"
     rows = [(1, None, None, "x"), (None, "u", "<p>hi</p>", "x"), (2, "u", long, "x"), (3, "u", "", "x"), (3, "u", "", "x")]
