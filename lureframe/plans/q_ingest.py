@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from lureframe.functions import text
 from lureframe.operators import campaigns as C
+from lureframe.operators import claims as K
 from lureframe.operators import evaluation as V
 from lureframe.operators import fleet, indicators, ingest, periods, reports, rules, search
 from lureframe.operators import sessions as S
 from lureframe.plans import adapter as A
 from lureframe.plans import oracle as O
 from lureframe.plans.oracle import sql, ts
-from lureframe.plans.q_evaluation import PR, ROT, RUNS, X_START
+from lureframe.plans.q_evaluation import CL, CUTOFF, PR, ROT, RUNS, X_START, _chains
 from lureframe.plans.q_sessions import EXTRACTED, SESSIONS, _ind, _links
 from lureframe.plans.registry import query
 from lureframe.sources import sinks
@@ -223,3 +224,25 @@ def _reports(spark, d):
 )
 def _csv(spark, d):
     return sinks.csv_lines(A.events(spark, d))
+
+
+@query(
+    "retention_all",
+    sql(f"""SELECT CAST(d AS VARCHAR) AS partition, {ts('newest')}, referenced, CASE WHEN d = max(d) OVER () THEN 'write_target' WHEN newest >= TIMESTAMP '2024-01-21' THEN 'newer_than_cutoff'
+        WHEN referenced > 0 THEN 'referenced' END AS keep_reason FROM (
+      SELECT CAST(ts AS DATE) AS d, max(ts) AS newest, count(*) FILTER (session_id IN (SELECT session_id FROM an UNION SELECT session_id FROM ind_links UNION SELECT session_id FROM kept
+          UNION SELECT session_id FROM ev WHERE action = 'cowrie.login.failed' AND k % 4 <> 2 UNION SELECT session_id FROM ev WHERE command_line IS NOT NULL)
+        OR event_id IN (SELECT event_id FROM kept UNION SELECT event_id FROM (
+          SELECT session_id, arg_min(event_id, (CASE command_line WHEN 'cd /tmp' THEN 0 ELSE 1 END, ts, event_id)) AS event_id, technique_id,
+            ['dropper', 'ssh_persistence', 'miner'][any_value(user_id) % 3 + 1] AS chain_id FROM ev JOIN cmd_tech USING (command_line) GROUP BY 1, 3) JOIN expd USING (chain_id, technique_id))) AS referenced
+      FROM ev GROUP BY 1)""", O.AN, CL, O.RUNS, EXTRACTED, O.CMD_TECH, O.values(A.EXPECTED, "expd", "chain_id, step_index, technique_id")),
+)
+def _retention_all(spark, d):
+    """Every source of references: analyses, reports, annotations, indicator links and claims by session; the events of
+    claims and of chain steps. Evidence packages cite runs and steps by id and no events of their own."""
+    ev = A.events(spark, d)
+    an = A.analyses(ev)
+    kept, _ = K.barrier(*A.claims(ev, an), ev)
+    sessions = [an, _reports(spark, d), _annotations(spark, d), _links(ev), kept]
+    plan = V.retention_plan(ev, [s.select("session_id") for s in sessions], [kept.select("event_id"), _chains(spark, d).select("event_id")], CUTOFF)
+    return plan.withColumn("partition", F.col("partition").cast("string"))

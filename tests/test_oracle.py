@@ -27,3 +27,10 @@ def test_query_agrees_with_sql(spark, con, name):
 
 def test_entry_is_the_campaign_question(spark):
     assert {"fingerprint", "session_count", "attacker_ip_count"} <= set(entry.entry(spark).columns)
+
+
+def test_retention_counts_every_citation(spark):
+    """All events that kept claims cite are referenced, not those of one claim in fifty."""
+    cited = QUERIES["claims_kept"](spark, FOLDER).selectExpr("event_id", "substr(ts, 1, 10) AS partition").distinct().groupBy("partition").count()
+    got = {r["partition"]: r["referenced"] for r in QUERIES["retention_all"](spark, FOLDER).collect()}
+    assert all(got[r["partition"]] >= r["count"] for r in cited.collect())
