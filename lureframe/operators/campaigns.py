@@ -348,6 +348,17 @@ def coverage(catalog: DataFrame, tm: DataFrame, an: DataFrame) -> DataFrame:
     )
 
 
+def coverage_evidence(catalog: DataFrame, tm: DataFrame, an: DataFrame) -> DataFrame:
+    """The mappings behind each catalog technique of `coverage`, one row each."""
+    rows = tm.join(an.select("analysis_id", "session_id"), "analysis_id").join(catalog.select("technique_id"), "technique_id", "left_semi")
+    return rows.select("technique_id", "analysis_id", "session_id", "source", "confidence", "ts")
+
+
+def coverage_totals(covered: DataFrame) -> DataFrame:
+    """Observed techniques beside all of the catalog, by tactic."""
+    return covered.groupBy("tactic").agg(F.count_if("observed").alias("observed"), F.count(F.lit(1)).alias("total"))
+
+
 def probe_candidates(ev: DataFrame, probes: DataFrame, agent_passwords: list[str], include_seeded=False, include_private=False, max_length: int | None = None) -> DataFrame:
     """Normalised command segments by distinct sessions, then addresses.
 

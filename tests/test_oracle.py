@@ -34,3 +34,13 @@ def test_retention_counts_every_citation(spark):
     cited = QUERIES["claims_kept"](spark, FOLDER).selectExpr("event_id", "substr(ts, 1, 10) AS partition").distinct().groupBy("partition").count()
     got = {r["partition"]: r["referenced"] for r in QUERIES["retention_all"](spark, FOLDER).collect()}
     assert all(got[r["partition"]] >= r["count"] for r in cited.collect())
+
+
+def test_coverage_has_its_evidence(spark):
+    covered = {r["technique_id"]: r for r in QUERIES["coverage"](spark, FOLDER).collect()}
+    seen = {}
+    for r in QUERIES["coverage_evidence"](spark, FOLDER).collect():
+        seen.setdefault(r["technique_id"], set()).add(r["session_id"])
+    assert {t: r["session_count"] for t, r in covered.items()} == {t: len(seen.get(t, ())) for t in covered}
+    totals = QUERIES["coverage_totals"](spark, FOLDER).collect()
+    assert sum(r["total"] for r in totals) == len(covered) and sum(r["observed"] for r in totals) == sum(r["observed"] for r in covered.values())
