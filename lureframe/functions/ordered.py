@@ -1,8 +1,9 @@
 """Ordered and interval primitives that stay parallel when one key holds most of the rows.
 
-A window over a hot key sorts that key in one task. The helpers here first cut every key by a
-time bucket, do the ordered work inside (key, bucket), and stitch the buckets together through a
-summary that holds one row per (key, bucket).
+A window over a hot key sorts that key in one task. The helpers here first cut the order into intervals
+at sampled ranks, do the ordered work inside (key, interval), and stitch the intervals together through a
+summary that holds one row per (key, interval). A key that holds a third of all rows is spread over a third
+of the intervals, even if all its rows carry one time or none. Joins on time use fixed buckets.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 HOUR_US = 3_600_000_000
 DAY_US = 24 * HOUR_US
 _NULL_BUCKET = -(2**62)
+#: Intervals that an order is cut into: no (key, interval) holds much more than one part in PARTS of all rows.
+PARTS = 511
+#: Sampled rows per interval.
+SAMPLED = 8
 
 
 def bucket(ts: str | Column, grain_us: int) -> Column:
@@ -22,13 +27,32 @@ def bucket(ts: str | Column, grain_us: int) -> Column:
     return F.coalesce(F.floor(F.unix_micros(ts) / F.lit(grain_us)), F.lit(_NULL_BUCKET)).cast("long")
 
 
-def number_rows(
-    df: DataFrame, keys: Sequence[str], ts: str, tie: str, out: str = "pos", grain_us: int = HOUR_US
-) -> DataFrame:
-    """0-based position of every row in its key's (ts, tie) order."""
-    keys = list(keys)
-    df = df.withColumn("_b", bucket(ts, grain_us))
-    local = Window.partitionBy(*keys, "_b").orderBy(ts, tie)
+def intervals(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int = PARTS) -> DataFrame:
+    """df with `_b`, the number of the interval of `order` that a row lies in, from 0 to parts at most.
+
+    The intervals are cut at sampled ranks of the whole table, so each holds about one part in `parts` of
+    its rows, whatever their times are and whether they have any. The sample is the rows of smallest hash,
+    taken by a bounded top-k, so every reader of the plan sees the same cuts. Text is cut for the sample only.
+    """
+    kinds = dict(df.dtypes)
+    at = lambda c: F.substring(c, 1, 64).alias(c) if kinds[c] == "string" else F.col(c)
+    sample = (
+        df.select(F.struct(*[at(c) for c in order]).alias("o"), F.xxhash64(*keys, *order).alias("h"))
+        .orderBy("h", "o").limit(parts * SAMPLED).agg(F.array_sort(F.collect_list("o")).alias("o"))
+    )
+    cuts = sample.select(F.filter("o", lambda _, i: i % SAMPLED == SAMPLED - 1)).scalar()
+    df = df.withColumn("_cuts", cuts).withColumn("_o", F.struct(*[F.col(c) for c in order])).withColumn("_b", F.lit(0))
+    # Binary search for the number of cuts at or before the row; one column per step keeps it in generated code.
+    for step in (2**k for k in reversed(range(parts.bit_length()))):
+        df = df.withColumn("_b", F.col("_b") + F.when(F.get("_cuts", F.col("_b") + (step - 1)) <= F.col("_o"), step).otherwise(0))
+    return df.drop("_cuts", "_o")
+
+
+def number_rows(df: DataFrame, keys: Sequence[str], ts: str, tie: str | Sequence[str], out: str = "pos", parts: int = PARTS) -> DataFrame:
+    """0-based position of every row in its key's (ts, tie) order; nulls come first. A key must not be null."""
+    keys, order = list(keys), [ts, *([tie] if isinstance(tie, str) else tie)]
+    df = intervals(df, keys, order, parts)
+    local = Window.partitionBy(*keys, "_b").orderBy(*order)
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         df.groupBy(*keys, "_b")
@@ -51,16 +75,16 @@ def number_runs(
     carry: Sequence[str],
     starts: Callable[[Column, Column], Column],
     out: str = "run",
-    grain_us: int = HOUR_US,
+    parts: int = PARTS,
 ) -> DataFrame:
     """Gaps and islands: number the runs of each key from 0 in (ts, tie) order.
 
     `starts(current, previous)` says whether a row opens a new run; both arguments are structs of
-    the `carry` columns.
+    the `carry` columns. A key must not be null.
     """
     keys = list(keys)
     row = F.struct(*carry)
-    df = df.withColumn("_b", bucket(ts, grain_us))
+    df = intervals(df, keys, [ts, tie], parts)
     local = Window.partitionBy(*keys, "_b").orderBy(ts, tie)
     running = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = (

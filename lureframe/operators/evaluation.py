@@ -265,7 +265,7 @@ def run_states(findings: DataFrame, facts: DataFrame) -> DataFrame:
 
 def run_sequence(runs: DataFrame) -> DataFrame:
     """Runs numbered per decoy in start order; skew-safe for a decoy with most of the runs."""
-    return number_rows(runs, ["honeypot_id"], "started_at", "run_id", out="seq", grain_us=30 * 86_400_000_000)
+    return number_rows(runs, ["honeypot_id"], "started_at", "run_id", out="seq")
 
 
 def consecutive(runs: DataFrame) -> DataFrame:

@@ -22,10 +22,10 @@ def rows(spark):
     return data, spark.createDataFrame(data, "key string, id int, ts timestamp, v string").cache()
 
 
-@pytest.mark.parametrize("grain", [60_000_000, O.HOUR_US, 10**15])
-def test_positions(rows, grain):
+@pytest.mark.parametrize("parts", [1, 7, O.PARTS])
+def test_positions(rows, parts):
     data, df = rows
-    got = {(r.key, r.id): r.pos for r in O.number_rows(df, ["key"], "ts", "id", grain_us=grain).collect()}
+    got = {(r.key, r.id): r.pos for r in O.number_rows(df, ["key"], "ts", "id", parts=parts).collect()}
     want = {}
     for key in {r[0] for r in data}:
         for n, r in enumerate(sorted((r for r in data if r[0] == key), key=lambda r: (r[2], r[1]))):
@@ -33,11 +33,11 @@ def test_positions(rows, grain):
     assert got == want
 
 
-@pytest.mark.parametrize("grain", [60_000_000, O.HOUR_US, 10**15])
-def test_runs_by_value_and_by_gap(rows, grain):
+@pytest.mark.parametrize("parts", [1, 7, O.PARTS])
+def test_runs_by_value_and_by_gap(rows, parts):
     data, df = rows
-    by_value = O.number_runs(df, ["key"], "ts", "id", ["v"], lambda c, p: c["v"] != p["v"], grain_us=grain)
-    by_gap = O.number_runs(df, ["key"], "ts", "id", ["ts"], lambda c, p: F.unix_micros(c["ts"]) - F.unix_micros(p["ts"]) > 150_000_000, grain_us=grain)
+    by_value = O.number_runs(df, ["key"], "ts", "id", ["v"], lambda c, p: c["v"] != p["v"], parts=parts)
+    by_gap = O.number_runs(df, ["key"], "ts", "id", ["ts"], lambda c, p: F.unix_micros(c["ts"]) - F.unix_micros(p["ts"]) > 150_000_000, parts=parts)
     values, gaps = ({(r.key, r.id): r.run for r in x.collect()} for x in (by_value, by_gap))
     for key in {r[0] for r in data}:
         run_v = run_g = 0
@@ -93,3 +93,16 @@ def test_group_limit_reaches_below_the_shuffle(spark, rows):
     _, df = rows
     plan = O.top_per_group(df, ["key"], [F.asc("ts"), F.asc("id")], 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize("when", [START, None])
+def test_a_burst_at_one_time_or_without_any_is_spread(spark, when):
+    """A key with all its rows at one instant, or without times, is cut into many groups of about equal size."""
+    data = [("hot", f"e{i:05d}", when) for i in range(20_000)] + [(f"k{i % 50}", f"e{i:05d}", START + timedelta(seconds=i)) for i in range(20_000, 30_000)]
+    df = spark.createDataFrame(data, "key string, id string, ts timestamp").repartition(16)
+    per_cut = [r["count"] for r in O.intervals(df, ["key"], ["ts", "id"]).where("key = 'hot'").groupBy("_b").count().collect()]
+    assert len(per_cut) > 100 and max(per_cut) < 400
+    got = O.number_rows(df, ["key"], "ts", "id")
+    assert got.where("key = 'hot' AND pos <> CAST(substr(id, 2) AS INT)").count() == 0
+    runs = O.number_runs(df, ["key"], "ts", "id", ["id"], lambda c, p: F.substring(c["id"], 1, 4) != F.substring(p["id"], 1, 4))
+    assert runs.where("key = 'hot' AND run <> CAST(substr(id, 2, 3) AS INT)").count() == 0
