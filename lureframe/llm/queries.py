@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lureframe.llm import exact_dedup, html_text, language_model, mixing, near_dedup, neighbours, packing, pii, quality, toxicity
+from lureframe.llm import conversations, exact_dedup, html_text, language_model, mixing, near_dedup, neighbours, packing, pii, quality, toxicity
 from lureframe.llm.sql import ORACLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,9 @@ def good(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query("op13_conversation_repair")
+def repaired_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damage(rows), rows)

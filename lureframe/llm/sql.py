@@ -1,6 +1,65 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express on whole tables."""
 
+SPACE = r"\x20\x09-\x0D"
+
+
+def crc32(points: str) -> str:
+    """CRC-32 of a list of bytes, from a table that eight shifts per entry give."""
+    table = "list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+    step = "lambda c, b: xor(c >> 8, table_of[(xor(c, b) & 255) + 1])"
+    return f"(SELECT xor(list_reduce(list_prepend(4294967295::BIGINT, {points}), {step}), 4294967295) FROM (SELECT {table} AS table_of))"
+
+
+def _edit(way: str, cost: int | str, letter: str) -> str:
+    """A way is its cost in eight digits and its letters, so that least() compares cost, then letters."""
+    return f"lpad(CAST(CAST(left({way}, 8) AS INT) + {cost} AS VARCHAR), 8, '0') || substr({way}, 9) || '{letter}'"
+
+
+def _row(state: str, letter: str, cost: int, role: str = "", damage: bool = False) -> str:
+    allowed = " AND ".join([*(["NOT gone"] if damage else []), *([f"initial = '{role}'"] if role else [])])
+    made = _edit(state, f"{cost} + CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END" if damage else cost, letter)
+    return f"CASE WHEN {allowed} THEN {made} END" if allowed else made
+
+
+REPAIR = rf"""
+    WITH RECURSIVE plain AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             {crc32("list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: unicode(c)::BIGINT)")} % 20 AS fate FROM conversations),
+         damaged AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+                 CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                 unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM plain),
+         placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS rn FROM damaged),
+         marked AS (SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY rn) AS earlier,
+                 CASE WHEN NOT regexp_matches(text, '[^{SPACE}]') THEN 'blank'
+                      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 THEN 'duplicate'
+                      WHEN regexp_extract(text, '([^{SPACE}])[{SPACE}]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM placed),
+         facts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                 count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                 count(*) FILTER (earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY conv_id),
+         ways AS (SELECT conv_id, 0 AS rn, '00000000' AS w0, CAST(NULL AS VARCHAR) AS w1, '00000005I' AS w2, '00000010II' AS w3 FROM facts
+             UNION ALL
+             SELECT conv_id, rn, n0, n1, w2, least(n3, {_edit("w2", 5, "I")})
+             FROM (SELECT *, least(n2, {_edit("n0", 5, "I")}, {_edit("n1", 5, "I")}, {_edit("n3", 5, "I")}) AS w2
+                   FROM (SELECT m.conv_id, m.rn, {_row("w0", "D", 2)} AS n0, least({_row("w1", "D", 2)}, {_row("w0", "K", 0, "s", True)}) AS n1,
+                             least({_row("w2", "D", 2)}, {", ".join(_row(w, *x) for w in ("w0", "w1", "w3") for x in (("K", 0, "u", True), ("R", 1, "", True)))}) AS n2,
+                             least({_row("w3", "D", 2)}, {_row("w2", "K", 0, "a", True)}, {_row("w2", "R", 1, "", True)}) AS n3
+                         FROM (SELECT *, coalesce(fault IN ('blank', 'duplicate'), false) AS gone FROM marked) m
+                         JOIN ways w ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.rn = w.rn + 1))),
+         best AS (SELECT f.*, least(w0, w3) AS way FROM facts f JOIN ways w ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.n = w.rn),
+         letters AS (SELECT conv_id, substr(way, 9) AS audit, unnest(range(1, length(way) - 7)) AS nth, substr(substr(way, 9), unnest(range(1, length(way) - 7)), 1) AS letter FROM best),
+         numbered AS (SELECT *, count(*) FILTER (letter <> 'I') OVER (PARTITION BY conv_id ORDER BY nth) AS rn,
+                 count(*) FILTER (letter <> 'D') OVER (PARTITION BY conv_id ORDER BY nth) AS line FROM letters),
+         kept AS (SELECT n.conv_id, n.nth, n.line, n.letter, m.role, m.text, m.initial FROM numbered n
+                  LEFT JOIN marked m ON n.conv_id IS NOT DISTINCT FROM m.conv_id AND n.rn = m.rn AND n.letter <> 'I' WHERE n.letter <> 'D'),
+         lines AS (SELECT *, line - CASE WHEN bool_or(line = 1 AND letter = 'K' AND initial = 's') OVER (PARTITION BY conv_id) THEN 1 ELSE 0 END AS place FROM kept),
+         made AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN place % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY nth) AS whole
+                  FROM lines GROUP BY conv_id)
+    SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+           coalesce(illegal, 0) AS illegal, coalesce(CAST(left(way, 8) AS BIGINT), 0) AS cost, coalesce(substr(way, 9), '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN best b ON c.conv_id IS NOT DISTINCT FROM b.conv_id
+    LEFT JOIN made m ON c.conv_id IS NOT DISTINCT FROM m.conv_id"""
+
 ORACLE: dict[str, str] = {
+    "op13_conversation_repair": REPAIR,
     "op8_exact_dedup": r"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
              g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
