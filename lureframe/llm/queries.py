@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lureframe.llm import conversations, exact_dedup, html_text, language_model, mixing, near_dedup, neighbours, packing, pii, quality, toxicity
+from lureframe.llm import conversations, exact_dedup, html_text, language_model, mixing, near_dedup, neighbours, packing, pii, quality, spelling, toxicity
 from lureframe.llm.sql import ORACLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,8 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repaired_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     return conversations.repair(conversations.damage(rows), rows)
+
+
+@query("op11_spelling_variants")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.damaged_runs(table(spark, sf_dir, "documents")), shortest=5, rarest=3)

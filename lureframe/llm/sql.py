@@ -58,7 +58,25 @@ REPAIR = rf"""
     FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN best b ON c.conv_id IS NOT DISTINCT FROM b.conv_id
     LEFT JOIN made m ON c.conv_id IS NOT DISTINCT FROM m.conv_id"""
 
+#: Words one edit apart: equal after each loses the code point at one place, or one equals the other less a code point.
+SPELLING = rf"""
+    WITH RECURSIVE runs AS (SELECT doc_id, run, count(*) AS k FROM (
+             SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL),
+         hashed AS (SELECT run, k, {crc32("flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c) >> 6)::BIGINT, 128 + (unicode(c) & 63)::BIGINT] END))")} AS h FROM runs),
+         vocab AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (
+             SELECT CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, k FROM hashed)
+             WHERE length(word) >= 5 GROUP BY 1 HAVING sum(k) >= 3),
+         less AS (SELECT word, length(word) AS size, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM vocab)),
+         pairs AS (SELECT a.word AS a, b.word AS b FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.size = b.size AND a.word <> b.word
+             UNION SELECT word, rest FROM less WHERE rest IN (SELECT word FROM vocab) UNION SELECT rest, word FROM less WHERE rest IN (SELECT word FROM vocab)),
+         near AS (SELECT a AS word, count(*) AS n_near, first(b ORDER BY n DESC, encode(b)) AS best, max(n) AS best_n FROM pairs JOIN vocab ON b = word GROUP BY a),
+         formed AS (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * n THEN best END AS form, CASE WHEN best_n >= 2 * n THEN best_n END AS form_n
+                    FROM vocab v LEFT JOIN near USING (word)),
+         steps AS (SELECT word, word AS root FROM formed UNION ALL SELECT s.word, f.form FROM steps s JOIN formed f ON s.root = f.word WHERE f.form IS NOT NULL)
+    SELECT f.word, form, s.root, n, n_near, form_n FROM formed f JOIN (SELECT s.word, s.root FROM steps s JOIN formed e ON s.root = e.word WHERE e.form IS NULL) s ON f.word = s.word"""
+
 ORACLE: dict[str, str] = {
+    "op11_spelling_variants": SPELLING,
     "op13_conversation_repair": REPAIR,
     "op8_exact_dedup": r"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
