@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lureframe.llm import conversations, exact_dedup, html_text, language_model, mixing, near_dedup, neighbours, packing, pii, quality, spelling, toxicity
+from lureframe.llm import conversations, exact_dedup, html_text, jaccard_join, language_model, mixing, near_dedup, neighbours, packing, pii, quality, spelling, toxicity
 from lureframe.llm.sql import ORACLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,9 @@ def repaired_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_spelling_variants")
 def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.damaged_runs(table(spark, sf_dir, "documents")), shortest=5, rarest=3)
+
+
+@query("op12_jaccard_join")
+def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"), words=4, percent=85)
+    return groups.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
