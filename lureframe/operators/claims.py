@@ -38,14 +38,14 @@ def classification_gate(raw: DataFrame, heads: DataFrame, commands: DataFrame) -
     n = F.coalesce("_n", F.lit(0))
     fallback = F.array(F.struct(
         F.coalesce(F.col("_c.event_id"), F.col("first_event_id")).cast("string").alias("event_id"),
-        F.coalesce(F.col("_c.command"), F.lit("session recorded, no commands")).alias("artifact"),
+        F.coalesce(F.col("_c.command"), F.lit("no command on record")).alias("artifact"),
     ))
     pick = lambda c, other: F.when(F.col("_ok"), v(c)).otherwise(other).alias(c)
     return rows.select(
         "session_id", "chunk_no", pick("classification", F.lit("Unclassified")), pick("confidence", F.lit(0.0)),
         pick("risk_score", F.lit(0)), pick("risk", F.lit("informational")),
         pick("behavior_summary", F.concat(
-            F.lit("The model did not return a usable classification. "), n.cast("string"), F.lit(" commands were recorded.")
+            F.lit("No valid verdict; the session has "), n.cast("string"), F.lit(" commands on record.")
         )),
         pick("evidence", fallback), (~F.col("_ok")).alias("degraded"),
     )

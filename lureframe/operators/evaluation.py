@@ -532,18 +532,12 @@ def evidence_packages(pr: DataFrame, st: DataFrame) -> DataFrame:
     size = F.least(F.col("_n"), F.lit(PACKAGE_ITEMS))
     share = F.least(F.lit(ITEM_CHARS), F.greatest(F.lit(MIN_ITEM_CHARS), F.floor(F.lit(PACKAGE_CHARS) / size))).cast("int")
     kept = kept.withColumn("_share", share)
-    head = F.floor(F.col("_share") * 2 / 3).cast("int")
-    cut = F.concat(
-        F.left("summary", head), F.lit("\n... ["), (F.length("summary") - F.col("_share")).cast("string"),
-        F.lit(" characters omitted -- oversized single command, explicitly bounded, never silently truncated by the model's own context window] ...\n"),
-        F.right("summary", F.col("_share") - head),
-    )
-    rows = kept.select(*key, "item_id", F.when(F.length("summary") <= F.col("_share"), F.col("summary")).otherwise(cut).alias("summary"))
+    rows = kept.select(*key, "item_id", text.truncate_middle("summary", F.col("_share")).alias("summary"))
     over = totals.filter(F.col("_n") > PACKAGE_ITEMS).select(
         *key, F.lit(NOTICE_ID).alias("item_id"),
         F.concat(
             (F.col("_n") - PACKAGE_ITEMS).cast("string"),
-            F.lit(" further evidence items for this characteristic were omitted to bound the package; this notice is not itself evidence"),
+            F.lit(" more items exist than this package may hold; this line counts them and is no item"),
         ).alias("summary"),
     )
     return rows.unionByName(over)

@@ -17,30 +17,15 @@ RENAMES = {
     "username": "username", "password": "password", "shasum": "sha256", "url": "file_url", "outfile": "file_name",
     "destfile": "file_path", "path": "url_path", "query": "url_query",
 }
-STRUCTURED = ("timestamp", "http", "network", "user_agent", "honeypot", "labels", "source", "output")
 NOISE = (
     "message", "sensor", "system", "isError", "src_host", "duration", "duration_ms", "ttylog", "arch",
     "kernel_version", "kernel_build_string", "hassh", "hasshAlgorithms", "version", "macCS", "encCS", "kexAlgs",
     "keyAlgs", "compCS", "langCS", "shasum_hex", "shell", "input_hex", "uuid", "width", "height", "duplicate",
     "name", "value", "size",
 )
-NESTED = {
-    "http": ("request", "response"), "http.request": ("method",), "http.response": ("status_code",),
-    "network": ("protocol",), "user_agent": ("original",), "honeypot": ("id", "name"), "labels": ("seeded",),
-    "source": ("country",),
-}
 PORTS = ("src_port", "dst_port")
-OBJECTS = ("http", "network", "user_agent", "honeypot", "labels", "source")
 TEXTS = tuple(c for c in (*RENAMES, "timestamp", "output") if c not in PORTS)
 REASON_ACTIONS = ("cowrie.session.file_download.failed", "cowrie.telnet.error")
-RAW_DDL = (
-    "eventid string, timestamp string, session string, src_ip string, src_port string, dst_ip string, dst_port string,"
-    " protocol string, input string, username string, password string, url string, outfile string, destfile string,"
-    " shasum string, path string, query string, output string,"
-    " http struct<request:struct<method:string>,response:struct<status_code:string>>, network struct<protocol:string>,"
-    " user_agent struct<original:string>, honeypot struct<id:string,name:string>, labels struct<seeded:string>,"
-    " source struct<country:string>"
-)
 WEB_GAP_US = 30 * 60 * 1_000_000
 # --- end of fixed values ------------------------------------------------------------------------
 
@@ -75,48 +60,89 @@ def split_target(target: Column) -> tuple[Column, Column]:
 
 
 _NONE = "array<string>"
-
-
-def _beyond(found: Column, allowed: tuple[str, ...], prefix: str = "") -> Column:
-    extra = F.array_except(F.coalesce(found, F.array().cast(_NONE)), F.array(*[F.lit(k) for k in allowed]))
-    return F.transform(extra, lambda k: F.concat(F.lit(prefix), k)) if prefix else extra
-
-
-def _unknown_keys(fields: Column, body: Column) -> Column:
-    """Fields the schema does not know, nested ones by path. `fields` is the line as a map of texts."""
-    get = lambda *path: F.try_element_at(fields, F.lit(path[0])) if len(path) == 1 else F.get_json_object(get(path[0]), f"$.{path[1]}")
-    kind = get("eventid")
-    only_on = lambda cond, *names: F.coalesce(F.when(cond, F.array(*[F.lit(n) for n in names])), F.array().cast(_NONE))
-    # Noise on one event type only; on any other type the same field is a refusal. An error is a
-    # reason when it is a plain string, never when it is an object.
-    text_error = F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), "$.error", "variant")).eqNullSafe("STRING")
-    conditional = F.concat(
+_NO_KEYS = lambda: F.array().cast(_NONE)
+#: Fields that hold text, a whole number or a flag; fields of any kind; and objects with their own fields.
+TEXT, WHOLE, FLAG, ANY = "text", "whole", "flag", "any"
+TREE = {
+    **dict.fromkeys(TEXTS, TEXT), **dict.fromkeys(PORTS, WHOLE), **dict.fromkeys(NOISE, ANY),
+    "http": {"request": {"method": TEXT}, "response": {"status_code": WHOLE}}, "network": {"protocol": TEXT},
+    "user_agent": {"original": TEXT}, "honeypot": {"id": TEXT, "name": TEXT}, "labels": {"seeded": FLAG}, "source": {"country": TEXT},
+}
+#: Raw fields that are handled after the action is looked at.
+AFTER_ACTION = ("timestamp", *NOISE)
+
+
+def _struct(tree: dict) -> str:
+    """The declared fields as a type: whole numbers as int, everything else as text."""
+    kinds = {TEXT: "string", FLAG: "string", WHOLE: "int"}
+    return "struct<" + ",".join(f"{k}:{_struct(v) if isinstance(v, dict) else kinds[v]}" for k, v in tree.items() if v != ANY) + ">"
+
+
+def _object(value: Column) -> Column:
+    """The fields of a JSON object, null for anything else."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def _mismatch(kind: str, value: Column) -> Column:
+    shape = F.schema_of_variant(value)
+    if kind == TEXT:
+        return shape.startswith("OBJECT") | shape.startswith("ARRAY")
+    if kind == WHOLE:
+        return (shape != "VOID") & ((shape == "BOOLEAN") | F.try_variant_get(value, "$", "int").isNull())
+    return (shape != "VOID") & ~F.coalesce(F.lower(F.try_variant_get(value, "$", "string")).isin("true", "false"), F.lit(False))
+
+
+def _walk(tree: dict, fields: Column, path: str = "") -> Column:
+    """(unknown, wrong) of one object against the declared tree, at every depth: the paths it doesn't know, and whether a
+    known field holds a value that its column cannot: an object for text, text for a number, anything else for an object."""
+    extra = F.array_except(F.map_keys(fields), F.array(*[F.lit(k) for k in tree]))
+    unknown = [F.transform(extra, lambda k: F.concat(F.lit(path), k)) if path else extra]
+    wrong = F.lit(False)
+    for kind in (TEXT, WHOLE, FLAG):
+        if names := [k for k, v in tree.items() if v == kind]:
+            wrong = wrong | F.exists(F.map_entries(fields), lambda e: e["key"].isin(*names) & _mismatch(kind, e["value"]))
+    for name, below in tree.items():
+        if isinstance(below, dict):
+            child = F.try_element_at(fields, F.lit(name))
+            inner = bind(_object(child), lambda m: F.when(m.isNotNull(), _walk(below, m, f"{path}{name}.")))
+            nothing = F.struct(_NO_KEYS().alias("unknown"), (child.isNotNull() & (F.schema_of_variant(child) != "VOID")).alias("wrong"))
+            seen = F.when(child.isNull(), F.struct(_NO_KEYS().alias("unknown"), F.lit(False).alias("wrong"))).otherwise(F.coalesce(inner, nothing))
+            unknown.append(seen)
+    children = unknown[1:]
+    if not children:
+        return F.struct(unknown[0].alias("unknown"), F.coalesce(wrong, F.lit(False)).alias("wrong"))
+    return bind(F.array(*children), lambda found: F.struct(
+        F.concat(unknown[0], F.flatten(F.transform(found, lambda x: x["unknown"]))).alias("unknown"),
+        (F.coalesce(wrong, F.lit(False)) | F.exists(found, lambda x: x["wrong"])).alias("wrong"),
+    ))
+
+
+def _excused(fields: Column) -> Column:
+    """Unknown fields that are noise on one event type only; on any other type the same field is a refusal. An error is a
+    reason when it is a plain string, never when it is an object."""
+    get = lambda name: F.try_element_at(fields, F.lit(name))
+    kind = F.try_variant_get(get("eventid"), "$", "string")
+    only_on = lambda cond, *names: F.when(cond, F.array(*[F.lit(n) for n in names])).otherwise(_NO_KEYS())
+    return F.concat(
         only_on(kind == "cowrie.telnet.option", "command", "option_byte", "option_name"),
         only_on(kind.startswith("cowrie.session.file_download"), "late"),
-        F.when(kind.isin(*REASON_ACTIONS), only_on(text_error, "error")).otherwise(F.array().cast(_NONE)),
+        only_on(kind.isin(*REASON_ACTIONS) & (F.schema_of_variant(get("error")) == "STRING"), "error"),
     )
-    top = F.array_except(_beyond(F.map_keys(fields), (*RENAMES, *STRUCTURED, *NOISE)), conditional)
-    empty = F.array().cast(_NONE)
-    inside = lambda p, keys: F.when(get(p.split(".")[0]).isNotNull(), _beyond(F.json_object_keys(get(*p.split("."))), keys, p + ".")).otherwise(empty)
-    return F.concat(top, *[inside(p, keys) for p, keys in NESTED.items()])
-
-
-def _wrong_type(fields: Column, body: Column) -> Column:
-    """Whether a known field holds a value that its column cannot: text for a port, text for an object, an object for
-    text. Such a line is refused whole, so no accepted row loses a value."""
-    get = lambda c: F.try_element_at(fields, F.lit(c))
-    inner = lambda c, path: F.get_json_object(get(c), path)
-    no_int = lambda x: x.isNotNull() & x.try_cast("int").isNull()
-    wrong = no_int(get("src_port")) | no_int(get("dst_port")) | no_int(inner("http", "$.response.status_code"))
-    seeded = inner("labels", "$.seeded")
-    wrong = wrong | (seeded.isNotNull() & ~F.lower(seeded).isin("true", "false"))
-    for c in OBJECTS:
-        wrong = wrong | (get(c).isNotNull() & F.json_object_keys(get(c)).isNull())
-    # Text that looks like an object may be one: only then are the values looked at by kind.
-    looks = F.exists(F.map_entries(fields), lambda e: e["key"].isin(*TEXTS) & F.substring(e["value"], 1, 1).isin("{", "["))
-    kinds = F.map_entries(F.from_json(body, "map<string,variant>"))
-    nested = F.exists(kinds, lambda e: e["key"].isin(*TEXTS) & F.schema_of_variant(e["value"]).rlike("^(?:OBJECT|ARRAY)"))
-    return F.coalesce(wrong, F.lit(False)) | F.when(F.coalesce(looks, F.lit(False)), F.coalesce(nested, F.lit(False))).otherwise(F.lit(False))
+
+
+def _failed_step(fields: Column) -> Column:
+    """(failed, left): whether a step of the take-over fails, and the raw fields that later steps would have handled.
+
+    A protocol can't be taken over where the line already has its target; an action that isn't text has no
+    category. The event is of the category `other` then, and every field that is left over is one the schema doesn't know.
+    """
+    get = lambda name: F.try_element_at(fields, F.lit(name))
+    given = F.coalesce(F.schema_of_variant(F.try_variant_get(get("network"), "$.protocol", "variant")) != "VOID", F.lit(False))
+    taken = get("protocol").isNotNull() & given
+    odd = F.coalesce(~F.schema_of_variant(get("eventid")).isin("STRING", "VOID"), F.lit(False))
+    left = lambda *names: F.array_intersect(F.map_keys(fields), F.array(*[F.lit(n) for n in names]))
+    rest = (*[c for c in RENAMES if c != "protocol"], *AFTER_ACTION)
+    return F.struct((taken | odd).alias("failed"), F.when(taken, left("protocol", *rest)).when(odd, left(*AFTER_ACTION)).otherwise(_NO_KEYS()).alias("left"))
 
 
 def normalize(raw: DataFrame, cidr: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -143,36 +169,40 @@ def judged_lines(raw: DataFrame, cidr: DataFrame | None = None) -> DataFrame:
         if c not in raw.columns:
             stamped = stamped.withColumn(c, F.lit(None).cast("string"))
 
-    def judge(body: Column) -> Column:
-        return bind(F.from_json(body, "map<string,string>"), lambda m: bind(_unknown_keys(m, body), lambda unknown: verdict(m, unknown, body)))
+    def judge(line: Column) -> Column:
+        return bind(_object(line), lambda m: bind(F.when(m.isNotNull(), _walk(TREE, m)), lambda seen: bind(
+            F.when(m.isNotNull(), _failed_step(m)), lambda step: verdict(m, seen, step))))
 
-    def verdict(m: Column, unknown: Column, body: Column) -> Column:
-        bad = lambda c: F.try_element_at(m, F.lit(c)).isNotNull() & ~_address(F.try_element_at(m, F.lit(c)))
-        reason = (
+    def verdict(m: Column, seen: Column, step: Column) -> Column:
+        text_of = lambda c: F.try_variant_get(F.try_element_at(m, F.lit(c)), "$", "string")
+        bad = lambda c: text_of(c).isNotNull() & ~_address(text_of(c))
+        unknown = F.array_sort(F.concat(F.array_except(seen["unknown"], _excused(m)), step["left"]))
+        return bind(F.coalesce(unknown, _NO_KEYS()), lambda unknown: F.struct(
             F.when(m.isNull(), "malformed_json").when(F.size(unknown) > 0, "unknown_field")
-            .when(bad("src_ip") | bad("dst_ip"), "invalid_address").when(_wrong_type(m, body), "invalid_type")
-        )
-        return F.struct(reason.alias("reason"), F.coalesce(unknown, F.array().cast(_NONE)).alias("unknown"), F.try_element_at(m, F.lit("error")).alias("error"))
+            .when(bad("src_ip") | bad("dst_ip"), "invalid_address").when(seen["wrong"], "invalid_type").alias("reason"),
+            unknown.alias("unknown"), F.coalesce(step["failed"], F.lit(False)).alias("failed"),
+        ))
 
-    # The shipper may nest a sensor's line under its own name.
-    nested = F.contains("raw", F.lit('"cowrie"'))
-    body = F.when(nested, F.coalesce(F.get_json_object("raw", "$.cowrie"), F.col("raw"))).otherwise(F.col("raw"))
+    # One parse serves the walk, the verdict and the columns. The shipper may nest a sensor's line under its own name.
+    line = F.try_parse_json("raw")
+    nested = F.coalesce(F.try_variant_get(line, "$.cowrie", "variant"), line)
     # A generated column: a filter on it stays above, so each line is judged once.
-    judged = stamped.withColumn("_body", body).withColumn("_v", F.explode_outer(F.array(judge(F.col("_body")))))
-    good = judged.withColumn("_j", F.from_json(F.when(F.col("_v.reason").isNull(), F.col("_body")), RAW_DDL))
+    judged = stamped.withColumn("_line", F.explode_outer(F.array(nested))).withColumn("_v", F.explode_outer(F.array(judge(F.col("_line")))))
+    good = judged.withColumn("_j", F.when(F.col("_v.reason").isNull(), F.try_variant_get("_line", "$", _struct(TREE))))
     j = lambda c: F.col(f"_j.{c}")
-    action = j("eventid")
+    failed = F.col("_v.failed")
+    action = F.when(~failed, j("eventid"))
     events = good.select(
         F.sha2(F.concat_ws("\n", F.coalesce("honeypot_id", F.lit("")), "raw"), 256).alias("event_id"),
         F.try_to_timestamp(j("timestamp")).alias("ts"),
         F.coalesce("honeypot_id", j("honeypot.id")).alias("honeypot_id"),
         F.coalesce("honeypot_name", j("honeypot.name")).alias("honeypot_name"),
         F.coalesce(j("network.protocol"), j("protocol"), F.lit("ssh")).alias("protocol"),
-        *[(j(r).try_cast("int") if r in PORTS else j(r)).alias(c) for r, c in RENAMES.items() if c != "protocol"],
-        event_category(action).alias("category"), event_outcome(action).alias("outcome"),
-        F.when(action.isin(*REASON_ACTIONS), F.col("_v.error")).alias("reason"),
+        *[j(r).alias(c) for r, c in RENAMES.items() if c != "protocol"],
+        F.when(failed & F.col("_v.reason").isNull(), "other").otherwise(event_category(action)).alias("category"), event_outcome(action).alias("outcome"),
+        F.when(action.isin(*REASON_ACTIONS), F.try_variant_get("_line", "$.error", "string")).alias("reason"),
         j("output").alias("output"), j("http.request.method").alias("http_method"),
-        j("http.response.status_code").try_cast("int").alias("http_status"), j("user_agent.original").alias("user_agent"),
+        j("http.response.status_code").alias("http_status"), j("user_agent.original").alias("user_agent"),
         j("source.country").alias("source_country"), F.coalesce(j("labels.seeded").try_cast("boolean"), F.lit(False)).alias("labels_seeded"),
         F.col("raw").alias("_raw"), F.col("_v.unknown").alias("_unknown"), F.col("_v.reason").alias("_reason"),
     )
@@ -185,57 +215,40 @@ def _address(x: Column) -> Column:
     return net.is_ipv4(x) | (F.contains(x, F.lit(":")) & net.ipv6_hex(x).isNotNull())
 
 
-def cidr_ranges(cidr: DataFrame) -> DataFrame:
-    """(cidr, country) to inclusive number ranges, spread over the /16 blocks they cover."""
-    base = net.ipv4_long(F.substring_index("cidr", "/", 1))
-    size = F.pow(F.lit(2.0), F.lit(32) - F.substring_index("cidr", "/", -1).cast("int")).cast("long")
-    ranges = cidr.select("country", base.alias("lo"), (base + size - 1).alias("hi")).filter(F.col("lo").isNotNull())
-    return ranges.withColumn("_b16", F.explode(F.sequence(F.shiftright("lo", 16), F.shiftright("hi", 16))))
+def _hex(ip: Column) -> Column:
+    """An address as 8 or 32 hex digits; null for anything else."""
+    return F.when(net.is_ipv4(ip), F.lpad(F.lower(F.hex(net.ipv4_long(ip))), 8, "0")).when(F.contains(ip, F.lit(":")), net.ipv6_hex(ip))
 
 
-def geoip_country(ev: DataFrame, cidr: DataFrame, ip: str = "source_ip", country: str = "source_country") -> DataFrame:
-    """Country of each address from a range table; an existing country is kept.
+def _prefix(digits: Column, bits: Column) -> Column:
+    """The first `bits` bits of hex digits; a digit that is cut keeps its upper bits."""
+    rest = F.pmod(bits, F.lit(4))
+    digit = F.conv(F.substring(digits, F.floor(bits / 4).cast("int") + 1, F.lit(1)), 16, 10).cast("int")
+    kept = digit - F.pmod(digit, F.pow(F.lit(2), F.lit(4) - rest).cast("int"))
+    whole = F.substring(digits, F.lit(1), F.floor(bits / 4).cast("int"))
+    return F.when(rest == 0, whole).otherwise(F.concat(whole, F.lower(F.hex(kept.cast("long")))))
 
-    Addresses are located once each, on an equi-join by /16 block with a range check, and joined
-    back: the range table may be as large as it likes, and nothing is compared with all of it.
-    """
-    wanted = ev.filter(F.col(country).isNull() & F.col(ip).isNotNull()).select(ip).distinct()
-    located = _located_v4(wanted, cidr, ip).unionByName(_located_v6(wanted, cidr, ip))
-    return ev.join(located, ip, "left").withColumn(country, F.coalesce(country, "_country")).select(*ev.columns)
 
+def cidr_prefixes(cidr: DataFrame) -> DataFrame:
+    """(digits, bits, prefix, country): each block of (cidr, country) once; of a block with several countries the smallest."""
+    parts = cidr.select("country", _hex(F.substring_index("cidr", "/", 1)).alias("_h"), F.substring_index("cidr", "/", -1).try_cast("int").alias("bits"))
+    known = parts.filter(F.col("bits").between(0, 4 * F.length("_h")))
+    return known.groupBy(F.length("_h").alias("digits"), "bits", _prefix(F.col("_h"), F.col("bits")).alias("prefix")).agg(F.min("country").alias("country"))
 
-def _located_v4(wanted: DataFrame, cidr: DataFrame, ip: str) -> DataFrame:
-    return (
-        wanted.filter(net.is_ipv4(ip)).withColumn("_n", net.ipv4_long(ip)).withColumn("_b16", F.shiftright("_n", 16))
-        .join(cidr_ranges(cidr), "_b16").filter(F.col("_n").between(F.col("lo"), F.col("hi")))
-        # The narrowest range that holds the address.
-        .groupBy(ip).agg(F.min_by("country", F.struct((F.col("hi") - F.col("lo")).alias("w"), "lo")).alias("_country"))
-    )
 
+def geoip_country(ev: DataFrame, cidr: DataFrame, ip: str = "source_ip", country: str = "source_country") -> DataFrame:
+    """Country of each address from a table of blocks; an existing country is kept, the longest prefix wins.
 
-def cidr_ranges_v6(cidr: DataFrame) -> DataFrame:
-    """IPv6 blocks as inclusive ranges of 32 hex digits, spread over the first four digits they cover."""
-    rows = cidr.filter(F.contains("cidr", F.lit(":"))).select("country", net.ipv6_hex(F.substring_index("cidr", "/", 1)).alias("base"), F.substring_index("cidr", "/", -1).cast("int").alias("bits"))
-    whole, rest = F.floor(F.col("bits") / 4).cast("int"), F.pmod(F.col("bits"), F.lit(4)).cast("int")
-    digit = F.conv(F.substring("base", whole + 1, F.lit(1)), 16, 10).cast("int")
-    step = F.pow(F.lit(2), F.lit(4) - rest).cast("int")
-    low = (F.floor(digit / step) * step).cast("int")
-    hexed = lambda n: F.lower(F.hex(n.cast("long")))
-    head = F.substring("base", F.lit(1), whole)
-    lo = F.when(rest == 0, F.rpad(head, 32, "0")).otherwise(F.rpad(F.concat(head, hexed(low)), 32, "0"))
-    hi = F.when(rest == 0, F.rpad(head, 32, "f")).otherwise(F.rpad(F.concat(head, hexed(low + step - 1)), 32, "f"))
-    ranges = rows.filter(F.col("base").isNotNull()).select("country", "bits", lo.alias("lo"), hi.alias("hi"))
-    first = lambda c: F.conv(F.substring(c, 1, 4), 16, 10).cast("int")
-    return ranges.withColumn("_b16", F.explode(F.sequence(first("lo"), first("hi"))))
-
-
-def _located_v6(wanted: DataFrame, cidr: DataFrame, ip: str) -> DataFrame:
-    placed = wanted.filter(F.contains(ip, F.lit(":"))).withColumn("_h", net.ipv6_hex(ip)).filter(F.col("_h").isNotNull())
-    placed = placed.withColumn("_b16", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
-    return (
-        placed.join(cidr_ranges_v6(cidr), "_b16").filter(F.col("_h").between(F.col("lo"), F.col("hi")))
-        .groupBy(ip).agg(F.min_by("country", F.struct((-F.col("bits")).alias("w"), "lo")).alias("_country"))
-    )
+    Each address is looked up once per prefix length that the table has (at most 33 and 129), as an equi-join on
+    family, length and prefix: a block is one row however wide it is, and a crowded block meets only its own addresses.
+    """
+    blocks = cidr_prefixes(cidr)
+    lengths = blocks.select(F.struct("digits", "bits").alias("l")).agg(F.collect_set("l")).scalar()
+    wanted = ev.filter(F.col(country).isNull() & F.col(ip).isNotNull()).select(ip).distinct().withColumn("_h", _hex(F.col(ip))).filter(F.col("_h").isNotNull())
+    tried = wanted.withColumn("_l", F.explode(lengths)).filter(F.col("_l.digits") == F.length("_h"))
+    keyed = tried.select(ip, F.col("_l.digits").alias("digits"), F.col("_l.bits").alias("bits"), _prefix(F.col("_h"), F.col("_l.bits")).alias("prefix"))
+    located = keyed.join(blocks.withColumnRenamed("country", "_found"), ["digits", "bits", "prefix"]).groupBy(ip).agg(F.max_by("_found", "bits").alias("_country"))
+    return ev.join(located, ip, "left").withColumn(country, F.coalesce(country, "_country")).select(*ev.columns)
 
 
 def web_sessions(requests: DataFrame, gap_us: int = WEB_GAP_US) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lureframe.functions import text
 from lureframe.functions.ordered import modal, number_rows, number_runs, top_per_group
-from lureframe.functions.streamed import chunk_numbers
+from lureframe.functions.streamed import block_entries
 from lureframe.schema import ensure
 
 COMMAND = "cowrie.command.input"
@@ -174,28 +174,36 @@ def timeline(ev: DataFrame) -> DataFrame:
 
 
 def compact(ev: DataFrame) -> DataFrame:
-    """Consecutive identical commands of a session as one row with its first event.
+    """Consecutive identical commands of a session as one row with its first event and an excerpt of that event's output.
 
     Runs are numbered by `number_runs`, so a session of any length is split over tasks; runs are
-    then combined map-side.
+    then combined map-side. Outputs are cut to their excerpt before anything moves.
     """
-    commands = ev.filter(
+    commands = ensure(ev, "output").filter(
         (F.col("action") == COMMAND) & F.col("command_line").isNotNull() & (F.col("command_line") != "")
-    ).select("session_id", "event_id", "ts", "command_line")
+    ).select("session_id", "event_id", "ts", "command_line", text.truncate_output("output").alias("output_excerpt"))
     runs = number_runs(
         commands, ["session_id"], "ts", "event_id", ["command_line"],
         lambda cur, prev: cur["command_line"] != prev["command_line"],
     )
     return (
         runs.groupBy("session_id", "run", "command_line")
-        .agg(F.count(F.lit(1)).alias("repeat_count"), F.min(F.struct("ts", "event_id")).alias("_f"))
+        .agg(F.count(F.lit(1)).alias("repeat_count"), F.min(F.struct("ts", "event_id", "output_excerpt")).alias("_f"))
         .select(
             "session_id", F.col("_f.event_id").alias("event_id"), F.col("_f.ts").alias("ts"),
-            F.col("command_line").alias("command"), "repeat_count",
+            F.col("command_line").alias("command"), "repeat_count", F.col("_f.output_excerpt").alias("output_excerpt"),
         )
     )
 
 
+def downloads(ev: DataFrame) -> DataFrame:
+    """The download rows of a session, each still citable by its event."""
+    ev = ensure(ev, "file_url", "file_name", "sha256")
+    return ev.filter(F.col("action") == DOWNLOAD).select(
+        "session_id", "event_id", "ts", F.col("file_url").alias("url"), F.col("file_name").alias("outfile"), F.col("sha256").alias("shasum")
+    )
+
+
 def compact_summary(ev: DataFrame) -> DataFrame:
     """The per-session facts beside the compacted commands."""
     has_user = F.col("username").isNotNull() & (F.col("username") != "")
@@ -222,7 +230,7 @@ def compact_summary(ev: DataFrame) -> DataFrame:
     )
 
 
-# Commands of one session that one row may hold; the fold of a longer session reads it row by row.
+# Commands of one session that one row may hold.
 BLOCK_ROWS = 4096
 
 
@@ -232,8 +240,10 @@ def pack_chunks(
     """Greedy in-order packing of a session's commands into chunks under a token budget.
 
     A chunk costs its fixed header and footer plus one rendered entry per command; a command that
-    alone exceeds the budget is cut in the middle first. `heads` is `compact_summary`. A session
-    of more than `rows_per_block` commands is sorted and folded row by row under the same rule.
+    alone exceeds the budget is cut in the middle first. `heads` is `compact_summary`. Sessions are cut into
+    blocks of `rows_per_block` commands. What a block does depends only on how full the open chunk is when
+    it begins, so each block is summed up by a small table, a fold over tables tells how each block
+    begins, and all blocks pack at the same time.
     """
     limit = budget * text.CHARS_PER_TOKEN
     size = lambda *parts: sum((F.length(p) for p in parts), F.lit(0))
@@ -259,15 +269,15 @@ def pack_chunks(
         .join(frame, "session_id").withColumn("_cost", cost)
     )
     placed = placed.select("session_id", "event_id", "pos", F.col("_frame").cast("long").alias("frame"), F.col("_cost").cast("long").alias("cost"))
-    size_of = placed.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n"))
-    short = placed.join(size_of.filter(F.col("_n") <= rows_per_block).select("session_id"), "session_id", "left_semi")
-    long = placed.join(size_of.filter(F.col("_n") > rows_per_block).select("session_id"), "session_id", "left_semi")
-    groups = short.groupBy("session_id").agg(
-        F.first("frame").alias("_frame"), F.array_sort(F.collect_list(F.struct("pos", "event_id", "cost"))).alias("_items"),
-    )
+    items = F.array_sort(F.collect_list(F.struct("pos", "event_id", "cost"))).alias("_items")
+    blocks = placed.groupBy("session_id", F.expr(f"pos div {rows_per_block}").alias("block")).agg(F.first("frame").alias("_frame"), items)
+    # Only sessions of several blocks have to be told how theirs begin.
+    several = placed.filter(F.col("pos") == rows_per_block).select("session_id").distinct()
+    costs = blocks.join(several, "session_id", "left_semi").select("session_id", "block", F.transform("_items", lambda i: i["cost"]).alias("costs"), (F.lit(limit) - F.col("_frame")).alias("room"))
+    entered = blocks.join(block_entries(costs), ["session_id", "block"], "left")
     # The fold keeps only where each further chunk starts; a chunk holds many commands, so that
     # list is short and is copied only when it grows.
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("starts"))
+    zero = F.struct(F.coalesce("used", F.lit(0)).cast("long").alias("used"), F.array().cast("array<bigint>").alias("starts"))
 
     def step(acc, item):
         full = (acc["used"] > 0) & (acc["used"] + item["cost"] + F.col("_frame") > limit)
@@ -276,14 +286,12 @@ def pack_chunks(
             F.when(full, F.concat(acc["starts"], F.array(item["pos"]))).otherwise(acc["starts"]).alias("starts"),
         )
 
-    folded = groups.withColumn("_starts", F.aggregate("_items", zero, step, lambda acc: acc["starts"]))
-    rows = folded.select("session_id", "_starts", F.explode("_items").alias("_i"))
+    folded = entered.withColumn("_starts", F.aggregate("_items", zero, step, lambda acc: acc["starts"]))
+    rows = folded.select("session_id", F.coalesce("chunk", F.lit(0)).alias("_chunk"), "_starts", F.explode("_items").alias("_i"))
     inside = F.size(F.filter("_starts", lambda at: at <= F.col("_i.pos")))
-    packed = rows.select(
-        "session_id", inside.cast("long").alias("chunk_no"), F.col("_i.event_id").alias("event_id"), F.col("_i.pos").alias("pos"), F.col("_i.cost").alias("chars"),
+    return rows.select(
+        "session_id", (F.col("_chunk") + inside).cast("long").alias("chunk_no"), F.col("_i.event_id").alias("event_id"), F.col("_i.pos").alias("pos"), F.col("_i.cost").alias("chars"),
     )
-    read = long.join(chunk_numbers(long, limit), ["session_id", "pos"])
-    return packed.unionByName(read.select("session_id", "chunk_no", "event_id", "pos", F.col("cost").alias("chars")))
 
 
 def session_replay(ev: DataFrame, frames: DataFrame, slack_seconds: float = 5.0, sensors: DataFrame | None = None) -> DataFrame:

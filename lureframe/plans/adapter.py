@@ -330,6 +330,12 @@ def rotation(spark: SparkSession) -> DataFrame:
     return out.withColumn("deployed_at", F.col("deployed_at").cast("timestamp"))
 
 
+def with_outputs(ev: DataFrame) -> DataFrame:
+    """The event log with what the decoy answered: up to sixty lines for one event in three, no text for another."""
+    lines = F.array_join(F.transform(F.sequence(F.lit(1), (F.col("k") % 60 + 1).cast("int")), lambda i: F.concat(F.lit("line "), i.cast("string"))), "\n")
+    return ev.withColumn("output", F.when(F.col("k") % 3 == 0, lines).when(F.col("k") % 3 == 1, ""))
+
+
 # --- model output, from the event log ---
 def claims(ev: DataFrame, an: DataFrame) -> tuple[DataFrame, DataFrame]:
     done = an.filter(F.col("analysis_id").endswith("-a1")).select("session_id")

@@ -128,6 +128,12 @@ cmd_run AS (SELECT *, sum(CASE WHEN prev IS NULL OR prev <> command_line THEN 1
 comp AS (SELECT session_id, arg_min(event_id, (ts, event_id)) AS event_id, min(ts) AS ts, command_line AS command,
   count(*) AS repeat_count FROM cmd_run GROUP BY session_id, run, command_line)"""
 
+# The compacted commands with the excerpt of their first event's output.
+OUTPUTS = """
+outputs AS (SELECT c.*, CASE WHEN len(l) <= 40 THEN array_to_string(l, chr(10))
+    ELSE array_to_string(list_concat(l[1:20], ['... ' || (len(l) - 40) || ' lines omitted ...'], l[-20:]), chr(10)) END AS output_excerpt
+  FROM comp c LEFT JOIN (SELECT event_id, CASE WHEN k % 3 = 0 THEN list_transform(range(1, k % 60 + 2), lambda i: 'line ' || i) END AS l FROM ev) USING (event_id))"""
+
 
 def sql(body: str, *ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in (EV, *ctes)) + "\n" + body

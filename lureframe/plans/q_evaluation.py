@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from lureframe.functions import text
 from lureframe.operators import campaigns as C
 from lureframe.operators import claims as K
 from lureframe.operators import evaluation as V
@@ -111,7 +112,7 @@ vbx AS (SELECT *, k % 9 <> 0 AND k % 120 <= 100 AND k % 11 <> 0 AS ok FROM vb),
 cls AS (SELECT v.session_id, chunk_no, CASE WHEN ok THEN {array(A.LABELS)}[k % 9 + 1] ELSE 'Unclassified' END AS classification,
   CASE WHEN ok THEN (k % 120) / 100.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence, CASE WHEN ok THEN k ELSE 0 END AS risk_score,
   CASE WHEN ok THEN {O.band('k')} ELSE 'informational' END AS risk,
-  CASE WHEN ok THEN 'summary ' || (k % 4) ELSE 'The model did not return a usable classification. ' || coalesce(c.n, 0) || ' commands were recorded.' END AS behavior_summary,
+  CASE WHEN ok THEN 'summary ' || (k % 4) ELSE 'No valid verdict; the session has ' || coalesce(c.n, 0) || ' commands on record.' END AS behavior_summary,
   CASE WHEN ok THEN e::VARCHAR ELSE coalesce(c.event_id, f.event_id)::VARCHAR END AS cited, NOT ok AS degraded
   FROM vbx v LEFT JOIN (SELECT session_id, count(*) AS n, arg_min(event_id, (ts, event_id)) AS event_id FROM comp GROUP BY 1) c USING (session_id)
   LEFT JOIN (SELECT session_id, arg_min(event_id, (ts, event_id)) AS event_id FROM ev GROUP BY 1) f USING (session_id))"""
@@ -570,15 +571,30 @@ def _permutation(spark, d):
     return X.holm(X.permutation(values, ["honeypot_id", "view", "metric"]), ["honeypot_id", "view"])
 
 
+#: A budget of this many tokens cuts the commands of an ordinary session several times.
+SMALL_BUDGET = 150
+FRAME = "\nsession_id: \nattacker_ip: \nfailed_logins: \nsuccessful_login: \ncommands:\n"
+
+
 @query(
     "token_chunks",
-    sql(f"""SELECT session_id, 0 AS chunk_no, event_id, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) - 1 AS pos,
-      length('  - event_id: ' || event_id || chr(10) || '    timestamp: ' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' || chr(10) || '    command: ' || command
-        || CASE WHEN repeat_count > 1 THEN ' (repeated ' || repeat_count || 'x)' ELSE '' END || chr(10)) AS chars FROM comp""", O.RUNS),
+    sql(f"""SELECT session_id, chunk_no, event_id, pos, cost AS chars FROM (SELECT * FROM packed) packed""", O.RUNS, O.OUTPUTS, f"""
+heads AS (SELECT session_id, {len(text.BLOCK_BEGIN + text.BLOCK_END + FRAME)}
+    + length(session_id) + length(arg_min(source_ip, (ts, event_id))) + length(CAST(count(*) FILTER (action = 'cowrie.login.failed') AS VARCHAR))
+    + CASE WHEN bool_or(action = 'cowrie.login.success') THEN 4 ELSE 5 END AS frame FROM ev GROUP BY 1),
+entries AS (SELECT session_id, event_id, frame, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) - 1 AS pos,
+    length('  - event_id: ' || event_id || chr(10) || '    timestamp: ' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' || chr(10) || '    command: ' || command
+        || CASE WHEN repeat_count > 1 THEN ' (repeated ' || repeat_count || 'x)' ELSE '' END || chr(10))
+    + coalesce(length('    output: ' || replace(output_excerpt, chr(10), ' [line break] ') || chr(10)), 0) AS cost FROM outputs JOIN heads USING (session_id)),
+packed AS (SELECT session_id, event_id, pos, cost, frame, 0 AS chunk_no, cost AS used FROM entries WHERE pos = 0
+    UNION ALL SELECT e.session_id, e.event_id, e.pos, e.cost, e.frame,
+      CASE WHEN p.used > 0 AND p.used + e.cost + e.frame > {SMALL_BUDGET * text.CHARS_PER_TOKEN} THEN p.chunk_no + 1 ELSE p.chunk_no END,
+      CASE WHEN p.used > 0 AND p.used + e.cost + e.frame > {SMALL_BUDGET * text.CHARS_PER_TOKEN} THEN e.cost ELSE p.used + e.cost END
+    FROM packed p JOIN entries e ON e.session_id = p.session_id AND e.pos = p.pos + 1)""").replace("WITH ", "WITH RECURSIVE ", 1),
 )
 def _chunks(spark, d):
-    ev = A.events(spark, d)
-    return S.pack_chunks(S.compact(ev), S.compact_summary(ev))
+    ev = A.with_outputs(A.events(spark, d))
+    return S.pack_chunks(S.compact(ev), S.compact_summary(ev), budget=SMALL_BUDGET)
 
 
 @query(

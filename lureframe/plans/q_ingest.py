@@ -32,17 +32,32 @@ def _raw(spark, d):
         F.lit("noise").alias("message"), F.when(k % 17 == 0, "?").alias("mystery"), F.when(k % 3 == 0, 1.5).alias("duration"),
         F.when(k % 13 == 0, True).alias("late"), F.struct(F.when(k % 31 == 0, "x").alias("odd")).alias("network"),
     ))
+    more = lambda fields: F.concat(F.regexp_replace(line, r"\}\z", ""), F.lit(fields))
+    # Objects where text or an object is declared, at both depths; an action that is a number, with and without later steps.
+    line = (
+        F.when(k % 37 == 0, more(',"http":{"request":"x"}}')).when(k % 41 == 0, more(',"user_agent":{"original":{"a":1}}}'))
+        .when(k % 43 == 0, F.to_json(F.struct(F.lit(5).alias("eventid"), F.col("session_id").alias("session"), F.col("source_ip").alias("src_ip"))))
+        .when(k % 43 == 1, F.to_json(F.struct(F.lit(5).alias("eventid"), F.col("session_id").alias("session"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"))))
+        .when(k % 43 == 2, F.to_json(F.struct(F.lit("ssh").alias("protocol"), F.struct(F.lit("telnet").alias("protocol")).alias("network")))).otherwise(line)
+    )
     return ev.select(F.when(k % 19 == 0, F.concat(F.lit("not json "), F.col("event_id").cast("string"))).otherwise(line).alias("raw"), "honeypot_id", "honeypot_name")
 
 
-BAD = """CASE WHEN k % 19 = 0 THEN 'malformed_json' WHEN k % 17 = 0 OR (k % 13 = 0 AND action <> 'cowrie.session.file_download') OR k % 31 = 0 THEN 'unknown_field'
-  WHEN k % 29 = 0 THEN 'invalid_address' WHEN k % 23 = 0 THEN 'invalid_type' END"""
+#: Lines whose own form decides them, before anything that their other fields say.
+ODD_LINE = "k % 19 = 0 OR k % 43 <= 2 AND k % 37 <> 0 AND k % 41 <> 0"
+UNKNOWN = f"""CASE WHEN k % 19 = 0 THEN '' WHEN {ODD_LINE} THEN CASE k % 43 WHEN 1 THEN 'timestamp' WHEN 2 THEN 'protocol' ELSE '' END
+  ELSE concat_ws(',', CASE WHEN k % 13 = 0 AND action <> 'cowrie.session.file_download' THEN 'late' END, CASE WHEN k % 17 = 0 THEN 'mystery' END, CASE WHEN k % 31 = 0 THEN 'network.odd' END) END"""
+BAD = f"""CASE WHEN k % 19 = 0 THEN 'malformed_json' WHEN {UNKNOWN} <> '' THEN 'unknown_field' WHEN {ODD_LINE} THEN NULL
+  WHEN k % 29 = 0 THEN 'invalid_address' WHEN k % 23 = 0 OR k % 37 = 0 OR k % 41 = 0 THEN 'invalid_type' END"""
 
 
 @query(
     "normalized_events",
-    sql(f"""SELECT session_id, {ts('ts')}, action, category, CASE action WHEN 'cowrie.login.success' THEN 'success' WHEN 'cowrie.login.failed' THEN 'failure' WHEN 'cowrie.command.input' THEN 'success' END AS outcome,
-      source_ip, source_port, protocol, username, command_line, sha256, honeypot_id FROM ev WHERE {BAD} IS NULL"""),
+    sql(f"""SELECT session_id, CASE WHEN NOT odd THEN ts END AS ts, CASE WHEN odd THEN '5' ELSE action END AS action, CASE WHEN odd THEN 'other' ELSE category END AS category,
+      CASE WHEN odd THEN NULL ELSE CASE action WHEN 'cowrie.login.success' THEN 'success' WHEN 'cowrie.login.failed' THEN 'failure' WHEN 'cowrie.command.input' THEN 'success' END END AS outcome,
+      source_ip, CASE WHEN NOT odd THEN source_port END AS source_port, CASE WHEN odd THEN 'ssh' ELSE protocol END AS protocol, CASE WHEN NOT odd THEN username END AS username,
+      CASE WHEN NOT odd THEN command_line END AS command_line, CASE WHEN NOT odd THEN sha256 END AS sha256, honeypot_id
+      FROM (SELECT * REPLACE (strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts), {ODD_LINE} AS odd FROM ev WHERE {BAD} IS NULL)"""),
 )
 def _normalized(spark, d):
     good, _ = ingest.normalize(_raw(spark, d))
@@ -51,8 +66,7 @@ def _normalized(spark, d):
 
 @query(
     "dead_letters",
-    sql(f"""SELECT reason, unknown_keys, count(*) AS n FROM (SELECT {BAD} AS reason, CASE WHEN k % 19 = 0 THEN '' ELSE concat_ws(',', CASE WHEN k % 17 = 0 THEN 'mystery' END,
-      CASE WHEN k % 13 = 0 AND action <> 'cowrie.session.file_download' THEN 'late' END, CASE WHEN k % 31 = 0 THEN 'network.odd' END) END AS unknown_keys FROM ev) WHERE reason IS NOT NULL GROUP BY 1, 2"""),
+    sql(f"""SELECT reason, unknown_keys, count(*) AS n FROM (SELECT {BAD} AS reason, {UNKNOWN} AS unknown_keys FROM ev) WHERE reason IS NOT NULL GROUP BY 1, 2"""),
 )
 def _dead(spark, d):
     _, bad = ingest.normalize(_raw(spark, d))
@@ -198,12 +212,10 @@ def _os(spark, d):
 @query(
     "session_reports",
     sql("""SELECT s.session_id, a.analysis_id, a.classification || ' — ' || attacker_ip AS title,
-        attacker_ip || coalesce(' (' || country || ')', '') || ' connected to ' || honeypot_name || ' over ' || protocol || ' at ' || strftime(started_at, '%Y-%m-%dT%H:%M:%S.%f') || 'Z'
-        || coalesce(', logged in as ' || username, '') || ', for ' || duration_seconds || CASE WHEN duration_seconds = 1 THEN ' second' ELSE ' seconds' END || '. It ran ' || command_count
-        || CASE WHEN command_count = 1 THEN ' command' ELSE ' commands' END
-        || coalesce(' and attempted ' || dl.n || CASE WHEN dl.n = 1 THEN ' download' ELSE ' downloads' END, '') || '. '
-        || coalesce('Rules matched ' || t.n || CASE WHEN t.n = 1 THEN ' ATT&CK technique: ' ELSE ' ATT&CK techniques: ' END || t.ids || '.', 'No rule matched an ATT&CK technique.')
-        || ' ' || l.n || CASE WHEN l.n = 1 THEN ' indicator of compromise was extracted.' ELSE ' indicators of compromise were extracted.' END AS summary
+        'Session from ' || attacker_ip || coalesce(' (' || country || ')', '') || coalesce(' as user ' || username, '') || ' on ' || honeypot_name || ' (' || protocol || '), started '
+        || strftime(started_at, '%Y-%m-%dT%H:%M:%S.%f') || 'Z, lasting ' || duration_seconds || ' second' || CASE WHEN duration_seconds = 1 THEN '' ELSE 's' END
+        || '. Recorded: ' || command_count || ' command' || CASE WHEN command_count = 1 THEN '' ELSE 's' END || ', ' || coalesce(dl.n, 0) || ' download' || CASE WHEN dl.n = 1 THEN '' ELSE 's' END
+        || ', ' || l.n || ' indicator' || CASE WHEN l.n = 1 THEN '' ELSE 's' END || '. ' || coalesce('Techniques by rule (' || t.n || '): ' || t.ids, 'Techniques by rule: none') || '.' AS summary
       FROM ss s JOIN (SELECT * FROM an QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, analysis_id DESC) = 1) a USING (session_id)
       LEFT JOIN (SELECT session_id, count(*) AS n FROM ev WHERE action = 'cowrie.session.file_download' GROUP BY 1) dl USING (session_id)
       LEFT JOIN (SELECT session_id, count(*) AS n, string_agg(technique_id, ', ' ORDER BY technique_id) AS ids FROM (SELECT DISTINCT session_id, technique_id FROM ev JOIN cmd_tech USING (command_line)) GROUP BY 1) t USING (session_id)

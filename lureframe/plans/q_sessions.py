@@ -86,9 +86,14 @@ def _timeline(spark, d):
     return S.timeline(A.events(spark, d))
 
 
-@query("compacted_commands", sql(f"SELECT session_id, event_id, {ts('ts')}, command, repeat_count FROM comp", O.RUNS))
+@query("compacted_commands", sql(f"SELECT session_id, event_id, {ts('ts')}, command, repeat_count, output_excerpt FROM outputs", O.RUNS, O.OUTPUTS))
 def _compact(spark, d):
-    return S.compact(A.events(spark, d))
+    return S.compact(A.with_outputs(A.events(spark, d)))
+
+
+@query("session_downloads", sql(f"SELECT session_id, event_id, {ts('ts')}, file_url AS url, file_name AS outfile, sha256 AS shasum FROM ev WHERE action = 'cowrie.session.file_download'"))
+def _downloads(spark, d):
+    return S.downloads(A.events(spark, d))
 
 
 @query(

@@ -321,7 +321,7 @@ def test_packages_are_bounded_with_a_counted_notice(spark):
     st = spark.createDataFrame([], "run_id int, step_id string, chain_id string, step_index int, expected_technique_id string, fact_status string, matched_rule_id string, command string")
     rows = evaluation.evidence_packages(pr, st).collect()
     notice = [r.summary for r in rows if r.item_id == evaluation.NOTICE_ID]
-    assert len(rows) == 41 and notice[0].startswith("3 further") and all("omitted" in r.summary for r in rows) and all(len(r.summary) < 1500 + 200 for r in rows)
+    assert len(rows) == 41 and notice[0].startswith("3 more items") and all("left out" in r.summary for r in rows if r.item_id != evaluation.NOTICE_ID) and all(len(r.summary) < 1500 + 200 for r in rows)
 
 
 def test_probe_set_check(spark):
@@ -342,3 +342,67 @@ def test_annotations(spark):
     ok, bad = search.annotations(spark.createDataFrame([(*r, T0) for r in rows], "annotation_id int, session_id string, kind string, body string, created_at timestamp"))
     assert sorted((r.annotation_id, r.body) for r in ok.collect()) == [(1, "bot.net"), (7, "ok")]
     assert {r.annotation_id: r.reason for r in bad.collect()} == {3: "malformed_tag", 4: "empty_note", 5: "note_too_long", 6: "nul_character", 8: "unknown_kind"}
+
+
+def test_packing_tables_equal_a_plain_loop():
+    import random
+
+    import numpy as np
+
+    from lureframe.functions.streamed import cut_table
+
+    rng = random.Random(1)
+    for _ in range(2000):
+        room = rng.randrange(5, 60)
+        costs = np.array([rng.randrange(1, rng.choice([5, 30, 90])) for _ in range(rng.randrange(1, 40))])
+        used, cuts = start, n = rng.randrange(1, room + 40), 0
+        for x in costs:
+            if used + x > room:
+                used, cuts = 0, cuts + 1
+            used += x
+        limits, after, made, whole = cut_table(costs, room)
+        j = int(np.searchsorted(-limits, -start, side="right"))
+        assert ((int(after[j]), int(made[j])) if j < len(limits) else (start + whole, 0)) == (used, cuts)
+
+
+def test_one_session_packs_in_many_tasks(spark):
+    """A session with most rows is packed block by block; what each block needs to know is a small table."""
+    rows = spark.range(100_000).select(F.lit("hot").alias("session_id"), F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("ts"),
+                                       F.concat(F.lit("c"), F.repeat(F.lit("x"), (F.col("id") % 97).cast("int"))).alias("command"), F.lit(1).alias("repeat_count"))
+    heads = spark.createDataFrame([("hot", "1.1.1.1", 0, False)], "session_id string, attacker_ip string, failed_logins int, successful_login boolean")
+    got = sessions.pack_chunks(rows, heads, budget=300, rows_per_block=1000).select("pos", "chunk_no", "chars").toPandas().sort_values("pos")
+    frame = len(text.BLOCK_BEGIN + text.BLOCK_END + "\nsession_id: \nattacker_ip: \nfailed_logins: \nsuccessful_login: \ncommands:\n" + "hot" + "1.1.1.1" + "0" + "False")
+    assert got["chunk_no"].tolist() == brute_chunks(got["chars"].tolist(), frame, 1200) and len(got) == 100_000
+
+
+def test_outputs_and_downloads_of_a_session(spark):
+    lines = "\n".join(f"line {i}" for i in range(60))
+    ev = spark.createDataFrame(
+        [(1, at(1), "s", sessions.COMMAND, "ls", lines, None), (2, at(2), "s", sessions.COMMAND, "ls", "other", None), (3, at(3), "s", sessions.DOWNLOAD, None, None, "http://a/b")],
+        "event_id int, ts timestamp, session_id string, action string, command_line string, output string, file_url string")
+    (row,) = sessions.compact(ev).collect()
+    assert row.repeat_count == 2 and row.output_excerpt.split("\n")[20] == "... 20 lines omitted ..." and len(row.output_excerpt.split("\n")) == 41
+    assert [(r.event_id, r.url, r.outfile, r.shasum) for r in sessions.downloads(ev).collect()] == [(3, "http://a/b", None, None)]
+
+
+def test_objects_are_refused_at_any_depth(spark):
+    wrong = ['{"http":{"request":"x"}}', '{"http":{"request":{"method":{"a":1}}}}', '{"network":{"protocol":{}}}', '{"http":[]}', '{"src_port":true}', '{"labels":{"seeded":"maybe"}}', '{"input":["a"]}']
+    unknown = {'{"http":{"request":{"other":1}}}': ["http.request.other"], '{"eventid":5,"timestamp":"x","size":1}': ["size", "timestamp"],
+               '{"protocol":"ssh","network":{"protocol":"telnet"},"session":"s"}': ["protocol", "session"], '{"source":{"ip":"1.1.1.1"}}': ["source.ip"]}
+    fine = ['{"http":null,"src_port":null,"input":null}', '{"eventid":5,"session":"s"}', '{"network":{"protocol":"telnet"},"eventid":"a.login.x"}', '{"src_port":"22","dst_port":22,"input":5}']
+    good, bad = ingested(spark, *wrong, *unknown, *fine)
+    got = {r.raw: (r.reason, r.unknown_keys) for r in bad}
+    assert got == {w: ("invalid_type", []) for w in wrong} | {u: ("unknown_field", keys) for u, keys in unknown.items()}
+    rows = [(r.session_id, r.action, r.category, r.protocol, r.source_port, r.destination_port, r.command_line) for r in good]
+    assert sorted(rows, key=str) == sorted([(None, None, None, "ssh", None, None, None), ("s", "5", "other", "ssh", None, None, None),
+                                            (None, "a.login.x", "authentication", "telnet", None, None, None), (None, None, None, "ssh", 22, 22, "5")], key=str)
+
+
+def test_longest_prefix_wins_in_both_families(spark):
+    cidr = spark.createDataFrame([("0.0.0.0/0", "Z"), ("128.0.0.0/1", "A"), ("130.0.0.0/7", "B"), ("131.9.0.0/16", "C"), ("131.9.4.4/32", "D"), ("131.9.4.4/32", "E"),
+                                  ("::/0", "z"), ("2000::/3", "a"), ("2a01:e34:8000::/33", "b"), ("2a01:e34:8000::1/128", "c"), ("no/8", "x"), ("1.1.1.1/99", "y")], "cidr string, country string")
+    want = {"9.9.9.9": "Z", "129.0.0.1": "A", "130.1.1.1": "B", "131.9.9.9": "C", "131.9.4.4": "D", "fe80::1": "z", "3fff::1": "a", "2a01:e34:9000::1": "b", "2a01:e34:7000::1": "a", "2a01:e34:8000::1": "c", "junk": None}
+    ev = spark.createDataFrame([(ip, None) for ip in [*want, *want]], "source_ip string, source_country string")
+    got = ingest.geoip_country(ev, cidr).collect()
+    assert {r.source_ip: r.source_country for r in got} == want and len(got) == 2 * len(want)
+    assert {r.source_country for r in ingest.geoip_country(ev, cidr.limit(0)).collect()} == {None}
