@@ -285,59 +285,63 @@ def consecutive(runs: DataFrame) -> DataFrame:
     )
 
 
-def lifecycle(runs: DataFrame, findings: DataFrame, facts: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """What happened to every defect between a base and a head run.
+def numbered_runs(runs: DataFrame) -> DataFrame:
+    """Every run with its number on its decoy, the run before it and the run after it, with what changed between them."""
+    pairs = consecutive(runs)
+    before = pairs.select(F.col("head_run_id").alias("run_id"), "base_run_id", F.struct("differences", "attributable").alias("since"))
+    after = pairs.select(F.col("base_run_id").alias("run_id"), F.col("head_run_id").alias("next_run_id"), F.struct("differences", "attributable").alias("until"))
+    own = run_sequence(runs).select("run_id", "honeypot_id", "seq", "status")
+    return own.join(before, "run_id", "left").join(after, "run_id", "left")
 
-    States join their pairs on run and key. The `regressed` look-back is a semi-join on (decoy, key,
-    block of runs): a block holds as many runs as the look-back is long, so no candidate ever meets
-    a decoy's whole history.
+
+def lifecycle(runs: DataFrame, findings: DataFrame, facts: DataFrame) -> DataFrame:
+    """What happened to every defect between a run and the run before it on its decoy.
+
+    One pass over the states, in run order per (decoy, key): range frames over the run number see the state one run
+    earlier, one run later, and whether a completed run of the look-back had the defect. A row answers for its own
+    run, and, where the next run says nothing about its key, for that one.
     """
-    pairs = write_once(consecutive(runs) if pairs is None else pairs)
-    # Read as head, as base and as history. A key without a row counts as undetermined, so such rows aren't kept.
-    states = write_once(run_states(findings, facts).filter("state <> 'undetermined'"))
-    head = states.withColumnRenamed("run_id", "head_run_id").join(pairs.select("head_run_id"), "head_run_id", "left_semi").withColumnRenamed("state", "_after")
-    base = pairs.select("base_run_id", "head_run_id").join(states.withColumnRenamed("run_id", "base_run_id"), "base_run_id").select("head_run_id", "key", F.col("state").alias("_before"))
-    both = head.join(base, ["head_run_id", "key"], "full").join(pairs, "head_run_id")
-    after, before = F.coalesce("_after", F.lit("undetermined")), F.coalesce("_before", F.lit("undetermined"))
-    seen = both.select("*", after.alias("after"), before.alias("before")).filter("after = 'present' OR before = 'present'")
-
-    span = HISTORY_RUNS + 1
-    seq = run_sequence(runs).filter("status = 'completed'").select("run_id", "honeypot_id", "seq")
-    earlier = (
-        states.filter("state = 'present'").join(seq, "run_id")
-        .select("honeypot_id", "key", F.col("seq").alias("_e"), F.expr(f"seq div {span}").alias("_blk"))
-    )
-    candidates = (
-        seen.filter("after = 'present' AND before <> 'present'").select("head_run_id", "honeypot_id", "key", "seq")
-        .withColumn("_blk", F.explode(F.expr(f"sequence(greatest(seq - {span}, 0) div {span}, greatest(seq - 2, 0) div {span})")))
-    )
-    hit = (
-        candidates.alias("c").join(
-            earlier.alias("e"),
-            (F.col("c.honeypot_id") == F.col("e.honeypot_id")) & (F.col("c.key") == F.col("e.key")) & (F.col("c._blk") == F.col("e._blk"))
-            & (F.col("e._e") <= F.col("c.seq") - 2) & (F.col("e._e") >= F.col("c.seq") - span),
-            "left_semi",
-        ).select("head_run_id", "key").distinct().withColumn("_was", F.lit(True))
+    # A key without a row counts as undetermined, so such rows aren't kept.
+    states = run_states(findings, facts).filter("state <> 'undetermined'").join(write_once(numbered_runs(runs)), "run_id")
+    present = F.col("state") == "present"
+    by_run = Window.partitionBy("honeypot_id", "key").orderBy("seq")
+    near = (
+        states.withColumn("before", F.coalesce(F.max("state").over(by_run.rangeBetween(-1, -1)), F.lit("undetermined")))
+        .withColumn("_silent", F.count(F.lit(1)).over(by_run.rangeBetween(1, 1)) == 0)
+        .withColumn("_was", F.count(F.when(present & (F.col("status") == "completed"), 1)).over(by_run.rangeBetween(-HISTORY_RUNS - 1, -2)) > 0)
     )
     status = (
-        F.when((F.col("after") == "present") & (F.col("before") == "present"), "persisting")
-        .when(F.col("after") == "present", F.when(F.col("_was"), "regressed").otherwise("new"))
-        .when(F.col("after") == "absent", "fixed").otherwise("undetermined")
-    )
+        F.when(present & (F.col("before") == "present"), "persisting")
+        .when(present, F.when(F.col("_was"), "regressed").otherwise("new")).otherwise("fixed")
+    )
+    row = lambda head, base, what, source, changes: F.struct(
+        F.col(head).alias("head_run_id"), F.col(base).alias("base_run_id"), "key", what.alias("status"), F.col(source).alias("from_run"), F.col(f"{changes}.attributable").alias("attributable"))
+    own = F.when(F.col("base_run_id").isNotNull() & (present | (F.col("before") == "present")),
+                 F.when(present, row("run_id", "base_run_id", status, "run_id", "since")).otherwise(row("run_id", "base_run_id", status, "base_run_id", "since")))
+    silent = F.when(present & F.col("next_run_id").isNotNull() & F.col("_silent"), row("next_run_id", "run_id", F.lit("undetermined"), "run_id", "until"))
     order = F.create_map(*[F.lit(v) for kv in STATUS_ORDER.items() for v in kv])
-    return seen.join(hit, ["head_run_id", "key"], "left").withColumn("status", status).select(
-        "head_run_id", "base_run_id", "key", "status", F.try_element_at(order, F.col("status")).alias("severity_rank"),
-        F.when(F.col("after") == "present", F.col("head_run_id")).otherwise(F.col("base_run_id")).alias("from_run"), "attributable",
+    return near.select(F.inline(F.array_compact(F.array(own, silent)))).select(
+        "head_run_id", "base_run_id", "key", "status", F.try_element_at(order, F.col("status")).alias("severity_rank"), "from_run", "attributable"
     )
 
 
-def deltas(pairs: DataFrame, sc: DataFrame) -> DataFrame:
-    """Score change per characteristic; null when either side was not established."""
-    head = pairs.select("head_run_id").join(sc.withColumnRenamed("run_id", "head_run_id"), "head_run_id").withColumnRenamed("score", "head")
-    base = pairs.select("head_run_id", "base_run_id").join(sc.withColumnRenamed("run_id", "base_run_id"), "base_run_id").select(
-        "head_run_id", "characteristic", F.col("score").alias("base")
-    )
-    return head.join(base, ["head_run_id", "characteristic"], "full").join(pairs, "head_run_id").select(
+def deltas(runs: DataFrame, sc: DataFrame) -> DataFrame:
+    """Score change per characteristic between a run and the run before it; null when either side was not established.
+
+    Scores are dealt once, by (decoy, characteristic); a range frame over the run number gives the earlier score.
+    """
+    by_run = Window.partitionBy("honeypot_id", "characteristic").orderBy("seq")
+    near = (
+        sc.select("run_id", "characteristic", "score").join(write_once(numbered_runs(runs)), "run_id")
+        .withColumn("_base", F.max("score").over(by_run.rangeBetween(-1, -1)))
+        .withColumn("_silent", F.count(F.lit(1)).over(by_run.rangeBetween(1, 1)) == 0)
+    )
+    none = F.lit(None).cast("double")
+    row = lambda head, base, before, after, changes: F.struct(
+        F.col(head).alias("head_run_id"), F.col(base).alias("base_run_id"), "characteristic", before.cast("double").alias("base"), after.cast("double").alias("head"), F.col(f"{changes}.differences").alias("differences"))
+    own = F.when(F.col("base_run_id").isNotNull(), row("run_id", "base_run_id", F.col("_base"), F.col("score"), "since"))
+    silent = F.when(F.col("next_run_id").isNotNull() & F.col("_silent"), row("next_run_id", "run_id", F.col("score"), none, "until"))
+    return near.select(F.inline(F.array_compact(F.array(own, silent)))).select(
         "head_run_id", "base_run_id", "characteristic", "base", "head", F.bround(F.col("head") - F.col("base"), 3).alias("delta"),
         "differences",
         F.when(F.size("differences") == 0, "same_configuration").otherwise("configuration_changed").alias("classification"),

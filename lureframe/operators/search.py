@@ -175,6 +175,35 @@ def load_history(an: DataFrame, ev: DataFrame | None = None, deny=None, limit: i
     return visible.orderBy(F.desc("created_at"), F.asc("analysis_id")).offset(offset).limit(limit)
 
 
+def hydrate(page: DataFrame, claims: DataFrame, citations: DataFrame, rejections: DataFrame, actions: DataFrame) -> DataFrame:
+    """the analyses of a page with their claims (each with its evidence), rejections and actions as sorted lists.
+
+    `claims`: claim_id, analysis_id, kind, technique_id, text; `citations`: claim_id, event_id, ts, artifact;
+    `rejections`: claim_id, analysis_id, stage, kind, reason, technique_id, text, cited_event_ids; `actions`: analysis_id,
+    priority, action, rationale. A page is bounded, so its keys meet each relation as a broadcast, and only the
+    page's rows move.
+    """
+    keys = F.broadcast(page.select("analysis_id"))
+    mine = claims.join(keys, "analysis_id", "left_semi")
+    cited = citations.select("claim_id", F.struct("ts", "event_id", "artifact").alias("e")).join(mine.select("claim_id"), "claim_id", "left_semi")
+    evidence = cited.groupBy("claim_id").agg(F.array_sort(F.collect_list("e")).alias("evidence"))
+    kept = mine.join(evidence, "claim_id")
+
+    def listed(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+        return rows.groupBy("analysis_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+
+    parts = (
+        listed(kept, "claims", "claim_id", "kind", "technique_id", "text", "evidence"),
+        listed(rejections.join(keys, "analysis_id", "left_semi"), "rejections", "stage", "claim_id", "kind", "reason", "technique_id", "text", "cited_event_ids"),
+        listed(actions.join(keys, "analysis_id", "left_semi"), "actions", "priority", "action", "rationale"),
+    )
+    out = page
+    for part in parts:
+        (name,) = (c for c in part.columns if c != "analysis_id")
+        out = out.join(part, "analysis_id", "left").withColumn(name, F.coalesce(name, F.array().cast(part.schema[name].dataType)))
+    return out
+
+
 # --- fixed values: annotation rules ---
 TAG = r"\A[a-z0-9][a-z0-9._:-]{0,39}\z"
 NOTE_MAX = 2000

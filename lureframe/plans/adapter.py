@@ -352,6 +352,16 @@ def claims(ev: DataFrame, an: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cl.drop("k"), ct
 
 
+def recommendations(an: DataFrame) -> DataFrame:
+    """Two recommended actions per analysis, some of them without a known priority or a rationale."""
+    both = an.select("analysis_id", "session_id", "risk_score", F.explode(F.array(F.lit(0), F.lit(1))).alias("i"))
+    n = F.col("risk_score") + F.col("i")
+    return both.select(
+        "analysis_id", pick(["P1", "P2", "P3", "P9"], n % 4).alias("priority"), F.concat(F.lit("watch "), "session_id", F.lit(" "), F.col("i").cast("string")).alias("action"),
+        F.when(n % 5 != 0, F.concat(F.lit("risk "), F.col("risk_score").cast("string"))).alias("rationale"),
+    )
+
+
 PROPOSED = ("T1082", "T1105", "T9999", "T1110.001", "T1033")
 
 

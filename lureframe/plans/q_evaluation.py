@@ -11,7 +11,7 @@ from lureframe.operators import campaigns as C
 from lureframe.operators import claims as K
 from lureframe.operators import evaluation as V
 from lureframe.operators import experiment as X
-from lureframe.operators import rules
+from lureframe.operators import rules, search
 from lureframe.operators import sessions as S
 from lureframe.plans import adapter as A
 from lureframe.plans import oracle as O
@@ -52,6 +52,50 @@ def _rejected(spark, d):
     return _barrier(spark, d)[1]
 
 
+ACTIONS = f"""
+act AS (SELECT analysis_id, {array(['P1', 'P2', 'P3', 'P9'])}[(risk_score + i) % 4 + 1] AS priority, 'watch ' || session_id || ' ' || i AS action,
+  CASE WHEN (risk_score + i) % 5 <> 0 THEN 'risk ' || risk_score END AS rationale FROM an, range(2) r(i))"""
+
+
+@query("recommendations", sql("SELECT analysis_id, priority, action, rationale, coalesce(priority <> 'P9' AND rationale IS NOT NULL, false) AS accepted FROM act", O.AN, ACTIONS))
+def _recommendations(spark, d):
+    good, bad = K.recommendation_gate(A.recommendations(A.analyses(A.events(spark, d))))
+    return good.withColumn("accepted", F.lit(True)).unionByName(bad.withColumn("accepted", F.lit(False)))
+
+
+@query(
+    "analysis_claims",
+    sql("""SELECT pg.analysis_id, pg.session_id, coalesce(c.l, '') AS claims, coalesce(r.l, '') AS rejections, coalesce(a.l, '') AS actions FROM pg
+      LEFT JOIN (SELECT session_id || '-a1' AS analysis_id, string_agg(concat_ws('|', claim_id, kind, coalesce(technique_id, ''), text, e), ',' ORDER BY claim_id) AS l
+        FROM cl JOIN (SELECT claim_id, string_agg(artifact, ';' ORDER BY ts, event_id) AS e FROM kept GROUP BY 1) USING (claim_id) GROUP BY 1) c USING (analysis_id)
+      LEFT JOIN (SELECT session_id || '-a1' AS analysis_id, string_agg(concat_ws('|', 'evidence_barrier', claim_id, kind, 'citations_unresolved', coalesce(technique_id, ''), text, e), ',' ORDER BY claim_id) AS l
+        FROM cl JOIN (SELECT claim_id, string_agg(event_id, ';' ORDER BY event_id) AS e FROM ct GROUP BY 1) USING (claim_id) WHERE claim_id NOT IN (SELECT claim_id FROM kept) GROUP BY 1) r USING (analysis_id)
+      LEFT JOIN (SELECT analysis_id, string_agg(concat_ws('|', priority, action, rationale), ',' ORDER BY priority, action) AS l FROM act WHERE priority <> 'P9' AND rationale IS NOT NULL GROUP BY 1) a USING (analysis_id)""",
+        O.AN, CL, ACTIONS, """
+pg AS (SELECT an.analysis_id, an.session_id FROM an JOIN (SELECT session_id, honeypot_id FROM (SELECT session_id, honeypot_id, count(*) n FROM ev GROUP BY ALL)
+    QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY n DESC, honeypot_id) = 1) USING (session_id) WHERE honeypot_id <> 'hp-2' ORDER BY an.created_at DESC, analysis_id LIMIT 100 OFFSET 10)"""),
+)
+def _analysis_claims(spark, d):
+    """A page of analyses, as the history page reads them, each with all that hangs on it."""
+    ev = A.events(spark, d)
+    an = A.analyses(ev)
+    cl, ct = A.claims(ev, an)
+    kept, rejected = K.barrier(cl, ct, ev)
+    own = F.concat("session_id", F.lit("-a1")).alias("analysis_id")
+    page = search.load_history(an, ev, deny=["hp-2"], limit=100, offset=10).select("analysis_id", "session_id")
+    good, _ = K.recommendation_gate(A.recommendations(an))
+    rows = search.hydrate(page, cl.select("*", own), kept, rejected.select("*", own), good)
+    text_of = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    line = lambda parts: F.concat_ws("|", *[text_of(p) for p in parts])
+    listed = lambda name, parts: F.array_join(F.transform(name, lambda x: line(parts(x))), ",").alias(name)
+    return rows.select(
+        "analysis_id", "session_id",
+        listed("claims", lambda x: [x["claim_id"], x["kind"], x["technique_id"], x["text"], F.array_join(F.transform(x["evidence"], lambda e: e["artifact"]), ";")]),
+        listed("rejections", lambda x: [x["stage"], x["claim_id"], x["kind"], x["reason"], x["technique_id"], x["text"], F.array_join(x["cited_event_ids"].cast("array<string>"), ";")]),
+        listed("actions", lambda x: [x["priority"], x["action"], x["rationale"]]),
+    )
+
+
 @query(
     "rejection_counts",
     sql("""SELECT 'evidence_barrier' AS stage, kind, 'citations_unresolved' AS reason, count(*) AS n FROM cl
@@ -283,7 +327,7 @@ def _lifecycle(spark, d):
       LEFT JOIN sc sh ON sh.run_id = p.head AND sh.characteristic = k.characteristic LEFT JOIN sc sb ON sb.run_id = p.base AND sb.characteristic = k.characteristic""", PR, CON, RUNS, KEYS),
 )
 def _delta(spark, d):
-    return V.deltas(V.consecutive(A.runs(spark, d)), V.scores(*_eval(spark, d)))
+    return V.deltas(A.runs(spark, d), V.scores(*_eval(spark, d)))
 
 
 RATE = f"""
@@ -469,7 +513,7 @@ CUTOFF = datetime(2024, 1, 21)
     "retention",
     sql(f"""SELECT CAST(d AS VARCHAR) AS partition, {ts('newest')}, referenced, CASE WHEN d = max(d) OVER () THEN 'write_target' WHEN newest >= TIMESTAMP '2024-01-21' THEN 'newer_than_cutoff'
         WHEN referenced > 0 THEN 'referenced' END AS keep_reason FROM (
-      SELECT CAST(ts AS DATE) AS d, max(ts) AS newest, count(*) FILTER (session_id IN (SELECT session_id FROM an WHERE status = 'failed') OR event_id IN (SELECT event_id FROM kept WHERE claim_id % 50 = 1)) AS referenced
+      SELECT CAST(ts AS DATE) AS d, max(ts) AS newest, count(*) FILTER (session_id IN (SELECT session_id FROM an WHERE status = 'failed') OR event_id IN (SELECT event_id FROM kept)) AS referenced
       FROM ev GROUP BY 1)""", O.AN, CL),
 )
 def _retention(spark, d):
@@ -477,8 +521,7 @@ def _retention(spark, d):
     an = A.analyses(ev)
     cl, ct = A.claims(ev, an)
     kept, _ = K.barrier(cl, ct, ev)
-    refs = kept.filter(F.col("claim_id") % 50 == 1).select("event_id")
-    plan = V.retention_plan(ev, [an.filter("status = 'failed'").select("session_id")], [refs], CUTOFF)
+    plan = V.retention_plan(ev, [an.filter("status = 'failed'").select("session_id")], [kept.select("event_id")], CUTOFF)
     return plan.withColumn("partition", F.col("partition").cast("string"))
 
 

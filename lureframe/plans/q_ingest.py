@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -9,14 +11,16 @@ from lureframe.functions import text
 from lureframe.operators import campaigns as C
 from lureframe.operators import claims as K
 from lureframe.operators import evaluation as V
+from lureframe.operators import experiment as X
 from lureframe.operators import fleet, indicators, ingest, periods, reports, rules, search
 from lureframe.operators import sessions as S
 from lureframe.plans import adapter as A
 from lureframe.plans import oracle as O
 from lureframe.plans.oracle import sql, ts
-from lureframe.plans.q_evaluation import CL, CUTOFF, PR, ROT, RUNS, X_START, _chains
+from lureframe.plans.q_evaluation import ACTIONS, CL, CUTOFF, PR, ROT, RUNS, X_START, _chains
 from lureframe.plans.q_sessions import EXTRACTED, SESSIONS, _ind, _links
 from lureframe.plans.registry import query
+from lureframe.session import shared_folder
 from lureframe.sources import sinks
 
 
@@ -228,6 +232,54 @@ def _reports(spark, d):
     return reports.session_report(facts, S.latest_analyses(A.analyses(ev))).select("session_id", "analysis_id", "title", "summary")
 
 
+@query(
+    "report_bodies",
+    sql(f"""SELECT s.session_id, a.analysis_id, a.classification || ' — ' || attacker_ip AS title, true AS summary_observed, attacker_ip, honeypot_name AS target, {ts('s.started_at', 'started_at')}, {ts('s.ended_at', 'ended_at')},
+        protocol, a.risk, a.risk_score, coalesce(t.ids, '') AS observed_techniques, command_count, coalesce(dl.n, 0) AS downloads, l.n AS indicators, coalesce(x.l, '') AS actions, '2024-02-01 00:00:00.000000' AS created_at
+      FROM ss s JOIN (SELECT * FROM an QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, analysis_id DESC) = 1) a USING (session_id)
+      LEFT JOIN (SELECT session_id, count(*) AS n FROM ev WHERE action = 'cowrie.session.file_download' GROUP BY 1) dl USING (session_id)
+      LEFT JOIN (SELECT session_id, string_agg(technique_id, ',' ORDER BY technique_id) AS ids FROM (SELECT DISTINCT session_id, technique_id FROM ev JOIN cmd_tech USING (command_line)) GROUP BY 1) t USING (session_id)
+      LEFT JOIN (SELECT analysis_id, string_agg(concat_ws('|', priority, action, rationale), ',' ORDER BY priority, action) AS l FROM act WHERE priority <> 'P9' AND rationale IS NOT NULL GROUP BY 1) x USING (analysis_id)
+      JOIN (SELECT session_id, count(*) AS n FROM ind_links GROUP BY 1) l USING (session_id)""", SESSIONS, O.AN, ACTIONS, O.CMD_TECH, O.RUNS, EXTRACTED),
+)
+def _report_bodies(spark, d):
+    """The stored reports, read back whole: every field of the body."""
+    ev = A.events(spark, d)
+    an = A.analyses(ev)
+    facts = reports.session_facts(S.sessions(ev), S.timeline(ev), rules.rule_hits(ev.select("session_id", "command_line")), _links(ev))
+    rows = reports.session_report(facts, S.latest_analyses(an), K.recommendation_gate(A.recommendations(an))[0])
+    at = f"{shared_folder(spark)}/lureframe-reports-{uuid.uuid4().hex}"
+    sinks.write_reports(rows, at, datetime(2024, 2, 1))
+    ddl = (
+        "title string, session_id string, summary string, summary_observed boolean, overview struct<attacker_ip:string,target:string,started_at:timestamp,ended_at:timestamp,protocol:string,risk:string,risk_score:int>,"
+        " observed_techniques array<string>, command_count long, downloads long, indicators long, actions array<struct<priority:string,action:string,rationale:string>>"
+    )
+    body = spark.read.parquet(at).withColumn("b", F.from_json("body", ddl)).filter("b.summary = summary AND b.title = title")
+    actions = F.array_join(F.transform("b.actions", lambda x: F.concat_ws("|", x["priority"], x["action"], x["rationale"])), ",").alias("actions")
+    return body.select("b.session_id", "analysis_id", "b.title", "b.summary_observed", "b.overview.*", "b.observed_techniques", "b.command_count", "b.downloads", "b.indicators", actions, "created_at")
+
+
+@query("dead_letter_table", sql(f"SELECT reason, count(*) AS n FROM (SELECT {BAD} AS reason FROM ev) WHERE reason IS NOT NULL GROUP BY 1"))
+def _dead_table(spark, d):
+    at = f"{shared_folder(spark)}/lureframe-dead-{uuid.uuid4().hex}"
+    sinks.write_dead_letters(ingest.normalize(_raw(spark, d))[1], at)
+    return sinks.dead_letter_counts(spark.read.parquet(at))
+
+
+@query("indicator_page_links", sql("SELECT l.type, l.value, l.session_id FROM ind_links l JOIN (SELECT type, value FROM ind WHERE type = 'ip' ORDER BY last_seen DESC, type, value LIMIT 50) p ON p.type = l.type AND p.value = l.value", O.RUNS, EXTRACTED))
+def _page_links(spark, d):
+    ev = A.events(spark, d)
+    return search.page_links(search.list_indicators(_ind(ev), type_="ip", limit=50), _links(ev)).select("type", "value", "session_id")
+
+
+@query("confounders", sql("SELECT event_id AS change_id, honeypot_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at FROM ev WHERE action = 'cowrie.session.connect' AND ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-27'"))
+def _confounders(spark, d):
+    ev = A.events(spark, d)
+    changes = ev.filter("action = 'cowrie.session.connect'").select(F.col("event_id").alias("change_id"), "honeypot_id", F.col("ts").alias("at"))
+    spans = ev.select("honeypot_id").distinct().withColumn("start", F.lit("2024-01-03").cast("timestamp")).withColumn("end", F.lit("2024-01-27").cast("timestamp"))
+    return X.confounders(changes, spans)
+
+
 @query(
     "csv_export",
     sql("""SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST((epoch_us(ts) // 1000) % 1000 AS VARCHAR), 3, '0') || 'Z,' || honeypot_id || ',' || session_id || ',' || source_ip || ',' || action || ',' || category || ',' || protocol

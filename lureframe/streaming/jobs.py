@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from lureframe.functions import text
 from lureframe.functions.bind import bind
@@ -41,7 +41,8 @@ def ingest_stream(raw: DataFrame, events_path: str, dead_path: str, checkpoint:
 
     No clock decides what is kept: a line of any age is stored, whenever it comes. A redelivered line is known by
     its id (sensor and content) and left out if its batch or an earlier one holds it; a line's day is part of its
-    content, so only stored days that the batch touches are read. Lines are parsed once, into a staged relation.
+    content, so only stored days that the batch touches are read; refused lines, whose day can't be trusted, are
+    shelved by their id, and only the shelves that the batch touches are read. Lines are parsed once, into a staged relation.
     Each micro-batch overwrites its own partition, so a batch replayed after a lost executor or driver leaves one
     copy.
     """
@@ -56,11 +57,13 @@ def ingest_stream(raw: DataFrame, events_path: str, dead_path: str, checkpoint:
             days = [r["event_date"] for r in good.select("event_date").distinct().collect()]  # the days of one micro-batch
             touched = F.col("event_date").isin([d for d in days if d is not None]) | (F.col("event_date").isNull() & F.lit(None in days))
             good = good.join(old_events.filter(touched).select("event_id"), "event_id", "left_anti")
+        bad = bad.withColumn("shelf", F.substring("event_id", 1, 2))
         if old_dead is not None:
-            bad = bad.join(old_dead.select("event_id"), "event_id", "left_anti")
+            shelves = [r["shelf"] for r in bad.select("shelf").distinct().collect()]  # of 256
+            bad = bad.join(old_dead.filter(F.col("shelf").isin(shelves)).select("event_id"), "event_id", "left_anti")
         sinks.write_events(good.drop("_raw", "_unknown", "_reason", "event_date"), f"{events_path}/batch_id={batch_id}", mode="overwrite")
-        refused = bad.select("event_id", F.col("_raw").alias("raw"), F.col("_unknown").alias("unknown_keys"), F.col("_reason").alias("reason"), "honeypot_id")
-        refused.write.mode("overwrite").parquet(f"{dead_path}/batch_id={batch_id}")
+        refused = bad.select("event_id", F.col("_raw").alias("raw"), F.col("_unknown").alias("unknown_keys"), F.col("_reason").alias("reason"), "honeypot_id", "shelf")
+        refused.write.mode("overwrite").partitionBy("shelf").parquet(f"{dead_path}/batch_id={batch_id}")
         discard(staged)
 
     return _start(raw, checkpoint, write, once=once)
@@ -86,72 +89,139 @@ def inactivity_sessions(events: DataFrame, gap: str = "30 minutes", late: str =
 
 STATE_DDL = "first timestamp, last timestamp, events bigint, commands bigint, logged_in boolean, closed boolean"
 OUT_DDL = "session_id string, started_at timestamp, last_at timestamp, events bigint, commands bigint, logged_in boolean, ended string"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def session_states(events: DataFrame, idle_minutes: int = 60, late: str = "10 minutes") -> DataFrame:
-    """T4: a session's facts, once: when it has closed and the watermark has passed its last event, or when it has
-    been silent for too long. Events that come after the close but in time are part of it.
+class SessionFold(StatefulProcessor):
+    """Six values per session and one timer; a batch of a hot session arrives as frames and is folded, never held."""
 
-    The state is six values per session; a batch of a hot session arrives as an iterator of
-    frames and is folded, never held.
-    """
+    def __init__(self, idle_minutes: int) -> None:
+        self.idle_ms = idle_minutes * 60_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.facts = handle.getValueState("facts", STATE_DDL)
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        def row(s, why):
-            return pd.DataFrame([(key[0], *s, why)], columns=["session_id", "started_at", "last_at", "events", "commands", "logged_in", "ended"])
-
-        if state.hasTimedOut:
-            *s, closed = state.get
-            state.remove()
-            yield row(s, "closed" if closed else "timeout")
-            return
-        first, last, n, cmds, logged, closed = state.get if state.exists else (None, None, 0, 0, False, False)
-        for f in frames:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        first, last, n, cmds, logged, closed = self.facts.get() if self.facts.exists() else (None, None, 0, 0, False, False)
+        for f in rows:
             lo, hi = f["ts"].min().to_pydatetime(), f["ts"].max().to_pydatetime()
             first, last = lo if first is None else min(first, lo), hi if last is None else max(last, hi)
             n += len(f)
             cmds += int((f["action"] == COMMAND).sum())
             logged = logged or bool((f["action"] == "cowrie.login.success").any())
             closed = closed or bool((f["action"] == CLOSED).any())
-        state.update((first, last, n, cmds, logged, closed))
-        due = int(pd.Timestamp(last).timestamp() * 1000) + (1 if closed else idle_minutes * 60_000)
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        self.facts.update((first, last, n, cmds, logged, closed))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        due = int(pd.Timestamp(last).timestamp() * 1000) + (1 if closed else self.idle_ms)
+        self.handle.registerTimer(max(due, timerValues.getCurrentWatermarkInMs() + 1))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        *facts, closed = self.facts.get()
+        self.facts.clear()
+        yield pd.DataFrame([(key[0], *facts, "closed" if closed else "timeout")], columns=["session_id", "started_at", "last_at", "events", "commands", "logged_in", "ended"])
+
+    def close(self) -> None:
+        pass
 
+
+def session_states(events: DataFrame, idle_minutes: int = 60, late: str = "10 minutes") -> DataFrame:
+    """T4: a session's facts, once: when it has closed and the watermark has passed its last event, or when it has
+    been silent for too long. Events that come after the close but in time are part of it.
+
+    State and timers of a session go when it is given out. The state store of the events' session is RocksDB from here on.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     slim = events.select("session_id", "ts", "action").withWatermark("ts", late)
-    return slim.groupBy("session_id").applyInPandasWithState(fold, OUT_DDL, STATE_DDL, "append", GroupStateTimeout.EventTimeTimeout)
+    return slim.groupBy("session_id").transformWithStateInPandas(SessionFold(idle_minutes), OUT_DDL, "append", "EventTime")
+
+
+BUCKETS = 64
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below path; none where it doesn't exist."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return [f.getPath().getName() for f in files.listStatus(place)] if files.exists(place) else []
+
+
+def _bucket_files(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
+    """Which generation holds each bucket, by the newest list of a batch before `before`."""
+    lists = sorted(int(n.partition("=")[2]) for n in _folders(spark, f"{path}/lists") if n.startswith("batch="))
+    lists = [n for n in lists if before is None or n < before]
+    if not lists:
+        return {}
+    return {r["bucket"]: r["generation"] for r in spark.read.schema("bucket int, generation long").parquet(f"{path}/lists/batch={lists[-1]}").collect()}
+
+
+LINK_DDL = "type string, value string, session_id string, first_seen timestamp, last_seen timestamp, head struct<ts:timestamp,event_id:{id},source_ip:string>, user struct<ts:timestamp,event_id:{id},username:string>"
+
+
+def _read_buckets(spark: SparkSession, path: str, where: dict[int, int], kind: str) -> DataFrame:
+    ddl = LINK_DDL.format(id=kind)
+    if not where:
+        return spark.createDataFrame([], ddl)
+    return spark.read.schema(ddl).parquet(*[f"{path}/generation={g}/bucket={b}" for b, g in sorted(where.items())])
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """One row per link and one per session."""
+    links = rows.filter("type IS NOT NULL").select("type", "value", "session_id").distinct()
+    heads = rows.filter("type IS NULL").groupBy("session_id").agg(
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min("head").alias("head"), F.min("user").alias("user"))
+    return links.unionByName(heads, allowMissingColumns=True)
 
 
 def indicator_stream(events: DataFrame, links_path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """T5: indicator links per micro-batch, and each session's earliest address and user name so far.
+    """T5: one row per indicator link, and one per session with its times, earliest address and user name so far.
 
-    Which address and user name a session has depends on all of its events, so a batch stores its own earliest
-    ones with their order, and `current_indicators` takes the earliest over all batches. A replay rewrites its
-    own batch, and re-reading a session adds nothing.
+    A micro-batch merges its rows into the buckets (by key) that it touches, writes those as a new generation, and then a list
+    of which generation holds each bucket. A reader takes the newest list, so it meets every key once and never a half-
+    written bucket; a replayed batch starts from the list before it and writes the same again. Generations that
+    neither the new list nor the one before names are deleted.
     """
+    kind = events.schema["event_id"].dataType.simpleString()
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         named = F.col("username").isNotNull() & (F.col("username") != "")
         heads = batch.groupBy("session_id").agg(
             F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.min(F.struct("ts", "event_id", "source_ip")).alias("head"),
             F.min(F.when(named, F.struct("ts", "event_id", "username"))).alias("user"),
         )
-        seen = heads.select("session_id", F.col("last_seen").alias("seen_at"))
-        links = indicators.session_links(indicators.extract(batch, with_heads=False).join(seen, "session_id"))
-        links.unionByName(heads, allowMissingColumns=True).write.mode("overwrite").parquet(f"{links_path}/batch_id={batch_id}")
+        found = indicators.extract(batch, with_heads=False).select("type", "value", "session_id").distinct()
+        bucket = F.pmod(F.xxhash64(F.coalesce("type", F.lit("")), F.coalesce("value", "session_id")), F.lit(BUCKETS)).cast("int")
+        new = write_once(found.unionByName(heads, allowMissingColumns=True).withColumn("bucket", bucket))
+        where = _bucket_files(spark, links_path, before=batch_id)
+        touched = {r["bucket"] for r in new.select("bucket").distinct().collect()}  # BUCKETS at most
+        old = _read_buckets(spark, links_path, {b: g for b, g in where.items() if b in touched}, kind)
+        _merged(new.drop("bucket").unionByName(old, allowMissingColumns=True)).withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{links_path}/generation={batch_id}")
+        now = where | dict.fromkeys(touched, batch_id)
+        spark.createDataFrame(sorted(now.items()), "bucket int, generation long").coalesce(1).write.mode("overwrite").parquet(f"{links_path}/lists/batch={batch_id}")
+        discard(new)
+        for name in _folders(spark, links_path):
+            if name.startswith("generation=") and int(name.partition("=")[2]) not in {batch_id, *now.values(), *where.values()}:
+                old_place = spark._jvm.org.apache.hadoop.fs.Path(f"{links_path}/{name}")
+                old_place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(old_place, True)
 
     return _start(events, checkpoint, write, once=once)
 
 
+def stored_links(spark: SparkSession, links_path: str, event_id: str = "string") -> DataFrame:
+    """T5: the newest generation of every bucket, each key once."""
+    return _read_buckets(spark, links_path, _bucket_files(spark, links_path), event_id)
+
+
 def current_indicators(links: DataFrame) -> DataFrame:
-    """T5: the indicator table over every batch's links, equal to the batch answer."""
-    heads = links.filter(F.col("type").isNull()).groupBy("session_id").agg(
-        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min("head").alias("head"), F.min("user").alias("user"),
-    )
+    """T5: the indicator table over the stored links, equal to the batch answer: a link is as old as its session's last event."""
+    heads = links.filter("type IS NULL").select("session_id", "last_seen", "head", "user")
     item = lambda kind, value: F.when(value.isNotNull() & (value != ""), F.struct(F.lit(kind).alias("type"), value.alias("value")))
-    own = heads.select("session_id", "first_seen", "last_seen", F.explode(F.array_compact(F.array(item("ip", F.col("head.source_ip")), item("username", F.col("user.username"))))).alias("_i"))
-    rows = links.filter(F.col("type").isNotNull()).select("type", "value", "session_id", "first_seen", "last_seen").unionByName(own.select("_i.type", "_i.value", "session_id", "first_seen", "last_seen"))
-    distinct = rows.groupBy("type", "value", "session_id").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
-    return indicators.correlate(distinct)
+    own = heads.select("session_id", F.inline(F.array_compact(F.array(item("ip", F.col("head.source_ip")), item("username", F.col("user.username"))))))
+    every = links.filter("type IS NOT NULL").select("session_id", "type", "value").unionByName(own).distinct()
+    return indicators.correlate(every.join(heads.select("session_id", F.col("last_seen").alias("first_seen"), "last_seen"), "session_id"))
 
 
 def first_sightings(events: DataFrame) -> DataFrame:
@@ -181,6 +251,49 @@ def against_previous(windows: DataFrame) -> DataFrame:
     return joined.select("start", "end", "events", "previous", pct.alias("trend_pct"), direction.alias("direction"))
 
 
+def late_rows_stream(events: DataFrame, on_time_path: str, late_path: str, marks_path: str, checkpoint: str, late_seconds: int = 600, once: bool = True) -> StreamingQuery:
+    """Rows that come after the watermark go to a table of their own, with their batch, instead of being lost.
+
+    The watermark of a batch is the latest time of all earlier batches, less the allowance; each batch stores its own latest
+    time. So the split and its count survive a restart, and a replayed batch splits the same way. Rows without a
+    time are on time.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        earlier = [n for n in _folders(spark, marks_path) if n.startswith("batch_id=") and int(n.partition("=")[2]) < batch_id]
+        marks = spark.read.schema("latest timestamp").parquet(*[f"{marks_path}/{n}" for n in earlier]).agg(F.max("latest")).first()[0] if earlier else None
+        staged = write_once(batch)
+        mark = F.lit(None).cast("timestamp") if marks is None else F.lit(marks) - F.make_dt_interval(secs=F.lit(late_seconds))
+        is_late = F.coalesce(F.col("ts") < mark, F.lit(False))
+        staged.filter(~is_late).write.mode("overwrite").parquet(f"{on_time_path}/batch_id={batch_id}")
+        staged.filter(is_late).withColumn("watermark", mark).write.mode("overwrite").parquet(f"{late_path}/batch_id={batch_id}")
+        staged.agg(F.max("ts").alias("latest")).write.mode("overwrite").parquet(f"{marks_path}/batch_id={batch_id}")
+        discard(staged)
+
+    return _start(events, checkpoint, write, once=once)
+
+
+def table_stream(rows: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Rows of an append-mode answer (T2, T3, T4, T7) to Parquet, each final row once."""
+    writer = rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).option("path", path)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def snapshot_stream(rows: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """The whole answer so far (T6), replaced with each micro-batch: a new folder per batch, of which the newest counts."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return _start(rows, checkpoint, write, mode="complete", once=once)
+
+
+def newest_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    newest = max(int(n.partition("=")[2]) for n in _folders(spark, path) if n.startswith("batch_id="))
+    return spark.read.parquet(f"{path}/batch_id={newest}")
+
+
 class LateRows(StreamingQueryListener):
     """Rows that arrived past a watermark, by query id, from every batch of the session's queries while it listens
     (`spark.streams.addListener(LateRows())`). They are counted here and stay in the batch log."""

@@ -177,7 +177,7 @@ def test_indicator_stream_is_idempotent(spark, tmp_path):
     q = jobs.indicator_stream(src, links, str(tmp_path / "ck"))
     q.awaitTermination(180)
     assert q.exception() is None
-    got = {(r.type, r.value, r.session_count, r.source) for r in jobs.current_indicators(spark.read.parquet(links)).collect()}
+    got = {(r.type, r.value, r.session_count, r.source) for r in jobs.current_indicators(jobs.stored_links(spark, links, base.schema["event_id"].dataType.simpleString())).collect()}
     from lureframe.operators import indicators as I
 
     batch = I.correlate(I.session_links(I.extract(base).withColumn("seen_at", F.lit(T0))))
@@ -228,3 +228,51 @@ def test_countries_of_both_address_families(spark):
     want = {"9.1.1.1": "AA", "9.9.1.1": "BB", "2a0f:1::1": "CC", "2a01:e01::5": "DD", "2a01:e34:1:ffff::1": "EE", "2a01:e34:2::1": "DD", "2b00::1": None, "8.8.8.8": None}
     ev = spark.createDataFrame([(a, None) for a in want], "source_ip string, source_country string")
     assert {r.source_ip: r.source_country for r in ingest.geoip_country(ev, cidr).collect()} == want
+
+
+def test_indicator_buckets_hold_each_key_once_and_survive_a_replay(spark, tmp_path):
+    base = adapter.events(spark, "/root/testdata/sf0.001").drop("user_id", "session_no", "k")
+    kind = base.schema["event_id"].dataType.simpleString()
+    src = event_stream(spark, tmp_path, [base.filter("event_id < 500"), base.filter("event_id >= 500"), base.filter("event_id % 97 = 3")])
+    links = str(tmp_path / "links")
+    jobs.indicator_stream(src, links, str(tmp_path / "ck")).awaitTermination(180)
+    read = lambda: jobs.stored_links(spark, links, kind)
+    rows = read()
+    assert rows.count() == rows.select("type", "value", "session_id").distinct().count() > 0
+    before = sorted(map(str, rows.collect()))
+    # A list that was written last is lost with its batch; the replay writes both again.
+    import shutil
+
+    shutil.rmtree(f"{links}/lists/batch=2")
+    commits = tmp_path / "ck" / "commits" / "2"
+    commits.unlink(), (commits.parent / ".2.crc").unlink()
+    jobs.indicator_stream(src, links, str(tmp_path / "ck")).awaitTermination(180)
+    assert sorted(map(str, read().collect())) == before
+    named = set(jobs._bucket_files(spark, links).values()) | set(jobs._bucket_files(spark, links, before=2).values())
+    assert {int(n.partition("=")[2]) for n in jobs._folders(spark, links) if n.startswith("generation=")} == named
+
+
+def test_late_rows_have_a_table_that_outlives_a_restart(spark, tmp_path):
+    frames = [slim(spark, [ev(1, 0), ev(2, 30)]), slim(spark, [ev(3, 25), ev(4, 19), ev(5, 60)])]
+    more = [slim(spark, [ev(6, 49), ev(7, 51)])]
+    src = event_stream(spark, tmp_path, frames)
+    at = [str(tmp_path / n) for n in ("on", "late", "marks", "ck")]
+    jobs.late_rows_stream(src, *at).awaitTermination(120)
+    assert [r.event_id for r in spark.read.parquet(at[1]).collect()] == [4]
+    more[0].coalesce(1).write.mode("append").parquet(str(tmp_path / "stream"))
+    jobs.late_rows_stream(spark.readStream.schema(frames[0].schema).parquet(str(tmp_path / "stream")), *at).awaitTermination(120)
+    assert sorted((r.event_id, r.batch_id) for r in spark.read.parquet(at[1]).collect()) == [(4, 1), (6, 2)]
+    assert spark.read.parquet(at[0]).count() == 5
+
+
+def test_a_page_is_read_with_all_that_hangs_on_it(spark):
+    from lureframe.operators import search
+
+    page = spark.createDataFrame([("a1", "s"), ("a2", "t")], "analysis_id string, session_id string")
+    claims = spark.createDataFrame([(1, "a1", "x", None, "one"), (2, "a1", "x", "T1", "two"), (3, "a9", "x", None, "other")], "claim_id int, analysis_id string, kind string, technique_id string, text string")
+    cites = spark.createDataFrame([(1, 10, T0, "b"), (1, 9, T0, "a"), (2, 8, T0, "c"), (3, 7, T0, "d")], "claim_id int, event_id int, ts timestamp, artifact string")
+    refused = spark.createDataFrame([(4, "a2", "stage", "x", "why", None, "four", [1])], "claim_id int, analysis_id string, stage string, kind string, reason string, technique_id string, text string, cited_event_ids array<int>")
+    actions = spark.createDataFrame([("a2", "P2", "b", "r"), ("a2", "P1", "a", "r")], "analysis_id string, priority string, action string, rationale string")
+    one, two = search.hydrate(page, claims, cites, refused, actions).orderBy("analysis_id").collect()
+    assert [(c.claim_id, [e.artifact for e in c.evidence]) for c in one.claims] == [(1, ["a", "b"]), (2, ["c"])] and one.rejections == one.actions == []
+    assert two.claims == [] and [r.reason for r in two.rejections] == ["why"] and [a.priority for a in two.actions] == ["P1", "P2"]
