@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -194,16 +195,25 @@ def _unrank(start: int, stop: int, sizes: list[int]) -> np.ndarray:
     return labels
 
 
+def _shuffled(start: int, stop: int, places: int, seed: int) -> np.ndarray:
+    """Shuffles number start..stop-1: places in the order of the MD5 of seed, shuffle and place, so any engine can repeat them."""
+    order = np.empty((stop - start, places), np.int64)
+    for n in range(start, stop):
+        order[n - start] = sorted(range(places), key=lambda at: hashlib.md5(f"{seed}:{n}:{at}".encode()).hexdigest())
+    return order
+
+
 def permutation(block_values: DataFrame, keys: list[str], limit: int = EXHAUSTIVE_LIMIT, samples: int = SAMPLES, seed: int = 0, step: int = 20_000) -> DataFrame:
     """P-value of the between-arm spread for each group of (block, arm, value) rows.
 
-    Every relabelling is tried when there are at most `limit`; otherwise seeded shuffles. A group
-    becomes ranges of relabellings, the ranges are spread over the cluster, and hits are summed.
+    Every relabelling is tried when there are at most `limit`; otherwise shuffles that a counter decides. A group
+    becomes ranges of relabellings, the ranges are spread over the cluster, and hits are summed. Where all arms
+    are of one size, their names can be swapped freely, so only relabellings that give the first block the first arm are scored.
     """
     groups = block_values.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", "arm", "value"))).alias("rows"))
     kinds = {f.name: f.dataType.simpleString() for f in block_values.schema.fields}
     head = ", ".join(f"{k} {kinds[k]}" for k in keys)
-    plan_ddl = f"{head}, labels array<int>, values array<double>, start bigint, stop bigint, total bigint, exhaustive boolean, smallest_p double, sizes string"
+    plan_ddl = f"{head}, labels array<int>, values array<double>, start bigint, stop bigint, total bigint, scored bigint, exhaustive boolean, smallest_p double, sizes string"
 
     def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -217,9 +227,11 @@ def permutation(block_values: DataFrame, keys: list[str], limit: int = EXHAUSTIV
                 ties = math.prod(math.factorial(n) for n in Counter(sizes).values())
                 full = ways <= limit
                 total = ways if full else samples
-                for at in range(0, total, step):
-                    out.append([getattr(row, k) for k in keys] + [labels, [float(r["value"]) for r in rows], at, min(at + step, total), total, full, ties / ways, str(sizes)])
-            yield pd.DataFrame(out, columns=[*keys, "labels", "values", "start", "stop", "total", "exhaustive", "smallest_p", "sizes"])
+                # In lexicographic order, those with the first arm first come first.
+                scored = ways * sizes[0] // len(labels) if full and len(set(sizes)) == 1 else total
+                for at in range(0, scored, step):
+                    out.append([getattr(row, k) for k in keys] + [labels, [float(r["value"]) for r in rows], at, min(at + step, scored), total, scored, full, ties / ways, str(sizes)])
+            yield pd.DataFrame(out, columns=[*keys, "labels", "values", "start", "stop", "total", "scored", "exhaustive", "smallest_p", "sizes"])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -231,8 +243,10 @@ def permutation(block_values: DataFrame, keys: list[str], limit: int = EXHAUSTIV
                 observed = float(_spread(vals, labels[None, :], arms)[0])
                 floor = observed - 1e-12 * max(1.0, abs(observed))
                 if not row.exhaustive:
-                    rng = np.random.default_rng([seed, row.start])
-                    tried = rng.permuted(np.tile(labels, (row.stop - row.start, 1)), axis=1)
+                    if known != (len(labels), row.start, row.stop):
+                        made, known = _shuffled(row.start, row.stop, len(labels), seed), (len(labels), row.start, row.stop)
+                    tried = np.empty_like(made)
+                    np.put_along_axis(tried, made, np.broadcast_to(labels, made.shape), axis=1)
                     hits.append(int((_spread(vals, tried, arms) >= floor).sum()))
                     continue
                 # Tests with the same arm sizes share their relabellings: unranked once, then one product each.
@@ -241,15 +255,15 @@ def permutation(block_values: DataFrame, keys: list[str], limit: int = EXHAUSTIV
                     made, known = [(tried == a).astype(float) for a in range(arms)], (row.sizes, row.start, row.stop)
                 found = sum(n * (mine @ vals / n - vals.mean()) ** 2 for mine, n in ((m, m[0].sum()) for m in made))
                 hits.append(int((found >= floor).sum()))
-            yield batch[[*keys, "total", "exhaustive", "smallest_p"]].assign(hits=hits)
+            yield batch[[*keys, "total", "scored", "exhaustive", "smallest_p"]].assign(hits=hits)
 
     chunks = groups.mapInPandas(plan, plan_ddl)
     # An explicit count keeps AQE from folding these few, heavy rows into one task.
     width = max(block_values.sparkSession.sparkContext.defaultParallelism * 2, 16)
     spread = chunks.repartition(width, "sizes", "start")
-    scored = spread.mapInPandas(score, f"{head}, total bigint, exhaustive boolean, smallest_p double, hits bigint")
-    p = F.when(F.col("exhaustive"), F.col("_h") / F.col("total")).otherwise((F.col("_h") + 1) / (F.col("total") + 1))
-    return scored.groupBy(*keys, "total", "exhaustive", "smallest_p").agg(F.sum("hits").alias("_h")).select(
+    scored = spread.mapInPandas(score, f"{head}, total bigint, scored bigint, exhaustive boolean, smallest_p double, hits bigint")
+    p = F.when(F.col("exhaustive"), F.col("_h") / F.col("scored")).otherwise((F.col("_h") + 1) / (F.col("total") + 1))
+    return scored.groupBy(*keys, "total", "scored", "exhaustive", "smallest_p").agg(F.sum("hits").alias("_h")).select(
         *keys, p.alias("p"), "exhaustive", "smallest_p", F.col("total").alias("relabelings")
     )
 

@@ -548,16 +548,20 @@ jud AS (SELECT rot.honeypot_id, rot.block, rot.arm, b_start, b_end, coalesce(n,
   LEFT JOIN (SELECT rot.honeypot_id, rot.block, count(DISTINCT date_trunc('hour', ts)) AS h FROM ev JOIN rot ON rot.honeypot_id = ev.honeypot_id AND ts >= b_start AND ts < b_end GROUP BY 1, 2) c USING (honeypot_id, block))"""
 
 
-def _experiment(spark, d):
+def _assigned(spark, d):
     ev = A.events(spark, d)
     spans = ev.select("honeypot_id").distinct().select(
         "honeypot_id", F.lit(X_START.isoformat(sep=" ")).cast("timestamp").alias("start"), F.lit(X_END.isoformat(sep=" ")).cast("timestamp").alias("end")
     )
     blocks = X.blocks_as_run(A.rotation(spark), spans)
     # Session facts are read by every metric below.
-    assigned = write_once(X.assign_to_blocks(X.session_stats(ev, X_START, X_END), blocks))
-    judged = write_once(X.block_exclusion(X.hour_coverage(ev, X.tallies(assigned, blocks)), list(A.ARMS)))
-    return ev, assigned, judged
+    return ev, blocks, write_once(X.assign_to_blocks(X.session_stats(ev, X_START, X_END), blocks))
+
+
+def _experiment(spark, d):
+    ev, blocks, assigned = _assigned(spark, d)
+    # What is judged is read twice by each of the queries that ask for it.
+    return ev, assigned, write_once(X.block_exclusion(X.hour_coverage(ev, X.tallies(assigned, blocks)), list(A.ARMS)))
 
 
 @query("session_stats", sql(f"SELECT honeypot_id, session_id, {ts('first')}, {ts('last')}, logged_in, commands, downloads, round(duration_s, 6) AS duration_s, script FROM xs", ROT, STATS))
@@ -576,7 +580,7 @@ def _blocks(spark, d):
 @query("block_metrics", sql("SELECT honeypot_id, block, view, metric, round(value, 4) + 0.0 AS value FROM met", ROT, STATS))
 def _metrics(spark, d):
     # Four places: a median of two microsecond values ends on a tie at six.
-    return X.block_metrics(_experiment(spark, d)[1]).withColumn("value", F.round("value", 4) + F.lit(0.0))
+    return X.block_metrics(_assigned(spark, d)[2]).withColumn("value", F.round("value", 4) + F.lit(0.0))
 
 
 @query(
@@ -588,7 +592,7 @@ def _metrics(spark, d):
         FROM asg JOIN ev USING (session_id) WHERE fate = 'analysed' AND file_url IS NOT NULL) GROUP BY 1, 3""", ROT, STATS, O.CMD_TECH),
 )
 def _mixes(spark, d):
-    ev, assigned, _ = _experiment(spark, d)
+    ev, _, assigned = _assigned(spark, d)
     tech = X.technique_mix(assigned, ev, ["arm"]).select("arm", F.lit("technique").alias("kind"), F.col("technique_id").alias("name"), "share")
     return tech.unionByName(X.arch_mix(assigned, ev, ["arm"]).select("arm", F.lit("arch").alias("kind"), F.col("arch").alias("name"), "share"))
 
@@ -606,12 +610,62 @@ def _arms(spark, d):
     return out.select("honeypot_id", "view", "metric", "arm", "blocks", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("mean", "min", "max", "vs_stock")])
 
 
-@query("permutation")
-def _permutation(spark, d):
-    """Rows-only: the labellings of every sensor's blocks, all tried where they are few enough."""
+#: Tested values per group with their place and arm number, and the groups with their arm sizes.
+TESTED = """
+able AS (SELECT honeypot_id FROM (SELECT honeypot_id, arm, count(*) AS n FROM jud WHERE excluded IS NULL GROUP BY 1, 2) GROUP BY 1 HAVING count(*) FILTER (n >= 2) >= 2),
+val AS (SELECT honeypot_id, view, metric, arm, value, row_number() OVER (PARTITION BY honeypot_id, view, metric ORDER BY block, arm, value) AS place,
+    dense_rank() OVER (PARTITION BY honeypot_id, view, metric ORDER BY arm) AS label
+  FROM met JOIN (SELECT honeypot_id, block, arm FROM jud WHERE excluded IS NULL) USING (honeypot_id, block) JOIN able USING (honeypot_id)
+  WHERE (view = 'session' AND metric IN ('ran_any_share', 'commands_mean', 'download_share')) OR (view = 'script' AND metric IN ('commands_mean', 'download_share'))),
+own AS (SELECT honeypot_id, view, metric, list(label ORDER BY place) AS flat FROM val GROUP BY 1, 2, 3),
+grp AS (SELECT honeypot_id, view, metric, sum(n)::INT AS places, list(n ORDER BY label) AS sizes, sum(n * m * m) - sum(n * m) ** 2 / sum(n) AS observed,
+    list_reduce(list_transform(range(1, sum(n)::INT + 1), lambda i: i::DOUBLE), lambda x, y: x * y) / list_reduce(list_transform(list(n ORDER BY label), lambda k: list_reduce(list_transform(range(1, k + 1), lambda i: i::DOUBLE), lambda x, y: x * y)), lambda x, y: x * y) AS ways
+  FROM (SELECT honeypot_id, view, metric, label, count(*)::INT AS n, avg(value) AS m FROM val GROUP BY ALL) GROUP BY 1, 2, 3),
+same AS (SELECT sizes, product(f) AS ties FROM (SELECT sizes, list_reduce(list_transform(range(1, c + 1), lambda i: i::DOUBLE), lambda x, y: x * y) AS f
+    FROM (SELECT sizes, s, count(*)::INT AS c FROM (SELECT sizes, unnest(sizes) AS s FROM (SELECT DISTINCT sizes FROM grp)) GROUP BY 1, 2)) GROUP BY 1)"""
+#: Every relabelling up to swapped names of arms of one size: an unused arm may come only after all earlier ones of its size.
+EVERY = """
+lab AS (SELECT sizes, 0 AS nth, CAST([] AS INT[]) AS labels, sizes AS left_over FROM (SELECT DISTINCT sizes FROM grp)
+  UNION ALL SELECT sizes, nth + 1, list_append(labels, b), list_transform(left_over, lambda x, i: x - CASE WHEN i = b THEN 1 ELSE 0 END)
+  FROM (SELECT *, unnest(range(1, len(sizes) + 1))::INT AS b FROM lab WHERE nth < list_sum(sizes))
+  WHERE left_over[b] > 0 AND (left_over[b] < sizes[b] OR len(list_filter(range(1, b), lambda a: sizes[a] = sizes[b] AND left_over[a] = sizes[a])) = 0)),
+tried AS (SELECT sizes, NULL AS flat, row_number() OVER () AS nr, labels FROM lab WHERE nth = list_sum(sizes))"""
+SHUFFLES = 2_000
+SHUFFLED = f"""
+tried AS (SELECT sizes, flat, n AS nr, list(flat[r]::INT ORDER BY place) AS labels FROM (
+    SELECT *, row_number() OVER (PARTITION BY sizes, flat, n ORDER BY md5('0:' || n || ':' || place)) AS r FROM (
+      SELECT sizes, flat, n, unnest(range(places)) AS place FROM (SELECT DISTINCT sizes, places, flat FROM grp JOIN own USING (honeypot_id, view, metric)), range({SHUFFLES}) t(n)))
+  GROUP BY 1, 2, 3)"""
+
+
+def _permutation_sql(tried: str, p: str, exhaustive: str, relabelings: str) -> str:
+    body = f"""SELECT honeypot_id, view, metric, p, {exhaustive} AS exhaustive, smallest_p, relabelings,
+        max(least(1.0, raw * p)) OVER (PARTITION BY honeypot_id, view ORDER BY p, metric ROWS UNBOUNDED PRECEDING) AS holm FROM (
+      SELECT *, count(*) OVER (PARTITION BY honeypot_id, view) - row_number() OVER (PARTITION BY honeypot_id, view ORDER BY p, metric) + 1 AS raw FROM (
+        SELECT g.honeypot_id, g.view, g.metric, {p} AS p, ties / ways AS smallest_p, CAST({relabelings} AS BIGINT) AS relabelings FROM (
+          SELECT honeypot_id, view, metric, count(*) AS scored, count(*) FILTER (spread >= observed - 1e-12 * greatest(1.0, abs(observed))) AS hits FROM (
+            SELECT honeypot_id, view, metric, nr, any_value(observed) AS observed, sum(n * m * m) - sum(n * m) ** 2 / sum(n) AS spread FROM (
+              SELECT v.honeypot_id, v.view, v.metric, t.nr, t.labels[v.place] AS a, count(*) AS n, avg(value) AS m, any_value(g.observed) AS observed
+              FROM val v JOIN grp g USING (honeypot_id, view, metric) JOIN own o USING (honeypot_id, view, metric) JOIN tried t ON t.sizes = g.sizes AND (t.flat IS NULL OR t.flat = o.flat) GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) h
+        JOIN grp g USING (honeypot_id, view, metric) JOIN same USING (sizes)))"""
+    return sql(body, ROT, STATS, TESTED, tried).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _tested(spark, d):
     _, assigned, judged = _experiment(spark, d)
-    values = X.tested_values(X.block_metrics(assigned), judged)
-    return X.holm(X.permutation(values, ["honeypot_id", "view", "metric"]), ["honeypot_id", "view"])
+    return X.tested_values(X.block_metrics(assigned), judged)
+
+
+@query("permutation", _permutation_sql(EVERY, "hits / scored", "true", "ways"))
+def _permutation(spark, d):
+    """The labellings of every sensor's blocks, all of them."""
+    return X.holm(X.permutation(_tested(spark, d), ["honeypot_id", "view", "metric"]), ["honeypot_id", "view"])
+
+
+@query("permutation_sampled", _permutation_sql(SHUFFLED, "(hits + 1) / (scored + 1)", "false", str(SHUFFLES)))
+def _permutation_sampled(spark, d):
+    """The same tests by shuffles that a counter decides."""
+    return X.holm(X.permutation(_tested(spark, d), ["honeypot_id", "view", "metric"], limit=0, samples=SHUFFLES), ["honeypot_id", "view"])
 
 
 #: A budget of this many tokens cuts the commands of an ordinary session several times.
