@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lureframe.functions.ordered import number_rows
@@ -33,6 +33,33 @@ def cut(members: DataFrame, order: list[str]) -> DataFrame:
     return placed.withColumn("block", F.xxhash64("family", "_size", part(1))).withColumn("node", F.xxhash64("family", "_size", part(FANOUT))).drop("_size", "pos")
 
 
+def descend(blocks: DataFrame, nodes: DataFrame, may_meet: Column) -> DataFrame:
+    """(a, b): block pairs of a family that may hold links, found by descending from node pairs. may_meet tells it of two
+    rows, aliased a and b, of blocks as of nodes; both relations carry family and node."""
+    met = nodes.alias("a").join(nodes.alias("b"), "family").where("a.node <= b.node").where(may_meet)
+    met = met.select(F.col("a.node").alias("na"), F.col("b.node").alias("nb"))
+    below = blocks.alias("a").join(met, F.col("a.node") == F.col("na")).join(blocks.alias("b"), F.col("b.node") == F.col("nb"))
+    ordered = (F.col("na") != F.col("nb")) | (F.col("a.block") <= F.col("b.block"))
+    return below.where(ordered & may_meet).select(F.least("a.block", "b.block").alias("a"), F.greatest("a.block", "b.block").alias("b")).distinct()
+
+
+def fits(percent: int) -> Column:
+    """Whether sizes of boxes a and b allow a link that joins two labels."""
+    sizes = (F.col("a.n_hi") * 100 >= F.col("b.n_lo") * percent) & (F.col("b.n_hi") * 100 >= F.col("a.n_lo") * percent)
+    return sizes & (F.least("a.l_lo", "b.l_lo") != F.greatest("a.l_hi", "b.l_hi"))
+
+
+def ranges(rows: DataFrame, by: str, *more: Column) -> DataFrame:
+    """(family, `by`, smallest and largest size and label, ...) of each block or node."""
+    edges = (F.min("n_lo").alias("n_lo"), F.max("n_hi").alias("n_hi"), F.min("l_lo").alias("l_lo"), F.max("l_hi").alias("l_hi"))
+    return rows.groupBy("family", by).agg(*edges, *more)
+
+
+def single(members: DataFrame, *more: str) -> DataFrame:
+    """Members as ranges of one."""
+    return members.select("family", "block", "node", F.col("n").alias("n_lo"), F.col("n").alias("n_hi"), F.col("label").alias("l_lo"), F.col("label").alias("l_hi"), *more)
+
+
 def common(x: np.ndarray, y: np.ndarray) -> int:
     """How many elements two sorted arrays of distinct numbers share."""
     at = np.searchsorted(y, x)

@@ -3,8 +3,8 @@
 Equal shingle sets are one class from the start, so copies never meet each other as pairs. Classes that share a
 band form a bucket. A bucket doesn't list its pairs: every member is compared with one centre, the member that
 shares the most with all others; links make components, and buckets whose members are all in one
-component are done; others get another centre. What is still open when centres no longer pay is joined on its
-rarest shingles, which loses no link and lists few pairs. A pair is tested by its signatures first and confirmed on the full shingle sets.
+component are done; others get another centre. What is still open when centres no longer pay meets block by block
+inside tasks, which give back only links that join two parts. A pair is tested by its signatures first and confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lureframe.llm.blocks import block_links, cut, descend, fits, ranges, single
 from lureframe.llm.components import components
 from lureframe.llm.store import back_id, discard, observed, save, sent_id
 from lureframe.llm.words import MIX, WordHashes, grams, hashed, lowered, scramble
@@ -28,10 +29,8 @@ PERCENT = 80
 MISS = 1e-7
 #: Standard deviations that a pair's signature estimate may lie under the threshold.
 SLACK = 5.0
-#: Rounds of centres at most, before what is open is joined on rare shingles.
+#: Rounds of centres at most, before what is open meets block by block.
 CENTRES = 3
-#: Bits of the signatures that open members are compared by.
-LONG = 4096
 SETS = "doc_id long, n long, k1 long, k2 long, bands array<long>"
 FULL = "id long, k1 long, sig array<tinyint>, s array<long>"
 
@@ -105,19 +104,24 @@ def full_sets(docs: DataFrame, wanted: DataFrame, n: int, percent: int) -> DataF
             for i, k1, text in zip(pdf["id"], pdf["k1"], pdf["text"], strict=True):
                 s = shingles(text, known, n)
                 if np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64) == k1:  # not another text of the same id
-                    out.append((i, k1, minima(s, a, b).astype(np.uint8).view(np.int8), s.view(np.int64)))
+                    out.append((i, k1, minima(s, a, b).astype(np.uint8).view(np.int8), np.sort(s.view(np.int64))))
             yield pd.DataFrame(out, columns=["id", "k1", "sig", "s"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
     return texts.join(wanted.select("id", "k1").distinct(), "id").mapInPandas(run, FULL).dropDuplicates(["id", "k1"])
 
 
+def _least(percent: int) -> float:
+    """Places of a signature in which a linked pair agrees, up to SLACK deviations."""
+    rows, bands = banding(percent)
+    n, t = rows * bands, percent / 100
+    return n * (t - SLACK * math.sqrt(t * (1 - t) / n))
+
+
 def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """(u, v) for the pairs that pass both tests: signatures agree in enough places for the threshold, less SLACK
     deviations, and the full sets reach the threshold, in whole numbers."""
-    rows, bands = banding(percent)
-    n, t = rows * bands, percent / 100
-    least = n * (t - SLACK * math.sqrt(t * (1 - t) / n))
+    least = _least(percent)
     side = lambda x: full.select(F.col("id").alias(x), F.col("k1").alias(f"k{x}"), F.col("sig").alias(f"sig{x}"), F.col("s").alias(f"s{x}"))
     agree = F.size(F.filter(F.zip_with("siga", "sigb", lambda x, y: x == y), lambda same: same))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -140,39 +144,26 @@ def _star(members: DataFrame, turn: int, percent: int) -> DataFrame:
     return members.join(centres, "key").where(~own & _near("n", "nb", percent)).select(F.col("id").alias("a"), F.col("k1").alias("ka"), "b", "kb")
 
 
-def long_signatures(sets: DataFrame) -> DataFrame:
-    """(id, k1, bits): one bit of each of LONG minima, packed into longs, from (id, k1, s)."""
-    a, b = universal(LONG)
+def _agree(percent: int):
+    """Signatures against signatures: as many equal minima as the threshold needs, less SLACK deviations."""
+    least = _least(percent)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            made = [(minima(np.asarray(s, np.int64).view(np.uint64), a, b, 128) * np.uint32(0x9E3779B1)) >> np.uint32(31) for s in pdf["s"]]
-            yield pd.DataFrame({"id": pdf["id"], "k1": pdf["k1"], "bits": [np.packbits(m.astype(np.uint8)).view(np.int64) for m in made]})
-
-    return sets.select("id", "k1", "s").mapInPandas(run, "id long, k1 long, bits array<long>")
-
-
-def _prefix_pairs(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """All pairs of open members in different components that can reach the threshold: in one common order of the
-    shingles, rarest first, such sets share one of their first n - ceil(n percent / 100) + 1. What makes a copy
-    differ is rare, so a copy that is far from its family meets little of it here; what it meets must also agree in
-    a long signature, up to SLACK deviations, before a pair is listed."""
-    who = members.select("id", "k1", "label").distinct()
-    each = full.join(who, ["id", "k1"]).select("id", "k1", "label", F.size("s").alias("n"), F.explode("s").alias("sh"))
-    common = each.groupBy("sh").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    own = Window.partitionBy("id", "k1")
-    ranked = each.join(common, "sh").withColumn("alone", F.col("n") - F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("df", "sh")))
-    first = ranked.where(F.expr(f"alone + rank <= n - (n * {percent} + 99) div 100 + 1")).select("sh", "id", "k1", "n", "label")
-    mixed = first.groupBy("sh").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    first = save(first.join(mixed.select("sh"), "sh"), "first")
-    bits = long_signatures(full.join(first.select("id", "k1").distinct(), ["id", "k1"], "left_semi"))
-    first = first.join(bits, ["id", "k1"])
-    side = lambda x: first.select("sh", F.col("id").alias(x), F.col("k1").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}"), F.col("bits").alias(f"b{x}"))
-    same = (1 + percent / 100) / 2  # chance that a bit of a pair at the threshold is the same
-    most = LONG * (1 - same + SLACK * math.sqrt(same * (1 - same) / LONG))
-    differ = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    close = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _near("na", "nb", percent) & (differ <= most)
-    return side("a").join(side("b"), "sh").where(close).select("a", "ka", "b", "kb")
+    def test(sig: np.ndarray, others: np.ndarray, n: int, m: np.ndarray) -> np.ndarray:
+        return (others == sig).sum(axis=1) >= least
+
+    return test
+
+
+def _open_links(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links between open members in different components. Members that share bands, directly or through others, are a family; a
+    family is cut into blocks by component and size, and blocks meet block by block, unless both are of one component."""
+    lead = members.groupBy("key").agg(F.min("id").alias("lead"))
+    families = components(members.join(lead, "key").select(F.col("id").alias("u"), F.col("lead").alias("v")).distinct())
+    each = members.groupBy("id", "k1").agg(F.min("n").alias("n"), F.min("label").alias("label"), F.min("key").alias("key"))
+    placed = save(cut(each.join(families.select(F.col("node").alias("id"), F.col("component").alias("family")), "id"), ["key"]), "blocks")
+    blocks = save(ranges(single(placed), "block", F.first("node").alias("node")), "ranges")
+    pairs = save(descend(blocks, ranges(blocks, "node"), fits(percent)), "pairs")
+    return block_links(pairs, placed, full.select("id", "k1", F.size("s").cast("long").alias("n"), F.col("sig").alias("vec"), "s"), _agree(percent), percent)
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -200,19 +191,16 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     full = save(full_sets(docs, members, words, percent), "full")
 
     # A doc_id that comes with several texts joins their classes.
-    several = placed.where("id IS NOT NULL").groupBy("doc_id").agg(F.min("id").alias("u"), F.max("id").alias("v")).where("u <> v")
-    links = several.select("u", "v").unionByName(several.select(F.col("doc_id").alias("u"), F.col("u").alias("v")))
+    several = placed.where("id IS NOT NULL").groupBy("doc_id").agg(F.min("id").alias("u"), F.max("id").alias("v")).where("u <> v").select("doc_id")
+    links = placed.where("id IS NOT NULL").join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
     labels, earlier = None, float("inf")
     for turn in range(CENTRES + 1):
         # Few pairs are left, or centres no longer help: the members of these buckets are similar, but not linked.
         last = turn > 0 and (work <= total or turn == CENTRES or 2 * work > earlier)
         earlier = work
-        if last:
-            pairs = _prefix_pairs(members, full, percent)
-        else:
-            pairs = _star(members, turn, percent)
+        found = _open_links(members, full, percent) if last else confirmed(_star(members, turn, percent), full, percent)
         # What is known so far goes on as edges to the components, so later rounds start from stars.
-        links = save(links.unionByName(confirmed(pairs, full, percent)), "links")
+        links = save(links.unionByName(found), "links")
         labels = save(components(links), "labels")
         if last:
             break

@@ -83,8 +83,8 @@ def near_sql(words: int, percent: int, columns: str) -> str:
          sets AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {words} THEN list_transform(range(1, len(w) - {words - 2}), lambda i: array_to_string(w[i : i + {words - 1}], ' '))
              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM listed),
          sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
-         both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sets a JOIN sets b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
-         links AS (SELECT a, b FROM both JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * k >= {percent} * (x.n + y.n - k)),
+         shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sets a JOIN sets b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+         links AS (SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * k >= {percent} * (x.n + y.n - k)),
          reached AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT doc_id, b FROM reached JOIN links ON other = a),
          least AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY 1)
     SELECT d.doc_id, coalesce(n, 0) AS n_shingles, {columns} FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)"""

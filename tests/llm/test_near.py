@@ -70,6 +70,12 @@ def test_one_id_with_two_texts_joins_their_groups(docs):
     assert got == {9: 2, 4: 2, 2: 2}
 
 
+def test_one_id_with_three_texts_joins_all_their_groups(docs):
+    a, b, c = "a b c d e f g h", "q r s t u v w x", "k l m n o p q z"
+    rows = [(9, a), (9, b), (9, c), (4, a), (2, b), (6, c), (7, "i j k l m n")]
+    assert {r["doc_id"]: r["component_id"] for r in N.near_groups(docs(rows), 3, 85).collect()} == {9: 2, 4: 2, 2: 2, 6: 2, 7: 7}
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(100, 160)] + [(200, i) for i in range(201, 260)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(1, 1), (None, 3)]
