@@ -100,3 +100,20 @@ def mapping_quality(expected: DataFrame, predicted: DataFrame) -> DataFrame:
     )
     ratio = lambda other: F.when(F.col("tp") + F.col(other) > 0, F.col("tp") / (F.col("tp") + F.col(other)))
     return counts.withColumn("precision", ratio("fp")).withColumn("recall", ratio("fn"))
+
+
+def mapping_spread(expected: DataFrame, predicted: DataFrame) -> DataFrame:
+    """E7 over runs: mean, smallest and largest precision and recall per origin, from predictions with a `run`; runs without a
+    denominator are left out of a ratio. A run that says nothing about an origin missed all of it."""
+    want = expected.select("case_id", "origin", "technique_id").distinct()
+    got = predicted.select("run", "case_id", "origin", "technique_id").distinct()
+    hits = got.join(want, ["case_id", "origin", "technique_id"], "left_semi").groupBy("run", "origin").agg(F.count(F.lit(1)).alias("tp"))
+    said = got.groupBy("run", "origin").agg(F.count(F.lit(1)).alias("said"))
+    labelled = want.groupBy("origin").agg(F.count(F.lit(1)).alias("labelled"))
+    # Every run has every origin that is labelled or spoken of: two aggregates of a few rows.
+    origins = labelled.select("origin").union(said.select("origin")).distinct().withColumn("_k", F.lit(1))
+    axis = origins.join(got.select("run").distinct().withColumn("_k", F.lit(1)), "_k").drop("_k")
+    rows = axis.join(hits, ["run", "origin"], "left").join(said, ["run", "origin"], "left").join(labelled, "origin", "left").fillna(0, ["tp", "said", "labelled"])
+    ratio = lambda of: F.when(F.col(of) > 0, F.col("tp") / F.col(of))
+    three = lambda name, c: [F.avg(c).alias(f"{name}_mean"), F.min(c).alias(f"{name}_min"), F.max(c).alias(f"{name}_max")]
+    return rows.groupBy("origin").agg(F.count(F.lit(1)).alias("runs"), *three("precision", ratio("said")), *three("recall", ratio("labelled")))

@@ -220,6 +220,26 @@ def _quality(spark, d):
     return rules.mapping_quality(expected, got)
 
 
+@query(
+    "mapping_spread",
+    sql("""SELECT origin, count(*) AS runs, round(avg(p), 6) AS precision_mean, round(min(p), 6) AS precision_min, round(max(p), 6) AS precision_max,
+        round(avg(r), 6) AS recall_mean, round(min(r), 6) AS recall_min, round(max(r), 6) AS recall_max FROM (
+      SELECT origin, run, tp / nullif(tp + fp, 0)::DOUBLE AS p, tp / nullif(tp + fn, 0)::DOUBLE AS r FROM (
+        SELECT run, origin, count(*) FILTER (e AND p) AS tp, count(*) FILTER (NOT e) AS fp, count(*) FILTER (NOT p) AS fn FROM (
+          SELECT run, origin, case_id, technique_id, bool_or(e) AS e, bool_or(p) AS p FROM (
+            SELECT run, honeypot_id AS origin, session_id AS case_id, mitre_technique_id AS technique_id, true AS e, false AS p FROM ev, range(3) t(run) WHERE mitre_technique_id IS NOT NULL
+            UNION ALL SELECT run, honeypot_id, session_id, technique_id, false, true FROM ev JOIN cmd_tech USING (command_line), range(3) t(run) WHERE k % 5 <> run) GROUP BY ALL) GROUP BY 1, 2)) GROUP BY 1""", O.CMD_TECH),
+)
+def _spread(spark, d):
+    ev = A.events(spark, d)
+    expected = ev.filter("mitre_technique_id IS NOT NULL").select(
+        F.col("session_id").alias("case_id"), F.col("honeypot_id").alias("origin"), F.col("mitre_technique_id").alias("technique_id")
+    )
+    hits = rules.rule_hits(ev.select("session_id", "honeypot_id", "command_line", "k"))
+    got = hits.withColumn("run", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).filter("k % 5 <> run")
+    return rules.mapping_spread(expected, got.select("run", F.col("session_id").alias("case_id"), F.col("honeypot_id").alias("origin"), "technique_id"))
+
+
 # --- evaluation ---
 _PID = array([p[0] for p in PROBES] + list(A.SERVICES))
 _FACT = array([p[3] for p in PROBES] + list(A.SERVICES))

@@ -21,7 +21,7 @@ from lureframe.plans.q_evaluation import ACTIONS, CL, CUTOFF, PR, ROT, RUNS, X_S
 from lureframe.plans.q_sessions import EXTRACTED, SESSIONS, _ind, _links
 from lureframe.plans.registry import query
 from lureframe.session import shared_folder
-from lureframe.sources import sinks
+from lureframe.sources import history, sinks
 
 
 def _raw(spark, d):
@@ -259,6 +259,24 @@ def _report_bodies(spark, d):
     return body.select("b.session_id", "analysis_id", "b.title", "b.summary_observed", "b.overview.*", "b.observed_techniques", "b.command_count", "b.downloads", "b.indicators", actions, "created_at")
 
 
+@query(
+    "change_history",
+    sql("""SELECT CAST(event_id AS VARCHAR) AS change_id, sensor AS honeypot_id, strftime(moment, '%Y-%m-%d %H:%M:%S.%f') AS "at", kind,
+        CASE WHEN kind = 'gossip' THEN 'unknown_kind' WHEN moment IS NULL THEN 'no_time' WHEN sensor IS NULL THEN 'no_sensor' END AS reason FROM (
+      SELECT event_id, CASE WHEN k % 7 <> 0 THEN honeypot_id END AS sensor, CASE WHEN k % 11 <> 0 THEN ts END AS moment, CASE k % 3 WHEN 0 THEN 'rate-limit' WHEN 1 THEN 'note' ELSE 'gossip' END AS kind FROM ev)"""),
+)
+def _changes(spark, d):
+    """Changes appended to the history and read back, and the refused ones with their reason."""
+    k = F.col("k")
+    rows = A.events(spark, d).select(
+        F.col("event_id").cast("string").alias("change_id"), F.when(k % 7 != 0, F.col("honeypot_id")).alias("honeypot_id"), F.when(k % 11 != 0, F.col("ts")).alias("at"),
+        F.when(k % 3 == 0, "rate-limit").when(k % 3 == 1, "note").otherwise("gossip").alias("kind"), F.concat(F.lit("d"), k.cast("string")).alias("detail"), F.lit("me").alias("recorded_by"))
+    at = f"{shared_folder(spark)}/lureframe-changes-{uuid.uuid4().hex}"
+    refused = history.append_changes(rows, at)
+    stored = history.read_history(spark, at, "changes").withColumn("reason", F.lit(None).cast("string"))
+    return stored.unionByName(refused).select("change_id", "honeypot_id", "at", "kind", "reason")
+
+
 @query("dead_letter_table", sql(f"SELECT reason, count(*) AS n FROM (SELECT {BAD} AS reason FROM ev) WHERE reason IS NOT NULL GROUP BY 1"))
 def _dead_table(spark, d):
     at = f"{shared_folder(spark)}/lureframe-dead-{uuid.uuid4().hex}"
