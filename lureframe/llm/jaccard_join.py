@@ -4,11 +4,13 @@ Shingles are hashed into GROUPS groups; a document is the point of its group cou
 points, or of the upper corners of two boxes, bound the overlap of the sets below them.
 
 * Which points can meet: the shingles are also dealt to as many parts as a linked pair of that size may differ in, plus one,
-  so a linked pair agrees in a part (pigeonhole). A part's content is a key; points that share keys make a family. Of more
-  than PARTS parts the first PARTS are used: each agrees with a chance of 1/e at least, so a pair is missed with one of 1e-7.
+  so a linked pair agrees in a part (pigeonhole). A part's content is a key; points that share keys make a family. Larger
+  sets take fewer, fuller parts, and as many from several deals as make a miss a chance of 1e-7.
+  Passages that many documents share chain strangers into large families; what is open there meets again by keys of two
+  and four times the content, which strangers rarely share, so that only what is alike stays together.
 * Each family is an R-tree: points in label, size and key order fill leaves, leaves fill nodes, every one with its box.
-  First each leaf is joined with itself and the family's first leaf; what that links gets one label and the tree is built again
-  by label, so leaves of one label never meet each other. Then node pairs, and in them leaf pairs, meet only if their
+  First each leaf is joined with itself and the family's first leaf; what that links gets one label, and the tree of what is
+  open is built again by label, so leaves of one label never meet each other. Then node pairs, and in them leaf pairs, meet only if their
   boxes' bound allows a link. In a leaf pair points are bounded the same way, and survivors are verified on full sets.
 * Links end in components, so copies are never listed as pairs.
 """
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lureframe.llm.blocks import block_links, cut
+from lureframe.llm.blocks import block_links, cut, descend, fits, ranges, single
 from lureframe.llm.components import components
 from lureframe.llm.store import back_id, observed, save, sent_id
 from lureframe.llm.words import MIX, WordHashes, grams, hashed, lowered, scramble
@@ -33,8 +35,13 @@ from lureframe.llm.words import MIX, WordHashes, grams, hashed, lowered, scrambl
 WORDS = 4
 PERCENT = 85
 GROUPS = 64
-#: Parts whose contents are keys, at most: (1 - 1/e + empty parts) ^ PARTS is below 1e-7.
-PARTS = 40
+#: Chance that a linked pair shares no key, at most; sets that may differ in EXACT shingles at most (up to about 60) never miss.
+MISS, EXACT = 1e-7, 11
+#: Content of a key of larger sets, against that of as many parts as the sets may differ in.
+FIRST = 1.4
+#: Open families of more members than the second number meet again by keys of the level that is the first. Below, blocks are
+#: cheaper than the many keys of a level.
+LEVELS = ((2, 4_096), (4, 32_768))
 SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 SETS = "doc_id long, n long, k1 long, k2 long, keys array<long>"
 FULL = "id long, k1 long, n long, vec array<int>, s array<long>"
@@ -61,22 +68,39 @@ def _parts(s: np.ndarray, salt: np.uint64, n_parts: int, used: int) -> tuple[np.
     return content, np.bincount(at.astype(np.int64), minlength=used)
 
 
-def keys_of(s: np.ndarray, percent: int) -> np.ndarray:
-    """The keys of a set: contents of its parts, for its own size band and, near the edge, for the next one. A part may
-    be empty; where all parts are used, an empty one is a key together with each part of a second deal."""
+def _plain_keys(s: np.ndarray, band: int, apart: int) -> list[np.ndarray]:
+    """Contents of apart + 1 parts, of which a linked pair shares one. An empty part is no key by itself but together with
+    each part of a second deal."""
+    parts, salt = apart + 1, np.uint64((band + 1) * int(MIX) % 2**64)
+    content, count = _parts(s, salt, parts, parts)
+    name = salt + np.arange(parts, dtype=np.uint64)
+    out = [scramble(content * MIX + name)[count > 0]]
+    if not count.all():
+        second, _ = _parts(s, salt ^ SECOND, parts, parts)
+        out += [scramble(scramble(second * MIX + name) + np.uint64((int(j) + 1) * int(SECOND) % 2**64)) for j in np.flatnonzero(count == 0)]
+    return out
+
+
+def _long_keys(s: np.ndarray, band: int, apart: int, level: float) -> list[np.ndarray]:
+    """Fewer parts, which hold `level` times as much, and as many of them, from several deals, as a chance of MISS needs."""
+    parts = max(2, round(apart / level))
+    wanted = math.ceil(math.log(MISS) / math.log1p(-0.95 * (1 - 1 / parts) ** apart))
+    out = []
+    for deal in range(-(-wanted // parts)):
+        salt = np.uint64(((band + 1) * int(MIX) + (round(1000 * level) + deal + 1) * int(SECOND)) % 2**64)
+        used = min(parts, wanted - deal * parts)
+        content, count = _parts(s, salt, parts, used)
+        out.append(scramble(content * MIX + salt + np.arange(used, dtype=np.uint64))[count > 0])
+    return out
+
+
+def keys_of(s: np.ndarray, percent: int, level: float = FIRST) -> np.ndarray:
+    """The keys of a set: contents of its parts, for its own size band and, near the edge, for the next one."""
     n, out = len(s), []
     own = bisect.bisect_right(EDGES, n) - 1
     for band in (own, own + 1) if n * 100 // percent >= EDGES[own + 1] else (own,):
-        apart = differ(band, percent)
-        if not apart:
-            continue  # only equal sets can be linked
-        used, salt = min(apart + 1, PARTS), np.uint64((band + 1) * int(MIX) % 2**64)
-        content, count = _parts(s, salt, apart + 1, used)
-        name = salt + np.arange(used, dtype=np.uint64)
-        out.append(scramble(content * MIX + name)[count > 0])
-        if used == apart + 1 and not count.all():
-            second, _ = _parts(s, salt ^ SECOND, used, used)
-            out += [scramble(scramble(second * MIX + name) + np.uint64((int(j) + 1) * int(SECOND) % 2**64)) for j in np.flatnonzero(count == 0)]
+        if apart := differ(band, percent):  # otherwise only equal sets can be linked
+            out += _plain_keys(s, band, apart) if level == FIRST and apart <= EXACT else _long_keys(s, band, apart, level)
     return np.unique(np.concatenate(out)) if out else s[:0]
 
 
@@ -122,6 +146,38 @@ def points(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return texts.join(wanted.select("id", "k1").distinct(), "id").mapInPandas(run, FULL).dropDuplicates(["id", "k1"])
 
 
+def _families(met: DataFrame, name: str) -> DataFrame:
+    """(`name`, family) from (`name`, lead): who shares a key with whom, also through others."""
+    found = components(met.select(F.col(name).alias("u"), F.col("lead").alias("v")).distinct())
+    return save(found.select(F.col("node").alias(name), F.col("component").alias("family")), "families")
+
+
+def _met(keyed: DataFrame, name: str) -> DataFrame:
+    """(key, `name`, lead) of the keys that several share; lead is the smallest of them."""
+    shared = keyed.groupBy("key").agg(F.min(name).alias("lead"), F.max(name).alias("_last")).where("lead <> _last").select("key", "lead")
+    return keyed.join(shared, "key").distinct()
+
+
+def refined(inside: DataFrame, full: DataFrame, percent: int, level: int, larger: int) -> DataFrame:
+    """inside (family, id, k1, label, ...) with large families split by keys of this level; who shares none has no link and goes.
+    Members of one label are linked already and share their keys, so copies add no rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keys = [keys_of(np.asarray(s, np.int64).view(np.uint64), percent, level).view(np.int64) for s in pdf["s"]]
+            yield pd.DataFrame({"label": pdf["label"], "family": pdf["family"], "keys": keys})
+
+    sizes = inside.groupBy("family").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > larger).select("family")
+    large, seen = observed(inside.join(sizes, "family", "left_semi"), "large", F.count(F.lit(1)).alias("n"))
+    if not seen["n"]:
+        return inside
+    sent = large.select("id", "k1", "family", "label").join(full.select("id", "k1", "s"), ["id", "k1"]).select("label", "family", "s")
+    keyed = sent.mapInPandas(run, "label long, family long, keys array<long>").select("label", "family", F.explode("keys").alias("_key"))
+    keyed = save(keyed.select("label", F.xxhash64("family", "_key").alias("key")).distinct(), "keys")
+    split = large.drop("family").join(_families(_met(keyed, "label"), "label"), "label").select(*inside.columns)
+    return save(inside.join(sizes, "family", "left_anti").unionByName(split), "inside")
+
+
 def overlap_needed(n, m, percent: int):
     """The least overlap of linked sets of these sizes."""
     return -(-percent * (n + m) // (100 + percent))
@@ -137,31 +193,21 @@ def bound_test(percent: int):
 
 
 def boxes(rows: DataFrame, by: str, corner: list[Column], *more: Column) -> DataFrame:
-    """(family, `by`, smallest and largest size, smallest and largest label, upper corner) of each leaf or node."""
-    return rows.groupBy("family", by).agg(F.min("n_lo").alias("n_lo"), F.max("n_hi").alias("n_hi"), F.min("l_lo").alias("l_lo"), F.max("l_hi").alias("l_hi"),
-                                          F.array(*[F.max(c) for c in corner]).alias("hi"), *more)
+    """Sizes, labels and upper corner of each leaf or node."""
+    return ranges(rows, by, F.array(*[F.max(c) for c in corner]).alias("hi"), *more)
 
 
 def may_link(percent: int) -> Column:
-    """Whether a link between boxes a and b is possible: sizes fit, the summed minima of the upper corners reach what the smallest
-    sizes need, and they aren't of one label already."""
+    """Whether boxes a and b allow a link: the summed minima of their upper corners reach what their smallest sizes need."""
     minima = F.aggregate(F.zip_with("a.hi", "b.hi", lambda x, y: F.least(x, y).cast("long")), F.lit(0).cast("long"), lambda total, x: total + x)
-    sizes = (F.col("a.n_hi") * 100 >= F.col("b.n_lo") * percent) & (F.col("b.n_hi") * 100 >= F.col("a.n_lo") * percent)
-    one = (F.least("a.l_lo", "b.l_lo") == F.greatest("a.l_hi", "b.l_hi"))
-    return sizes & ~one & (minima * (100 + percent) >= (F.col("a.n_lo") + F.col("b.n_lo")) * percent)
+    return fits(percent) & (minima * (100 + percent) >= (F.col("a.n_lo") + F.col("b.n_lo")) * percent)
 
 
 def tree_pairs(placed: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of leaves that may hold links, by descending from pairs of nodes."""
-    each = placed.join(full.select("id", "k1", "vec"), ["id", "k1"])
-    each = each.select("family", "block", "node", F.col("n").alias("n_lo"), F.col("n").alias("n_hi"), F.col("label").alias("l_lo"), F.col("label").alias("l_hi"), "vec")
+    each = single(placed.join(full.select("id", "k1", "vec"), ["id", "k1"]), "vec")
     leaves = save(boxes(each, "block", [F.get("vec", i) for i in range(GROUPS)], F.first("node").alias("node")), "boxes")
-    nodes = boxes(leaves, "node", [F.get("hi", i) for i in range(GROUPS)])
-    met = nodes.alias("a").join(nodes.alias("b"), "family").where("a.node <= b.node").where(may_link(percent))
-    met = met.select(F.col("a.node").alias("na"), F.col("b.node").alias("nb"))
-    below = leaves.alias("a").join(met, F.col("a.node") == F.col("na")).join(leaves.alias("b"), F.col("b.node") == F.col("nb"))
-    ordered = (F.col("na") != F.col("nb")) | (F.col("a.block") <= F.col("b.block"))
-    return below.where(ordered & may_link(percent)).select(F.least("a.block", "b.block").alias("a"), F.greatest("a.block", "b.block").alias("b")).distinct()
+    return descend(leaves, boxes(leaves, "node", [F.get("hi", i) for i in range(GROUPS)]), may_link(percent))
 
 
 def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -179,12 +225,10 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     placed = save(sets.select("doc_id", "n", "k1", "k2").join(classes.select("k1", "k2", "id"), ["k1", "k2"], "left").select("doc_id", "n", "id"), "placed")
 
     entries = sets.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "k1")
-    shared = entries.groupBy("key").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("key")
-    members = save(entries.join(shared, "key").distinct().join(classes.select("k1", "id", "n"), "k1"), "members")
-    lead = members.groupBy("key").agg(F.min("id").alias("lead"))
-    families = save(components(members.join(lead, "key").select(F.col("id").alias("u"), F.col("lead").alias("v")).distinct()), "families")
+    met = save(_met(entries, "k1"), "met")
+    members = save(met.select("key", "k1").join(classes.select("k1", "id", "n"), "k1"), "members")
     place = members.groupBy("id", "k1").agg(F.min("n").alias("n"), F.min("key").alias("key"))
-    inside = save(place.join(families.select(F.col("node").alias("id"), F.col("component").alias("family")), "id").withColumn("label", F.col("id")), "inside")
+    inside = save(place.join(_families(met, "k1"), "k1").withColumn("label", F.col("id")), "inside")
     full = save(points(docs, inside, words), "points")
 
     several = placed.where("id IS NOT NULL").groupBy("doc_id").agg(F.min("id").alias("u"), F.max("id").alias("v")).where("u <> v").select("doc_id")
@@ -202,6 +246,8 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     mixed = rest.groupBy("family").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("family")
     rest, seen = observed(rest.join(mixed, "family", "left_semi"), "rest", F.count(F.lit(1)).alias("n"))
     if seen["n"]:
+        for level, larger in LEVELS:
+            rest = refined(rest, full, percent, level, larger)
         leaves = save(cut(rest, ["key"]), "leaves")
         pairs = save(tree_pairs(leaves, full, percent), "pairs")
         links = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(block_links(pairs, leaves, full, test, percent))

@@ -39,6 +39,22 @@ def test_leaves_and_nodes_of_a_large_family(docs, monkeypatch):
     check(docs, rows, 4, 85)
 
 
+def test_shared_passages_chain_strangers_only_by_short_keys(docs, monkeypatch):
+    monkeypatch.setattr(J, "LEVELS", ((2, 20), (4, 30)))
+    monkeypatch.setattr(B, "BITS", 10)
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(60)]
+    texts = [" ".join([*(word() for _ in range(rng.randrange(30))), *passage, *(word() for _ in range(rng.randrange(30)))]) for _ in range(150)]
+    rows = list(enumerate([*texts, *family(rng, 40, 2)]))
+    sizes = []
+    original = J.refined
+    monkeypatch.setattr(J, "refined", lambda *a: sizes.append(original(*a)) or sizes[-1])
+    check(docs, rows, 4, 85)
+    first, last = (x.where("id < 150").groupBy("family").count().agg(F.max("count")).first()[0] or 0 for x in sizes)
+    assert last <= first < 150
+
+
 def test_small_sets(docs):
     rng = random.Random(1)
     texts = [" ".join(rng.choice("ab") for _ in range(rng.randrange(0, 12))) for _ in range(150)]
@@ -49,13 +65,14 @@ def test_linked_sets_share_a_key():
     """Sets at the threshold meet: all with few parts, and all but a chance of 1e-7 with many."""
     rng = np.random.default_rng(3)
     for n in (2, 6, 7, 8, 13, 20, 33, 60, 150, 400, 3000):
-        for _ in range(60):
+        for _ in range(25):
             drop, add = sorted(rng.integers(0, max(1, n * 15 // 100) + 1, 2))
             s = rng.integers(0, 2**63, n + add).astype(np.uint64)
             a, b = np.unique(s[:n]), np.unique(s[drop:])
             both = len(s[drop:n])
             if 100 * both >= 85 * (len(a) + len(b) - both) and (drop or add):
-                assert set(J.keys_of(a, 85)) & set(J.keys_of(b, 85))
+                for level in (J.FIRST, 2, 4) if n < 500 else (J.FIRST, 2):
+                    assert set(J.keys_of(a, 85, level)) & set(J.keys_of(b, 85, level))
 
 
 def test_bound_never_drops_a_link():
