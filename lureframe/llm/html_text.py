@@ -9,6 +9,7 @@ by its elements and roles (navigation, forms, asides) never becomes text; class
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -22,9 +23,10 @@ from lureframe.llm.store import back_id, sent_id
 SIGMA = 1.5
 SCHEMA = "page_id long, url string, text string, n_chars long"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Content of these is never text of a page.
-HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas audio video select option textarea button form nav header footer aside menu dialog".split())
-BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
+#: Content of these is never text of a page; the first ones may stand inside a line and don't end it.
+INLINE = frozenset("script style noscript template svg math iframe object canvas audio video select option textarea button".split())
+HIDDEN = INLINE | frozenset("head title nav header footer aside menu dialog".split())
+BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure form h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 #: Elements that a new block of the same kind closes when their end tag was left out.
 IMPLIED = {"p": {"p"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Names of furniture. A token of a class, or a whole id, is one if each of its words is here or in BESIDE and one is here.
@@ -72,6 +74,12 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, int]] = []
         self.buffer: list[str] = []
         self.tags = 0
+        self.open: Counter[str] = Counter()
+
+    def cut(self, at: int) -> None:
+        """Close the open elements from `at` on."""
+        self.open.subtract(tag for tag, _, _ in self.stack[at:])
+        del self.stack[at:]
 
     def flush(self) -> None:
         if self.buffer:
@@ -85,12 +93,12 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag == "br":
             self.buffer.append(" ")
-        if tag in BLOCK or tag in HIDDEN:
+        if (tag in BLOCK or tag in HIDDEN) and tag not in INLINE:
             self.flush()
         if tag in VOID:
             return
         if tag == "body":  # also ends a head without an end tag
-            del self.stack[1:]
+            self.cut(1)
         if tag in BLOCK:
             self.close_open("p")
         for open_tag in IMPLIED.get(tag, ()):
@@ -98,17 +106,19 @@ class Lines(HTMLParser):
         _, container, furniture = self.stack[-1]
         plain = {k: v for k, v in attrs}
         if not furniture and tag not in WHOLE:
-            furniture = tag in HIDDEN or (plain.get("role") or "").lower() in ROLES or "hidden" in plain
-        named = not furniture and self.names_furniture(tag, plain)
+            furniture = tag in HIDDEN and not (tag == "header" and (self.open["article"] or self.open["main"])) or (plain.get("role") or "").lower() in ROLES or "hidden" in plain
+        # A form is furniture as a name makes it: a small one is, one around the text of the page isn't.
+        named = not furniture and (tag == "form" or self.names_furniture(tag, plain))
         if named and tag not in BLOCK:
             self.flush()  # an inline element of its own
-        if tag in BLOCK or named:
+        if tag in BLOCK or named or tag == "header" and not furniture:
             self.parent.append(container)
             self.kinds.append(tag)
             container = len(self.parent) - 1
             if named:
                 self.named.add(container)
         self.stack.append((tag, container, furniture))
+        self.open[tag] += 1
 
     def names_furniture(self, tag: str, attrs: dict) -> bool:
         """Paragraphs and headings, and what stands inside them, are text whatever their names. Ids of sections inside
@@ -119,31 +129,33 @@ class Lines(HTMLParser):
             return False
         if any(furniture_name(token) for token in (attrs.get("class") or "").split()):
             return True
-        inside = tag == "section" and any(name in ("article", "main") for name, _, _ in self.stack)
+        inside = tag == "section" and (self.open["article"] or self.open["main"])
         return bool(attrs.get("id")) and not inside and furniture_name(attrs["id"].strip(), number=tag != "section")
 
     def close_open(self, tag: str, within: str = "") -> None:
         """End the innermost open `tag` unless a container stands between."""
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             name = self.stack[i][0]
             if name == tag:
                 self.flush()
-                del self.stack[i:]
+                self.cut(i)
                 return
             if name in BLOCK and name != "p" or name in HIDDEN:
                 return
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        if tag in BLOCK or tag in HIDDEN:
+        if (tag in BLOCK or tag in HIDDEN) and tag not in INLINE:
             self.flush()
-        if tag in VOID:
+        if tag in VOID or not self.open[tag]:
             return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] == tag:
                 if self.stack[i][1] in self.named:
                     self.flush()
-                del self.stack[i:]
+                self.cut(i)
                 return
             if self.stack[i][0] in ("article", "body", "main", "nav", "aside", "footer", "header", "form", "table") and tag not in ("html", "body", "article", "main", "nav", "aside", "footer", "header", "form", "table", "div", "section"):
                 return  # an end tag without its start doesn't leave the container

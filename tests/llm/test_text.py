@@ -139,3 +139,34 @@ def test_extract_keeps_every_row(spark):
 
 def test_digest_of_no_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+PROSE = "The council met on Monday and talked for hours about the new bridge over the river, which many people want. " * 4
+
+
+def test_a_form_around_the_page_is_no_furniture_and_small_forms_are():
+    assert H.main_text(f"<body><form id=aspnetForm><div><p>{PROSE}</p><p>Second. {PROSE}</p></div></form></body>").count("council") == 8
+    small = "<form class=s><input><p>Search this site</p></form>"
+    assert H.main_text(f"<body><div>{small}</div><article><p>{PROSE}</p></article>{small}</body>") == PROSE.strip()
+
+
+def test_the_head_of_an_article_stays_and_that_of_the_page_goes():
+    page = f"<body><header><p>The site</p></header><article><header><h1>A title</h1><p>Its lede.</p></header><p>{PROSE}</p></article></body>"
+    assert H.main_text(page) == f"A title\nIts lede.\n{PROSE.strip()}"
+
+
+def test_hidden_elements_inside_a_line_do_not_end_it():
+    assert H.main_text("<body><p>x <button>b</button> y<script>z</script>!</p></body>") == "x y!"
+
+
+def test_many_open_elements_are_read_in_linear_time():
+    import time
+
+    start = time.perf_counter()
+    assert H.main_text("<b>" * 20_000 + "<p>x y z</p>" * 2_000).count("x y z") == 2_000
+    assert time.perf_counter() - start < 3
+
+
+def test_pages_with_columns_of_other_kinds(spark):
+    df = spark.createDataFrame([(1, "u", "<p>Some text here.</p>", 5, "x")], "page_id long, url string, html string, text int, n_chars string")
+    assert [tuple(r) for r in H.extract(df).collect()] == [(1, "u", "Some text here.", 15)]
