@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lureframe.llm import conversations, exact_dedup, html_text, jaccard_join, language_model, mixing, near_dedup, neighbours, packing, pii, quality, spelling, toxicity
@@ -59,11 +59,16 @@ def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_corpus(table(spark, sf_dir, "documents"))
 
 
+def _of_kind(spans: Column, kind: int) -> Column:
+    """How many spans are of the kind. A second parameter of the lambda would be the span's position in the array."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 @query("op7_personal_data")
 def personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_spans(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    counts = [_of_kind(base, k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(pii.span_list(base).cast("binary"), 256).alias("base_sha256"), pii.span_list(F.col("spans")).alias("spans"))
 
 

@@ -59,6 +59,22 @@ def test_looser_candidates_need_the_corpus_on_their_side(docs):
     assert got[2000] == ("", "")
 
 
+def test_counts_of_each_kind_of_personal_data(docs, tmp_path):
+    """Each count is of its own kind, whatever the number and the order of a text's spans."""
+    from lureframe.llm.queries import QUERIES
+
+    email, ip, card, phone = "a@b.co", "1.2.3.4", "4111111111111111", "+1 (269) 555-3296"
+    texts = ["", "plain", email, ip, card, phone, f"{ip}; {ip}; {email}", f"{phone}, {card}, {phone}, {email}", f"{card}; 4111111111111112; 300.1.1.1; {ip}"]
+    rows = [*enumerate(texts), (99, None), (2, phone), (None, email)]
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, text in rows:
+        base = ",".join(brute(text or ""))
+        want.append((i, *(base.count(f"{k}:") for k in P.KINDS), hashlib.sha256(base.encode()).hexdigest()))
+    got = QUERIES["op7_personal_data"](docs([]).sparkSession, str(tmp_path)).collect()
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], *(r[f"n_{k}"] for k in P.KINDS), r["base_sha256"])) for r in got)
+
+
 def test_personal_data_of_odd_rows(odd, none):
     assert P.personal_spans(odd).count() == 9 and P.personal_spans(none).count() == 0
 
