@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lureframe.llm.blocks import block_links, cut, descend, fits, ranges, single
 from lureframe.llm.components import components
-from lureframe.llm.store import back_id, observed, save, sent_id
+from lureframe.llm.store import back_id, observed, save, sent_id, split_count
 from lureframe.llm.words import MIX, WordHashes, grams, hashed, lowered, scramble
 
 WORDS = 4
@@ -42,6 +42,8 @@ FIRST = 1.4
 #: Open families of more members than the second number meet again by keys of the level that is the first. Below, blocks are
 #: cheaper than the many keys of a level.
 LEVELS = ((2, 4_096), (4, 32_768))
+#: Bits of the bitmaps of wanted ids: for each id, at most (16 MB), and in one row of bitmap_construct_agg.
+SPARSE, MOST_BITS, PART_BITS = 16, 1 << 27, 1 << 15
 SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 SETS = "doc_id long, n long, k1 long, k2 long, keys array<long>"
 FULL = "id long, k1 long, n long, vec array<int>, s array<long>"
@@ -128,6 +130,20 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return back_id(docs.select(sent_id("doc_id"), F.col("text").cast("binary").alias("text")).mapInPandas(run, SETS), "doc_id")
 
 
+def likely(rows: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """The rows whose `name` is wanted, and a few others, so that a join with wanted doesn't shuffle the texts of all rows.
+
+    A bit of each wanted id is set in bitmaps that every task gets; they hold SPARSE bits an id, up to MOST_BITS. With more
+    ids more other rows pass, but no wanted one is lost.
+    """
+    part, bit = F.expr(f"_slot div {PART_BITS}"), F.col("_slot") % PART_BITS
+    slot = F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(min(MOST_BITS, split_count(SPARSE * wanted.count(), 1, PART_BITS))))
+    filled = wanted.select(slot.alias("_slot")).select(part.alias("_part"), bit.alias("_bit")).repartition("_part").groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    sent = rows.withColumn("_slot", slot).withColumn("_part", part).join(F.broadcast(filled), "_part")
+    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast(_slot % {PART_BITS} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return sent.where(F.getbit(byte, (F.col("_slot") % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def points(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(id, k1, n, vec, s): group counts and shingles of the wanted sets, made anew from whole texts."""
 
@@ -143,7 +159,7 @@ def points(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             yield pd.DataFrame(out, columns=["id", "k1", "n", "vec", "s"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
-    return texts.join(wanted.select("id", "k1").distinct(), "id").mapInPandas(run, FULL).dropDuplicates(["id", "k1"])
+    return likely(texts, wanted, "id").join(wanted.select("id", "k1").distinct(), "id").mapInPandas(run, FULL).dropDuplicates(["id", "k1"])
 
 
 def _families(met: DataFrame, name: str) -> DataFrame:

@@ -88,6 +88,31 @@ def test_bound_never_drops_a_link():
             assert test(vec[0], vec[1][None], len(a), np.array([len(b)]))[0]
 
 
+@pytest.mark.parametrize("most", [1 << 27, 1 << 15])
+def test_only_texts_that_are_likely_wanted_are_shuffled(spark, monkeypatch, most):
+    """Every row of a wanted id passes, its repeats as well; of the others a small part, or more if the bitmaps are full."""
+    monkeypatch.setattr(J, "MOST_BITS", most)
+    rows = spark.range(40_000).selectExpr("id - 20000 AS id", "'t' AS text").unionAll(spark.sql("SELECT -7L AS id, 'u' AS text UNION ALL SELECT NULL, 'v'"))
+    wanted = spark.range(8_000).selectExpr("5 * id - 20002 AS id", "id AS k1")
+    got = J.likely(rows, wanted, "id").alias("got")
+    assert got.columns == ["id", "text"]
+    n, missing = got.count(), wanted.where("id >= -20000").join(got, "id", "left_anti").count()
+    assert missing == 0 and got.where("id = -7").count() == 2
+    assert 8_000 <= n < (11_000 if most > 1 << 15 else 18_000)
+    assert J.likely(rows, wanted.limit(0), "id").count() == 0
+
+
+def test_points_shuffle_no_texts_of_strangers(docs, spark, monkeypatch):
+    """Of 4,000 texts 200 may have links: the join that makes their points gets hardly more than those."""
+    rng = random.Random(8)
+    rows = [(i, t) for i, t in enumerate([*(" ".join(f"w{rng.randrange(10**9)}" for _ in range(20)) for _ in range(3_800)), *family(rng, 200, 1)])]
+    got = []
+    original = J.likely
+    monkeypatch.setattr(J, "likely", lambda *a: got.append(original(*a)) or got[-1])
+    J.jaccard_groups(docs(rows)).count()
+    assert len(got) == 1 and 100 <= got[0].count() < 800
+
+
 def test_odd_rows(odd, none):
     got = {(r["doc_id"], r["n"], r["component_id"]) for r in J.jaccard_groups(odd, 4, 85).collect()}
     assert got == {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 3, 4), (5, 3, 4), (None, 1, None), (6, 1, 6), (7, 1, 7)}
