@@ -5,7 +5,10 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
@@ -87,55 +90,113 @@ def inactivity_sessions(events: DataFrame, gap: str = "30 minutes", late: str =
     )
 
 
-STATE_DDL = "first timestamp, last timestamp, events bigint, commands bigint, logged_in boolean, closed boolean"
-OUT_DDL = "session_id string, started_at timestamp, last_at timestamp, events bigint, commands bigint, logged_in boolean, ended string"
+STATE_DDL = "sessions binary, due bigint"
+FACTS = pa.schema([("session_id", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("events", pa.int64()), ("commands", pa.int64()), ("logged_in", pa.int8()), ("closed", pa.int8()), ("due", pa.int64())])
+#: How two rows of a session become one; `fresh` tells sessions with rows in this batch.
+FOLD = {"first": "min", "last": "max", "events": "sum", "commands": "sum", "logged_in": "max", "closed": "max", "due": "max", "fresh": "max"}
+FOLD_ROWS = 50_000
+OUT_DDL = "session_id string, first bigint, last bigint, events bigint, commands bigint, logged_in boolean, ended string"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _session_rows(f: pd.DataFrame) -> pa.Table:
+    """Each event as a session of its own."""
+    us, kind = pa.array(f["us"], pa.int64(), from_pandas=True), f["kind"].to_numpy()
+    one = pa.array(np.ones(len(f), "int64"))
+    return pa.table({
+        "session_id": pa.array(f["session_id"], pa.string(), from_pandas=True), "first": us, "last": us, "events": one, "commands": (kind == 1).astype("int64"),
+        "logged_in": (kind == 2).astype("int8"), "closed": (kind == 3).astype("int8"), "due": np.zeros(len(f), "int64"), "fresh": np.ones(len(f), "int8")})
+
+
+def _folded(parts: list[pa.Table]) -> pa.Table:
+    """One row per session, the one without an id among them."""
+    found = pa.concat_tables(parts).group_by("session_id", use_threads=False).aggregate(list(FOLD.items()))
+    return found.select(["session_id", *(f"{c}_{how}" for c, how in FOLD.items())]).rename_columns(["session_id", *FOLD])
+
+
 class SessionFold(StatefulProcessor):
-    """Six values per session and one timer; a batch of a hot session arrives as frames and is folded, never held."""
+    """Six values and a due time per open session, kept together per shard, with one timer per shard at the earliest due time.
+
+    A shard's sessions are read, folded and written as one Arrow table, so that calls to the state store from Python are
+    counted by shards and not by sessions. A batch of a hot session arrives as frames and is folded, never held. Times are microseconds of UTC.
+    """
 
     def __init__(self, idle_minutes: int) -> None:
         self.idle_ms = idle_minutes * 60_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.facts = handle.getValueState("facts", STATE_DDL)
+        self.state = handle.getValueState("sessions", STATE_DDL)
+
+    def _load(self) -> tuple[pa.Table, int | None]:
+        stored = self.state.get()
+        if stored is None:
+            return FACTS.empty_table(), None
+        return pa.ipc.open_stream(pa.py_buffer(bytes(stored[0]))).read_all(), stored[1]
+
+    def _store(self, facts: pa.Table, old_due: int | None) -> None:
+        """The open sessions of the shard, and its timer."""
+        due = pc.min(facts["due"]).as_py()
+        if due is None:
+            self.state.clear()
+        else:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, FACTS) as out:
+                out.write_table(facts.combine_chunks())
+            self.state.update((sink.getvalue().to_pybytes(), due))
+        if due != old_due:
+            if old_due is not None:
+                self.handle.deleteTimer(old_due)
+            if due is not None:
+                self.handle.registerTimer(due)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        first, last, n, cmds, logged, closed = self.facts.get() if self.facts.exists() else (None, None, 0, 0, False, False)
+        facts, old_due = self._load()
+        parts, more = [facts.append_column("fresh", pa.array(np.zeros(len(facts), "int8")))], 0
         for f in rows:
-            lo, hi = f["ts"].min().to_pydatetime(), f["ts"].max().to_pydatetime()
-            first, last = lo if first is None else min(first, lo), hi if last is None else max(last, hi)
-            n += len(f)
-            cmds += int((f["action"] == COMMAND).sum())
-            logged = logged or bool((f["action"] == "cowrie.login.success").any())
-            closed = closed or bool((f["action"] == CLOSED).any())
-        self.facts.update((first, last, n, cmds, logged, closed))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        due = int(pd.Timestamp(last).timestamp() * 1000) + (1 if closed else self.idle_ms)
-        self.handle.registerTimer(max(due, timerValues.getCurrentWatermarkInMs() + 1))
+            parts.append(_session_rows(f))
+            more += len(f)
+            if more > max(FOLD_ROWS, len(parts[0])):
+                parts, more = [_folded(parts)], 0
+        facts = _folded(parts)
+        mark = timerValues.getCurrentWatermarkInMs()
+        seen = pc.fill_null(pc.divide(facts["last"], 1000), mark)  # a session without any time is silent since the watermark
+        due = pc.max_element_wise(pc.add(seen, pc.if_else(pc.equal(facts["closed"], 1), 1, self.idle_ms)), mark + 1)
+        due = pc.if_else(pc.equal(facts["fresh"], 1), due, facts["due"])
+        self._store(facts.select(FACTS.names[:-1]).append_column("due", due), old_due)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        *facts, closed = self.facts.get()
-        self.facts.clear()
-        yield pd.DataFrame([(key[0], *facts, "closed" if closed else "timeout")], columns=["session_id", "started_at", "last_at", "events", "commands", "logged_in", "ended"])
+        facts, old_due = self._load()
+        over = pc.less(facts["due"], timerValues.getCurrentWatermarkInMs())  # as Spark compares a timer
+        self._store(facts.filter(pc.invert(over)), old_due)
+        out = facts.filter(over)
+        ended = pc.if_else(pc.equal(out["closed"], 1), "closed", "timeout")
+        yield out.select(["session_id", "first", "last", "events", "commands"]).append_column("logged_in", pc.equal(out["logged_in"], 1)).append_column("ended", ended).to_pandas()
 
     def close(self) -> None:
         pass
 
 
-def session_states(events: DataFrame, idle_minutes: int = 60, late: str = "10 minutes") -> DataFrame:
+SESSION_SHARDS = 512
+
+
+def session_states(events: DataFrame, idle_minutes: int = 60, late: str = "10 minutes", shards: int = SESSION_SHARDS) -> DataFrame:
     """T4: a session's facts, once: when it has closed and the watermark has passed its last event, or when it has
     been silent for too long. Events that come after the close but in time are part of it.
 
-    State and timers of a session go when it is given out. The state store of the events' session is RocksDB from here on.
+    Sessions are dealt to shards by their id; a task holds the open sessions of one shard at a time, so `shards` grows with how
+    many are open at once. A checkpoint belongs to one number of shards. The facts of a session go from the state when it is
+    given out. The state store of the events' session is RocksDB from here on, and a batch commits its changes, not all of the state.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    slim = events.select("session_id", "ts", "action").withWatermark("ts", late)
-    return slim.groupBy("session_id").transformWithStateInPandas(SessionFold(idle_minutes), OUT_DDL, "append", "EventTime")
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    kind = F.when(F.col("action") == COMMAND, 1).when(F.col("action") == "cowrie.login.success", 2).when(F.col("action") == CLOSED, 3).otherwise(0)
+    slim = events.select(
+        F.pmod(F.xxhash64("session_id"), F.lit(shards)).cast("int").alias("shard"), "session_id", "ts", F.unix_micros("ts").alias("us"), kind.alias("kind"),
+    ).withWatermark("ts", late)
+    facts = slim.groupBy("shard").transformWithStateInPandas(SessionFold(idle_minutes), OUT_DDL, "append", "EventTime")
+    return facts.select("session_id", F.timestamp_micros("first").alias("started_at"), F.timestamp_micros("last").alias("last_at"), "events", "commands", "logged_in", "ended")
 
 
 BUCKETS = 64

@@ -170,6 +170,38 @@ def test_an_event_after_the_close_is_part_of_its_session(spark, tmp_path):
     assert got == [("a", 3, 2, "closed")]
 
 
+def test_sessions_share_the_state_of_their_shard(spark, tmp_path):
+    many = 2000
+    first = [ev(i, i % 7, f"s{i}", "cowrie.login.success" if i % 3 else sessions.COMMAND) for i in range(many)]
+    second = [ev(many + i, 20 + i % 7, f"s{i}", sessions.CLOSED if i % 5 else sessions.COMMAND) for i in range(0, many, 2)] + [ev(9000 + i, 21, "hot") for i in range(50)]
+    frames = [slim(spark, first), slim(spark, second), slim(spark, [ev(9990, 600, "z")]), slim(spark, [ev(9991, 601, "z")])]
+    q = drain(jobs.session_states(event_stream(spark, tmp_path, frames)), "shards")
+    got = {tuple(r) for r in spark.table("shards").collect()}
+    held = [op["numRowsTotal"] for p in q.recentProgress for op in json.loads(p.json)["stateOperators"]]
+    q.stop()
+    action = lambda name: F.col("action") == name
+    want = slim(spark, first + second).groupBy("session_id").agg(
+        F.min("ts"), F.max("ts"), F.count("*"), F.count_if(action(sessions.COMMAND)), F.bool_or(action("cowrie.login.success")),
+        F.when(F.bool_or(action(sessions.CLOSED)), "closed").otherwise("timeout"))
+    assert len(got) == many + 1 and got == {tuple(r) for r in want.collect()}
+    assert 0 < max(held) < many / 3  # a row per shard, not one per session
+
+
+def test_a_session_goes_by_its_own_times_in_a_shared_shard(spark, tmp_path):
+    frames = [
+        slim(spark, [ev(1, 0, "idle"), ev(2, 1, "shut", sessions.CLOSED), ev(3, 50, "open"), ev(4, 2, None), (5, None, "timeless", "9.9.9.9", sessions.COMMAND, "id", "low")]),
+        slim(spark, [ev(6, 75, "z")]), slim(spark, [ev(7, 76, "open"), ev(8, 75, "z")]), slim(spark, [ev(9, 76, "open")]), slim(spark, [ev(10, 700, "z")]), slim(spark, [ev(11, 700, "idle")]), slim(spark, [ev(12, 701, "z")]),
+    ]
+    q = drain(jobs.session_states(event_stream(spark, tmp_path, frames), shards=1), "one_shard")
+    got = {(r.session_id, r.started_at, r.last_at, r.events, r.ended) for r in spark.table("one_shard").collect() if r.session_id != "z"}
+    q.stop()
+    at = lambda minute: T0 + timedelta(minutes=minute)
+    assert got == {
+        ("idle", at(0), at(0), 1, "timeout"), ("shut", at(1), at(1), 1, "closed"), ("open", at(50), at(76), 3, "timeout"), (None, at(2), at(2), 1, "timeout"),
+        ("timeless", None, None, 1, "timeout"),
+    }
+
+
 def test_indicator_stream_is_idempotent(spark, tmp_path):
     base = adapter.events(spark, "/root/testdata/sf0.001").drop("user_id", "session_no", "k")
     src = event_stream(spark, tmp_path, [base.filter("event_id < 500"), base.filter("event_id >= 500"), base.filter("event_id < 100")])
