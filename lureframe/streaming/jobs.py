@@ -168,7 +168,7 @@ class SessionFold(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         facts, old_due = self._load()
-        over = pc.less(facts["due"], timerValues.getCurrentWatermarkInMs())  # as Spark compares a timer
+        over = pc.less_equal(facts["due"], timerValues.getCurrentWatermarkInMs())  # a timer fires at its time, too
         self._store(facts.filter(pc.invert(over)), old_due)
         out = facts.filter(over)
         ended = pc.if_else(pc.equal(out["closed"], 1), "closed", "timeout")

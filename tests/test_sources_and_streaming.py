@@ -202,6 +202,14 @@ def test_a_session_goes_by_its_own_times_in_a_shared_shard(spark, tmp_path):
     }
 
 
+def test_a_session_due_at_the_watermark_is_given_out(spark, tmp_path):
+    frames = [slim(spark, [ev(1, 0, "a")]), slim(spark, [ev(2, 70, "z")]), slim(spark, [ev(3, 70, "z")])]
+    q = drain(jobs.session_states(event_stream(spark, tmp_path, frames)), "due")
+    got = [(r.session_id, r.events, r.ended) for r in spark.table("due").collect()]
+    q.stop()
+    assert got == [("a", 1, "timeout")]
+
+
 def test_indicator_stream_is_idempotent(spark, tmp_path):
     base = adapter.events(spark, "/root/testdata/sf0.001").drop("user_id", "session_no", "k")
     src = event_stream(spark, tmp_path, [base.filter("event_id < 500"), base.filter("event_id >= 500"), base.filter("event_id < 100")])
